@@ -105,3 +105,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return labels.withColumnRenamed("label", "component")
+
+
+def running_totals(values: Column, block: int = 512) -> Column:
+    """Inclusive running sums of an array of numbers, block by block, so that work grows with its length and not its square."""
+
+    def sums(a: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("out"))
+        grow = lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.array_append(acc["out"], acc["s"] + v).alias("out"))
+        return F.aggregate(a, zero, grow, lambda acc: acc["out"])
+
+    long = values.cast("array<bigint>")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda c: F.slice(long, c * block + 1, block))
+    held = F.transform(chunks, sums)
+    before = F.transform(held, lambda h: F.element_at(h, -1))
+    shifted = F.zip_with(sums(before), before, lambda upto, own: upto - own)
+    many = F.flatten(F.zip_with(held, shifted, lambda h, o: F.transform(h, lambda v: v + o)))
+    return F.when(F.size(values) <= block, sums(long)).otherwise(many)
+
+
+def number_table(values: list[float], digits: int = 5) -> Column:
+    """A list as one array literal: built from a string that the optimizer folds, instead of one expression per number."""
+    return F.split(F.lit(",".join(f"{v:.{digits}g}" for v in values)), ",").cast("array<double>")

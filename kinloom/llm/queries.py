@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .pii import op2_pii_boosting
+from .quality_rules import op3_quality_rules
 from .sharding import op6_histogram_shards
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op6_histogram_shards": op6_histogram_shards}
+    return {
+        "op1_mix_sources": op1_mix_sources,
+        "op2_pii_boosting": op2_pii_boosting,
+        "op3_quality_rules": op3_quality_rules,
+        "op6_histogram_shards": op6_histogram_shards,
+    }
 
 
 def oracle_sql() -> dict:
