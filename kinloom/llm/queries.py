@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_template_leaks
 from .mixing import op1_mix_sources
 from .pii import op2_pii_boosting
 from .quality_rules import op3_quality_rules
 from .sharding import op6_histogram_shards
+from .warc import op7_warc_derivatives
 
 
 def queries() -> dict:
@@ -14,6 +16,8 @@ def queries() -> dict:
         "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_rules": op3_quality_rules,
         "op6_histogram_shards": op6_histogram_shards,
+        "op7_warc_derivatives": op7_warc_derivatives,
+        "op10_template_leaks": op10_template_leaks,
     }
 
 
