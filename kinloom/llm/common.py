@@ -127,3 +127,10 @@ def running_totals(values: Column, block: int = 512) -> Column:
 def number_table(values: list[float], digits: int = 5) -> Column:
     """A list as one array literal: built from a string that the optimizer folds, instead of one expression per number."""
     return F.split(F.lit(",".join(f"{v:.{digits}g}" for v in values)), ",").cast("array<double>")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay small: at most so many rows go to a Python worker at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op10_template_leaks
 from .mixing import op1_mix_sources
 from .pii import op2_pii_boosting
+from .quality_classifier import op9_attention_mil
 from .quality_rules import op3_quality_rules
 from .sharding import op6_histogram_shards
 from .warc import op7_warc_derivatives
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_warc_derivatives": op7_warc_derivatives,
+        "op9_attention_mil": op9_attention_mil,
         "op10_template_leaks": op10_template_leaks,
     }
 
