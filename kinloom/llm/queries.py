@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op10_template_leaks
+from .jaccard_join import op4_chosen_path_join
 from .mixing import op1_mix_sources
 from .pii import op2_pii_boosting
 from .quality_classifier import op9_attention_mil
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_rules": op3_quality_rules,
+        "op4_chosen_path_join": op4_chosen_path_join,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op9_attention_mil": op9_attention_mil,
