@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op10_template_leaks
 from .jaccard_join import op4_chosen_path_join
 from .mixing import op1_mix_sources
+from .passage_dedup import op5_passage_dedup
 from .pii import op2_pii_boosting
 from .quality_classifier import op9_attention_mil
 from .quality_rules import op3_quality_rules
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_pii_boosting": op2_pii_boosting,
         "op3_quality_rules": op3_quality_rules,
         "op4_chosen_path_join": op4_chosen_path_join,
+        "op5_passage_dedup": op5_passage_dedup,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op9_attention_mil": op9_attention_mil,
