@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op10_template_leaks
 from .jaccard_join import op4_chosen_path_join
+from .line_dedup import OP8_SQL, op8_winnowed_lines
 from .mixing import op1_mix_sources
 from .passage_dedup import op5_passage_dedup
 from .pii import op2_pii_boosting
@@ -22,10 +23,11 @@ def queries() -> dict:
         "op5_passage_dedup": op5_passage_dedup,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_warc_derivatives": op7_warc_derivatives,
+        "op8_winnowed_lines": op8_winnowed_lines,
         "op9_attention_mil": op9_attention_mil,
         "op10_template_leaks": op10_template_leaks,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_winnowed_lines": OP8_SQL}
