@@ -44,16 +44,20 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
-def html_to_text(html: Column) -> Column:
-    """Visible text: scripts, styles and comments go, block tags break lines, other tags vanish, entities are decoded."""
+def strip_markup(html: Column) -> Column:
+    """Scripts, styles and comments go, block tags break lines, other tags vanish."""
     t = html
     for tag in ("script", "style", "noscript", "template"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b{TAG}.*?</{tag}\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})(?![A-Za-z0-9]){TAG}", "\n")
-    t = F.regexp_replace(t, rf"</?[A-Za-z!?]{TAG}", "")
-    t = decode_entities(t)
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
+    return F.regexp_replace(t, rf"</?[A-Za-z!?]{TAG}", "")
+
+
+def settle(stripped: Column) -> Column:
+    """Visible text of stripped markup: entities decoded, white space settled.  Give it a column and not a long expression,
+    which would be computed for each of its uses here."""
+    t = F.regexp_replace(decode_entities(stripped), r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
@@ -76,8 +80,9 @@ def derive(responses: DataFrame) -> DataFrame:
     """
     kept = [c for c in responses.columns if c not in ("payload", "http_headers", "record_id")]
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    d = responses.withColumns({"_text": html_to_text(payload), "_sum": digest(payload)})
-    title = html_to_text(F.regexp_extract(payload, rf"(?is)<title\b{TAG}(.*?)</title\s*>", 1))
+    d = responses.withColumns({"_bare": strip_markup(payload), "_head": strip_markup(F.regexp_extract(payload, rf"(?is)<title\b{TAG}(.*?)</title\s*>", 1)), "_sum": digest(payload)})
+    d = d.withColumns({"_text": settle(F.col("_bare")), "_title": settle(F.col("_head"))})
+    title = F.col("_title")
     links = F.transform(F.regexp_extract_all(payload, F.lit(r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)"""), F.lit(1)), lambda x: decode_entities(x))
     meta = F.to_json(F.struct(F.lit("text/html").alias("mime"), F.octet_length(payload).alias("bytes"), title.alias("title"), links.alias("links"), F.length("_text").alias("text_chars")))
     shape = lambda kind, mime, block: F.struct(F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
