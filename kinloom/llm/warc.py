@@ -46,9 +46,7 @@ def decode_entities(text: Column) -> Column:
 
 def strip_markup(html: Column) -> Column:
     """Scripts, styles and comments go, block tags break lines, other tags vanish."""
-    t = html
-    for tag in ("script", "style", "noscript", "template"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b{TAG}.*?</{tag}\s*>", " ")
+    t = F.regexp_replace(html, rf"(?is)<(script|style|noscript|template)\b{TAG}.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})(?![A-Za-z0-9]){TAG}", "\n")
     return F.regexp_replace(t, rf"</?[A-Za-z!?]{TAG}", "")
