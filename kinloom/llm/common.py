@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +136,52 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, str(rows))
+
+
+FILTER_BITS, FILTER_CHUNK = 27, 16
+
+
+def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A filter of 2**27 bits (16 MB, whatever the input) with a bit set for every 64-bit hash in the column.
+
+    A clear bit proves that a value is not there; a set bit proves nothing, so an exact join must follow.
+    """
+    bit = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    placed = hashes.select(F.shiftright(bit, FILTER_CHUNK).alias("chunk"), bit.bitwiseAND(F.lit((1 << FILTER_CHUNK) - 1)).cast("int").alias("bit")).distinct()
+
+    def pack(batches):
+        held: dict[int, np.ndarray] = {}
+        for p in batches:
+            for chunk, bits in p.groupby("chunk")["bit"]:
+                held.setdefault(int(chunk), np.zeros(1 << FILTER_CHUNK, bool))[bits.to_numpy()] = True
+        if held:
+            yield pd.DataFrame({"chunk": list(held), "bits": [np.packbits(v).tobytes() for v in held.values()]})
+
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    width = 1 << (FILTER_CHUNK - 3)
+    for chunk, bits in placed.repartition("chunk").mapInPandas(pack, "chunk long, bits binary").collect():
+        table[chunk * width : (chunk + 1) * width] |= np.frombuffer(bits, np.uint8)
+    return table
+
+
+def in_filter(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def maybe_among(spark: SparkSession, ids: DataFrame, id_col: str):
+    """A predicate on an id column that is true for every id of ids and for few others; only the hash of the id goes to Python."""
+    table = spark.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64(id_col).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(table.value, h.to_numpy()))
+
+    return lambda column: test(F.xxhash64(column))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, gone_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (null ids match null).  Rows that the filter clears pass without a shuffle."""
+    maybe = maybe_among(docs.sparkSession, gone, gone_col)
+    held = docs.filter(maybe(F.col(id_col))).join(gone.select(F.col(gone_col).alias("_gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.filter(~maybe(F.col(id_col))).unionByName(held)

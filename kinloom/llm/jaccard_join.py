@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, small_batches
+from .common import connected_components, load, materialize, maybe_among, small_batches
 from .shingles import Forest, SKETCH, mix, set_key, shingle_set, sketch, stream_groups
 
 THRESHOLD = 0.8
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _tokens(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """wanted with the shingle set of each key, computed again from the text of its first document."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    maybe = maybe_among(docs.sparkSession, wanted, "first_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter(maybe(F.col("_id")))
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("text", "key", "group", "block", "blocks", "copies")
 
     def make(batches):
