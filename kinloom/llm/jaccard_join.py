@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, maybe_among, small_batches
+from .common import connected_components, load, materialize, maybe_among, small_batches, without_rows
 from .shingles import Forest, SKETCH, mix, set_key, shingle_set, sketch, stream_groups
 
 THRESHOLD = 0.8
@@ -259,8 +259,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = materialize(near_duplicates(docs, id_col, text_col, **kw).select("doc_id", "class_id", "key"), "found")
     best = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    if best.count() == best.distinct().count() and found.select("doc_id").distinct().count() == found.count():
-        return docs.join(best, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    if found.select("doc_id").distinct().count() == found.count():
+        return without_rows(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))), id_col, "doc_id")
 
     @F.pandas_udf("string")
     def key(texts: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, load, materialize, small_batches
+from .common import bit_filter, connected_components, in_filter, load, materialize, small_batches
 from .shingles import Forest, mix, shingle_hashes, stream_groups, word_hashes
 
 THRESHOLD = 0.8
@@ -29,8 +29,6 @@ LONGEST = 64
 RECALL = 0.95
 #: Repeating neighbours must hold this many words: a passage of 50 words keeps that many when its ends belong to other paragraphs.
 MIN_RUN = 24
-FILTER_BITS = 27
-CHUNK_BITS = 16
 
 
 def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int = 1) -> int:
@@ -82,7 +80,7 @@ def paragraphs(text: str | None, bands: int):
 
 
 def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
-    """Bit filter (2**FILTER_BITS bits) of the band hashes that occur at least twice in the corpus."""
+    """Bit filter of the band hashes that occur at least twice in the corpus."""
 
     def bands_of(batches):
         for p in batches:
@@ -92,29 +90,13 @@ def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
             yield pd.DataFrame({"band": band.view(np.int64), "n": n})
 
     counts = docs.select("text").mapInPandas(bands_of, "band long, n long").groupBy("band").agg(F.sum("n").alias("n")).filter("n >= 2")
-    bit = F.col("band").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    placed = counts.select(F.shiftright(bit, CHUNK_BITS).alias("chunk"), bit.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int").alias("bit")).distinct()
-
-    def pack(batches):
-        held: dict[int, np.ndarray] = {}
-        for p in batches:
-            for chunk, bits in p.groupby("chunk")["bit"]:
-                held.setdefault(int(chunk), np.zeros(1 << CHUNK_BITS, bool))[bits.to_numpy()] = True
-        yield pd.DataFrame({"chunk": list(held), "bits": [np.packbits(v).tobytes() for v in held.values()]}) if held else pd.DataFrame({"chunk": [], "bits": []})
-
-    parts = placed.repartition("chunk").mapInPandas(pack, "chunk long, bits binary").collect()  # 16 MB at most, whatever the corpus
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    width = 1 << (CHUNK_BITS - 3)
-    for chunk, bits in parts:
-        table[chunk * width : (chunk + 1) * width] |= np.frombuffer(bits, np.uint8)
-    return table
+    return bit_filter(counts, "band")
 
 
 def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
     """(doc_id, seg, at, words, key, bands, shingles) of the paragraphs that pass the filter."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(twice_filter(docs, bands))
-    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def keep(batches):
         bits = table.value
@@ -122,8 +104,7 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
             out = []
             for i, t in zip(p["doc_id"], p["text"], strict=True):
                 starts, sizes, keys, hashes, shingles, offsets = paragraphs(t, bands)
-                at = (hashes & mask).astype(np.int64)
-                hit = np.flatnonzero(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).any(axis=1)) if len(at) else []
+                hit = np.flatnonzero(in_filter(bits, hashes).any(axis=1)) if len(hashes) else []
                 stops = np.append(offsets[1:], len(shingles))
                 out += [(i, int(s), int(starts[s]), int(sizes[s]), int(keys[s].view(np.int64)), hashes[s].view(np.int64), np.unique(shingles[offsets[s] : stops[s]]).tobytes()) for s in hit]
             yield pd.DataFrame(out, columns=["doc_id", "seg", "at", "words", "key", "bands", "shingles"])
