@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,9 +45,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinloom_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes the tables that materialize() writes inside it, but for those given to the function it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for df in _scopes.pop():
+            if any(df is k for k in kept):
+                if _scopes:
+                    _scopes[-1].append(df)
+            else:
+                release(df)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table of materialize() that no later step reads."""
     path = getattr(df, "_kinloom_path", None)

@@ -9,11 +9,11 @@ the smallest documents, so that a source misses its target by about one small do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, materialize, release, text_of, words_of
+from .common import load, materialize, release, scratch, text_of, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
@@ -72,26 +72,38 @@ def balance(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-10, max_
     return lam.select("source", "lam")
 
 
-def mixing_plan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, max_repeat: float = MAX_REPEAT, rank_block: int = 20_000,
-) -> DataFrame:
-    """One row per distinct (doc_id, source, size): copies to take, with source_size, target and the number of equal rows.
+#: Cells (distinct pairs of source and size, about 60 bytes each) up to which the plan is broadcast; beyond it the join shuffles.
+BROADCAST_CELLS = 500_000
+DRAW_BITS = 53
 
-    Null and blank texts have size 0; null sources form one source; rows that repeat an id with the same source and size are
-    one unit and get the same number of copies.  An empty table gives no rows.  The choice of the documents that take an
-    extra copy goes by a hash of the id: reruns agree.  Documents of one (source, size) cell are ranked in hash blocks of
-    about rank_block rows, so no cell is sorted in a single task.
-    """
+
+def _draw(id_col) -> Column:
+    """A number from 0 to 2**53 that depends on the id alone."""
+    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit("mix")), 64 - DRAW_BITS)
+
+
+def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, rows): one unit per distinct id, source and number of words."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_of(text_col))).cast("long").alias("size")
     )
-    units = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "units")
+    return materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "units")
+
+
+def mixing_plan(units: DataFrame, weights: tuple = WEIGHTS, max_repeat: float = MAX_REPEAT, rank_block: int = 20_000) -> DataFrame:
+    """(s, z, source_size, target, whole, bound) per source and size: a document takes whole copies, and one more if its draw is
+    at most bound.
+
+    Null and blank texts have size 0; null sources form one source; rows that repeat an id with the same source and size are
+    one unit and get the same number of copies.  An empty table gives no rows.  Draws are hashes of ids: reruns agree.
+    Documents of one cell are ranked in hash blocks of about rank_block, so no cell is sorted in a single task.
+    """
     cells = materialize(units.groupBy("source", "size").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("units")), "cells")
     targets = materialize(source_targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, max_repeat), "targets")
     lam = balance(cells, targets)
+    tilt = F.exp("lam") * F.when(F.col("target") > 0, 1).otherwise(0)
     rates = targets.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.exp("lam") * F.when(F.col("target") > 0, 1).otherwise(0), F.lit(float(max_repeat)))).otherwise(F.lit(1.0)).alias("rate")
+        F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(tilt, F.lit(float(max_repeat)))).otherwise(F.lit(1.0)).alias("rate")
     )
     by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -106,38 +118,48 @@ def mixing_plan(
     free = F.when(F.col("per") <= 0, 0).when(F.col("miss") < 0, F.col("extra")).when(F.col("whole") >= max_repeat, 0).otherwise(F.col("units") - F.col("extra"))
     cells = cells.withColumn("free", free).withColumn("used", F.sum(F.col("free") * F.col("per")).over(by_size) - F.col("free") * F.col("per"))
     moved = F.when(F.col("free") > 0, F.greatest(F.lit(0), F.least(F.col("free"), F.round((F.abs("miss") - F.col("used")) / F.col("per"))))).otherwise(0)
-    cells = cells.withColumn("extra", (F.col("extra") + F.signum("miss") * moved).cast("long")).select(
-        F.col("source").alias("s"), F.col("size").alias("z"), F.col("units").alias("cell_units"), "source_size", "target", "whole", "extra"
-    )
-    draw = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    placed = units.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z").withColumn("draw", draw)
-    placed = placed.withColumn("block", F.pmod(F.col("draw"), F.ceil(F.col("cell_units") / F.lit(rank_block))))
-    key = ["source", "size", "block"]
-    blocks = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("in_block"))
-    ahead = F.sum("in_block").over(Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_block")
-    blocks = blocks.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("block").alias("k"), ahead.alias("ahead"))
+    cells = cells.withColumn("extra", (F.col("extra") + F.signum("miss") * moved).cast("long"))
+    cells = materialize(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("units").alias("cell_units"), "source_size", "target", "whole", "extra"), "cells")
+    here = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    some = units.join(cells.filter("extra > 0 and extra < cell_units"), here).withColumn("draw", _draw(F.col("doc_id")))
+    some = some.withColumn("block", F.floor(F.col("draw") / F.lit(float(1 << DRAW_BITS)) * F.ceil(F.col("cell_units") / F.lit(rank_block))))
+    key = ["s", "z", "block"]
+    blocks = some.groupBy(*key).agg(F.count(F.lit(1)).alias("in_block"))
+    ahead = F.sum("in_block").over(Window.partitionBy("s", "z").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_block")
+    blocks = blocks.select(F.col("s").alias("bs"), F.col("z").alias("bz"), F.col("block").alias("bb"), ahead.alias("ahead"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("draw", "doc_id"))
-    ranked = placed.withColumn("rank", rank).join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("block") == F.col("k")))
-    copies = F.col("whole") + F.when(F.col("rank") + F.col("ahead") <= F.col("extra"), 1).otherwise(0)
-    return ranked.select("doc_id", "source", "size", "rows", "source_size", "target", copies.cast("long").alias("copies"))
+    same = F.col("s").eqNullSafe(F.col("bs")) & (F.col("z") == F.col("bz")) & (F.col("block") == F.col("bb"))
+    taken = some.withColumn("rank", rank).join(blocks, same).filter(F.col("rank") + F.col("ahead") <= F.col("extra"))
+    last = taken.groupBy(F.col("s").alias("ls"), F.col("z").alias("lz")).agg(F.max("draw").alias("last"))
+    bound = F.when(F.col("extra") >= F.col("cell_units"), F.lit(1 << DRAW_BITS)).otherwise(F.coalesce("last", F.lit(-1)))
+    plan = cells.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("z") == F.col("lz")), "left")
+    return materialize(plan.select("s", "z", "source_size", "target", F.col("whole").cast("long").alias("whole"), bound.cast("long").alias("bound")), "plan")
+
+
+def with_copies(sized: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
+    """sized with the plan's columns and copies.  A plan of few cells goes to every task, so that no text moves."""
+    few = plan.count() <= BROADCAST_CELLS
+    on = F.col(source_col).eqNullSafe(F.col("s")) & (F.col(size_col) == F.col("z"))
+    both = sized.join(F.broadcast(plan) if few else plan, on)
+    return both.withColumn("copies", F.col("whole") + F.when(_draw(F.col(id_col)) <= F.col("bound"), 1).otherwise(0)).drop("s", "z", "whole", "bound")
 
 
-def mix_documents(docs: DataFrame, **kw) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """docs with each row repeated as often as the plan says (not at all where it takes none); the columns stay as they are.
 
     Documents of no words carry no tokens of any source and stay once.
     """
-    kept = docs.columns
-    plan = mixing_plan(docs, **kw).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies"))
-    plan = materialize(plan, "plan")
-    sized = docs.withColumn("_words", F.size(words_of(text_of(kw.get("text_col", "text")))).cast("long"))
-    on = F.col(kw.get("id_col", "doc_id")).eqNullSafe(F.col("_id")) & F.col(kw.get("source_col", "source")).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    out = sized.join(plan.filter("_copies > 0"), on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in kept])
+    inner = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words_of(text_of(text_col))).cast("long").alias("_size"))
+    with scratch() as keep:
+        plan = keep(mixing_plan(document_sizes(docs, id_col, text_col, source_col), **kw))
+    taken = with_copies(inner, plan, "_id", "_source", "_size")
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    return taken.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    plan = mixing_plan(docs)
-    rows = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    units = document_sizes(load(spark, sf_dir, "documents"))
+    with scratch() as keep:
+        plan = keep(mixing_plan(units))
+    rows = with_copies(units, plan).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
