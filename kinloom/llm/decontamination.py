@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialize, text_of, words_of
+from .common import load, materialize, scratch, text_of, words_of
 from .quality_rules import rest
 
 WINDOW = 8
@@ -75,6 +75,13 @@ def find_leaks(
     is the identity.  Null and empty texts leak nothing; items of fewer than eight words, or whose windows are nearly all
     placeholders, cannot be matched; rows that share an id (or have none) count as one document.  Either table may be empty.
     """
+    with scratch() as keep:
+        pairs = _matched_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, min_coverage)
+        checked = slot_check(pairs, docs, benchmark, id_col, text_col, item_col, item_text_col)
+        return keep(materialize(checked.filter(F.col("agree") >= min_agree), "found"))
+
+
+def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_coverage: float) -> DataFrame:
     items = materialize(benchmark_windows(benchmark, item_col, item_text_col), "windows")
     few = items.count() <= BROADCAST_WINDOWS
     d = windows(docs.select(F.col(id_col).alias("doc_id"), canonical_words(text_of(text_col)).alias("c")), "c", "w")
@@ -88,8 +95,7 @@ def find_leaks(
         F.max(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), F.array_sort("ats").alias("ats"))).alias("best"),
     )
     pairs = pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= min_coverage)
-    pairs = materialize(pairs, "pairs")
-    return slot_check(pairs, docs, benchmark, id_col, text_col, item_col, item_text_col).filter(F.col("agree") >= min_agree)
+    return materialize(pairs, "pairs")
 
 
 def slot_check(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, maybe_among, small_batches, without_rows
+from .common import connected_components, load, materialize, maybe_among, release, scratch, small_batches, without_rows
 from .shingles import Forest, SKETCH, mix, set_key, shingle_set, sketch, stream_groups
 
 THRESHOLD = 0.8
@@ -202,19 +202,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one shingle.  Null, empty and blank texts have no shingles: each is a class of its own without links.  Rows that repeat an id
     stay rows of their own; ids may be null.  An empty table gives no rows.
     """
-    found = materialize(document_sets(docs, runs_for(recall), id_col, text_col), "sets")
-    names = [c for c in found.columns if c[:2] in ("up", "at")]
-    rows = found.select("doc_id", "key", "n")
-    copies = rows.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
-    copies = materialize(copies, "copies")
-    sets = found.filter("n > 0").select("key", "n", "sketch", *names).dropDuplicates(["key"])
-    sets = materialize(sets, "distinct-sets")
-    groups = materialize(candidate_groups(sets), "groups")
-    mass = groups.join(copies, "key").groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
-    mass = mass.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / VERIFY_SETS), F.ceil(F.col("tokens") / VERIFY_TOKENS)).cast("int"))
-    wanted = groups.join(copies, "key").join(mass.select("group", "blocks"), "group").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
-    wanted = materialize(wanted.select("key", "group", "block", "blocks", "copies", "first_id"), "wanted")
-    return _finish(rows, copies, _tokens(docs, wanted, id_col, text_col))
+    with scratch() as keep:
+        found = materialize(document_sets(docs, runs_for(recall), id_col, text_col), "sets")
+        names = [c for c in found.columns if c[:2] in ("up", "at")]
+        rows = materialize(found.select("doc_id", "key", "n"), "rows")
+        copies = rows.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+        copies = materialize(copies, "copies")
+        sets = materialize(found.filter("n > 0").select("key", "n", "sketch", *names).dropDuplicates(["key"]), "distinct-sets")
+        release(found)
+        groups = materialize(candidate_groups(sets), "groups")
+        release(sets)
+        mass = groups.join(copies, "key").groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
+        mass = mass.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / VERIFY_SETS), F.ceil(F.col("tokens") / VERIFY_TOKENS)).cast("int"))
+        wanted = groups.join(copies, "key").join(mass.select("group", "blocks"), "group").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
+        wanted = materialize(wanted.select("key", "group", "block", "blocks", "copies", "first_id"), "wanted")
+        return keep(materialize(_finish(rows, copies, _tokens(docs, wanted, id_col, text_col)), "classes-of-documents"))
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -257,7 +259,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents without words all stay.  Among rows that repeat the least id one stays.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **kw).select("doc_id", "class_id", "key"), "found")
+    found = near_duplicates(docs, id_col, text_col, **kw)
     best = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     if found.select("doc_id").distinct().count() == found.count():
         return without_rows(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))), id_col, "doc_id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_filter, connected_components, in_filter, load, materialize, small_batches
+from .common import bit_filter, connected_components, in_filter, load, materialize, scratch, small_batches
 from .shingles import Forest, mix, shingle_hashes, stream_groups, word_hashes
 
 THRESHOLD = 0.8
@@ -153,19 +153,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     bands = bands_for(recall)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(shared_paragraphs(texts, bands), "paragraphs")
-    near = connected_components(materialize(verified_edges(found), "paragraph-edges"))
-    owned = found.select("doc_id", "seg", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
-    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "seg", "at", "words", "cluster"), "owned")
-    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    repeats = owned.join(seen, "cluster").withColumn("extra", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seg") == F.col("first.seg"))))
-    order = Window.partitionBy("doc_id").orderBy("seg", "at")
-    repeats = repeats.withColumn("start", F.when(F.col("seg") - F.lag("seg", 1, -2).over(order) > 1, 1).otherwise(0)).withColumn("run", F.sum("start").over(order))
-    runs = repeats.groupBy("doc_id", "run").agg(
-        F.min("at").alias("start_word"), F.max(F.col("at") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"),
-        F.sum(F.when(F.col("extra"), F.col("words")).otherwise(0)).alias("n_removed"), F.min_by("cluster", "seg").alias("cluster"),
-    )
-    return runs.filter(F.col("n_words") >= min_run).drop("run").withColumn("removed", F.col("n_removed") > 0)
+    with scratch() as keep:
+        found = materialize(shared_paragraphs(texts, bands), "paragraphs")
+        near = connected_components(materialize(verified_edges(found), "paragraph-edges"))
+        owned = found.select("doc_id", "seg", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
+        owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "seg", "at", "words", "cluster"), "owned")
+        seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
+        repeats = owned.join(seen, "cluster").withColumn("extra", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seg") == F.col("first.seg"))))
+        order = Window.partitionBy("doc_id").orderBy("seg", "at")
+        repeats = repeats.withColumn("start", F.when(F.col("seg") - F.lag("seg", 1, -2).over(order) > 1, 1).otherwise(0)).withColumn("run", F.sum("start").over(order))
+        runs = repeats.groupBy("doc_id", "run").agg(
+            F.min("at").alias("start_word"), F.max(F.col("at") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"),
+            F.sum(F.when(F.col("extra"), F.col("words")).otherwise(0)).alias("n_removed"), F.min_by("cluster", "seg").alias("cluster"),
+        )
+        kept = runs.filter(F.col("n_words") >= min_run).drop("run").withColumn("removed", F.col("n_removed") > 0)
+        return keep(materialize(kept, "passages"))
 
 
 def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
