@@ -90,6 +90,16 @@ def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "units")
 
 
+def _settle(cells: DataFrame) -> DataFrame:
+    """cells with total copies moved within low..high, the smallest documents first, by what their source misses its target by."""
+    by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    c = cells.withColumn("miss", F.col("target") - F.sum(F.col("per") * F.col("total")).over(Window.partitionBy("source")))
+    free = F.when(F.col("per") <= 0, 0).when(F.col("miss") < 0, F.col("total") - F.col("low")).otherwise(F.col("high") - F.col("total"))
+    c = c.withColumn("free", free).withColumn("used", F.sum(F.col("free") * F.col("per")).over(by_size) - F.col("free") * F.col("per"))
+    moved = F.when(F.col("free") > 0, F.greatest(F.lit(0), F.least(F.col("free"), F.round((F.abs("miss") - F.col("used")) / F.col("per"))))).otherwise(0)
+    return c.withColumn("total", (F.col("total") + F.signum("miss") * moved).cast("long")).drop("miss", "free", "used")
+
+
 def mixing_plan(units: DataFrame, weights: tuple = WEIGHTS, max_repeat: float = MAX_REPEAT, rank_block: int = 20_000) -> DataFrame:
     """(s, z, source_size, target, whole, bound) per source and size: a document takes whole copies, and one more if its draw is
     at most bound.
@@ -109,17 +119,18 @@ def mixing_plan(units: DataFrame, weights: tuple = WEIGHTS, max_repeat: float =
     cells = cells.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     frac = F.col("rate") - F.floor("rate")
     upto = F.sum("units").over(by_size)
-    cells = cells.withColumns(
-        {"whole": F.floor("rate"), "per": F.col("size") * F.col("n") / F.col("units"), "extra": F.floor(frac * upto + 0.5) - F.floor(frac * (upto - F.col("units")) + 0.5)}
-    )
-    # what whole copies miss by (less than a large document) goes to the smallest documents that can take or give a copy
-    every = Window.partitionBy("source")
-    cells = cells.withColumn("miss", F.col("target") - F.sum(F.col("per") * (F.col("whole") * F.col("units") + F.col("extra"))).over(every))
-    free = F.when(F.col("per") <= 0, 0).when(F.col("miss") < 0, F.col("extra")).when(F.col("whole") >= max_repeat, 0).otherwise(F.col("units") - F.col("extra"))
-    cells = cells.withColumn("free", free).withColumn("used", F.sum(F.col("free") * F.col("per")).over(by_size) - F.col("free") * F.col("per"))
-    moved = F.when(F.col("free") > 0, F.greatest(F.lit(0), F.least(F.col("free"), F.round((F.abs("miss") - F.col("used")) / F.col("per"))))).otherwise(0)
-    cells = cells.withColumn("extra", (F.col("extra") + F.signum("miss") * moved).cast("long"))
-    cells = materialize(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("units").alias("cell_units"), "source_size", "target", "whole", "extra"), "cells")
+    even = F.floor(frac * upto + 0.5) - F.floor(frac * (upto - F.col("units")) + 0.5)
+    whole = F.floor("rate") * F.col("units")
+    cells = cells.withColumns({"per": F.col("size") * F.col("n") / F.col("units"), "low": whole, "high": whole + F.when(F.col("rate") < max_repeat, F.col("units")).otherwise(0), "total": whole + even})
+    # what whole copies miss by (less than a large document) goes to the smallest documents, first to those that can take or give
+    # one copy, then, in sources of a few documents, to any that stay between none and the most copies
+    cells = _settle(cells)
+    cells = _settle(cells.withColumns({"low": F.lit(0), "high": F.floor(F.col("units") * max_repeat)}))
+    taken = cells.select(
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("units").alias("cell_units"), "source_size", "target",
+        F.floor(F.col("total") / F.col("units")).alias("whole"), F.pmod(F.col("total"), F.col("units")).cast("long").alias("extra"),
+    )
+    cells = materialize(taken, "cells")
     here = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     some = units.join(cells.filter("extra > 0 and extra < cell_units"), here).withColumn("draw", _draw(F.col("doc_id")))
     some = some.withColumn("block", F.floor(F.col("draw") / F.lit(float(1 << DRAW_BITS)) * F.ceil(F.col("cell_units") / F.lit(rank_block))))
