@@ -70,9 +70,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, coverage, agree, verbatim) for each document that leaks an item.
 
-    coverage: share of the item's windows found in the document.  agree: share of the matched placeholder positions whose
-    value follows the main mapping of its item value, along the best alignment; 1 without placeholders.  verbatim: the mapping
-    is the identity.  Null and empty texts leak nothing; items of fewer than eight words, or whose windows are nearly all
+    coverage: share of the item's windows found in the document.  agree: of the matched placeholder positions whose item value
+    stands more than once, the share that follows the main mapping of that value, along the best alignment; 1 without any.
+    verbatim: the mapping is the identity.  Null and empty texts leak nothing; items of fewer than eight words, or whose windows are nearly all
     placeholders, cannot be matched; rows that share an id (or have none) count as one document.  Either table may be empty.
     """
     with scratch() as keep:
@@ -108,11 +108,12 @@ def slot_check(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col:
     covered = F.array_distinct(F.flatten(F.transform(F.col("best")["ats"], lambda a: F.sequence(a, a + (WINDOW - 1)))))
     p = p.withColumn("_at", covered)
     value = F.transform("_at", lambda a: F.struct(F.get(F.col("ic"), a).contains("{").alias("slot"), F.get(F.col("iw"), a).alias("i"), F.get(F.col("dw"), a - F.col("best")["back"].cast("int")).alias("d")))
-    p = p.withColumn("_v", F.filter(value, lambda v: v["slot"] & v["d"].isNotNull()))
+    p = p.withColumn("_all", F.filter(value, lambda v: v["slot"] & v["d"].isNotNull()))
+    p = p.withColumn("_v", F.filter("_all", lambda x: F.size(F.filter(F.col("_all"), lambda y: y["i"] == x["i"])) > 1))
     v = F.col("_v")
     main = F.transform(F.array_distinct(F.transform("_v", lambda x: x["i"])), lambda i: F.array_max(F.transform(F.filter(v, lambda x: x["i"] == i), lambda x: F.size(F.filter(v, lambda y: y == x)))))
     agree = F.when(F.size("_v") > 0, F.aggregate(main, F.lit(0), lambda a, n: a + n) / F.size("_v")).otherwise(F.lit(1.0))
-    return p.withColumns({"agree": agree, "verbatim": F.forall("_v", lambda x: x["i"] == x["d"])}).select(
+    return p.withColumns({"agree": agree, "verbatim": F.forall("_all", lambda x: x["i"] == x["d"])}).select(
         "doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), "coverage", "agree", "verbatim"
     )
 

@@ -37,7 +37,7 @@ def decode_entities(text: Column) -> Column:
     numbered = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
     code = lambda n: F.when(F.lower(n).startswith("x"), F.conv(F.substring(n, 2, 10), 16, 10)).otherwise(n).cast("int")
     one = lambda c: F.when(((c > 0) & (c < 55296)) | ((c > 57343) & (c < 1114112)), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise("�")
-    joined = F.array_join(F.zip_with(F.split(text, numbered, -1), F.regexp_extract_all(text, F.lit(numbered), F.lit(1)), lambda gap, n: F.concat(gap, F.coalesce(one(code(n)), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split(text, numbered, -1), F.regexp_extract_all(text, F.lit(numbered), F.lit(1)), lambda gap, n: F.concat(gap, F.when(n.isNotNull(), one(code(n))).otherwise(""))), "")
     out = F.when(text.contains("&#"), joined).otherwise(text)
     for name, char in NAMED:
         out = F.replace(out, F.lit(name), F.lit(char))
