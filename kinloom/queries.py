@@ -61,7 +61,6 @@ def dec(y: str) -> str:
     return f"cast(floor({y} / 10.0) * 10 as int)"
 
 
-N = F.count(F.lit(1)).cast("long").alias("n")
 PERSON = ("id", "given", "surname")
 
 # ---- analytics -----------------------------------------------------------------------------------------------------------
