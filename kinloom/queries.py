@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import actions, analytics, graph, quality, rules, search
+from .operators import actions, analytics, graph, quality, records, rules, search
 from .plans.tables import Tables, with_tables
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -483,6 +483,43 @@ def _(t):
     return rules.apply_rules(t, t.spark.sql(RULES)).tables.persons.select("id", "birth_place", "death_place")
 
 
+@query("delete_persons_effect", "select id, person_id from t_events where person_id is null or person_id not in (3, 4)", ("events",))
+def _(t):
+    return records.delete_persons(t, [3, 4]).events.select("id", "person_id")
+
+
+@query("unlink_media_effect", "select a.id, case when exists (select 1 from t_media_links l where l.asset_id = a.id and l.id not in (1, 2, 3)) then 'assigned' else 'unassigned' end as status from t_media_assets a", ("media_assets", "media_links"))
+def _(t):
+    return records.unlink_media(t, [1, 2, 3]).media_assets.select("id", "status")
+
+
+@query("link_media_effect", "select asset_id, person_id from t_media_links union all select 3, 1400 union all select 5, 1401", ("media_links",))
+def _(t):
+    new = t.spark.sql("select * from values (3, 1400, cast(null as int)), (5, 1401, null), (5, 1401, null), (7, null, null) as x(asset_id, person_id, family_id)")
+    return records.link_media(t, new.unionByName(t.media_links.select("asset_id", "person_id", "family_id"))).media_links.select("asset_id", "person_id")
+
+
+@query("graph_find", "select id, given, surname from t_persons where contains(lower(concat_ws(' ', given, surname)), 'widget') or cast(id as varchar) = 'widget'", ("persons",))
+def _(t):
+    return records.graph_find(t, "Widget").select(*PERSON)
+
+
+@query("issue_page")
+def _(t):
+    found = quality.number_issues(quality.run_detection(t, ["orphan_event", "placeholder_name", "impossible_timeline"]))
+    return records.list_issues(found, "placeholder_name", page=1).select("issue_type", "id", "confidence")
+
+
+@query("applicable_dates", "select entity_id, field, \"normalized\" from (select entity_type, entity_id, field, " + ", ".join(f'{v} as "{k}"' for k, v in date_sql("raw_value").items()) + f" from {_DATES}) x where normalized is not null and qualifier is null and not is_ambiguous", ("persons", "events"))
+def _(t):
+    return actions.applicable_dates(quality.date_normalizations(t)).select("entity_id", "field", "normalized")
+
+
+@query("confidence_buckets", f"select case when c >= 0.9 then 'High' when c >= 0.75 then 'Medium' else 'Low' end as bucket, count(*) as n from (select {date_sql('raw_value')['confidence']} as c from {_DATES}) x group by 1", ("persons", "events"))
+def _(t):
+    return quality.date_normalizations(t).groupBy(search.confidence_bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- scalar functions ----------------------------------------------------------------------------------------------------
 
 @query("scalar_normalizers", f"""

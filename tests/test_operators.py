@@ -5,8 +5,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import actions, graph, quality, rules, search
-from kinloom.plans.tables import Tables
+from kinloom.operators import actions, graph, quality, records, rules, search
+from kinloom.plans.tables import DERIVED, Tables
 from kinloom.sources import files, genealogy_db
 from kinloom.sources.gedcom import import_families, parse, read_gedcom, split_lines, upsert
 from kinloom.streaming.watch import register_stream, watch_media
@@ -236,3 +236,36 @@ def test_media_files(spark, tmp_path):
     q = register_stream(watch_media(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select(F.countDistinct("sha256")).first()[0] == 2
+
+
+def frozen(t):
+    """The tables with their rows computed once."""
+    return Tables(t.spark, **{n: t.spark.createDataFrame(getattr(t, n).collect(), getattr(t, n).schema) for n in DERIVED})
+
+
+def test_records(spark, tmp_path):
+    t = tables(spark, [(4, "Ann", "Lee", None, None, None)], assets=[(1, "c.jpg", 5)])
+    new = spark.createDataFrame([(" ", " ", "x"), ("Bob", "", "y"), ("Bob", "", "y")], "given string, surname string, sex string")
+    added = records.add_persons(t, new).persons
+    assert sorted(r["id"] for r in added.collect()) == [4, 5, 6] and added.filter("given = 'Bob'").first()["surname"] is None
+    up = records.update_persons(t, spark.createDataFrame([(4, "Anna", "")], "id int, given string, surname string")).persons.first()
+    assert (up["given"], up["surname"]) == ("Anna", "Lee")
+    make_db(tmp_path / "x.rmtree")
+    cells = genealogy_db.read_cells(spark, str(tmp_path / "x.rmtree")).cache()
+    for _ in range(2):  # a second import changes nothing
+        t = frozen(t)
+        t = records.import_database(t, genealogy_db.persons(cells), genealogy_db.relationships(cells), *genealogy_db.media(cells))
+    t = frozen(t)
+    assert (t.persons.count(), t.relationships.count(), t.media_assets.count(), t.media_links.count()) == (4, 2, 2, 2)
+    assert {r["status"] for r in t.media_assets.collect()} == {"assigned"}
+    assert records.unlink_media(t, [r["id"] for r in t.media_links.collect()]).media_assets.filter("status = 'assigned'").count() == 0
+    assert records.delete_persons(t, [4]).persons.count() == 3 and records.graph_find(t, "4").count() == 1
+    log = records.log_action(spark.createDataFrame([], records.LOG), actions.merge_people(t, 5, 4), "me")
+    assert json.loads(records.list_actions(log).first()["payload_json"]) == {"from": 5, "into": 4}
+    persons = spark.createDataFrame([(1, "@I1@", "Ann", "Lee"), (2, "rmtree:8", "Bob", "Lee"), (3, None, "Cid", "Lee")], "id int, xref string, given string, surname string")
+    a = spark.createDataFrame([(1, "@I1@", None), (2, "8", None), (3, "x", "cid  LEE"), (4, "y", "nobody")], "media_id int, owner_id string, owner_name string")
+    loc = spark.createDataFrame([(1, "p/a.jpg", "s1"), (2, "q/b.jpg", None), (3, "z/b.jpg", None)], "media_id int, path string, sha256 string")
+    assets = spark.createDataFrame([(7, "s1", "x.jpg", None), (8, "s2", "q/B.jpg", None)], "id int, sha256 string, path string, source_path string")
+    got = {r["media_id"]: (r["person_id"], r["asset_id"], r["apply"]) for r in records.legacy_links(a, loc, persons, assets).collect()}
+    assert got == {1: (1, 7, True), 2: (2, 8, True), 3: (3, 8, False), 4: (None, None, False)}
+    files.link_report(records.legacy_links(a, loc, persons, assets), str(tmp_path / "report"))
