@@ -158,7 +158,7 @@ def number_table(values: list[float], digits: int = 5) -> Column:
     return F.split(F.lit(",".join(f"{v:.{digits}g}" for v in values)), ",").cast("array<double>")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 200) -> None:
     """Arrow batches of whole texts stay small: at most so many rows go to a Python worker at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
