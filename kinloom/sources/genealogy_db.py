@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 import sqlite3
-import tempfile
 import zipfile
 
 import pandas as pd
@@ -39,25 +37,27 @@ def plain_name(name: str) -> str:
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """(file, table_name, row, column_name, value) of every cell of every table of the files, values as text.
 
-    Files are spread over the tasks; a task copies one file to its own scratch folder, reads it table by table in batches
-    and removes it.  Tables that cannot be read are passed over.
+    Files are spread over the tasks; a task opens one file in memory and reads it table by table in batches.  Tables that
+    cannot be read are passed over.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def cells(batches):
         for p in batches:
             for name, content in zip(p["path"], p["content"], strict=True):
-                with tempfile.TemporaryDirectory() as scratch:
-                    local = os.path.join(scratch, "db")
-                    with open(local, "wb") as f:
-                        f.write(database_bytes(content))
-                    yield from _tables(name, local)
+                yield from _tables(name, database_bytes(content))
 
     return files.mapInPandas(cells, "file string, table_name string, row long, column_name string, value string")
 
 
-def _tables(file: str, local: str):
-    con = sqlite3.connect(local)
+def _open(database: bytes) -> sqlite3.Connection:
+    con = sqlite3.connect(":memory:")
+    con.deserialize(database)
+    return con
+
+
+def _tables(file: str, database: bytes):
+    con = _open(database)
     try:
         names = [r[0] for r in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
         for table in names:
@@ -82,13 +82,9 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     def objects(batches):
         for p in batches:
             for name, content in zip(p["path"], p["content"], strict=True):
-                with tempfile.TemporaryDirectory() as scratch:
-                    local = os.path.join(scratch, "db")
-                    with open(local, "wb") as f:
-                        f.write(database_bytes(content))
-                    con = sqlite3.connect(local)
-                    rows = con.execute("select type, name, tbl_name, coalesce(sql, '') from sqlite_master order by type, name").fetchall()
-                    con.close()
+                con = _open(database_bytes(content))
+                rows = con.execute("select type, name, tbl_name, coalesce(sql, '') from sqlite_master order by type, name").fetchall()
+                con.close()
                 yield pd.DataFrame({"file": [name], "text": ["|".join(":".join(r) for r in rows)]})
 
     return files.mapInPandas(objects, "file string, text string").select("file", F.sha2("text", 256).alias("fingerprint"))
