@@ -17,8 +17,9 @@ from .common import load, small_batches, text_of
 
 PASSAGE_WORDS = 64
 TRIGRAMS = 256
-SHAPES = 8
-WIDTH = TRIGRAMS + SHAPES
+SHAPES = 7
+#: Trigrams, shares of character classes, and: distinct words to words, words to a full passage, bytes to a word.
+WIDTH = TRIGRAMS + SHAPES + 3
 HIDDEN, GATE = 32, 16
 #: Bounds of the training sample: documents, and passages of them (whole documents in the order of a hash of their id).
 SAMPLE_DOCS = 2_500
@@ -35,6 +36,8 @@ _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[[ord(c) for c in ".,;:'\"-()?"]] = 3
 _CLASS[128:] = 4
 _CLASS[[9, 10, 11, 12, 13, 32]] = 5
+_CODE = np.arange(1, 257, dtype=np.uint64) ** np.uint64(7) * np.uint64(0x9E3779B97F4A7C15)
+_CODE[[9, 10, 11, 12, 13, 32]] = 0
 
 
 def encode(text: str | None):
@@ -50,11 +53,11 @@ def encode(text: str | None):
     first = 0
     while first < len(cuts) - 1:
         last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + BLOCK, "right")) - 1)
-        yield _block(raw[cuts[first] : cuts[last]], np.diff(cuts[first : last + 1]))
+        yield _block(raw[cuts[first] : cuts[last]], np.diff(cuts[first : last + 1]), space[cuts[first] : cuts[last]])
         first = last
 
 
-def _block(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _block(raw: np.ndarray, lengths: np.ndarray, space: np.ndarray) -> np.ndarray:
     n = len(lengths)
     passage = np.repeat(np.arange(n, dtype=np.int64), lengths)
     out = np.zeros((n, WIDTH), np.float32)
@@ -67,7 +70,19 @@ def _block(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out[:, :TRIGRAMS] = np.sqrt(np.bincount(code, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS))
         out[:, :TRIGRAMS] /= np.maximum(1e-6, np.linalg.norm(out[:, :TRIGRAMS], axis=1, keepdims=True))
     kinds = np.bincount(passage * SHAPES + _CLASS[raw], minlength=n * SHAPES).reshape(n, SHAPES)
-    out[:, TRIGRAMS:] = kinds / np.maximum(1, lengths)[:, None]
+    out[:, TRIGRAMS : TRIGRAMS + SHAPES] = kinds / np.maximum(1, lengths)[:, None]
+    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    within = np.arange(len(raw) - begins[0]) - np.repeat(begins - begins[0], np.diff(np.append(begins, len(raw))))
+    terms = _CODE[raw[begins[0] :]] * (2 * within + 1).astype(np.uint64)  # white space has code 0, so it adds nothing
+    names = np.add.reduceat(terms, begins - begins[0])
+    owner = passage[begins]
+    order = np.lexsort((names, owner))
+    names, owner = names[order], owner[order]
+    fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
+    total = np.bincount(owner, minlength=n)
+    out[:, -3] = np.bincount(owner[fresh], minlength=n) / np.maximum(1, total)
+    out[:, -2] = total / PASSAGE_WORDS
+    out[:, -1] = np.minimum(1, lengths / np.maximum(1, total) / 16)
     return out
 
 
