@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..plans.tables import Tables
@@ -65,9 +66,15 @@ def decade_pivot(t: Tables) -> DataFrame:
 def exact_duplicates(t: Tables, limit: int = 50, ids_shown: int = 25) -> DataFrame:
     """Groups of persons of equal given name, surname and birth year, the largest first; at most ids_shown ids are listed."""
     p = t.persons.select("id", X.norm_text(F.col("given")).alias("given"), X.norm_text(F.col("surname")).alias("surname"), X.least_year(F.col("birth_date")).alias("birth_year"))
-    g = p.filter("given <> '' and surname <> '' and birth_year > 0").groupBy("given", "surname", "birth_year")
-    found = g.agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("id")), 1, ids_shown).alias("ids")).filter("n > 1")
-    return found.orderBy(F.desc("n"), "surname", "given", "birth_year").limit(max(0, min(limit, 200)))
+    p = p.filter("given <> '' and surname <> '' and birth_year > 0")
+    key = ["given", "surname", "birth_year"]
+    order = [F.desc("n"), "surname", "given", "birth_year"]
+    top = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(*order).limit(max(0, min(limit, 200)))
+    # ids are gathered for the listed groups only, and ranked before they meet, so a group of any size gives ids_shown rows
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    shown = p.join(F.broadcast(top.select(*key)), key).withColumn("rank", rank).filter(F.col("rank") <= ids_shown)  # 200 groups at most
+    ids = shown.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return top.join(ids, key).select(*key, "n", "ids").orderBy(*order)
 
 
 def migration_pairs(t: Tables, limit: int | None = 20) -> DataFrame:

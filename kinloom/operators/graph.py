@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,8 @@ def neighbourhood(t: Tables, roots: DataFrame, depth: int = 2) -> DataFrame:
     One join per step; only the frontier of the last step is expanded, and least distances are kept.
     """
     r = t.relationships
-    edges = r.select(F.col("parent_person_id").alias("a"), F.col("child_person_id").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b")
     seen = frontier = roots.select("id").distinct().withColumn("distance", F.lit(0))
     for step in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
         reached = edges.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
@@ -32,8 +30,8 @@ def neighbourhood(t: Tables, roots: DataFrame, depth: int = 2) -> DataFrame:
 def families_touching(t: Tables, persons: DataFrame) -> DataFrame:
     """Families with a spouse among the persons."""
     ids = persons.select(F.col("id").alias("p"))
-    f = t.families
-    return f.join(ids, f["husband_person_id"] == ids["p"], "left_semi").unionByName(f.join(ids, f["wife_person_id"] == ids["p"], "left_semi")).dropDuplicates(["id"])
+    spouses = t.families.select("id", F.explode(F.array("husband_person_id", "wife_person_id")).alias("p")).join(ids, "p", "left_semi")
+    return t.families.join(spouses.select("id"), "id", "left_semi")
 
 
 def graph_nodes(t: Tables, persons: DataFrame) -> DataFrame:
@@ -47,15 +45,13 @@ def graph_nodes(t: Tables, persons: DataFrame) -> DataFrame:
 
 def graph_edges(t: Tables, persons: DataFrame) -> DataFrame:
     """(edge, source, target, kind): spouses to families and families to children, between persons of the set only."""
-    fams = families_touching(t, persons)
     inside = persons.select(F.col("id").alias("pid"))
-    parts = []
-    for role, short in (("husband", "h"), ("wife", "w")):
-        s = fams.select("id", F.col(f"{role}_person_id").alias("pid")).join(inside, "pid", "left_semi")
-        parts.append(s.select(F.concat(F.lit(f"spouse_{short}_"), "id").alias("edge"), F.concat(F.lit("person_"), "pid").alias("source"), F.concat(F.lit("family_"), "id").alias("target"), F.lit("spouse").alias("kind")))
-    c = t.family_children.join(fams.select(F.col("id").alias("family_id")), "family_id", "left_semi").withColumnRenamed("child_person_id", "pid").join(inside, "pid", "left_semi")
-    parts.append(c.select(F.concat_ws("_", F.lit("child"), "family_id", "pid").alias("edge"), F.concat(F.lit("family_"), "family_id").alias("source"), F.concat(F.lit("person_"), "pid").alias("target"), F.lit("child").alias("kind")))
-    return reduce(DataFrame.unionByName, parts)
+    role = lambda name, short: F.struct(F.lit(short).alias("role"), F.col(f"{name}_person_id").alias("pid"))
+    spouses = t.families.select("id", F.explode(F.array(role("husband", "h"), role("wife", "w"))).alias("r")).select("id", "r.role", "r.pid").join(inside, "pid", "left_semi")
+    kids = t.family_children.join(spouses.select(F.col("id").alias("family_id")), "family_id", "left_semi").withColumnRenamed("child_person_id", "pid").join(inside, "pid", "left_semi")
+    one = spouses.select(F.concat(F.lit("spouse_"), "role", F.lit("_"), "id").alias("edge"), F.concat(F.lit("person_"), "pid").alias("source"), F.concat(F.lit("family_"), "id").alias("target"), F.lit("spouse").alias("kind"))
+    two = kids.select(F.concat_ws("_", F.lit("child"), "family_id", "pid").alias("edge"), F.concat(F.lit("family_"), "family_id").alias("source"), F.concat(F.lit("person_"), "pid").alias("target"), F.lit("child").alias("kind"))
+    return one.unionByName(two)
 
 
 def one_hop(t: Tables, person_id: int) -> DataFrame:
