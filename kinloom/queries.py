@@ -345,6 +345,28 @@ def _(t):
     return quality.person_candidates(t).select("id_a", "id_b")
 
 
+def may_reach(a: str, b: str, least: float) -> str:
+    times = lambda x, ch: f"(length({x}) - length(replace({x}, '{ch}', '')))"
+    shared = " + ".join(f"least({times(a, ch)}, {times(b, ch)})" for ch in "abcdefghijklmnopqrstuvwxyz0123456789 ,")
+    both = f"(length({a}) + length({b}))"
+    return f"2 * least(length({a}), length({b})) >= {least} * {both} and 2 * ({shared}) >= {least} * {both}"
+
+
+@query("place_candidates", f"""
+select a.value as value_a, b.value as value_b from {_COUNTS} a join {_COUNTS} b on a.norm <> b.norm and a.norm <> '' and b.norm <> ''
+and (lower(a.value) < lower(b.value) or (lower(a.value) = lower(b.value) and a.first < b.first)) where {may_reach('a.norm', 'b.norm', 0.8)}""", ("persons", "events"))
+def _(t):
+    return quality.place_candidates(t).select("value_a", "value_b")
+
+
+_FILES = r"(select id, trim(regexp_replace(lower(regexp_replace(original_filename, '\.[^./]*$', '')), '[^a-z0-9]+', ' ', 'g')) as norm from t_media_assets)"
+
+
+@query("asset_candidates", f"select a.id as id_a, b.id as id_b from {_FILES} a join {_FILES} b on substr(a.norm, 1, 4) = substr(b.norm, 1, 4) and a.id < b.id where {may_reach('a.norm', 'b.norm', 0.92)}", ("media_assets",))
+def _(t):
+    return quality.asset_candidates(t).select("id_a", "id_b")
+
+
 @query("duplicate_people")
 def _(t):
     return flat(quality.duplicate_people(t))
@@ -399,7 +421,11 @@ def _(t):
     return graph.graph_edges(t, _around(t))
 
 
-@query("graph_nodes")
+@query("graph_nodes", _BFS + """, f as (select * from t_families where husband_person_id in (select id from s) or wife_person_id in (select id from s))
+select 'person_' || cast(id as varchar) as node, 'person' as kind, case when trim(concat_ws(' ', trim(given), trim(surname))) = '' then '(unnamed)' else trim(concat_ws(' ', trim(given), trim(surname))) end as label,
+  case when (trim(coalesce(given, '')) <> '' or trim(coalesce(surname, '')) <> '') and (trim(coalesce(birth_date, '')) <> '' or trim(coalesce(birth_place, '')) <> '') then 'high'
+  when trim(coalesce(given, '')) <> '' or trim(coalesce(surname, '')) <> '' then 'medium' else 'low' end as quality from t_persons where id in (select id from s)
+union all select 'family_' || cast(id as varchar), 'family', coalesce(marriage_date, ''), null from f""", _GRAPH)
 def _(t):
     return graph.graph_nodes(t, _around(t))
 
@@ -461,7 +487,12 @@ def _(t):
     return actions.normalize_places(t, "Nation Zero", ["NATION_0, AFRICA", "nation_0; AFRICA"]).tables.persons.select("id", "birth_place", "death_place")
 
 
-@query("normalize_dates_effect")
+def _applied(c: str) -> str:
+    d = date_sql(c)
+    return f"case when {c} is not null and trim({c}) <> '' and ({d['normalized']}) is not null and ({d['qualifier']}) is null and not ({d['is_ambiguous']}) then {d['normalized']} else {c} end as {c}"
+
+
+@query("normalize_dates_effect", f"select id, {_applied('birth_date')}, {_applied('death_date')} from t_persons", ("persons",))
 def _(t):
     return actions.normalize_dates(t, quality.date_normalizations(t)).tables.persons.select("id", "birth_date", "death_date")
 
@@ -471,7 +502,13 @@ def _(t):
     return actions.standardize_fields(t, quality.name_suggestions(t)).tables.persons.select("id", "given", "surname")
 
 
-@query("clean_person_preview")
+_CLEAN = " union all ".join(
+    [f"select id, '{c}' as field, {c} as raw, {date_sql(c)['normalized']} as cleaned, {date_sql(c)['confidence']} as confidence from t_persons" for c in ("birth_date", "death_date")]
+    + [f"select id, '{c}', {c}, nullif({place(c)}, ''), cast(0.65 as double) from t_persons" for c in ("birth_place", "death_place")]
+)
+
+
+@query("clean_person_preview", f"select * from ({_CLEAN}) x where raw <> '' and cleaned is not null and cleaned <> raw", ("persons",))
 def _(t):
     return actions.clean_person(t)
 
