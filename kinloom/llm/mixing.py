@@ -73,7 +73,7 @@ def balance(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-10, max_
 
 
 #: Cells (distinct pairs of source and size, about 60 bytes each) up to which the plan is broadcast; beyond it the join shuffles.
-BROADCAST_CELLS = 500_000
+BROADCAST_CELLS = 200_000
 DRAW_BITS = 53
 
 
