@@ -12,11 +12,13 @@ ship only paragraphs that can have a partner.  False positives of the filter cos
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import bit_filter, connected_components, in_filter, load, materialize, scratch, small_batches
@@ -143,6 +145,22 @@ def verified_edges(found: DataFrame, block: int = 256) -> DataFrame:
     return some.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(check, "a long, b long").distinct()
 
 
+def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: float) -> DataFrame:
+    """(doc_id, seg, at, words, cluster, extra, run): paragraphs that other documents hold too.  extra marks all but the first
+    occurrence of a cluster; run numbers the stretches of neighbouring paragraphs of a document."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = materialize(shared_paragraphs(texts, bands_for(recall)), "paragraphs")
+    near = connected_components(materialize(verified_edges(found), "paragraph-edges"))
+    owned = found.select("doc_id", "seg", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
+    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "seg", "at", "words", "cluster"), "owned")
+    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
+    repeats = owned.join(seen, "cluster").withColumn("extra", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seg") == F.col("first.seg"))))
+    order = Window.partitionBy("doc_id").orderBy("seg", "at")
+    repeats = repeats.withColumn("start", F.when(F.col("seg") - F.lag("seg", 1, -2).over(order) > 1, 1).otherwise(0)).withColumn("run", F.sum("start").over(order))
+    return repeats.select("doc_id", "seg", "at", "words", "cluster", "extra", "run")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN) -> DataFrame:
     """One row per passage of a document that repeats elsewhere: doc_id, start_word, end_word (exclusive), n_words, n_removed
     (words that are no first occurrence), cluster (component of its first paragraph) and removed.
@@ -150,19 +168,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that share an id count as one document.  Null, empty and blank texts have no passages, nor have documents whose
     words repeat in no other document.  Tables may be empty.
     """
-    small_batches(docs.sparkSession)
-    bands = bands_for(recall)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with scratch() as keep:
-        found = materialize(shared_paragraphs(texts, bands), "paragraphs")
-        near = connected_components(materialize(verified_edges(found), "paragraph-edges"))
-        owned = found.select("doc_id", "seg", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
-        owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "seg", "at", "words", "cluster"), "owned")
-        seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-        repeats = owned.join(seen, "cluster").withColumn("extra", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seg") == F.col("first.seg"))))
-        order = Window.partitionBy("doc_id").orderBy("seg", "at")
-        repeats = repeats.withColumn("start", F.when(F.col("seg") - F.lag("seg", 1, -2).over(order) > 1, 1).otherwise(0)).withColumn("run", F.sum("start").over(order))
-        runs = repeats.groupBy("doc_id", "run").agg(
+        runs = repeated_paragraphs(docs, id_col, text_col, recall).groupBy("doc_id", "run").agg(
             F.min("at").alias("start_word"), F.max(F.col("at") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"),
             F.sum(F.when(F.col("extra"), F.col("words")).otherwise(0)).alias("n_removed"), F.min_by("cluster", "seg").alias("cluster"),
         )
@@ -170,5 +177,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return keep(materialize(kept, "passages"))
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN) -> DataFrame:
+    """docs with all but the first occurrence of repeated passages cut from the text; other texts stay as they are."""
+    kept = docs.columns
+    with scratch() as keep:
+        all_ = materialize(repeated_paragraphs(docs, id_col, text_col, recall), "repeats")
+        long = all_.groupBy("doc_id", "run").agg(F.sum("words").alias("n")).filter(F.col("n") >= min_run).select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"))
+        gone = all_.filter("extra").join(long, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r")))
+        spans = keep(materialize(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("words")).alias("end")))).alias("_spans")), "spans"))
+
+    @F.pandas_udf(StringType())
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else without_words(t, a, e) for t, a, e in zip(texts, starts, ends, strict=True)], dtype="object")
+
+    d = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return d.withColumn(text_col, cut(F.col(text_col), F.col("_spans")["at"], F.col("_spans")["end"])).select(*[f"`{c}`" for c in kept])
+
+
+def without_words(text: str, starts, ends) -> str:
+    """The text without the words starts[i]..ends[i] and the white space behind them."""
+    edges = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    out, at = [], 0
+    for a, e in zip(starts, ends, strict=True):
+        out.append(text[at : edges[a]])
+        at = edges[e]
+    return "".join(out) + text[at:]
+
+
 def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(load(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -189,6 +189,23 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text", out: s
     return docs.withColumn(out, score(F.col(text_col)))
 
 
+def passage_weights(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, passage, weight, score): how much attention each passage of 64 words gets, and how it scores by itself."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def explain(batches):
+        for p in batches:
+            for i, t in zip(p["doc_id"], p["text"], strict=True):
+                parts = [_attend(model, x) for x in encode(t)]
+                weight = np.concatenate([e for *_, e in parts]).astype(float)
+                alone = np.concatenate([_sigmoid(h @ model["w"] + model["b"]) for h, *_ in parts]).astype(float)
+                yield pd.DataFrame({"doc_id": [i] * len(weight), "passage": np.arange(len(weight)), "weight": weight / weight.sum(), "score": alone})
+
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return some.mapInPandas(explain, f"doc_id {kind}, passage long, weight double, score double")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", **kw) -> DataFrame:
     """The documents whose score reaches the threshold; the columns stay as they are."""
     model = fit(docs, labels, text_col=text_col, **kw)

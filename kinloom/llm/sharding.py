@@ -104,6 +104,11 @@ def shard_documents(
     )
 
 
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, **kw) -> None:
+    """Parquet under path/shard=<k>, each shard as the files of its cells."""
+    shard_documents(docs, n_shards, **kw).write.partitionBy("shard").parquet(path)
+
+
 def op6_histogram_shards(spark, sf_dir: str) -> DataFrame:
     rows = shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(

@@ -199,6 +199,10 @@ def test_passages_inside_lines(spark, odd, none):
     got = passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {x["doc_id"] for x in got} == {i for i in range(40) if i % 2}
     assert sorted(x["doc_id"] for x in got if not x["removed"]) == [1]
+    cut = {x["doc_id"]: x["text"] for x in passage_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    whole = dict(docs)
+    assert all(cut[i] == whole[i] for i in range(40) if i % 2 == 0 or i == 1)
+    assert all(len(brute.words(cut[i])) <= 136 - 24 and brute.words(cut[i])[:40] == brute.words(whole[i])[:40] for i in range(3, 40, 2))
     at = [(x["start_word"] >= 40 and x["end_word"] <= 96) for x in got]
     assert all(at)
     assert {x["doc_id"] for x in passage_dedup.repeated_passages(odd).collect()} == {5, 6} and passage_dedup.repeated_passages(none).count() == 0
@@ -228,9 +232,11 @@ def test_shards(spark, sf_dir, corpus, odd, none):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
-def test_shards_of_one_hot_text(spark):
+def test_shards_of_one_hot_text(spark, tmp_path):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     check_shards([r.asDict() for r in sharding.shard_documents(d, 16).collect()], 16, 60)
+    sharding.write_shards(d, str(tmp_path / "s"), 4)
+    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
 
 
 # ---- 7 WARC ----------------------------------------------------------------------------------------------------------------
@@ -294,6 +300,8 @@ def test_classifier(spark, sf_dir, odd, none):
         scored = quality_classifier.score_documents(odd, model, out="s").collect()
         assert len(scored) == len(ODD) and all(0 <= r["s"] <= 1 for r in scored)
     assert quality_classifier.keep_good(none, good).count() == 0
+    parts = quality_classifier.passage_weights(odd, model).groupBy("doc_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
+    assert all(r["w"] == pytest.approx(2 if r["doc_id"] == 1 else 1) for r in parts) and {r["doc_id"]: r["n"] for r in parts}[5] == 47
 
 
 # ---- 10 leaks --------------------------------------------------------------------------------------------------------------
