@@ -117,11 +117,13 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
 
 def verified_edges(found: DataFrame, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
-    one = found.select("key", "shingles", F.explode("bands").alias("band")).groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
-    one = materialize(one, "banded")
-    sizes = one.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    some = one.join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    some = some.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key", "shingles")
+    banded = materialize(found.select("key", F.explode("bands").alias("band")).distinct(), "banded")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    met = materialize(banded.join(sizes, "band").select("band", "key", "blocks"), "met")
+    # shingles travel once per distinct paragraph that meets another one
+    sets = found.select("key", "shingles").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    some = met.withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    some = some.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key").join(sets, "key")
 
     def check(batches):
         out: list[tuple[int, int]] = []
