@@ -269,3 +269,18 @@ def test_records(spark, tmp_path):
     got = {r["media_id"]: (r["person_id"], r["asset_id"], r["apply"]) for r in records.legacy_links(a, loc, persons, assets).collect()}
     assert got == {1: (1, 7, True), 2: (2, 8, True), 3: (3, 8, False), 4: (None, None, False)}
     files.link_report(records.legacy_links(a, loc, persons, assets), str(tmp_path / "report"))
+
+
+def test_places_and_event_times(spark):
+    places = spark.createDataFrame([(1, "A", None, None, None, 2.0), (2, "B", "x", "1", 1.0, 1.0)], "id int, name_canonical string, authority_source string, authority_id string, latitude double, longitude double")
+    found = spark.createDataFrame([(1, "gaz", "7", 5.0, 6.0), (2, "gaz", "8", 5.0, 6.0)], "id int, authority_source string, authority_id string, latitude double, longitude double")
+    kept = {r["id"]: tuple(r)[2:] for r in actions.enrich_place(places, found).collect()}
+    assert kept == {1: ("gaz", "7", 5.0, 2.0), 2: ("x", "1", 1.0, 1.0)}
+    assert {tuple(r)[2:] for r in actions.enrich_place(places, found, force=True).collect()} == {("gaz", "7", 5.0, 6.0), ("gaz", "8", 5.0, 6.0)}
+    events = spark.createDataFrame([(1, "13/4/1881"), (2, "MAR 1881"), (3, "unknown"), (4, "BET 1900 AND 1910")], "id int, date_raw string")
+    got = {r["id"]: r["date_canonical"] and str(r["date_canonical"])[:10] for r in actions.event_timestamps(events).collect()}
+    assert got == {1: "1881-04-13", 2: "1881-03-01", 3: None, 4: None}
+    issues = spark.createDataFrame([("duplicate_person", "open", [1, 2]), ("place_cluster", "open", [1]), ("duplicate_person", "open", [3])], "issue_type string, status string, entity_ids array<int>")
+    from kinloom.operators.records import resolve_issues
+
+    assert sorted(r["status"] for r in resolve_issues(issues, ["duplicate_person"], [1]).collect()) == ["open", "open", "resolved"]
