@@ -125,7 +125,7 @@ def mixing_plan(units: DataFrame, weights: tuple = WEIGHTS, max_repeat: float =
     # what whole copies miss by (less than a large document) goes to the smallest documents, first to those that can take or give
     # one copy, then, in sources of a few documents, to any that stay between none and the most copies
     cells = _settle(cells)
-    cells = _settle(cells.withColumns({"low": F.lit(0), "high": F.floor(F.col("units") * max_repeat)}))
+    cells = _settle(cells.withColumns({"low": F.lit(0), "high": F.col("units") * int(max_repeat)}))
     taken = cells.select(
         F.col("source").alias("s"), F.col("size").alias("z"), F.col("units").alias("cell_units"), "source_size", "target",
         F.floor(F.col("total") / F.col("units")).alias("whole"), F.pmod(F.col("total"), F.col("units")).cast("long").alias("extra"),
