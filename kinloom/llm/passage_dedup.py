@@ -1,9 +1,10 @@
 """Operator 5: substring dedup by MinHash banding of paragraphs.
 
-Texts are cut into short paragraphs at words whose hash is the least among its neighbours, so that a passage is cut alike
-wherever it stands, in the middle of a line too.  Paragraphs meet in bands of minhashes of their five-word shingles (bands
+Texts are cut into short pieces at words whose hash is the least among its neighbours, so that a passage is cut alike
+wherever it stands, in the middle of a line too.  Paragraphs are these pieces, the lines and blocks of lines between blank lines,
+and windows of neighbouring pieces, which stay similar where a changed word breaks a piece.  Paragraphs meet in bands of minhashes of their five-word shingles (bands
 tuned to a target recall), distinct paragraphs of a band are verified by exact Jaccard similarity, and components of verified
-paragraphs are the units of removal: all occurrences but the first go, where enough neighbouring words repeat.
+paragraphs of a kind are the units of removal: all occurrences but the first go, where enough neighbouring words repeat.
 
 A first pass over the texts counts bands; a fixed-size bit filter of the bands that occur twice lets the second pass
 ship only paragraphs that can have a partner.  False positives of the filter cost work and change nothing.
@@ -31,6 +32,9 @@ LONGEST = 64
 RECALL = 0.95
 #: Repeating neighbours must hold this many words: a passage of 50 words keeps that many when its ends belong to other paragraphs.
 MIN_RUN = 24
+#: Words of a window of neighbouring pieces; with REACH more on either side, one changed word leaves such windows similar enough.
+WIDE = 40
+_FREE = np.zeros(2, np.uint64)
 
 
 def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int = 1) -> int:
@@ -57,28 +61,66 @@ def cut_points(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(s, s + g, LONGEST) for s, g in zip(starts, gaps, strict=True)])
 
 
+def windows_of(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the least runs of neighbouring pieces that hold WIDE words; no run holds another one."""
+    edges = np.append(starts, n)
+    last = np.searchsorted(edges, starts + WIDE)
+    fits = np.flatnonzero(last < len(edges))
+    fits = fits[np.append(last[fits][1:], len(edges)) > last[fits]]  # of runs with the same end the shortest
+    return starts[fits], edges[last[fits]]
+
+
+def line_spans(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends), in words, of the lines and of the blocks of lines between blank lines that hold MIN_RUN words."""
+    out, at, block, lines = [], 0, 0, 0
+    for line in [*(text or "").encode("utf-8", "replace").split(b"\n"), b""]:
+        n = len(line.split())
+        if n >= MIN_RUN:
+            out.append((at, at + n))
+        if n == 0:
+            if lines > 1 and at - block >= MIN_RUN:
+                out.append((block, at))
+            block, lines = at, 0
+        else:
+            lines += 1
+        at += n
+    spans = np.array(out, np.int64).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1]
+
+
 def paragraphs(text: str | None, bands: int):
-    """(starts, sizes, keys, band hashes (paragraphs x bands), shingles, first shingle of each paragraph)."""
+    """(level, starts, sizes, keys, band hashes (paragraphs x bands), first shingles, shingles behind the last, all shingles).
+
+    Level 0 are the pieces, 1 lines and blocks of lines, 2 windows of neighbouring pieces.  The words that decide where a cut
+    stands are alike in both copies, so a window is compared with REACH more words on either side; its own first and last
+    shingles must be shared, so that it does not reach beyond what is alike.
+    """
     words = word_hashes(text)
-    starts = cut_points(words)
-    ends = np.append(starts[1:], len(words))
-    sizes = ends - starts
-    per = np.maximum(1, sizes - 4)
-    if len(starts) == 0:
-        return starts, sizes, np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64), words, starts
-    if len(words) >= 5:
-        every = shingle_hashes(words)
-        at = np.repeat(starts, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        shingles = every[np.minimum(at, len(every) - 1)]
-    else:
-        shingles = np.zeros(per.sum(), np.uint64)
-    offsets = np.cumsum(per) - per
-    for i in np.flatnonzero(sizes < 5):  # fewer than five words are one shingle
-        shingles[offsets[i]] = shingle_hashes(words[starts[i] : ends[i]])[0]
-    position = (np.arange(len(words)) - np.repeat(starts, sizes)).astype(np.uint64)
-    keys = mix(np.add.reduceat(mix(words + position * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    hashes = np.stack([mix(np.minimum.reduceat(mix(shingles ^ mix(np.array([b + 1], np.uint64))), offsets) + np.uint64(b)) for b in range(bands)], axis=1)
-    return starts, sizes, keys, hashes, shingles, offsets
+    n = len(words)
+    if n == 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64)) + (np.zeros(0, np.int64),) * 2 + (words,)
+    pieces = cut_points(words)
+    piece_ends = np.append(pieces[1:], n)
+    wide, wide_ends = windows_of(pieces, n)
+    lines, line_ends = line_spans(text)
+    level = np.repeat(np.arange(3), [len(pieces), len(lines), len(wide)])
+    starts, ends = np.concatenate([pieces, lines, wide]), np.concatenate([piece_ends, line_ends, wide_ends])
+    margin = np.where(level == 2, REACH, 0)
+    left, right = np.maximum(starts - margin, 0), np.minimum(ends + margin, n)
+    # shingles of five words, then those of the pieces of fewer words, then one that no reduction reads
+    short = np.flatnonzero(right - left < 5)
+    every = shingle_hashes(words) if n >= 5 else words[:0]
+    first, stop = left.copy(), right - 4
+    first[short] = len(every) + np.arange(len(short))
+    stop[short] = first[short] + 1
+    every = np.concatenate([every, *[shingle_hashes(words[left[i] : right[i]]) for i in short], np.zeros(1, np.uint64)])
+    pairs = np.stack([first, stop], axis=1).ravel()
+    reduce = lambda f, values: f.reduceat(values, pairs)[::2]
+    sizes, salt = ends - starts, mix(level.astype(np.uint64) + np.uint64(11))
+    mixed = [mix(every ^ mix(np.array([b + 1], np.uint64))) for b in range(bands)]
+    keys = mix(reduce(np.add, mixed[0]) ^ mix(reduce(np.bitwise_xor, mixed[-1]) + sizes.astype(np.uint64)) ^ salt)
+    hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt for b, m in enumerate(mixed)], axis=1))
+    return level, starts, sizes, keys, hashes, first, stop, every
 
 
 def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
@@ -86,7 +128,7 @@ def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
 
     def bands_of(batches):
         for p in batches:
-            found = [paragraphs(t, bands)[3].ravel() for t in p["text"]]
+            found = [paragraphs(t, bands)[4].ravel() for t in p["text"]]
             every = np.concatenate(found) if found else np.zeros(0, np.uint64)
             band, n = np.unique(every, return_counts=True)
             yield pd.DataFrame({"band": band.view(np.int64), "n": n})
@@ -96,7 +138,7 @@ def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
 
 
 def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, seg, at, words, key, bands, shingles) of the paragraphs that pass the filter."""
+    """(doc_id, level, at, words, key, bands) of the paragraphs that pass the filter."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(twice_filter(docs, bands))
 
@@ -105,23 +147,44 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
         for p in batches:
             out = []
             for i, t in zip(p["doc_id"], p["text"], strict=True):
-                starts, sizes, keys, hashes, shingles, offsets = paragraphs(t, bands)
+                level, starts, sizes, keys, hashes = paragraphs(t, bands)[:5]
                 hit = np.flatnonzero(in_filter(bits, hashes).any(axis=1)) if len(hashes) else []
-                stops = np.append(offsets[1:], len(shingles))
-                out += [(i, int(s), int(starts[s]), int(sizes[s]), int(keys[s].view(np.int64)), hashes[s].view(np.int64), np.unique(shingles[offsets[s] : stops[s]]).tobytes()) for s in hit]
-            yield pd.DataFrame(out, columns=["doc_id", "seg", "at", "words", "key", "bands", "shingles"])
+                out += [(i, int(level[s]), int(starts[s]), int(sizes[s]), int(keys[s].view(np.int64)), hashes[s].view(np.int64)) for s in hit]
+            yield pd.DataFrame(out, columns=["doc_id", "level", "at", "words", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(keep, f"doc_id {kind}, seg long, at long, words long, key long, bands array<long>, shingles binary")
+    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, bands array<long>")
+
 
+def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
+    """(key, shingles), once for each of the keys: two shingles that a partner must hold, 0 for any, and then all.  Texts are
+    read again, so that only shingles that are compared travel."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
-def verified_edges(found: DataFrame, block: int = 256) -> DataFrame:
+    def pick(batches):
+        for p in batches:
+            out = {}
+            for t in p["text"]:
+                level, _, _, keys, _, first, stop, every = paragraphs(t, bands)
+                for s in np.flatnonzero(in_filter(table.value, keys)) if len(keys) else []:
+                    k = int(keys[s].view(np.int64))
+                    if k not in out:
+                        own = every[first[s] : stop[s]]
+                        ends = own[[min(REACH, len(own) - 1), max(len(own) - 1 - REACH, 0)]] if level[s] == 2 else _FREE
+                        out[k] = np.concatenate([ends, np.unique(own)]).tobytes()
+            yield pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
+
+    found = docs.select("text").mapInPandas(pick, "key long, shingles binary")
+    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
     banded = materialize(found.select("key", F.explode("bands").alias("band")).distinct(), "banded")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = materialize(banded.join(sizes, "band").select("band", "key", "blocks"), "met")
     # shingles travel once per distinct paragraph that meets another one
-    sets = found.select("key", "shingles").join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = shingles_of(docs, bands, met.select("key").distinct())
     some = met.withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     some = some.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key").join(sets, "key")
 
@@ -130,13 +193,14 @@ def verified_edges(found: DataFrame, block: int = 256) -> DataFrame:
         for g in stream_groups(batches, ["band", "part"]):
             if len(g) < 2:
                 continue
-            sets = [frozenset(np.frombuffer(x, np.uint64).tolist()) for x in g["shingles"]]
+            lists = [np.frombuffer(x, np.uint64).tolist() for x in g["shingles"]]
+            ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
             keys, forest = g["key"].tolist(), Forest(len(g))
             for i in range(len(sets)):
                 for j in range(i):
                     if forest.root(i) != forest.root(j):
                         both = len(sets[i] & sets[j])
-                        if both >= THRESHOLD * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                        if both >= THRESHOLD * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and ends[i] <= sets[j] and ends[j] <= sets[i]:
                             forest.join(i, j)
             out += [(keys[i], keys[r]) for i, r in enumerate(forest.roots()) if r != i]
             if len(out) > 50_000:
@@ -147,20 +211,34 @@ def verified_edges(found: DataFrame, block: int = 256) -> DataFrame:
     return some.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(check, "a long, b long").distinct()
 
 
+def in_runs(spans: DataFrame) -> DataFrame:
+    """spans with end, run (a number per stretch of spans of a document that touch or overlap) and fresh: the words of an extra
+    span that no extra span before it holds."""
+    order = Window.partitionBy("doc_id").orderBy("at", "end", "level", "cluster")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    s = spans.withColumn("end", F.col("at") + F.col("words"))
+    s = s.withColumn("start", F.when(F.col("at") > F.coalesce(F.max("end").over(before), F.lit(-1)), 1).otherwise(0))
+    held = F.coalesce(F.max(F.when(F.col("extra"), F.col("end"))).over(before), F.lit(0))
+    fresh = F.when(F.col("extra"), F.greatest(F.lit(0), F.col("end") - F.greatest("at", held))).otherwise(0)
+    return s.withColumns({"run": F.sum("start").over(order), "fresh": fresh}).drop("start")
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: float) -> DataFrame:
-    """(doc_id, seg, at, words, cluster, extra, run): paragraphs that other documents hold too.  extra marks all but the first
-    occurrence of a cluster; run numbers the stretches of neighbouring paragraphs of a document."""
+    """(doc_id, level, at, words, cluster, extra, end, run, fresh): paragraphs that stand elsewhere too, in another document or in
+    the same one.  extra marks all but the first occurrence of a cluster and what overlaps it."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(shared_paragraphs(texts, bands_for(recall)), "paragraphs")
-    near = connected_components(materialize(verified_edges(found), "paragraph-edges"))
-    owned = found.select("doc_id", "seg", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
-    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "seg", "at", "words", "cluster"), "owned")
-    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    repeats = owned.join(seen, "cluster").withColumn("extra", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seg") == F.col("first.seg"))))
-    order = Window.partitionBy("doc_id").orderBy("seg", "at")
-    repeats = repeats.withColumn("start", F.when(F.col("seg") - F.lag("seg", 1, -2).over(order) > 1, 1).otherwise(0)).withColumn("run", F.sum("start").over(order))
-    return repeats.select("doc_id", "seg", "at", "words", "cluster", "extra", "run")
+    bands = bands_for(recall)
+    found = materialize(shared_paragraphs(texts, bands), "paragraphs")
+    near = connected_components(materialize(verified_edges(texts, found, bands), "paragraph-edges"))
+    owned = found.select("doc_id", "level", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
+    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "level", "at", "words", "cluster"), "owned")
+    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    repeats = owned.join(seen.select("cluster", "first"), "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
+    # windows of one document that are alike only because they overlap are no repeats
+    real = repeats.groupBy("cluster").agg(F.max("extra").alias("real")).filter("real").select("cluster")
+    return in_runs(repeats.join(real, "cluster", "left_semi").select("doc_id", "level", "at", "words", "cluster", "extra"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN) -> DataFrame:
@@ -168,12 +246,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (words that are no first occurrence), cluster (component of its first paragraph) and removed.
 
     Rows that share an id count as one document.  Null, empty and blank texts have no passages, nor have documents whose
-    words repeat in no other document.  Tables may be empty.
+    words repeat nowhere.  Tables may be empty.
     """
     with scratch() as keep:
         runs = repeated_paragraphs(docs, id_col, text_col, recall).groupBy("doc_id", "run").agg(
-            F.min("at").alias("start_word"), F.max(F.col("at") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"),
-            F.sum(F.when(F.col("extra"), F.col("words")).otherwise(0)).alias("n_removed"), F.min_by("cluster", "seg").alias("cluster"),
+            F.min("at").alias("start_word"), F.max("end").alias("end_word"), (F.max("end") - F.min("at")).alias("n_words"),
+            F.sum("fresh").alias("n_removed"), F.min_by("cluster", F.struct("at", "level")).alias("cluster"),
         )
         kept = runs.filter(F.col("n_words") >= min_run).drop("run").withColumn("removed", F.col("n_removed") > 0)
         return keep(materialize(kept, "passages"))
@@ -184,9 +262,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = docs.columns
     with scratch() as keep:
         all_ = materialize(repeated_paragraphs(docs, id_col, text_col, recall), "repeats")
-        long = all_.groupBy("doc_id", "run").agg(F.sum("words").alias("n")).filter(F.col("n") >= min_run).select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"))
-        gone = all_.filter("extra").join(long, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r")))
-        spans = keep(materialize(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("words")).alias("end")))).alias("_spans")), "spans"))
+        long = all_.groupBy("doc_id", "run").agg((F.max("end") - F.min("at")).alias("n")).filter(F.col("n") >= min_run).select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"))
+        gone = all_.filter("fresh > 0").join(long, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r")))
+        spans = keep(materialize(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("fresh")).alias("at"), "end"))).alias("_spans")), "spans"))
 
     @F.pandas_udf(StringType())
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -208,6 +208,26 @@ def test_passages_inside_lines(spark, odd, none):
     assert {x["doc_id"] for x in passage_dedup.repeated_passages(odd).collect()} == {5, 6} and passage_dedup.repeated_passages(none).count() == 0
 
 
+def test_near_copies_of_paragraphs(spark):
+    r = np.random.default_rng(5)
+    fresh = lambda n: [f"v{x}" for x in r.integers(0, 10**9, n)]
+    docs, odd_ids = [], range(1, 60, 2)
+    for i in odd_ids:  # a line of 60 words, then its copy with another word in the middle: similarity 0.84
+        first = fresh(60)
+        for k, p in enumerate((first, first[:30] + ["other"] + first[31:])):
+            docs.append((100 * i + k, "\n".join([" ".join(fresh(50)), " ".join(p), " ".join(fresh(50))])))
+    for i in odd_ids:  # the same inside a line, 100 words with two changes: similarity 0.81
+        first = fresh(100)
+        for k, p in enumerate((first, first[:33] + ["other"] + first[34:66] + ["another"] + first[67:])):
+            docs.append((100 * i + 10 + k, " ".join([*fresh(50), *p, *fresh(50)])))
+    got = passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {x["doc_id"] for x in got if x["removed"]}
+    beyond = [max(50 - x["start_word"], x["end_word"] - (150 if x["doc_id"] % 100 >= 10 else 110)) for x in got]
+    assert max(beyond) <= 5  # what similarity 0.8 lets a long piece hold besides
+    assert sum(100 * i + 1 in found for i in odd_ids) >= 28 and sum(100 * i + 11 in found for i in odd_ids) >= 28
+    assert not any(d % 10 == 0 for d in found)
+
+
 # ---- 6 shards --------------------------------------------------------------------------------------------------------------
 
 def check_shards(rows, n, spread):
