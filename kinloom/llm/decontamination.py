@@ -1,7 +1,7 @@
 """Operator 10: benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; hashes of windows of eight canonical words of every document meet those
-of the benchmark in one hash join; where a document shares enough of an item's windows, the values in the placeholders must map
+of the benchmark in one hash join, and so do hashes of the plain words in lower case, since names show by their capitals; where a document shares enough of an item's windows, the values in the placeholders must map
 consistently from item to document.  Verbatim copies map each value to itself; a re-parameterised question maps it to
 one other value.
 """
@@ -47,21 +47,50 @@ def plain_words(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.lower(F.translate(w, MARKS, "")))
 
 
-def windows(df: DataFrame, canonical: str, out: str) -> DataFrame:
-    """df plus the hashes of all windows of eight canonical words, by doubling: pairs, fours, eights."""
-    d = df.withColumn("_h1", F.transform(canonical, lambda w: F.xxhash64(w)))
-    for k in (1, 2, 4):
-        d = d.withColumn(f"_h{2 * k}", F.zip_with(F.col(f"_h{k}"), rest(f"_h{k}", k), lambda a, b: F.xxhash64(a, b))).drop(f"_h{k}")
-    return d.withColumn(out, F.slice("_h8", F.lit(1), F.greatest(F.size("_h8") - (WINDOW - 1), F.lit(0)))).drop("_h8")
+def windows(df: DataFrame, words: str, out: str, size: int = WINDOW, salt: str = "") -> DataFrame:
+    """df plus the hashes of all windows of so many words, eight by doubling: pairs, fours, eights; other salts, other hashes."""
+    d = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)) if salt else F.xxhash64(w))).withColumn("_h", F.col("_h1"))
+    for k in (1, 2, 4) if size == WINDOW else range(1, size):
+        d = d.withColumn("_h", F.zip_with(F.col("_h"), rest("_h" if size == WINDOW else "_h1", k), lambda a, b: F.xxhash64(a, b)))
+    return d.withColumn(out, F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (size - 1), F.lit(0)))).drop("_h", "_h1")
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, item_at, window, n_windows): windows with enough words that are no placeholders; n_windows counts those."""
-    b = benchmark.select(F.col(item_col).alias("item_id"), canonical_words(text_of(text_col)).alias("c"))
-    b = windows(b, "c", "w").select("item_id", "c", F.posexplode_outer("w").alias("item_at", "window")).filter("window is not null")
-    literal = F.size(F.filter(F.slice("c", F.col("item_at") + 1, WINDOW), lambda x: ~x.contains("{") & (F.length(x) > 0)))
-    good = b.filter(literal >= MIN_LITERALS).select("item_id", "item_at", "window")
-    return good.join(good.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")), "item_id")
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
+    """(item_id, item_at, window, n_windows) and the window sizes under eight that short items need.
+
+    A position counts where enough words of its window are no placeholders, or, in items without such a window, where enough are
+    more than marks; n_windows counts positions.  It has the hash of its plain words and, in the first case, of its canonical ones.
+    """
+    text = text_of(text_col)
+    b = benchmark.select(F.col(item_col).alias("item_id"), canonical_words(text).alias("c"), plain_words(text).alias("p"))
+    n = F.size("p")
+    short = sorted(r["n"] for r in b.select(n.alias("n")).filter((F.col("n") >= MIN_LITERALS) & (F.col("n") < WINDOW)).distinct().collect())
+
+    def positions(items: DataFrame, size: int) -> DataFrame:
+        d = windows(windows(items, "c", "w", size), "p", "v", size, "plain")
+        d = d.select("item_id", "c", "p", F.posexplode_outer(F.arrays_zip("w", "v")).alias("item_at", "x")).filter("x is not null")
+        count = lambda a, test: F.size(F.filter(F.slice(a, F.col("item_at") + 1, size), test))
+        literal, solid = count("c", lambda x: ~x.contains("{") & (F.length(x) > 0)), count("p", lambda x: F.length(x) > 0)
+        return d.filter(solid >= MIN_LITERALS).select("item_id", "item_at", "x.w", "x.v", (literal >= MIN_LITERALS).alias("typed"))
+
+    all_ = positions(b, WINDOW)
+    for size in short:
+        all_ = all_.unionByName(positions(b.filter(n == size), size))
+    good = all_.join(all_.groupBy("item_id").agg(F.max("typed").alias("any")), "item_id").filter("typed or not any")
+    good = good.join(good.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows")), "item_id")
+    forms = F.when(F.col("typed"), F.array("w", "v")).otherwise(F.array("v"))
+    return good.select("item_id", "item_at", F.explode(forms).alias("window"), "n_windows"), short
+
+
+def document_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
+    """(doc_id, doc_at, window): windows of canonical and of plain words of all sizes."""
+    found = None
+    for size in sizes:
+        for words, salt in ((canonical_words, ""), (plain_words, "plain")):
+            d = windows(docs.select(F.col(id_col).alias("doc_id"), words(text_of(text_col)).alias("c")), "c", "w", size, salt)
+            d = d.select("doc_id", F.posexplode_outer("w").alias("doc_at", "window")).filter("window is not null")
+            found = d if found is None else found.unionByName(d)
+    return found
 
 
 def find_leaks(
@@ -72,8 +101,8 @@ def find_leaks(
 
     coverage: share of the item's windows found in the document.  agree: of the matched placeholder positions whose item value
     stands more than once, the share that follows the main mapping of that value, along the best alignment; 1 without any.
-    verbatim: the mapping is the identity.  Null and empty texts leak nothing; items of fewer than eight words, or whose windows are nearly all
-    placeholders, cannot be matched; rows that share an id (or have none) count as one document.  Either table may be empty.
+    verbatim: the mapping is the identity.  Null and empty texts leak nothing; items of fewer than eight words are one
+    window, those of fewer than four words that are more than marks cannot be matched; rows that share an id (or have none) count as one document.  Either table may be empty.
     """
     with scratch() as keep:
         pairs = _matched_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, min_coverage)
@@ -82,10 +111,10 @@ def find_leaks(
 
 
 def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_coverage: float) -> DataFrame:
-    items = materialize(benchmark_windows(benchmark, item_col, item_text_col), "windows")
+    items, short = benchmark_windows(benchmark, item_col, item_text_col)
+    items = materialize(items, "windows")
     few = items.count() <= BROADCAST_WINDOWS
-    d = windows(docs.select(F.col(id_col).alias("doc_id"), canonical_words(text_of(text_col)).alias("c")), "c", "w")
-    d = d.select("doc_id", F.posexplode_outer("w").alias("doc_at", "window")).filter("window is not null")
+    d = document_windows(docs, id_col, text_col, [WINDOW, *short])
     hits = d.join(F.broadcast(items) if few else items, "window")
     lined = hits.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("ats"), F.first("n_windows").alias("n_windows")

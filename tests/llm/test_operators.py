@@ -348,6 +348,18 @@ def test_changed_parameters(spark, odd, none):
     assert decontamination.drop_leaks(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_leaks_in_other_case(spark):
+    q = "Anna Berg and Otto Lind walk from Graz to Linz . Then Anna Berg asks Otto Lind how far Graz is from Wels , and Otto Lind says twice as far as Linz ."
+    short = "Which River Runs Through Linz ?"
+    docs = [(1, "some words before . " + q.upper() + " AND MORE"), (2, q.lower()), (3, "he asked : WHICH RIVER RUNS THROUGH LINZ ? nobody knew"), (4, "which river runs through Graz ? " * 3), (5, q)]
+    items = spark.createDataFrame([(9, q), (8, short)], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(d, items).collect()}
+    assert set(got) == {(1, 9), (2, 9), (5, 9), (3, 8)}
+    assert all(r["verbatim"] and r["coverage"] == 1 and r["n_matched"] == r["n_windows"] for r in got.values())
+    assert [r["doc_id"] for r in decontamination.drop_leaks(d, items).collect()] == [4]
+
+
 # ---- all -------------------------------------------------------------------------------------------------------------------
 
 def test_sql(spark, sf_dir):
