@@ -223,9 +223,9 @@ def in_runs(spans: DataFrame) -> DataFrame:
     return s.withColumns({"run": F.sum("start").over(order), "fresh": fresh}).drop("start")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: float) -> DataFrame:
-    """(doc_id, level, at, words, cluster, extra, end, run, fresh): paragraphs that stand elsewhere too, in another document or in
-    the same one.  extra marks all but the first occurrence of a cluster and what overlaps it."""
+def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: float, inside: bool = True) -> DataFrame:
+    """(doc_id, level, at, words, cluster, extra, end, run, fresh): paragraphs that stand elsewhere too, in another document or
+    (inside) in the same one.  extra marks all but the first occurrence of a cluster and what overlaps it."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = bands_for(recall)
@@ -233,7 +233,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     near = connected_components(materialize(verified_edges(texts, found, bands), "paragraph-edges"))
     owned = found.select("doc_id", "level", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
     owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "level", "at", "words", "cluster"), "owned")
-    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last")).filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
+    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    if not inside:
+        seen = seen.filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     repeats = owned.join(seen.select("cluster", "first"), "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
     # windows of one document that are alike only because they overlap are no repeats
@@ -241,15 +243,15 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     return in_runs(repeats.join(real, "cluster", "left_semi").select("doc_id", "level", "at", "words", "cluster", "extra"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN) -> DataFrame:
-    """One row per passage of a document that repeats elsewhere: doc_id, start_word, end_word (exclusive), n_words, n_removed
-    (words that are no first occurrence), cluster (component of its first paragraph) and removed.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN, inside: bool = True) -> DataFrame:
+    """One row per passage that repeats elsewhere, in another document or (inside) in its own: doc_id, start_word, end_word
+    (exclusive), n_words, n_removed (words that are no first occurrence), cluster (component of its first paragraph) and removed.
 
     Rows that share an id count as one document.  Null, empty and blank texts have no passages, nor have documents whose
     words repeat nowhere.  Tables may be empty.
     """
     with scratch() as keep:
-        runs = repeated_paragraphs(docs, id_col, text_col, recall).groupBy("doc_id", "run").agg(
+        runs = repeated_paragraphs(docs, id_col, text_col, recall, inside).groupBy("doc_id", "run").agg(
             F.min("at").alias("start_word"), F.max("end").alias("end_word"), (F.max("end") - F.min("at")).alias("n_words"),
             F.sum("fresh").alias("n_removed"), F.min_by("cluster", F.struct("at", "level")).alias("cluster"),
         )
@@ -285,4 +287,4 @@ def without_words(text: str, starts, ends) -> str:
 
 
 def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeated_passages(load(spark, sf_dir, "documents").select("doc_id", "text"), inside=False)

@@ -228,6 +228,19 @@ def test_near_copies_of_paragraphs(spark):
     assert not any(d % 10 == 0 for d in found)
 
 
+def test_passages_repeated_in_one_document(spark):
+    r = np.random.default_rng(6)
+    fresh = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10**9, n))
+    p = fresh(60)
+    docs = [(1, f"{fresh(40)} {p} {fresh(40)} {p} {fresh(40)}"), (2, fresh(300)), (None, fresh(50))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x["start_word"], x["end_word"], x["removed"]) for x in passage_dedup.repeated_passages(d).collect() if x["doc_id"] == 1)
+    assert [x[2] for x in got] == [False, True] and 40 <= got[0][0] < got[0][1] <= 100 and 140 <= got[1][0] < got[1][1] <= 200
+    cut = {x["doc_id"]: x["text"] for x in passage_dedup.remove_repeats(d).collect()}
+    assert len(brute.words(cut[1])) <= 240 - 24 and brute.words(cut[1])[:140] == brute.words(docs[0][1])[:140]
+    assert cut[2] == docs[1][1] and cut[None] == docs[2][1]
+
+
 # ---- 6 shards --------------------------------------------------------------------------------------------------------------
 
 def check_shards(rows, n, spread):
