@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -30,46 +32,63 @@ def words_of(text: str | Column = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every node sees: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder that every node sees: spark.checkpoint.dir.  Where it is unset, a session on this machine alone (as in
+    tests) gets a temporary folder; on a cluster that would be a folder that other nodes do not see, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_kinloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='kinloom-')}"
         spark._kinloom_dir = found
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
+    """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation.
+
+    The table goes with the scratch() it was made in, else with release(), and at the latest when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinloom-{label}-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinloom_path = path
-    if _scopes:
-        _scopes[-1].append(out)
+    for held in _scope.get():
+        held.append(out)
+        break
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: The lists of tables of the scratch() blocks around the running code, innermost first; every thread has its own.
+_scope: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scope", default=())
 
 
 @contextmanager
 def scratch():
     """Deletes the tables that materialize() writes inside it, but for those given to the function it yields."""
     kept: list[DataFrame] = []
+    made: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df)
         return df
 
-    _scopes.append([])
+    outer = _scope.set((made, *_scope.get()))
     try:
         yield keep
     finally:
-        for df in _scopes.pop():
+        _scope.reset(outer)
+        for df in made:
             if any(df is k for k in kept):
-                if _scopes:
-                    _scopes[-1].append(df)
+                for held in _scope.get()[:1]:
+                    held.append(df)
             else:
                 release(df)
 
@@ -78,9 +97,19 @@ def release(df: DataFrame | None) -> None:
     """Delete a table of materialize() that no later step reads."""
     path = getattr(df, "_kinloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _file_system(df.sparkSession, path)
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of docs as one struct, row, beside the given columns: no name of docs can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(d: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The packed rows again with results, which replace columns of their names."""
+    return d.select(*[F.col("row")[c].alias(c) for c in columns if c not in results], *[c.alias(name) for name, c in results.items()])
 
 
 def binary_case(value: Column, bounds: list, first: int = 0) -> Column:
@@ -210,5 +239,7 @@ def maybe_among(spark: SparkSession, ids: DataFrame, id_col: str):
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, gone_col: str) -> DataFrame:
     """docs without the rows whose id is in gone (null ids match null).  Rows that the filter clears pass without a shuffle."""
     maybe = maybe_among(docs.sparkSession, gone, gone_col)
-    held = docs.filter(maybe(F.col(id_col))).join(gone.select(F.col(gone_col).alias("_gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return docs.filter(~maybe(F.col(id_col))).unionByName(held)
+    d = packed(docs, id=F.col(id_col))
+    ids = gone.select(F.col(gone_col).alias("gone"))
+    held = d.filter(maybe(F.col("id"))).join(ids, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    return unpacked(d.filter(~maybe(F.col("id"))).union(held), docs.columns)

@@ -107,23 +107,26 @@ def long_repeats(docs, n):
     return {d for v in held.values() if len(v) > 1 for d in v}
 
 
-def repeated_lines(docs, window=3):
-    """{id: sorted (start, end) runs} that occur earlier by (id, line), without overlap of their source in the same text."""
-    first, at = {}, []
-    for d, t in sorted(docs, key=lambda x: x[0]):
+def repeated_lines(docs, least=8):
+    """{row: sorted (start, end) runs}: lines in a least run of so many words that stands earlier by (id, line), without overlap."""
+    first, at = {}, defaultdict(list)
+    for row, (d, t) in sorted(enumerate(docs), key=lambda x: (x[1][0] is not None, x[1][0] or 0)):
         ls = [x for x in (t or "").split("\n") if WORD.search(x)]
-        for i in range(len(ls) - window + 1):
-            key = tuple(ls[i : i + window])
-            if key in first:
-                d0, i0 = first[key]
-                if d0 != d or i - i0 >= window:
-                    at.append((d, i))
+        n = [len(words(x)) for x in ls]
+        for i in range(len(ls)):
+            j = next((j for j in range(i + 1, len(ls) + 1) if sum(n[i:j]) >= least), None)
+            if j is None or sum(n[i + 1 : j]) >= least:
+                continue
+            row0, i0 = first.setdefault(tuple(ls[i:j]), (row, i))
+            if docs[row0] != docs[row] or i - i0 >= j - i:
+                at[row].append((i, j))
+    runs = {}
+    for row, found in at.items():
+        out = []
+        for i, j in found:
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], max(j, out[-1][1]))
             else:
-                first[key] = (d, i)
-    runs = defaultdict(list)
-    for d, i in at:
-        if runs[d] and i - (runs[d][-1][1] - window) <= window:
-            runs[d][-1] = (runs[d][-1][0], i + window)
-        else:
-            runs[d].append((i, i + window))
-    return dict(runs)
+                out.append((i, j))
+        runs[row] = out
+    return runs

@@ -306,15 +306,42 @@ def test_warc(spark, sf_dir, tmp_path):
 
 # ---- 8 lines ---------------------------------------------------------------------------------------------------------------
 
+LINES = [
+    (1, "a b c\nd e f\ng h i\nend here"), (2, "x y\na b c\nd e f\n\ng h i\ny z"), (3, "p p\n" * 12), (4, "a b c\nd e f"), (5, None), (6, "one line that holds eight words or more"),
+    (7, "new\none line that holds eight words or more\nother"), (8, "A b c\nB d e\n" * 6), (8, "quite another text under the same id as that above\nk l m n"), (8, "q r\nk l m n"),
+    (9, "one line that holds eight words or more"), (9, "one line that holds eight words or more"), (None, "new\none line that holds eight words or more"),
+]
+
+
 def test_lines(spark, sf_dir, corpus, odd, none):
     want = brute.repeated_lines(corpus)
-    for r in queries()["op8_winnowed_lines"](spark, sf_dir).collect():
-        assert r["runs"] == ",".join(f"{a}-{b}" for a, b in want.get(r["doc_id"], []))
-    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\n\nc\ny"), (3, "p\np\np\np\np\np\np"), (4, "a\nb"), (5, None)]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["runs"] for r in queries()["op8_winnowed_lines"](spark, sf_dir).collect()}
+    assert [got[d] for d, _ in corpus] == [",".join(f"{a}-{b}" for a, b in want.get(k, [])) for k in range(len(corpus))]
+    d = spark.createDataFrame([(i, t) for i, t in LINES if i != 8], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()}
-    assert got == {1: "a\nb\nc\nd", 2: "x\n\ny", 3: "p\np\np", 4: "a\nb", 5: None}
-    assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
+    assert got == {1: LINES[0][1], 2: "x y\n\ny z", 3: "p p\n" * 4, 4: "a b c\nd e f", 5: None, 6: "", 7: "new\nother", 9: "", None: LINES[-1][1]}
+    assert line_dedup.dedup_lines(odd).columns == odd.columns and line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("pairwise", [0, 1, 64])
+def test_line_runs_of_any_neighbourhood(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(line_dedup, "PAIRWISE", pairwise)
+    r = np.random.default_rng(2)
+    words_ = ["a", "b", "a b", "b a c", "long line of eight words a b c", "", "c"]
+    docs = [(i, "\n".join(words_[k] for k in r.integers(0, len(words_), 25))) for i in range(60)]
+    got = defaultdict(list)
+    for x in line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[x["doc_id"]].append((x["start_line"], x["end_line"]))
+        assert x["source_doc"] < x["doc_id"] or x["source_line"] < x["start_line"]
+    assert {k: sorted(v) for k, v in got.items()} == brute.repeated_lines(docs)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([x for x in LINES if x[0] == 8], "doc_id long, text string")
+    first, other, third = (x[1] for x in LINES if x[0] == 8)
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(d).collect()) == sorted(["A b c\nB d e\n" * 2, other, third])
+    long = spark.createDataFrame([(k, "\n".join(f"line {i} of a text that is long" for i in range(30_000))) for k in range(2)], "doc_id int, text string")
+    assert sorted(len(r["text"]) > 0 for r in line_dedup.dedup_lines(long).collect()) == [False, True]
 
 
 # ---- 9 classifier ----------------------------------------------------------------------------------------------------------
