@@ -14,6 +14,11 @@ from kinloom.llm.shingles import set_key, shingle_set, word_hashes
 from . import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use or used inside.
+INSIDE = (
+    "_t", "_text", "_spans", "_cands", "_h", "_w", "_lines", "_s", "_p", "_win", "_grams", "_hashes", "_id", "_runs", "_gone", "_k", "_cell", "_score", "_row", "_key", "_row_key", "_leak", "_source", "_size", "_copy", "_times",
+    "row", "id", "block", "record_type", "content_type", "slot", "shard_bytes", "text_crc32", "text_sum", "runs", "half", "k", "cell", "words", "at", "level", "good", "g", "s", "z", "draw", "sketch", "group", "y", "run_id", "n_words", "base_failed",
+)
 LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(3000))
 ODD = [
     (1, "one two three four five six seven eight nine ten", "en", "a", 1), (1, "one two three four five six seven eight nine ten", "en", "a", 1),
@@ -25,7 +30,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, blanks, repeated rows, long texts and extra columns whose names operators use inside."""
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({"key": F.lit(1), "size": F.lit("s"), "score": F.lit(0), "shard": F.lit(9), "kept": F.lit(1), "copies": F.lit(5), "n": F.lit(2), "_t": F.lit(0)})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"key": F.lit(1), "size": F.lit("s"), "score": F.lit(0), "shard": F.lit(9), "kept": F.lit(1), "copies": F.lit(5), "n": F.lit(2)} | {c: F.lit(0) for c in INSIDE})
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +122,29 @@ def test_pii_query(spark, sf_dir, corpus):
         assert rows[d]["n_email"] + rows[d]["n_ip"] + rows[d]["n_card"] + rows[d]["n_phone"] == len(brute.base_spans(t))
 
 
+def test_pii_added_without_cue(spark):
+    r = np.random.default_rng(4)
+    hexed = lambda: "".join(r.choice(list("0123456789abcdef"), 40))
+    other = lambda: "-".join(["part", "of", "a", "long", "name", str(r.integers(10, 99)), "x"])
+    docs = [(i, f'some text {i} token = "{hexed()}" and {other()} more words {r.integers(10**6, 10**7)}') for i in range(200)]
+    alone = f'no word before "{hexed()}" tells'
+    docs += [(1000, alone), (1001, f"an {other()} here"), (1002, "4785380592391138 fails its check"), (1003, None), (1003, "")]
+    got = {x["doc_id"]: x["_spans"] for x in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"), keep=("doc_id", "text")).collect()}
+    kinds = lambda d: [(pii.KINDS[s["kind"]], s["start"], s["end"], s["base"]) for s in got[d]]
+    assert kinds(1000) == [("secret", 16, 56, False)] and kinds(1001) == kinds(1002) == kinds(1003) == []
+    assert sum([k for k, *_ in kinds(i)] == ["secret"] for i in range(200)) >= 195 and {k for i in range(200) for k, *_ in kinds(i)} == {"secret"}
+
+
+def test_pii_report(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    d = docs.select(F.lit(1).alias("row"), F.coalesce("text", F.lit("")).alias("text"), (F.xxhash64("text") % 2 != 0).cast("int").alias("half"))
+    model = pii.fit(pii.candidates(d, F.col("text")))
+    n, marked, selected, precision, recall = model.report["secret"]
+    assert n >= selected >= 1 and marked >= 1 and precision >= 0.9 and recall >= 0.9
+    assert model.report["ip6"][2] == 0 and model.thresholds[6] == float("inf") and len(model.trees) == 24
+    assert pii.fit(pii.candidates(d.limit(0), F.col("text"))).trees == []
+
+
 def test_redaction(spark, odd, none):
     d = spark.createDataFrame([(1, "write to a.b@c.de or 10.0.0.1 now"), (2, "nothing here"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact_documents(d).collect()}
