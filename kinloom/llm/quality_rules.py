@@ -1,7 +1,7 @@
 """Operator 3: quality rules with a hashed n-gram log-likelihood ratio.
 
-Unigrams and bigrams of word and punctuation runs are hashed into buckets.  One pass counts the buckets of the raw corpus
-and of the trusted target (documents labelled as good); the mean log ratio of the two smoothed multinomials over the n-grams
+Unigrams and bigrams of word and punctuation runs are hashed into buckets.  The buckets of the raw corpus (all documents) and of
+the trusted target (all documents labelled as good) are counted; the mean log ratio of the two smoothed multinomials over the n-grams
 of a document is its score, and every document at or above a fixed threshold is kept unless a base rule fails it.
 """
 
@@ -12,14 +12,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, load, number_table, text_of, words_of
+from .common import SPACE, load, number_table, packed, text_of, unpacked, words_of
 
 #: Runs of word characters (all beyond ASCII included) or of ASCII punctuation; classes that Java looks up in a table.
 TOKEN = r"[^\p{Punct}\s]+|\p{Punct}+"
 BUCKETS = 8192
 THRESHOLD = -0.3
-#: Bound of the trusted target: so many of the good ids, in the order of a hash, are broadcast; the corpus counts cover everything.
-TARGET_DOCS = 20_000
+#: Good ids that go to every task (some 20 bytes each); beyond it texts that pass a filter of fixed size meet them in a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Bits of that filter (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def rest(values: str | Column, skip: int = 1) -> Column:
@@ -29,7 +31,7 @@ def rest(values: str | Column, skip: int = 1) -> Column:
 
 
 def ngram_buckets(docs: DataFrame, text: Column, buckets: int = BUCKETS) -> DataFrame:
-    """docs plus _grams, the buckets of all unigrams and bigrams of the text."""
+    """docs (of own column names) plus _grams, the buckets of all unigrams and bigrams of the text."""
     hashed = docs.withColumn("_hashes", F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.hash(t)))
     one = F.transform("_hashes", lambda h: F.pmod(h, F.lit(buckets)))
     pair = F.zip_with(F.col("_hashes"), rest("_hashes"), lambda a, b: F.when(b.isNotNull(), F.pmod(F.hash(a, b), F.lit(buckets))))
@@ -37,16 +39,33 @@ def ngram_buckets(docs: DataFrame, text: Column, buckets: int = BUCKETS) -> Data
     return hashed.withColumn("_grams", F.concat(one, two)).drop("_hashes")
 
 
-def fit_ratio(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0, target_docs: int = TARGET_DOCS) -> list[float]:
+def maybe_good(d: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of d whose id may be among the good ids: all that are, and few others.  The filter is a bitmap of hashes of fixed size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = marks.groupBy(F.bitmap_bucket_number(place("good_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("good_id"))).alias("bits"))
+    at = F.bitmap_bit_position(place("id"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return d.join(F.broadcast(bits), F.bitmap_bucket_number(place("id")) == F.col("bucket")).filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("bucket", "bits")
+
+
+def fit_ratio(
+    docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0, broadcast_ids: int = BROADCAST_IDS
+) -> list[float]:
     """Log ratio of target to corpus per bucket; only one count per bucket comes back.
 
-    The corpus counts cover all documents.  The target is fitted on at most target_docs of the good documents, so that their
-    ids can go to every task and no text is shuffled.
+    The corpus counts cover all documents and the target counts all good ones, at any size.  Up to broadcast_ids good ids go to
+    every task, and one pass counts both; beyond it the texts of good documents are shuffled once and counted beside the corpus.
     """
-    marks = good_ids.select(F.col(id_col).alias("_good")).filter("_good is not null").distinct().orderBy(F.xxhash64("_good"), "_good").limit(target_docs)
-    marked = docs.select(id_col, text_col).join(F.broadcast(marks), F.col(id_col) == F.col("_good"), "left")
-    grams = ngram_buckets(marked.select(F.col("_good").isNotNull().cast("long").alias("good"), text_of(text_col).alias("t")), F.col("t"), buckets)
-    counts = grams.select("good", F.explode_outer("_grams").alias("g")).filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("n_good")).collect()
+    marks = good_ids.select(F.col(id_col).alias("good_id")).filter("good_id is not null").distinct()
+    d = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    one = F.lit(1).cast("long")
+    if marks.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        both = d.join(F.broadcast(marks), F.col("id") == F.col("good_id"), "left").select("t", one.alias("raw"), F.col("good_id").isNotNull().cast("long").alias("good"))
+    else:
+        hits = maybe_good(d, marks).join(marks, F.col("id") == F.col("good_id"), "left_semi")
+        both = d.select("t", one.alias("raw"), (one - 1).alias("good")).union(hits.select("t", one - 1, one))
+    grams = ngram_buckets(both, F.col("t"), buckets).select("raw", "good", F.explode_outer("_grams").alias("g")).filter("g is not null")
+    counts = grams.groupBy("g").agg(F.sum("raw").alias("n"), F.sum("good").alias("n_good")).collect()
     raw, good = [smoothing] * buckets, [smoothing] * buckets
     for g, n, n_good in counts:
         raw[g] += n
@@ -57,7 +76,7 @@ def fit_ratio(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text
 
 
 def base_rules(docs: DataFrame, text: Column) -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """docs (of own column names) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     A word counts as repeated when a window of three words that covers it is found twice or more in the text.  Windows are
     compared by 64-bit hashes; only texts with an equal pair of windows sort them.
@@ -86,20 +105,23 @@ def base_rules(docs: DataFrame, text: Column) -> DataFrame:
     return d.withColumn("n_words", n.cast("long")).withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def quality_rules(
     docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS
 ) -> DataFrame:
     """docs plus the base rules, score (mean log ratio; 0 for texts without n-grams) and kept, for every document.
 
     Null texts have no words and fail the base rule; good_ids may be empty (all scores 0), repeat ids or name unknown ones.
-    Columns of docs that have the names of results are replaced.
+    Repeated rows are judged alike.  Columns of docs that have the names of results (RESULTS) are replaced, all others stay.
     """
     weights = number_table(fit_ratio(docs, good_ids, id_col, text_col, buckets))
-    text = F.col("_text")
-    scored = ngram_buckets(docs.withColumn("_text", text_of(text_col)), text, buckets)
+    scored = ngram_buckets(packed(docs, text=text_of(text_col)), F.col("text"), buckets)
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
     scored = scored.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))).drop("_grams")
-    return base_rules(scored, text).drop("_text").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    judged = base_rules(scored, F.col("text")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    return unpacked(judged, docs.columns, **{c: F.col(c) for c in RESULTS})
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

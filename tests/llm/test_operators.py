@@ -172,6 +172,16 @@ def test_rules(spark, sf_dir, corpus, odd, none):
     assert quality_rules.quality_rules(odd, good).filter("kept").count() <= 2  # a filter above must not change the work below
 
 
+def test_target_counts_cover_all_good_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    one, two = quality_rules.fit_ratio(docs, good), quality_rules.fit_ratio(docs, good, broadcast_ids=3)
+    assert one == two and any(one)
+    d, marks = docs.select(F.col("doc_id").alias("id")), good.select(F.col("doc_id").alias("good_id")).distinct()
+    passed = {r["id"] for r in quality_rules.maybe_good(d, marks).collect()}
+    assert passed == {r["good_id"] for r in marks.collect()} & {r["id"] for r in d.collect()}  # the filter is nearly empty here
+
+
 # ---- 4 near duplicates -----------------------------------------------------------------------------------------------------
 
 def test_near_duplicates(spark, sf_dir, corpus):
