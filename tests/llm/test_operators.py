@@ -310,6 +310,14 @@ def test_shards_of_one_hot_text(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
 
 
+def test_shards_of_equal_rows(spark):
+    d = spark.range(2490).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, "the same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("x").alias("slot"))
+    out = sharding.shard_documents(d, 16)
+    rows = [r.asDict() for r in out.collect()]
+    assert len(rows) == 2490 and sorted(out.columns) == sorted(["doc_id", "text", "shard_bytes", "text_crc32", "shard", "slot"])
+    check_shards(rows, 16, 28)  # two rows
+
+
 # ---- 7 WARC ----------------------------------------------------------------------------------------------------------------
 
 HTML = """<html><head><title>A &amp; B</title><style>p{x}</style><script>var t="</p>";</script></head>
