@@ -236,6 +236,34 @@ def maybe_among(spark: SparkSession, ids: DataFrame, id_col: str):
     return lambda column: test(F.xxhash64(column))
 
 
+def maybe_among_ids(d: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """d plus maybe: true for every row whose column is among the ids (null among nulls), and for few others.
+
+    Built-in functions only: a bitmap of hashes, 16 MB whatever the input, goes to every task.  A full one only costs work.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
+    bits = ids.groupBy(F.bitmap_bucket_number(place(id_col)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(id_col))).alias("bits"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    test = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return d.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("bucket"), "left").withColumn("maybe", test).drop("bucket", "bits")
+
+
+#: Ids that may be broadcast; beyond it rows that pass a filter of fixed size are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str, gone_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """docs without the rows whose id is in gone (null ids match null), by built-in functions only."""
+    ids = gone.select(F.col(gone_col).alias("gone"))
+    d = packed(docs, id=F.col(id_col))
+    on = F.col("id").eqNullSafe(F.col("gone"))
+    if ids.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        return unpacked(d.join(F.broadcast(ids), on, "left_anti"), docs.columns)
+    d = maybe_among_ids(d, "id", ids, "gone")
+    return unpacked(d.filter(~F.col("maybe")).unionByName(d.filter("maybe").join(ids, on, "left_anti")), docs.columns)
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, gone_col: str) -> DataFrame:
     """docs without the rows whose id is in gone (null ids match null).  Rows that the filter clears pass without a shuffle."""
     maybe = maybe_among(docs.sparkSession, gone, gone_col)

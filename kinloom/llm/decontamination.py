@@ -1,17 +1,19 @@
 """Operator 10: benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; hashes of windows of eight canonical words of every document meet those
-of the benchmark in one hash join, and so do hashes of the plain words in lower case, since names show by their capitals; where a document shares enough of an item's windows, the values in the placeholders must map
-consistently from item to document.  Verbatim copies map each value to itself; a re-parameterised question maps it to
-one other value.
+of the benchmark in one hash join, and so do hashes of the plain words in lower case, since names show by their capitals.  Where
+a document shares enough of an item's windows, the values in all matched placeholders must map one to one from item to document:
+verbatim copies map each value to itself, a re-parameterised question maps it to one other value, and different values to
+different ones.  Items of fewer than four words leak in documents of just these words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import load, materialize, scratch, text_of, words_of
+from .common import load, materialize, scratch, text_of, without_ids, words_of
 from .quality_rules import rest
 
 WINDOW = 8
@@ -47,6 +49,10 @@ def plain_words(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.lower(F.translate(w, MARKS, "")))
 
 
+def solid_words(text: Column) -> Column:
+    return F.filter(plain_words(text), lambda w: F.length(w) > 0)
+
+
 def windows(df: DataFrame, words: str, out: str, size: int = WINDOW, salt: str = "") -> DataFrame:
     """df plus the hashes of all windows of so many words, eight by doubling: pairs, fours, eights; other salts, other hashes."""
     d = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)) if salt else F.xxhash64(w))).withColumn("_h", F.col("_h1"))
@@ -97,17 +103,27 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     min_coverage: float = MIN_COVERAGE, min_agree: float = MIN_AGREE,
 ) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, coverage, agree, verbatim) for each document that leaks an item.
-
-    coverage: share of the item's windows found in the document.  agree: of the matched placeholder positions whose item value
-    stands more than once, the share that follows the main mapping of that value, along the best alignment; 1 without any.
-    verbatim: the mapping is the identity.  Null and empty texts leak nothing; items of fewer than eight words are one
-    window, those of fewer than four words that are more than marks cannot be matched; rows that share an id (or have none) count as one document.  Either table may be empty.
+    """(doc_id, item_id, n_matched, n_windows, coverage, n_slots, agree, verbatim) for each document that leaks an item.
+
+    coverage: share of the item's windows found in the document.  n_slots: placeholders in them, along the best alignment; agree:
+    of these, where the item value or the document value stands more than once, the share that follows the main mapping of both,
+    so that neither several values for one nor one for several count; 1 where no value stands twice.  verbatim: the mapping is the identity.  Null and empty texts leak
+    nothing; items of fewer than eight words are one window; items of fewer than four words that are more than marks
+    are found in documents that hold these words and no others (one window, no placeholders); rows that share an id (or have none) count as one document, of equal items one id
+    each is reported.  Either table may be empty.
     """
     with scratch() as keep:
         pairs = _matched_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, min_coverage)
-        checked = slot_check(pairs, docs, benchmark, id_col, text_col, item_col, item_text_col)
-        return keep(materialize(checked.filter(F.col("agree") >= min_agree), "found"))
+        checked = slot_check(pairs, docs, benchmark, id_col, text_col, item_col, item_text_col).filter(F.col("agree") >= min_agree)
+        tiny = benchmark.select(F.col(item_col).alias("item_id"), solid_words(text_of(item_text_col)).alias("w")).filter((F.size("w") > 0) & (F.size("w") < MIN_LITERALS)).distinct()
+        tiny = materialize(tiny, "short-items")
+        n = tiny.count()
+        if n:
+            same = docs.select(F.col(id_col).alias("doc_id"), solid_words(text_of(text_col)).alias("w"))
+            one = F.lit(1).cast("long")
+            whole = same.join(F.broadcast(tiny) if n <= BROADCAST_WINDOWS else tiny, "w").select("doc_id", "item_id").distinct()
+            checked = checked.unionByName(whole.select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), F.lit(1.0).alias("coverage"), (one - 1).alias("n_slots"), F.lit(1.0).alias("agree"), F.lit(True).alias("verbatim")))
+        return keep(materialize(checked, "found"))
 
 
 def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_coverage: float) -> DataFrame:
@@ -128,29 +144,35 @@ def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
 
 
 def slot_check(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """pairs with agree and verbatim, from the values at the placeholder positions of the best alignment."""
+    """pairs with n_slots, agree and verbatim, from the values at the placeholder positions of the best alignment.
+
+    A slot fits if its document value is the most frequent one of its item value, and the other way round."""
     text = text_of(item_text_col)
     item = benchmark.select(F.col(item_col).alias("item_id"), canonical_words(text).alias("ic"), plain_words(text).alias("iw")).dropDuplicates(["item_id"])
     words = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(pairs.select(F.col("doc_id").alias("_k")).distinct(), F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
     words = words.groupBy("_id").agg(F.max("_t").alias("_t")).select("_id", plain_words(F.col("_t")).alias("dw"))
     p = pairs.join(words, F.col("doc_id").eqNullSafe(F.col("_id"))).join(item, "item_id").drop("_id")
     covered = F.array_distinct(F.flatten(F.transform(F.col("best")["ats"], lambda a: F.sequence(a, a + (WINDOW - 1)))))
-    p = p.withColumn("_at", covered)
-    value = F.transform("_at", lambda a: F.struct(F.get(F.col("ic"), a).contains("{").alias("slot"), F.get(F.col("iw"), a).alias("i"), F.get(F.col("dw"), a - F.col("best")["back"].cast("int")).alias("d")))
-    p = p.withColumn("_all", F.filter(value, lambda v: v["slot"] & v["d"].isNotNull()))
-    p = p.withColumn("_v", F.filter("_all", lambda x: F.size(F.filter(F.col("_all"), lambda y: y["i"] == x["i"])) > 1))
-    v = F.col("_v")
-    main = F.transform(F.array_distinct(F.transform("_v", lambda x: x["i"])), lambda i: F.array_max(F.transform(F.filter(v, lambda x: x["i"] == i), lambda x: F.size(F.filter(v, lambda y: y == x)))))
-    agree = F.when(F.size("_v") > 0, F.aggregate(main, F.lit(0), lambda a, n: a + n) / F.size("_v")).otherwise(F.lit(1.0))
-    return p.withColumns({"agree": agree, "verbatim": F.forall("_all", lambda x: x["i"] == x["d"])}).select(
-        "doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), "coverage", "agree", "verbatim"
-    )
+    value = F.transform(covered, lambda a: F.struct(F.get(F.col("ic"), a).contains("{").alias("slot"), F.get(F.col("iw"), a).alias("i"), F.get(F.col("dw"), a - F.col("best")["back"].cast("int")).alias("d")))
+    pair = ["doc_id", "item_id"]
+    p = p.select(*pair, "n_matched", "n_windows", "coverage", F.explode_outer(F.filter(value, lambda v: v["slot"] & v["d"].isNotNull())).alias("v"))
+    p = p.groupBy(*pair, "n_matched", "n_windows", "coverage", "v.i", "v.d").agg(F.count("v").alias("n"))
+    best = lambda side, other: F.max(F.struct("n", other)).over(Window.partitionBy(*pair, side))[other]
+    often = lambda side: F.sum("n").over(Window.partitionBy(*pair, side)) > 1
+    p = p.withColumns({"to": best("i", "d"), "of": best("d", "i"), "tied": often("i") | often("d")}).withColumn("fits", F.when((F.col("to") == F.col("d")) & (F.col("of") == F.col("i")), F.col("n")).otherwise(0))
+    p = p.groupBy(*pair).agg(*[F.first(c).cast("long" if c != "coverage" else "double").alias(c) for c in ("n_matched", "n_windows", "coverage")], F.sum("n").alias("n_slots"), F.sum(F.when(F.col("tied"), F.col("n"))).alias("tied"), F.sum(F.when(F.col("tied"), F.col("fits"))).alias("fits"), F.min(F.coalesce(F.col("i") == F.col("d"), F.lit(True))).alias("verbatim"))
+    agree = F.when(F.col("tied") > 0, F.col("fits") / F.col("tied")).otherwise(F.lit(1.0))
+    return p.select(*pair, "n_matched", "n_windows", "coverage", "n_slots", agree.alias("agree"), "verbatim")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the documents that leak a benchmark item; the columns stay as they are."""
-    bad = materialize(find_leaks(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leak"]), "left_anti")
+    """docs without the documents that leak a benchmark item; the columns stay as they are, whatever their names.
+
+    Rows that share an id with a leaking one go with it; null texts stay; tables may be empty.
+    """
+    with scratch() as keep:
+        bad = keep(materialize(find_leaks(docs, benchmark, id_col=id_col, **kw).select("doc_id").distinct(), "leaks"))
+    return without_ids(docs, bad, id_col, "doc_id")
 
 
 def op10_template_leaks(spark, sf_dir: str) -> DataFrame:

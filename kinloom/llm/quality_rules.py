@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, load, number_table, packed, text_of, unpacked, words_of
+from .common import SPACE, load, maybe_among_ids, number_table, packed, text_of, unpacked, words_of
 
 #: Runs of word characters (all beyond ASCII included) or of ASCII punctuation; classes that Java looks up in a table.
 TOKEN = r"[^\p{Punct}\s]+|\p{Punct}+"
@@ -20,8 +20,6 @@ BUCKETS = 8192
 THRESHOLD = -0.3
 #: Good ids that go to every task (some 20 bytes each); beyond it texts that pass a filter of fixed size meet them in a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bits of that filter (16 MB).
-FILTER_BITS = 1 << 27
 
 
 def rest(values: str | Column, skip: int = 1) -> Column:
@@ -39,15 +37,6 @@ def ngram_buckets(docs: DataFrame, text: Column, buckets: int = BUCKETS) -> Data
     return hashed.withColumn("_grams", F.concat(one, two)).drop("_hashes")
 
 
-def maybe_good(d: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of d whose id may be among the good ids: all that are, and few others.  The filter is a bitmap of hashes of fixed size."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    bits = marks.groupBy(F.bitmap_bucket_number(place("good_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("good_id"))).alias("bits"))
-    at = F.bitmap_bit_position(place("id"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return d.join(F.broadcast(bits), F.bitmap_bucket_number(place("id")) == F.col("bucket")).filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("bucket", "bits")
-
-
 def fit_ratio(
     docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0, broadcast_ids: int = BROADCAST_IDS
 ) -> list[float]:
@@ -62,7 +51,7 @@ def fit_ratio(
     if marks.limit(broadcast_ids + 1).count() <= broadcast_ids:
         both = d.join(F.broadcast(marks), F.col("id") == F.col("good_id"), "left").select("t", one.alias("raw"), F.col("good_id").isNotNull().cast("long").alias("good"))
     else:
-        hits = maybe_good(d, marks).join(marks, F.col("id") == F.col("good_id"), "left_semi")
+        hits = maybe_among_ids(d, "id", marks, "good_id").filter("maybe").join(marks, F.col("id") == F.col("good_id"), "left_semi")
         both = d.select("t", one.alias("raw"), (one - 1).alias("good")).union(hits.select("t", one - 1, one))
     grams = ngram_buckets(both, F.col("t"), buckets).select("raw", "good", F.explode_outer("_grams").alias("g")).filter("g is not null")
     counts = grams.groupBy("g").agg(F.sum("raw").alias("n"), F.sum("good").alias("n_good")).collect()

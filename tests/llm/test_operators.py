@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontamination, jaccard_join, line_dedup, mixing, passage_dedup, pii, quality_classifier, quality_rules, sharding, warc
-from kinloom.llm.common import connected_components, running_totals
+from kinloom.llm.common import connected_components, maybe_among_ids, running_totals, without_ids
 from kinloom.llm.queries import oracle_sql, queries
 from kinloom.llm.shingles import set_key, shingle_set, word_hashes
 
@@ -178,7 +178,7 @@ def test_target_counts_cover_all_good_documents(spark, sf_dir):
     one, two = quality_rules.fit_ratio(docs, good), quality_rules.fit_ratio(docs, good, broadcast_ids=3)
     assert one == two and any(one)
     d, marks = docs.select(F.col("doc_id").alias("id")), good.select(F.col("doc_id").alias("good_id")).distinct()
-    passed = {r["id"] for r in quality_rules.maybe_good(d, marks).collect()}
+    passed = {r["id"] for r in maybe_among_ids(d, "id", marks, "good_id").filter("maybe").collect()}
     assert passed == {r["good_id"] for r in marks.collect()} & {r["id"] for r in d.collect()}  # the filter is nearly empty here
 
 
@@ -434,6 +434,26 @@ def test_changed_parameters(spark, odd, none):
     assert decontamination.drop_leaks(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_slots_map_one_to_one(spark):
+    q = "Take {} pears and {} plums from the basket on the table and put {} nuts in , how many pieces of fruit are there now in all ?"
+    docs = [(1, q.format(3, 5, 9)), (2, q.format(1, 2, 3)), (3, q.format(7, 7, 7)), (4, q.format(9, 5, 3)), (5, "Say PI !"), (6, "say pi or not"), (7, "what is 12 + 5 - 3 * 8 + 2 ?"), (8, "What is 7 + 7 - 7 * 7 + 7 ?")]
+    items = spark.createDataFrame([(1, q.format(3, 5, 9)), (2, "say pi"), (3, "What is 12 + 5 - 3 * 8 + 2 ?"), (4, "")], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(d, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (5, 2), (7, 3)}
+    assert got[(1, 1)]["verbatim"] and not got[(2, 1)]["verbatim"] and got[(2, 1)]["n_slots"] >= 3 and got[(2, 1)]["agree"] == 1
+    assert [r["doc_id"] for r in decontamination.drop_leaks(d, items).orderBy("doc_id").collect()] == [3, 6, 8]
+
+
+def test_without_ids(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "e")], "id int, gone string")
+    for ids, kept in (([1, 3], ["b", "c"]), ([None], ["a", "b", "d", "e"]), ([], ["a", "b", "c", "d", "e"])):
+        gone = spark.createDataFrame([(i,) for i in ids], "k int")
+        for most in (0, 10):
+            out = without_ids(d, gone, "id", "k", most)
+            assert out.columns == d.columns and sorted(r["gone"] for r in out.collect()) == kept
+
+
 def test_leaks_in_other_case(spark):
     q = "Anna Berg and Otto Lind walk from Graz to Linz . Then Anna Berg asks Otto Lind how far Graz is from Wels , and Otto Lind says twice as far as Linz ."
     short = "Which River Runs Through Linz ?"
