@@ -1,14 +1,17 @@
 """Operator 1: mixing sources to target weights by entropy balancing.
 
-Every source gets a share of all tokens; the rate of each document is the exponential tilt exp(lambda_source) that is
-closest (in relative entropy of token mass) to the corpus as it stands and meets the token constraints.  The dual is convex
-and is solved by Newton steps whose gradient and curvature are distributed sums.  Rates become whole copies by carrying
-the rounding error from the smallest to the largest document of a source; what is left, less than one large document, goes to
-the smallest documents, so that a source misses its target by about one small document.
+Every source gets a share of all tokens.  Among all rates of documents that meet the token constraints, entropy balancing takes
+those nearest to the corpus as it stands (relative entropy, every document weighing one): the rate of a document of size z is
+the exponential tilt exp(lambda_source * z / mean size), at most the copies allowed.  The dual is convex and has no closed form;
+safeguarded Newton steps solve it, whose gradient and curvature are distributed sums over all sizes.  Rates become whole copies
+by carrying the rounding error from the smallest to the largest document of a source; what is left, less than one large document,
+goes to the smallest documents, so that a source misses its target by about one small document.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,31 +48,46 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeat: float
     return s.select("source", "source_size", target.alias("target"))
 
 
-def balance(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-10, max_steps: int = 60) -> DataFrame:
-    """(source, lam): Newton's method on sum(n * size * exp(lam_source)) - lam_source * target, over (source, size, n) cells.
+def tilted(lam: Column, size: Column, scale: Column, max_repeat: float) -> Column:
+    """The rate of a document of that size."""
+    return F.exp(F.least(lam * size / scale, F.lit(math.log(max_repeat))))
+
+
+def balance(cells: DataFrame, targets: DataFrame, max_repeat: float = MAX_REPEAT, tolerance: float = 1e-9, max_steps: int = 200) -> DataFrame:
+    """(source, scale, lam): Newton's method on sum(n * size * rate(lam, size)) = target for every source, over (source, size, n) cells.
 
-    A source without tokens keeps lam = 0.  Each step sums gradient and curvature over the cells and reports one number.
+    A source without tokens keeps lam = 0 (rate 1), one that ends at the most copies allowed takes them all.  A step that leaves
+    the interval known to hold the root halves it instead, or doubles where one side is open.  Each step sums mass and
+    slope over the cells and reports one number; lam is rounded, so that the order of sums does not show.
     """
-    aim = targets.select("source", "target")
-    lam = materialize(targets.select("source", F.lit(0.0).alias("lam")), "dual")
+    n = cells.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("docs"))
+    at_most = F.col("target") >= F.col("source_size") * (max_repeat * (1 - 1e-12))
+    start = targets.join(n, F.col("source").eqNullSafe(F.col("s"))).select(
+        "source", "target", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)).alias("scale"), ((F.col("source_size") > 0) & ~at_most).alias("free"),
+        F.when(F.col("source_size") <= 0, 0.0).when(at_most, 1e12).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("lam"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+    )
+    state = materialize(start, "dual")
     for _ in range(max_steps):
-        mass = (
-            cells.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source", "lam")
-            .agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("mass"))
-            .withColumnRenamed("source", "s")
-        )
-        step = mass.join(aim, F.col("source").eqNullSafe(F.col("s"))).select(
-            "source",
-            F.when((F.col("mass") > 0) & (F.col("target") > 0), F.col("lam") - (F.col("mass") - F.col("target")) / F.col("mass")).otherwise(F.col("lam")).alias("lam"),
-            F.when(F.col("target") > 0, F.abs(F.col("mass") / F.col("target") - 1)).otherwise(F.lit(0.0)).alias("miss"),
-        )
-        new = materialize(step, "dual")
-        release(lam)
-        lam, miss = new, new.agg(F.max("miss")).first()[0]
+        known = F.broadcast(state.withColumnRenamed("source", "s"))  # one row per source
+        rate = tilted(F.col("lam"), F.col("size"), F.col("scale"), max_repeat)
+        part = F.col("n") * F.col("size") * rate
+        sums = cells.join(known, F.col("source").eqNullSafe(F.col("s"))).filter("free").groupBy("s").agg(
+            F.sum(part).alias("mass"), F.sum(F.when(rate < max_repeat * (1 - 1e-12), part * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")
+        )
+        d = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+        over = F.col("mass") > F.col("target")
+        d = d.withColumns({"miss": F.coalesce(F.abs(F.col("mass") / F.col("target") - 1), F.lit(0.0)), "lo": F.when(over, F.col("lo")).otherwise(F.col("lam")), "hi": F.when(over, F.col("lam")).otherwise(F.col("hi"))})
+        step = F.col("lam") - (F.col("mass") - F.col("target")) / F.col("slope")
+        inside = (F.col("slope") > 0) & (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi")))
+        else_ = F.when(F.col("lo").isNull(), F.least("hi", F.lit(0.0)) * 2 - 1).when(F.col("hi").isNull(), F.greatest("lo", F.lit(0.0)) * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
+        new = d.select("source", "target", "scale", "free", F.when(F.col("miss") <= tolerance, F.col("lam")).when(inside, step).otherwise(else_).alias("lam"), "lo", "hi", "miss")
+        new = materialize(new, "dual")
+        release(state)
+        miss, state = new.agg(F.max("miss")).first()[0], new.drop("miss")
         if miss is None or miss <= tolerance:
-            break
-    return lam.select("source", "lam")
+            return new.select("source", "scale", F.round("lam", 9).alias("lam"))
+    raise RuntimeError(f"a source still misses its target by {miss} after {max_steps} steps")
 
 
 #: Cells (distinct pairs of source and size, about 60 bytes each) up to which the plan is broadcast; beyond it the join shuffles.
@@ -110,17 +128,17 @@ def mixing_plan(units: DataFrame, weights: tuple = WEIGHTS, max_repeat: float =
     """
     cells = materialize(units.groupBy("source", "size").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("units")), "cells")
     targets = materialize(source_targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, max_repeat), "targets")
-    lam = balance(cells, targets)
-    tilt = F.exp("lam") * F.when(F.col("target") > 0, 1).otherwise(0)
-    rates = targets.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(tilt, F.lit(float(max_repeat)))).otherwise(F.lit(1.0)).alias("rate")
-    )
+    lam = balance(cells, targets, max_repeat)
+    rates = targets.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "scale", "lam")
     by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    frac = F.col("rate") - F.floor("rate")
-    upto = F.sum("units").over(by_size)
-    even = F.floor(frac * upto + 0.5) - F.floor(frac * (upto - F.col("units")) + 0.5)
+    cells = cells.withColumn("rate", F.least(F.round(tilted(F.col("lam"), F.col("size"), F.col("scale"), max_repeat), 9), F.lit(float(max_repeat))))
     whole = F.floor("rate") * F.col("units")
+    cells = cells.withColumn("upto", F.sum((F.col("rate") - F.floor("rate")) * F.col("units")).over(by_size))
+    before = F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0.0))
+    even = F.floor(F.col("upto") + 0.5) - F.floor(before + 0.5)
+    cells = cells.withColumn("even", F.greatest(F.lit(0), F.least(even, F.col("units"))))
+    even = F.col("even")
     cells = cells.withColumns({"per": F.col("size") * F.col("n") / F.col("units"), "low": whole, "high": whole + F.when(F.col("rate") < max_repeat, F.col("units")).otherwise(0), "total": whole + even})
     # what whole copies miss by (less than a large document) goes to the smallest documents, first to those that can take or give
     # one copy, then, in sources of a few documents, to any that stay between none and the most copies

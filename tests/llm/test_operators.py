@@ -87,6 +87,28 @@ def test_mixing(spark, sf_dir, corpus):
         assert abs(taken[s] - target[s]) <= max(20, 0.03 * target[s], 0.5 * largest[s])
 
 
+def test_balance_solves_the_dual(spark):
+    rows = [("a", z, 3 + z % 5) for z in range(1, 400, 7)] + [("b", z, 2) for z in (1, 10, 5000)] + [("c", 0, 5)] + [(None, 4, 10)] + [("d", z, 1) for z in (10, 20)]
+    cells = spark.createDataFrame(rows, "source string, size long, n long")
+    size = defaultdict(int)
+    for s, z, n in rows:
+        size[s] += z * n
+    aims = {"a": 0.3 * size["a"], "b": 2.9 * size["b"], "c": 0.0, None: 3.0 * size[None], "d": 1.0 * size["d"]}
+    targets = spark.createDataFrame([(s, size[s], float(t)) for s, t in aims.items()], "source string, source_size long, target double")
+    got = {r["source"]: (r["scale"], r["lam"]) for r in mixing.balance(cells, targets).collect()}
+    for s in aims:
+        mine = [(z, n) for x, z, n in rows if x == s]
+        scale = max(1e-9, sum(z * n for z, n in mine) / sum(n for _, n in mine))
+        mass = lambda lam: sum(n * z * min(3.0, np.exp(min(lam * z / scale, 2))) for z, n in mine)
+        assert got[s][0] == pytest.approx(scale) and mass(got[s][1]) == pytest.approx(aims[s], rel=1e-6)
+    low, high = -50.0, 0.0  # plain bisection for one of them
+    z_n = [(z, n) for x, z, n in rows if x == "a"]
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(n * z * np.exp(mid * z / got["a"][0]) for z, n in z_n) > aims["a"] else (mid, high)
+    assert got["a"][1] == pytest.approx(low, abs=1e-6) and got["d"][1] == pytest.approx(0, abs=1e-8)
+
+
 def test_mixing_caps_and_odd_rows(spark, odd, none):
     d = spark.createDataFrame([(i, "w " * n, "en", s, 1) for i, (n, s) in enumerate([(1000, "b")] + [(1, "a")] * 5 + [(10, None)] * 4)], SCHEMA)
     plan = mixing.mixing_plan(mixing.document_sizes(d))
