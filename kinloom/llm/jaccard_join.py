@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, maybe_among, release, scratch, small_batches, without_rows
+from .common import connected_components, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked, without_rows
 from .shingles import Forest, SKETCH, mix, set_key, shingle_set, sketch, stream_groups
 
 THRESHOLD = 0.8
@@ -255,23 +255,26 @@ def _finish(rows: DataFrame, copies: DataFrame, members: DataFrame) -> DataFrame
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs with one document (the least id) of each class; the columns stay as they are.
+    """docs with one document (the least id) of each class; the columns stay as they are, whatever their names.
 
-    Documents without words all stay.  Among rows that repeat the least id one stays.
+    Documents without words all stay.  Among rows that repeat the least id one stays.  Tables may be empty, ids null.
     """
-    found = near_duplicates(docs, id_col, text_col, **kw)
-    best = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    if found.select("doc_id").distinct().count() == found.count():
-        return without_rows(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))), id_col, "doc_id")
+    with scratch() as keep:
+        found = near_duplicates(docs, id_col, text_col, **kw)
+        own = F.col("doc_id").eqNullSafe(F.col("class_id"))
+        unique = found.select("doc_id").distinct().count() == found.count()
+        decided = keep(materialize(found.filter(~own).select("doc_id") if unique else found.filter(own).select("doc_id", F.col("key").alias("own_key")).distinct(), "decided"))
+    if unique:
+        return without_rows(docs, decided, id_col, "doc_id")
 
     @F.pandas_udf("string")
     def key(texts: pd.Series) -> pd.Series:
         return pd.Series([set_key(shingle_set(t)) for t in texts], dtype="object")
 
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
-    kept = docs.withColumn("_row_key", key(F.col(text_col).cast("string"))).join(best.distinct(), on, "left_semi")
-    blank = kept.filter(F.col("_row_key") == "")
-    return kept.filter(F.col("_row_key") != "").dropDuplicates([id_col, "_row_key"]).union(blank).drop("_row_key")
+    d = packed(docs, id=F.col(id_col), row_key=key(F.col(text_col).cast("string")))
+    kept = d.join(decided, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("own_key")), "left_semi")
+    some = kept.filter(F.col("row_key") != "").dropDuplicates(["id", "row_key"])
+    return unpacked(some.unionByName(kept.filter(F.col("row_key") == "")), docs.columns)
 
 
 def op4_chosen_path_join(spark, sf_dir: str) -> DataFrame:

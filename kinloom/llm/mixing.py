@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, materialize, release, scratch, text_of, words_of
+from .common import load, materialize, packed, release, scratch, text_of, unpacked, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
@@ -174,16 +174,19 @@ def with_copies(sized: DataFrame, plan: DataFrame, id_col: str = "doc_id", sourc
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """docs with each row repeated as often as the plan says (not at all where it takes none); the columns stay as they are.
+    """docs with each row repeated as often as the plan says (not at all where it takes none); the columns stay as they are,
+    whatever their names.
 
-    Documents of no words carry no tokens of any source and stay once.
+    Documents of no words (null texts among them) carry no tokens of any source and stay once.  Null sources are one source;
+    rows that repeat an id, a source and a size get equal copies; an empty table gives no rows.
     """
-    inner = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words_of(text_of(text_col))).cast("long").alias("_size"))
     with scratch() as keep:
         plan = keep(mixing_plan(document_sizes(docs, id_col, text_col, source_col), **kw))
-    taken = with_copies(inner, plan, "_id", "_source", "_size")
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
-    return taken.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    d = packed(docs, doc_id=F.col(id_col), source=F.col(source_col), size=F.size(words_of(text_of(text_col))).cast("long"))
+    taken = with_copies(d, plan)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    taken = taken.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return unpacked(taken, docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

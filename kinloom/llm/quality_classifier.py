@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, text_of
+from .common import load, packed, small_batches, text_of, unpacked, words_of
 
 PASSAGE_WORDS = 64
 TRIGRAMS = 256
@@ -147,28 +147,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> dict:
     """The model, from at most sample_docs labelled documents with at most sample_passages passages, in the order of a hash.
 
-    Null labels are left out; several labels of one id count by their mean; without any label every score is 0.5.
-    The sample is encoded on the executors; its features, 528 bytes a passage, come to the driver.
+    Null labels are left out; several labels of one id count by their mean, several rows of one id by their shortest text;
+    without any label every score is 0.5.  The sample is encoded on the executors; its features, 532 bytes a passage, come to the driver.
     """
-    means = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("y"))
-    chosen = means.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "_id")  # sample_docs rows at most
+    means = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(label_col).alias("y"))
+    chosen = means.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))  # sample_docs rows at most
+    # one text per id; sizes come first, so that only the features of passages within the bound are gathered
+    passages = F.greatest(F.lit(1), F.ceil(F.size(words_of(F.col("t"))) / PASSAGE_WORDS))
+    sizes = found.groupBy("id", "y").agg(F.min(F.struct(passages.alias("n"), F.xxhash64("t").alias("sum"))).alias("x")).select("id", "y", "x.n", "x.sum").collect()
+    used, fit_ids = 0, []
+    for r in sorted(sizes, key=lambda r: (hash_of(str(r["id"])), str(r["id"]))):
+        if used + r["n"] <= sample_passages:
+            used += r["n"]
+            fit_ids.append((r["id"], r["sum"], r["y"]))
 
     def bags(batches):
         for p in batches:
-            made = [np.concatenate(list(encode(t))).astype(np.float16) for t in p["t"]]
-            yield pd.DataFrame({"id": p["_id"].astype(str), "y": p["y"], "n": [len(b) for b in made], "x": [b.tobytes() if len(b) <= sample_passages else b"" for b in made]})
+            yield pd.DataFrame({"id": p["id"].astype(str), "y": p["y"], "x": [np.concatenate(list(encode(t))).astype(np.float16).tobytes() for t in p["t"]]})
 
-    rows = sorted(found.mapInPandas(bags, "id string, y double, n long, x binary").collect(), key=lambda r: (hash_of(r["id"]), r["id"], r["n"]))
-    used, taken = 0, []
-    for r in rows:
-        if r["x"] and used + r["n"] <= sample_passages:
-            used += r["n"]
-            taken.append(r)
+    taken = []
+    if fit_ids:
+        some = docs.sparkSession.createDataFrame(fit_ids, f"fit_id {docs.schema[id_col].dataType.simpleString()}, fit_sum long, y double")
+        some = texts.join(F.broadcast(some), (F.col("id") == F.col("fit_id")) & (F.xxhash64("t") == F.col("fit_sum"))).dropDuplicates(["id"])
+        taken = sorted(some.mapInPandas(bags, "id string, y double, x binary").collect(), key=lambda r: (hash_of(r["id"]), r["id"]))
     if not taken:
         return train(np.zeros((1, WIDTH), np.float32), np.array([0]), np.array([0.5]))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in taken), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    starts = np.concatenate(([0], np.cumsum([r["n"] for r in taken])[:-1]))
+    starts = np.concatenate(([0], np.cumsum([len(r["x"]) // (2 * WIDTH) for r in taken])[:-1]))
     return train(x, starts, np.array([float(r["y"] >= 0.5) for r in taken]))
 
 
@@ -179,7 +186,10 @@ def hash_of(text: str) -> int:
 
 
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs plus the score of every document, 0 to 1; null and blank texts get the score of an empty passage."""
+    """docs plus the score of every document, 0 to 1, in a column that replaces one of its name.
+
+    Null and blank texts get the score of an empty passage; repeated rows get equal scores; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -207,9 +217,13 @@ def passage_weights(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", **kw) -> DataFrame:
-    """The documents whose score reaches the threshold; the columns stay as they are."""
+    """The documents whose score reaches the threshold; the columns stay as they are, whatever their names.
+
+    Null and blank texts are judged as an empty passage, repeated rows alike; tables may be empty.
+    """
     model = fit(docs, labels, text_col=text_col, **kw)
-    return score_documents(docs, model, text_col, "_score").filter(F.col("_score") >= threshold).drop("_score")
+    scored = score_documents(packed(docs, text=F.col(text_col).cast("string")), model, "text")
+    return unpacked(scored.filter(F.col("score") >= threshold), docs.columns)
 
 
 def op9_attention_mil(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,3 +131,60 @@ def repeated_lines(docs, least=8):
                 out.append((i, j))
         runs[row] = out
     return runs
+
+
+class Page(HTMLParser):
+    """Text, title and links of a well-formed page, by the standard library's parser."""
+
+    BLOCK = "address article aside blockquote body br center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.titles, self.hidden, self.inside = [], [], [], [], False
+        self.feed(page)
+        self.close()
+        clean = lambda t: re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", t.replace("\xa0", " "))).strip(" \n")
+        self.text, self.title = clean("".join(self.out)), clean("".join(self.titles))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template"):
+            self.hidden.append(tag)
+        elif not self.hidden:
+            self.out += ["\n"] * (tag in self.BLOCK)
+            self.links += [v for k, v in attrs[:] if tag == "a" and k == "href"][:1]
+            self.inside |= tag == "title"
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            if tag == self.hidden[0]:
+                self.hidden = []
+                self.out.append(" ")
+        else:
+            self.out += ["\n"] * (tag in self.BLOCK)
+            self.inside &= tag != "title"
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+            self.titles += [data] * self.inside
+
+    def handle_comment(self, data):
+        if not self.hidden:
+            self.out.append(" ")
+
+
+def mil_score(m, passages):
+    """Gated attention over the features of passages, number by number."""
+    import math
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    total, mean = 0.0, [0.0] * len(m["b1"])
+    for x in passages:
+        h = [max(0.0, sum(float(a) * float(w) for a, w in zip(x, m["w1"][:, k], strict=True)) + float(m["b1"][k])) for k in range(len(mean))]
+        e = 0.0
+        for j in range(len(m["a"])):
+            t, g = (sum(h[k] * float(m[n][k, j]) for k in range(len(h))) for n in ("v", "u"))
+            e += math.tanh(t) * sig(g) * float(m["a"][j])
+        total += math.exp(e)
+        mean = [a + math.exp(e) * b for a, b in zip(mean, h, strict=True)]
+    return sig(sum(a / total * float(w) for a, w in zip(mean, m["w"], strict=True)) + float(m["b"][0]))

@@ -372,6 +372,35 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.derive(warc.page_responses(pages.limit(0))).count() == 0
 
 
+def test_markup_as_the_standard_parser(spark, sf_dir):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r["html"]]
+    r = np.random.default_rng(8)
+    bits = ["word ", "two words", "<p>", "</p>", "<b class='x>y'>", "</b>", "<br/>", "<!-- a <p> -->", "<script>if (a<b) {'</p>'}</script>", "<a href=\"/q?a=1&amp;b=2\" title='t'>", "</a>", "&eacute;&#233;&nbsp;", "\n", "<li>", "a < b", "<STYLE>p{}</STYLE >", "<td data-href='no'>"]
+    pages += ["<title>T &amp; U</title>" + "".join(bits[k] for k in r.integers(0, len(bits), 40)) for _ in range(300)]
+    for page in pages:
+        want = brute.Page(page)
+        assert warc.read_markup(page) == (want.text, want.title, want.links), page
+
+
+def test_unclosed_markup_takes_linear_time():
+    import time
+
+    for bit in ("<!-- ", "<", "<script>", "<a href=\"", "<p title='", "<p '\"", "<title>", "<b>'", "<i \">"):
+        start = time.time()
+        text, title, links = warc.read_markup("before " + bit * (2_000_000 // len(bit)))
+        assert time.time() - start < 10 and text.startswith("before"), bit
+    assert warc.read_markup("a<!-- b") == ("a", "", []) and warc.read_markup("a<script>b") == ("a", "", []) and warc.read_markup("a<b c") == ("a<b c", "", [])
+    assert warc.read_markup("") == ("", "", []) and warc.read_markup("x<p a=\"1>2</p>3") == ("x\n2\n3", "", [])
+
+
+def test_version_line_inside_a_block(spark, tmp_path):
+    blocks = ["plain", "one WARC/1.0\r\ntwo\r\n\r\nthree", "WARC/1.0\r\nWARC/1.0\r\n", "", "last WARC/1.0\r\nWARC-Type: x\r\nContent-Length: 3\r\n\r\nabc é"]
+    d = spark.createDataFrame([(f"r{k}", b, len(b.encode())) for k, b in enumerate(blocks)], "record_id string, block string, content_length long").coalesce(1)
+    warc.write_warc(d, str(tmp_path / "v"), "none")
+    got = {r["headers"]["warc-record-id"]: (r["block"], r["complete"]) for r in warc.read_warc(spark, str(tmp_path / "v")).collect()}
+    assert got == {f"r{k}": (b, True) for k, b in enumerate(blocks)}
+
+
 # ---- 8 lines ---------------------------------------------------------------------------------------------------------------
 
 LINES = [
@@ -428,6 +457,10 @@ def test_classifier(spark, sf_dir, odd, none):
         scored = quality_classifier.score_documents(odd, model, out="s").collect()
         assert len(scored) == len(ODD) and all(0 <= r["s"] <= 1 for r in scored)
     assert quality_classifier.keep_good(none, good).count() == 0
+    for t in (LONG, "", "a few words é"):
+        assert quality_classifier.score_text(model, t) == pytest.approx(brute.mil_score(model, np.concatenate(list(quality_classifier.encode(t)))), rel=1e-4)
+    again = quality_classifier.fit(odd, spark.createDataFrame([(1, 1), (5, 0), (6, 1)], "doc_id long, quality int"), sample_passages=50)
+    assert all(np.isfinite(v).all() for v in again.values())  # one of the two long texts does not fit
     parts = quality_classifier.passage_weights(odd, model).groupBy("doc_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
     assert all(r["w"] == pytest.approx(2 if r["doc_id"] == 1 else 1) for r in parts) and {r["doc_id"]: r["n"] for r in parts}[5] == 47
 
