@@ -159,7 +159,7 @@ class Paragraphs:
 
 
 def meeting_filter(docs: DataFrame, bands: int, rows: int) -> np.ndarray:
-    """Bit filter of the keys of pieces and lines that occur twice, and of the bands that different lines or windows share."""
+    """Bit filter of the keys of pieces and lines that occur twice, and of the bands that different lines or windows of two places share."""
 
     def count(batches):
         for p in batches:
@@ -167,8 +167,14 @@ def meeting_filter(docs: DataFrame, bands: int, rows: int) -> np.ndarray:
             equal, n = np.unique(np.concatenate([x.keys[x.exact()] for x in made]), return_counts=True)
             band = np.concatenate([x.bands.ravel() for x in made])
             key = np.concatenate([np.repeat(x.keys[x.long], bands) for x in made]).view(np.int64)
-            order = np.argsort(band, kind="stable")
-            band, key = band[order], key[order]
+            start = np.concatenate([np.repeat(x.starts[x.long], bands) for x in made])
+            doc = np.repeat(np.arange(len(made)), [x.bands.size for x in made])
+            order = np.lexsort((key, start, doc, band))
+            band, key, start, doc = band[order], key[order], start[order], doc[order]
+            # overlapping windows of one text share most shingles and so bands: the first of a chain stands for it
+            chained = np.zeros(len(band), bool)
+            chained[1:] = (band[1:] == band[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] - start[:-1] < WIDE)
+            band, key = band[~chained], key[~chained]
             at = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
             yield pd.DataFrame({"band": equal.view(np.int64), "n": n, "low": 0, "high": 0})
             if len(at):
