@@ -104,3 +104,27 @@ def mime_of(name: Column) -> Column:
     for k, v in known.items():
         out = F.when(ext == k, v).otherwise(out)
     return out
+
+
+def full_name(given: Column, surname: Column) -> Column:
+    name = F.trim(F.concat_ws(" ", F.trim(F.coalesce(given, F.lit(""))), F.trim(F.coalesce(surname, F.lit("")))))
+    return F.when(name == "", "(unnamed)").otherwise(name)
+
+
+def short_label(value: Column, most: int) -> Column:
+    """The trimmed value, cut to so many characters with an ellipsis as the last."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(F.length(v) <= most, v).otherwise(F.concat(F.left(v, F.lit(max(1, most - 1))), F.lit("…")))
+
+
+def life_span(birth: Column, death: Column) -> Column:
+    """The two dates with a dash between, ? for one that is missing, nothing where both are."""
+    b, d = (F.trim(F.coalesce(x, F.lit(""))) for x in (birth, death))
+    known = lambda x: F.when(x == "", "?").otherwise(x)
+    return F.when((b == "") & (d == ""), "").otherwise(F.concat(known(b), F.lit(" – "), known(d)))
+
+
+def node_lines(given: Column, surname: Column) -> Column:
+    """The lines of a person's label: both names, or one line of what there is."""
+    g, s = short_label(given, 14), short_label(surname, 14)
+    return F.when((g != "") & (s != ""), F.array(g, s)).otherwise(F.array(short_label(full_name(given, surname), 18)))

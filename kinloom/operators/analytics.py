@@ -38,6 +38,17 @@ def top_values(d: DataFrame, column: str, limit: int = 15) -> DataFrame:
     return some.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(limit)
 
 
+def top_surnames_with_unknown(t: Tables, limit: int = 10) -> DataFrame:
+    """Most frequent surnames, blanks counted as Unknown; ties by value."""
+    name = F.coalesce(F.nullif(F.col("surname"), F.lit("")), F.lit("Unknown"))
+    return t.persons.groupBy(name.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(limit)
+
+
+def recently_added(d: DataFrame, limit: int = 10, order: str = "created_at") -> DataFrame:
+    """The newest rows first, those without a time last, ties by id."""
+    return d.orderBy(F.desc_nulls_last(order), "id").limit(limit)
+
+
 def children_per_family(t: Tables) -> DataFrame:
     return t.family_children.groupBy("family_id").agg(F.count(F.lit(1)).alias("children"))
 
@@ -96,6 +107,13 @@ def surname_groups(t: Tables) -> DataFrame:
     return t.persons.groupBy(name.alias("surname")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def surname_members(t: Tables) -> DataFrame:
+    """(surname, id, n): every person with its group and the group's size, as rows, so that no list grows with a name."""
+    name = F.coalesce(F.nullif(F.col("surname"), F.lit("")), F.lit("Unknown"))
+    p = t.persons.select(name.alias("surname"), "id")
+    return p.join(p.groupBy("surname").agg(F.count(F.lit(1)).alias("n")), "surname")
+
+
 def birth_centuries(t: Tables) -> DataFrame:
     year = F.nullif(F.regexp_extract(F.coalesce("birth_date", F.lit("")), "([0-9]{4})", 1), F.lit("")).cast("int")
     return t.persons.select((F.floor(year / 100) * 100).cast("int").alias("century")).filter("century is not null").groupBy("century").agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans.tables import Tables
 from .search import node_quality, person_summary
 
@@ -14,17 +17,17 @@ MAX_DEPTH = 5
 def neighbourhood(t: Tables, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(id, distance) of persons within depth steps (at most 5) of the root ids, over parent and child edges in both ways.
 
-    One join per step; only the frontier of the last step is expanded, and least distances are kept.
+    Every step walks on from the distinct persons of the last one; the least step that reaches a person is its distance.  So a step
+    adds one join to the plan, and equal exchanges of later steps are reused.
     """
     r = t.relationships
     way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b")
-    seen = frontier = roots.select("id").distinct().withColumn("distance", F.lit(0))
-    for step in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
-        reached = edges.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step))
-        seen = seen.unionByName(frontier)
-    return seen
+    edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b").distinct()
+    walked = [roots.select("id").distinct()]
+    for _ in range(max(0, min(depth, MAX_DEPTH))):
+        walked.append(edges.join(walked[-1].select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct())
+    steps = [d.withColumn("distance", F.lit(k)) for k, d in enumerate(walked)]
+    return reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min("distance").alias("distance"))
 
 
 def families_touching(t: Tables, persons: DataFrame) -> DataFrame:
@@ -37,8 +40,7 @@ def families_touching(t: Tables, persons: DataFrame) -> DataFrame:
 def graph_nodes(t: Tables, persons: DataFrame) -> DataFrame:
     """(node, kind, label, quality) of the persons and of the families they are spouses in."""
     p = node_quality(person_summary(t.persons.join(persons.select("id"), "id", "left_semi")))
-    name = F.trim(F.concat_ws(" ", F.trim("given"), F.trim("surname")))
-    people = p.select(F.concat(F.lit("person_"), "id").alias("node"), F.lit("person").alias("kind"), F.when(name == "", "(unnamed)").otherwise(name).alias("label"), "quality")
+    people = p.select(F.concat(F.lit("person_"), "id").alias("node"), F.lit("person").alias("kind"), X.full_name(F.col("given"), F.col("surname")).alias("label"), "quality")
     fams = families_touching(t, persons).select(F.concat(F.lit("family_"), "id").alias("node"), F.lit("family").alias("kind"), F.coalesce("marriage_date", F.lit("")).alias("label"), F.lit(None).cast("string").alias("quality"))
     return people.unionByName(fams)
 
@@ -65,14 +67,20 @@ def one_hop(t: Tables, person_id: int) -> DataFrame:
 
 
 def family_detail(t: Tables, family_id: int) -> DataFrame:
-    """One row: both spouses, the children's ids and the number of notes and media links of a family."""
+    """One row: both spouses, the children's ids, the notes (id, text; by id) and the number of media links of a family."""
     f = t.families.filter(F.col("id") == family_id)
     names = t.persons.select("id", F.concat_ws(" ", "given", "surname").alias("name"))
     h, w = (names.withColumnsRenamed({"id": f"{r}_person_id", "name": r}) for r in ("husband", "wife"))
     kids = t.family_children.filter(F.col("family_id") == family_id).groupBy(F.col("family_id").alias("id")).agg(F.array_sort(F.collect_list("child_person_id")).alias("children"))
     media = t.media_links.filter(F.col("family_id") == family_id).groupBy(F.col("family_id").alias("id")).agg(F.count(F.lit(1)).alias("media"))
+    own = t.notes if "family_id" in t.notes.columns else t.notes.withColumn("family_id", F.lit(None).cast("int"))
+    notes = own.filter(F.col("family_id") == family_id).groupBy(F.col("family_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("note_id"), F.col("note_text").alias("text")))).alias("notes"))
+    f = f.join(notes, "id", "left")
     out = f.join(h, "husband_person_id", "left").join(w, "wife_person_id", "left").join(kids, "id", "left").join(media, "id", "left")
-    return out.select("id", "husband", "wife", "marriage_date", "marriage_place", F.coalesce("children", F.array().cast("array<int>")).alias("children"), F.coalesce("media", F.lit(0)).alias("media"))
+    return out.select(
+        "id", "husband", "wife", "marriage_date", "marriage_place", F.coalesce("children", F.array().cast("array<int>")).alias("children"), F.coalesce("media", F.lit(0)).alias("media"),
+        F.coalesce("notes", F.array().cast("array<struct<note_id:int,text:string>>")).alias("notes"),
+    )
 
 
 def parent_edges(t: Tables) -> DataFrame:

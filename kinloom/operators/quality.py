@@ -111,21 +111,24 @@ def duplicate_media_links(t: Tables) -> DataFrame:
 def asset_candidates(t: Tables, least: float = 0.92) -> DataFrame:
     """Pairs of assets whose file names start alike and are of lengths that can be similar enough."""
     m = t.media_assets.select("id", F.col("original_filename").alias("file"), X.norm_filename(F.col("original_filename")).alias("norm"), F.col("size_bytes").alias("size")).filter("norm <> ''")
-    m = m.withColumn("block", F.substring("norm", 1, 4))
-    a, b = (m.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "file", "norm", "size")]) for s in "ab")
-    return a.join(b, "block").filter((F.col("id_a") < F.col("id_b")) & can_reach(F.col("norm_a"), F.col("norm_b"), least) & common_letters(F.col("norm_a"), F.col("norm_b"), least))
+    m = m.withColumns({"block": F.substring("norm", 1, 4), "letters": letters(F.col("norm"))})
+    a, b = (m.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "file", "norm", "size", "letters")]) for s in "ab")
+    pairs = a.join(b, "block").filter((F.col("id_a") < F.col("id_b")) & can_reach(F.col("norm_a"), F.col("norm_b"), least))
+    return pairs.filter(common_letters(F.col("letters_a"), F.col("letters_b"), F.length("norm_a") + F.length("norm_b"), least)).drop("letters_a", "letters_b")
 
 
-def common_letters(a: Column, b: Column, least: float) -> Column:
-    """False only where the characters that two strings share keep the ratio under least: a bound of all matching blocks."""
-    shared = F.lit(0)
-    for ch in "abcdefghijklmnopqrstuvwxyz0123456789 ,":
-        shared = shared + F.least(_times(a, ch), _times(b, ch))
-    return 2 * shared >= F.lit(least) * (F.length(a) + F.length(b))
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 ,"
 
 
-def _times(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+def letters(s: Column) -> Column:
+    """How often each character of the alphabet stands in a string: taken once a string, before pairs are made."""
+    return F.array(*[F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit(""))) for ch in ALPHABET])
+
+
+def common_letters(a: Column, b: Column, total: Column, least: float) -> Column:
+    """False only where the characters that two strings share (by their letters) keep the ratio under least: a bound of all matching blocks."""
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 2 * shared >= F.lit(least) * total
 
 
 def duplicate_media_assets(t: Tables) -> DataFrame:
@@ -165,12 +168,12 @@ def place_candidates(t: Tables, least: float = 0.8) -> DataFrame:
     top = (2 - least) / least
     c = place_counts(t).filter("norm <> ''").withColumn("len", F.length("norm"))
     band = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(top))).cast("int")
-    c = c.select("value", "n", "first", "norm", "len", band.alias("band"))
-    sides = lambda d, s: d.select("band", *[F.col(x).alias(f"{x}_{s}") for x in ("value", "n", "first", "norm", "len")])
+    c = c.select("value", "n", "first", "norm", "len", letters(F.col("norm")).alias("letters"), band.alias("band"))
+    sides = lambda d, s: d.select("band", *[F.col(x).alias(f"{x}_{s}") for x in ("value", "n", "first", "norm", "len", "letters")])
     near = c.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     pairs = sides(c, "a").join(sides(near, "b"), "band").filter((F.col("norm_a") != F.col("norm_b")) & can_reach(F.col("norm_a"), F.col("norm_b"), least))
     before = F.struct(F.lower("value_a"), F.col("first_a")) < F.struct(F.lower("value_b"), F.col("first_b"))
-    return pairs.filter(before & common_letters(F.col("norm_a"), F.col("norm_b"), least))
+    return pairs.filter(before & common_letters(F.col("letters_a"), F.col("letters_b"), F.col("len_a") + F.col("len_b"), least)).drop("letters_a", "letters_b")
 
 
 def similar_places(t: Tables) -> DataFrame:
@@ -292,12 +295,25 @@ def run_detection(t: Tables, kinds: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.lit("open"))
 
 
-def number_issues(found: DataFrame) -> DataFrame:
-    """Issue ids by detector, entity ids and explanation.  Ranks inside a detector run in parallel; offsets are one row each."""
-    sizes = found.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select("rank", (F.sum("n").over(Window.orderBy("rank")) - F.col("n")).alias("ahead"))
-    order = Window.partitionBy("rank").orderBy("entity_ids", "explanation_json")
-    return found.join(F.broadcast(ahead), "rank").withColumn("id", F.col("ahead") + F.row_number().over(order)).drop("ahead", "rank")  # one row per detector
+def number_issues(found: DataFrame, after: int = 0) -> DataFrame:
+    """Issue ids from after + 1 on, by detector, entity ids and explanation.
+
+    Blocks of 10,000 first entity ids are numbered side by side; the number of issues ahead of each block is one row a block.
+    """
+    block = F.coalesce(F.floor(F.try_element_at("entity_ids", F.lit(1)) / 10_000), F.lit(-1)).cast("long")
+    d = found.withColumn("block", block)
+    sizes = d.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("rank", "block", (F.sum("n").over(Window.orderBy("rank", "block")) - F.col("n")).alias("ahead"))
+    order = Window.partitionBy("rank", "block").orderBy("entity_ids", "explanation_json")
+    return d.join(ahead, ["rank", "block"]).withColumn("id", F.lit(after) + F.col("ahead") + F.row_number().over(order)).drop("ahead", "rank", "block")
+
+
+def scan(t: Tables, stored: DataFrame | None = None, kinds: list[str] | None = None, incremental: bool = False, detected_at: str | None = None) -> DataFrame:
+    """Numbered issues with detected_at after a scan: stored ones are dropped, or, incrementally, kept before the new ones."""
+    time = F.to_timestamp_ntz(F.lit(detected_at)) if detected_at else F.localtimestamp()
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if incremental and stored is not None else 0
+    new = number_issues(run_detection(t, kinds), int(top)).withColumn("detected_at", time)
+    return stored.unionByName(new) if incremental and stored is not None else new
 
 
 def scan_counts(found: DataFrame) -> DataFrame:

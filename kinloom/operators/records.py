@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..plans.tables import Tables
 from ..sources.files import match_media
 from ..sources.gedcom import upsert
-from .actions import Outcome, _replaced
+from .actions import Outcome, _replaced, undo
+from .ids import add_rows
 from .search import MAX_ROWS
 
 LOG = "action_type string, payload_json string, undo_tables array<string>, created_at timestamp_ntz, applied_by string"
@@ -22,20 +23,6 @@ def blank_to_null(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
-def add_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing with new rows that take the next ids; columns new leaves out are null."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("k", F.lit(1))
-    kind = existing.schema["id"].dataType
-    one = F.struct(*new.columns)
-    buckets = new.withColumn("_b", F.pmod(F.xxhash64(one), F.lit(64)))
-    ahead = buckets.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = ahead.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_ahead"))  # 64 rows
-    ranked = buckets.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(one))).join(ahead, "_b")
-    made = ranked.withColumn("k", F.lit(1)).join(top, "k").withColumn("id", (F.col("top") + F.col("_ahead") + F.col("_r")).cast(kind))  # one row
-    columns = [F.col(c) if c == "id" or c in new.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in existing.columns]
-    return existing.unionByName(made.select(*columns))
-
-
 def add_persons(t: Tables, new: DataFrame) -> Tables:
     """New persons: blanks become null, rows without given name and surname are refused."""
     text = [c for c, k in new.dtypes if k == "string"]
@@ -43,11 +30,12 @@ def add_persons(t: Tables, new: DataFrame) -> Tables:
     return _replaced(t, persons=add_rows(t.persons, clean.filter("given is not null or surname is not null")))
 
 
-def update_persons(t: Tables, changed: DataFrame) -> Tables:
-    """Persons take the non-null fields of rows of equal id."""
+def update_persons(t: Tables, changed: DataFrame, clear: bool = False) -> Tables:
+    """Persons take the fields of rows of equal id.  A null leaves a field; a blank leaves it too, or with clear empties it."""
     fields = [c for c in changed.columns if c != "id" and c in t.persons.columns]
-    d = t.persons.join(changed.select("id", *[blank_to_null(c).alias(f"_{c}") for c in fields]), "id", "left")
-    return _replaced(t, persons=d.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in t.persons.columns]))
+    d = t.persons.join(changed.select("id", *[F.col(c).alias(f"_{c}") for c in fields]), "id", "left")
+    keeps = lambda c: F.col(f"_{c}").isNull() if clear else blank_to_null(f"_{c}").isNull()
+    return _replaced(t, persons=d.select(*[F.when(keeps(c), F.col(c)).otherwise(blank_to_null(f"_{c}")).alias(c) if c in fields else F.col(c) for c in t.persons.columns]))
 
 
 def delete_persons(t: Tables, ids: list[int]) -> Tables:
@@ -88,24 +76,56 @@ def refresh_status(assets: DataFrame, links: DataFrame) -> DataFrame:
 
 def list_issues(issues: DataFrame, kind: str | None = None, status: str | None = "open", page: int = 1, per_page: int = 50) -> DataFrame:
     """A page of issues, the newest first."""
-    d = issues if kind is None else issues.filter(F.col("issue_type") == kind)
-    d = d if status is None else d.filter(F.col("status") == status)
+    d = _chosen(issues, kind, status)
     order = [F.desc("detected_at")] if "detected_at" in issues.columns else []
     size = max(1, min(per_page, MAX_ROWS))
     return d.orderBy(*order, F.desc("id")).offset((max(1, page) - 1) * size).limit(size)
 
 
+def _chosen(issues: DataFrame, kind: str | None, status: str | None) -> DataFrame:
+    d = issues if kind is None else issues.filter(F.col("issue_type") == kind)
+    return d if status is None else d.filter(F.col("status") == status)
+
+
+def issue_total(issues: DataFrame, kind: str | None = None, status: str | None = "open") -> DataFrame:
+    """One row: how many issues all pages hold."""
+    return _chosen(issues, kind, status).agg(F.count(F.lit(1)).alias("total"))
+
+
 def resolve_issues(issues: DataFrame, kinds: list[str], ids: list[int]) -> DataFrame:
     """Open issues of the kinds that name one of the ids become resolved."""
     hit = F.col("issue_type").isin(kinds) & (F.col("status") == "open") & F.arrays_overlap("entity_ids", F.array(*[F.lit(i) for i in ids]))
     return issues.withColumn("status", F.when(hit, "resolved").otherwise(F.col("status")))
 
 
-def log_action(log: DataFrame, outcome: Outcome, by: str | None = None) -> DataFrame:
-    """The action log with one more row: what was done and which tables undo needs."""
+def log_action(log: DataFrame, outcome: Outcome, by: str | None = None, action_id: int | None = None) -> DataFrame:
+    """The action log with one more row: what was done, under which id, and which tables undo needs."""
     row = [(outcome.action, json.dumps(outcome.payload, sort_keys=True), sorted(set(outcome.before) | set(outcome.added)), by)]
-    new = log.sparkSession.createDataFrame(row, "action_type string, payload_json string, undo_tables array<string>, applied_by string")
-    return log.unionByName(new.withColumn("created_at", F.localtimestamp()))
+    new = log.sparkSession.createDataFrame(row, "action_type string, payload_json string, undo_tables array<string>, applied_by string").withColumn("created_at", F.localtimestamp())
+    return log.unionByName(new.withColumn("id", F.lit(action_id).cast("long")) if "id" in log.columns else new)
+
+
+def undo_rows(outcome: Outcome, action_id: int) -> DataFrame:
+    """(action_id, table_name, kind, row_json): the undo payload of an action as rows, any number of them: rows as they were before
+    (kind before) and rows that the action made (kind added)."""
+    parts = [
+        d.select(F.lit(action_id).cast("long").alias("action_id"), F.lit(name).alias("table_name"), F.lit(kind).alias("kind"), F.to_json(F.struct(*d.columns)).alias("row_json"))
+        for kind, frames in (("before", outcome.before), ("added", outcome.added)) for name, d in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def undo_logged(t: Tables, log: DataFrame, action_id: int) -> Tables:
+    """The tables as they were before a logged action, from its stored undo rows (undo_rows) alone."""
+    own = log.filter(F.col("action_id") == action_id)
+    names = [r["table_name"] for r in own.select("table_name").distinct().collect()]  # the tables of one action
+    o = Outcome(t)
+    for name in names:
+        schema = getattr(t, name).schema
+        for kind, frames in (("before", o.before), ("added", o.added)):
+            rows = own.filter((F.col("table_name") == name) & (F.col("kind") == kind))
+            frames[name] = rows.select(F.from_json("row_json", schema).alias("r")).select("r.*")
+    return undo(o)
 
 
 def list_actions(log: DataFrame, page: int = 1, per_page: int = 50) -> DataFrame:

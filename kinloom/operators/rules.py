@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from .actions import Outcome, _replaced
+from .actions import Outcome, _replaced, name_places, stored
 
 SCHEMA = "canonical string, variants array<string>, approved boolean, authority_source string, authority_id string, latitude double, longitude double, notes string"
 _EXTRA = ("authority_source", "authority_id", "latitude", "longitude", "notes")
@@ -17,8 +19,10 @@ def _sorted_set(c):
 
 
 def upsert(rules: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rules by canonical name: variants are united, an explicit approval wins, other fields keep what new rows leave out."""
-    new = incoming.select("canonical", *[F.col(c).alias(f"_{c}") for c in ("variants", "approved", *_EXTRA)])
+    """Rules by canonical name: variants are united (of several new rows too), an explicit approval wins, other fields keep what new
+    rows leave out."""
+    one = incoming.groupBy("canonical").agg(F.flatten(F.collect_list("variants")).alias("variants"), *[F.max(c).alias(c) for c in ("approved", *_EXTRA)])
+    new = one.select("canonical", *[F.col(c).alias(f"_{c}") for c in ("variants", "approved", *_EXTRA)])
     empty = F.array().cast("array<string>")
     both = rules.join(new, "canonical", "full_outer")
     return both.select(
@@ -48,20 +52,29 @@ def import_json(rules: DataFrame, texts: DataFrame, column: str = "json") -> Dat
     return upsert(rules, new)
 
 
-def apply_rules(t: Tables, rules: DataFrame) -> Outcome:
-    """Every approved rule at once: places of persons and families that read as a variant take its canonical name.
+def chosen_rules(rules: DataFrame, names: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The approved rules that apply_rules would use, by canonical name: its dry run."""
+    some = rules.filter("approved")
+    some = some if names is None else some.filter(F.col("canonical").isin(names))
+    return some if limit is None else some.orderBy("canonical").limit(max(0, limit))
+
+
+def apply_rules(t: Tables, rules: DataFrame, names: list[str] | None = None, limit: int | None = None) -> Outcome:
+    """Every approved rule at once (or those of the names, or the first limit of them): places of persons and families that read as a
+    variant take its canonical name, events point to its place, and the rule's authority and coordinates fill what the place lacks.
 
     A variant of several rules goes to the first of them by canonical name, as rules applied in that order would do.
     """
-    named = rules.filter("approved").select("canonical", F.explode("variants").alias("variant")).filter("variant <> canonical")
-    to = named.groupBy("variant").agg(F.min("canonical").alias("canonical"))
-    frames, before = {}, {}
-    for name, columns in (("persons", ("birth_place", "death_place")), ("families", ("marriage_place",))):
-        d = getattr(t, name)
-        keep = d.columns
-        for c in columns:
-            d = d.join(to.select(F.col("variant").alias(c), F.col("canonical").alias(f"{c}_to")), c, "left")
-        hit = F.greatest(*[F.col(f"{c}_to").isNotNull() for c in columns]) if len(columns) > 1 else F.col(f"{columns[0]}_to").isNotNull()
-        before[name] = d.filter(hit).select(*keep)
-        frames[name] = d.select(*[F.coalesce(f"{c}_to", c).alias(c) if c in columns else F.col(c) for c in keep])
-    return Outcome(_replaced(t, **frames), before=before, action="applyRules")
+    o = Outcome(t, action="applyRules", payload={"names": names, "limit": limit})
+    some = chosen_rules(rules, names, limit)
+    named = some.select("canonical", F.explode("variants").alias("variant")).filter("variant <> canonical")
+    frames = name_places(t, named.groupBy("variant").agg(F.min("canonical").alias("canonical")), o)
+    extra = [c for c in ("authority_source", "authority_id", "latitude", "longitude") if c in rules.columns]
+    if extra:
+        more = some.select(F.col("canonical").alias("name_canonical"), *[F.col(c).alias(f"_{c}") for c in extra])
+        p = frames["places"].join(more, "name_canonical", "left")
+        lacking = reduce(Column.__or__, [F.col(c).isNull() & F.col(f"_{c}").isNotNull() for c in extra])
+        o.before["places"] = p.filter(lacking).join(stored(t, "places").select("id"), "id", "left_semi").select(*frames["places"].columns)
+        frames["places"] = p.select(*[F.coalesce(c, f"_{c}").alias(c) if c in extra else F.col(c) for c in frames["places"].columns])
+    o.tables = _replaced(t, **frames)
+    return o

@@ -66,7 +66,9 @@ from {{documents}}""",
 select cast(doc_id as int) as id, cast(doc_id as int) as asset_id, cast(doc_id % 150 as int) as person_id, cast(null as int) as family_id from {labels}
 union all
 select cast(1000000 + doc_id as int), cast(doc_id as int), cast(doc_id % 150 as int), cast(null as int) from {labels} where doc_id % 10 = 0""",
-    "notes": "select cast(conv_id * 100 + turn as int) as id, cast(conv_id as int) as person_id, text as note_text from {conversations}",
+    "notes": """
+select cast(conv_id * 100 + turn as int) as id, case when conv_id % 5 = 4 then null else cast(conv_id as int) end as person_id,
+  case when conv_id % 5 = 4 then cast(conv_id as int) else null end as family_id, text as note_text from {conversations}""",
 }
 SQL["relationships"] = """
 select distinct parent_person_id, child_person_id, 'parent' as rel_type from (

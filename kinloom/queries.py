@@ -443,7 +443,7 @@ select f.id, concat_ws(' ', h.given, h.surname) as husband, concat_ws(' ', w.giv
   (select array_to_string(list_sort(list(child_person_id)), ',') from t_family_children where family_id = 5) as children, cast(0 as bigint) as media
 from t_families f left join t_persons h on h.id = f.husband_person_id left join t_persons w on w.id = f.wife_person_id where f.id = 5""", ("persons", "families", "family_children"))
 def _(t):
-    return graph.family_detail(t, 5).withColumn("children", F.array_join("children", ","))
+    return graph.family_detail(t, 5).withColumn("children", F.array_join("children", ",")).drop("notes")
 
 
 @query("parent_edges", "select parent_person_id, child_person_id from t_relationships", _GRAPH)
@@ -573,6 +573,9 @@ def _(t):
     return t.media_assets.select("id", X.norm_filename(c("original_filename")).alias("norm_filename"), X.normalize_path(F.concat(F.lit("C:\\"), F.replace("path", F.lit("/"), F.lit("\\")))).alias("norm_path"), X.mime_of(c("original_filename")).alias("mime"))
 
 
+from . import source_queries  # noqa: E402, F401  registers more of them
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}
 

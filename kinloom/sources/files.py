@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,16 @@ from ..functions import text as X
 MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "tif", "tiff", "bmp", "pdf")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all nodes see: under spark.checkpoint.dir, or, in a local session without one, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='kinloom-')}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def scan_media(spark: SparkSession, folder: str, extensions: tuple = MEDIA, recursive: bool = True) -> DataFrame:
     """(sha256, path, original_filename, mime_type, size_bytes): one row per content of the folder's media files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
@@ -20,10 +32,12 @@ def scan_media(spark: SparkSession, folder: str, extensions: tuple = MEDIA, recu
 
 
 def media_rows(raw: DataFrame, extensions: tuple = MEDIA) -> DataFrame:
+    """One row per content of the binary files (path, content, length), named by its least path."""
     name = F.element_at(F.split("path", "/"), -1)
     some = raw.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
     rows = some.select(F.sha2("content", 256).alias("sha256"), "path", name.alias("original_filename"), X.mime_of(name).alias("mime_type"), F.col("length").alias("size_bytes"))
-    return rows.dropDuplicates(["sha256"])
+    facts = ["path", "original_filename", "mime_type", "size_bytes"]
+    return rows.groupBy("sha256").agg(F.min(F.struct(*facts)).alias("m")).select("sha256", *[F.col("m")[c].alias(c) for c in facts])
 
 
 def register(assets: DataFrame, found: DataFrame) -> DataFrame:
@@ -31,6 +45,25 @@ def register(assets: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(assets.select("sha256"), "sha256", "left_anti")
 
 
+def register_media(assets: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assets as found files change them, found files that are new).
+
+    A known content fills the paths its asset lacks.  Of assets that have the name of a new file the last one takes its content: a
+    placeholder that an import made becomes the file.  Of several new files of one name that is the one of the least content hash.
+    """
+    fields = ["sha256", "path", "mime_type", "size_bytes"]
+    have = [c for c in fields if c in assets.columns]
+    known = found.select("sha256", F.col("path").alias("_path"))
+    fresh = register(assets, found)
+    by_name = assets.groupBy("original_filename").agg(F.max("id").alias("id"))
+    first = fresh.groupBy("original_filename").agg(F.min(F.struct(*fields)).alias("f"))
+    fill = by_name.join(first, "original_filename").select("id", *[F.col("f")[c].alias(f"_{c}") for c in fields])
+    out = assets.join(known, "sha256", "left").withColumn("path", F.coalesce(F.nullif("path", F.lit("")), "_path")).drop("_path")
+    out = out.join(fill, "id", "left")
+    out = out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in have else F.col(c) for c in assets.columns])
+    return out, fresh.join(fill.select(F.col("_sha256").alias("sha256")), "sha256", "left_anti")
+
+
 def safe_name(sha: str = "sha256", mime: str = "mime_type", original: str = "original_filename"):
     """Content hash with the usual extension of the type, else that of the file, else .bin."""
     usual = F.create_map(*[F.lit(x) for kv in {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif", "application/pdf": ".pdf"}.items() for x in kv])
@@ -38,8 +71,9 @@ def safe_name(sha: str = "sha256", mime: str = "mime_type", original: str = "ori
     return F.concat(F.col(sha), F.coalesce(F.try_element_at(usual, F.col(mime)), own, F.lit(".bin")))
 
 
-def match_media(wanted: DataFrame, assets: DataFrame) -> DataFrame:
-    """wanted (key, sha256, path) with the asset that fits best: by content 1.0, path 0.95, source path 0.9, file name 0.8.
+def match_media(wanted: DataFrame, assets: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
+    """wanted (key, sha256, path) with the asset that fits best: by content 1.0, path 0.95, source path 0.9, file name 0.8, and where
+    nothing fits, a file of that name on disk (on_disk: path, sha256) whose content is an asset, 0.85.
 
     assets: id, sha256, path, source_path.  The first way wins among equals, then the least id; rows that nothing fits stay.
     """
@@ -51,7 +85,17 @@ def match_media(wanted: DataFrame, assets: DataFrame) -> DataFrame:
         b = assets.select(F.col("id").alias("asset_id"), right.alias("k")).filter("k <> ''")
         parts.append(a.join(b, "k").select("key", "asset_id", F.lit(name).alias("matched_by"), F.lit(confidence).alias("confidence"), F.lit(i).alias("way")))
     best = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "way", "asset_id", "matched_by", "confidence")).alias("m"))
-    return wanted.join(best, "key", "left").select(*wanted.columns, "m.asset_id", "m.matched_by", "m.confidence")
+    out = wanted.join(best, "key", "left").select(*wanted.columns, "m.asset_id", "m.matched_by", "m.confidence")
+    if on_disk is None:
+        return out
+    files = on_disk.select(base("path").alias("_base"), "sha256").join(assets.groupBy("sha256").agg(F.min("id").alias("_asset")), "sha256")
+    files = files.filter("_base <> ''").groupBy("_base").agg(F.min("_asset").alias("_asset"))
+    out = out.withColumn("_base", base("path")).join(files, "_base", "left")
+    late = F.col("asset_id").isNull() & F.col("_asset").isNotNull()
+    return out.select(
+        *wanted.columns, F.coalesce("asset_id", "_asset").alias("asset_id"), F.when(late, "basename_disk").otherwise(F.col("matched_by")).alias("matched_by"),
+        F.when(late, 0.85).otherwise(F.col("confidence")).alias("confidence"),
+    )
 
 
 def link_report(matches: DataFrame, path: str) -> None:
@@ -60,10 +104,12 @@ def link_report(matches: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, folder: str, table: str, schema: str | None = None) -> DataFrame:
-    """A JSON table of a snapshot; a missing one is empty."""
-    reader = spark.read.option("multiLine", True)
+    """A JSON table of a snapshot, as one array or as a record a line; a missing one is empty."""
+    path = f"{folder}/{table}.json"
     try:
-        return (reader.schema(schema) if schema else reader).json(f"{folder}/{table}.json")
+        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+        reader = spark.read.option("multiLine", bool(first) and first[0]["value"].lstrip().startswith("["))
+        return (reader.schema(schema) if schema else reader).json(path)
     except Exception as e:  # Spark reports a missing path in the analysis
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ids import one_per_key
+
 LINE = r"^([0-9]+)\s+(?:(@[^@]+@)\s+)?([A-Z0-9_]+)(?:\s+(.*))?$"
 
 
@@ -77,8 +79,10 @@ def read_gedcom(spark: SparkSession, path: str) -> Gedcom:
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "xref") -> DataFrame:
     """Rows of incoming replace those of equal key, new keys get the next ids.
 
-    Ids follow the order of the keys; ranks are taken inside hash buckets, and only bucket sizes meet in one task.
+    Of incoming rows of one key one counts: that of the last file, where they have files.  Ids follow the order of the keys; ranks
+    are taken inside hash buckets, and only bucket sizes meet in one task.
     """
+    incoming = one_per_key(incoming, key, "file" if "file" in incoming.columns else None)
     fields = [c for c in existing.columns if c not in ("id", key)]
     have = existing.select(key, "id")
     merged = incoming.select(key, *[F.col(c) if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in fields]).join(have, key, "left")

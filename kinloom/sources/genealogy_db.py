@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 #: File signatures (fixed values).
 ZIP, SQLITE = b"PK\x03\x04", b"SQLite format 3\x00"
 BATCH = 500
+#: Bytes of the largest file that is taken (a fixed value).
+LARGEST = 25 * 1024 * 1024
 
 
 def database_bytes(content: bytes) -> bytes:
-    """The SQLite file itself: the content, or the first .rmtree member of a zip archive; anything else is refused."""
+    """The SQLite file itself: the content, or the first .rmtree member of a zip archive; anything else, or more than LARGEST bytes, is
+    refused."""
+    if len(content) > LARGEST:
+        raise ValueError(f"the file holds more than {LARGEST} bytes")
     if content.startswith(ZIP):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             inner = next((n for n in z.namelist() if n.lower().endswith(".rmtree")), None)
@@ -40,7 +45,11 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     Files are spread over the tasks; a task opens one file in memory and reads it table by table in batches.  Tables that
     cannot be read are passed over.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return cells_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """read_cells of files (path, content) that are rows already."""
 
     def cells(batches):
         for p in batches:
@@ -77,8 +86,10 @@ def _tables(file: str, database: bytes):
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(file, fingerprint): SHA-256 of type:name:table:sql of every schema object, in order, joined by |."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return fingerprints_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
 
+def fingerprints_of(files: DataFrame) -> DataFrame:
     def objects(batches):
         for p in batches:
             for name, content in zip(p["path"], p["content"], strict=True):

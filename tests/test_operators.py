@@ -284,3 +284,27 @@ def test_places_and_event_times(spark):
     from kinloom.operators.records import resolve_issues
 
     assert sorted(r["status"] for r in resolve_issues(issues, ["duplicate_person"], [1]).collect()) == ["open", "open", "resolved"]
+
+
+def test_several_rows_of_one_key(spark):
+    old = spark.createDataFrame([(3, "@A@", "Ann")], "id int, xref string, given string")
+    new = spark.createDataFrame([("@A@", "Old", "1.ged"), ("@A@", "New", "2.ged"), ("@B@", "Bob", "1.ged"), ("@B@", "Bob", "1.ged")], "xref string, given string, file string")
+    got = sorted(tuple(r) for r in upsert(old, new).collect())
+    assert got == [(3, "@A@", "New"), (4, "@B@", "Bob")]
+
+
+def test_placeholders_become_files(spark):
+    assets = spark.createDataFrame([(1, "missing1", "a.jpg", None, 0), (2, "s2", "b.jpg", "", 5), (3, "s3", "c.jpg", "c", 6)], "id int, sha256 string, original_filename string, path string, size_bytes long")
+    found = spark.createDataFrame([("s1", "in/a.jpg", "a.jpg", "image/jpeg", 9), ("s2", "in/x.jpg", "x.jpg", "image/jpeg", 5), ("s9", "in/n.jpg", "n.jpg", "image/jpeg", 7)], "sha256 string, path string, original_filename string, mime_type string, size_bytes long")
+    changed, new = files.register_media(assets, found)
+    assert sorted(tuple(r) for r in changed.collect()) == [(1, "s1", "a.jpg", "in/a.jpg", 9), (2, "s2", "b.jpg", "in/x.jpg", 5), (3, "s3", "c.jpg", "c", 6)]
+    assert [r["sha256"] for r in new.collect()] == ["s9"]
+
+
+def test_distances_on_a_cycle(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 8) for i in range(8)] + [(20, 21)], "parent_person_id int, child_person_id int")
+    roots = spark.createDataFrame([(0,)], "id int")
+    got = {r["id"]: r["distance"] for r in graph.neighbourhood(Tables(spark, relationships=edges), roots, 3).collect()}
+    assert got == {0: 0, 1: 1, 7: 1, 2: 2, 6: 2, 3: 3, 5: 3}
+    plan = graph.neighbourhood(Tables(spark, relationships=edges), roots, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 15
