@@ -541,7 +541,9 @@ def _(t):
     return records.graph_find(t, "Widget").select(*PERSON)
 
 
-@query("issue_page")
+@query("issue_page", f"""
+select 'placeholder_name' as issue_type, (select count(*) from t_events where person_id is null and family_id is null) + row_number() over (order by id) as id, cast(0.8 as double) as confidence
+from t_persons where {norm('given')} in {_PLACEHOLDER} or {norm('surname')} in {_PLACEHOLDER} order by 2 desc limit 50""", ("persons", "events"))
 def _(t):
     found = quality.number_issues(quality.run_detection(t, ["orphan_event", "placeholder_name", "impossible_timeline"]))
     return records.list_issues(found, "placeholder_name", page=1).select("issue_type", "id", "confidence")
