@@ -19,7 +19,7 @@ from .common import binary_case, load, materialize, packed, scratch, text_of, un
 
 KEY_END = 1 << 62
 #: Bytes that a task sorts at a time, as far as keys are spread evenly, and parts of a cell at most.
-PART_BYTES, MOST_PARTS = 256 << 20, 4096
+PART_BYTES, MOST_PARTS = 64 << 20, 4096
 #: Rows of one key that a task numbers at a time.
 RANK_BLOCK = 20_000
 

@@ -553,3 +553,29 @@ def test_pipeline(spark, sf_dir):
         kept = out
     check_shards([r.asDict() for r in kept.collect()], 16, 60_000)
     assert corpus_pipeline.run(spark, sf_dir).columns == kept.columns
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir, odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none):
+            out = stage(spark, docs, sf_dir)
+            assert set(docs.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+            rows = out.collect()
+            assert len(rows) <= 3 * len(ODD) and (docs is odd or not rows), name
+            if name in ("n-gram Jaccard join", "benchmark decontamination", "sharding") and docs is odd:
+                assert len(rows) == {"n-gram Jaccard join": len(ODD) - 2}.get(name, len(ODD)), name
+                assert all(r["row"] == 0 and r["_gone"] == 0 and r["key"] == 1 for r in rows), name
+
+
+def test_scratch_tables_go(spark, odd):
+    import os
+
+    from kinloom.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    line_dedup.repeated_runs(odd).collect()
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and "line-runs" in left.pop()  # the result itself
