@@ -40,9 +40,9 @@ HASHES = 8
 MIN_RUN = 24
 #: Words of a passage, ends that stand beyond its repeated paragraphs included.
 MIN_PASSAGE = 50
-#: Words of a window, and how many of them stand before the cut.  In a passage of 60 words three of five cuts have a window.
-WIDE, BEFORE = 50, (10, 25, 40)
-_FREE = np.zeros(2, np.uint64)
+#: Words of a window, and how many of them stand before the cut.
+WIDE, BEFORE = 50, (15, 35)
+_FREE = np.zeros(2, np.uint32)
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 #: Odd factors: shingle hashes are mixed, so each factor puts them in another order.
@@ -216,14 +216,16 @@ def shingles_of(docs: DataFrame, bands: int, rows: int, keys: DataFrame) -> Data
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def pick(batches):
+        seen: set[int] = set()  # keys of this task's texts
         for p in batches:
             out = {}
             for t in p["text"]:
                 x = Paragraphs(t, 0, rows)
                 for s in np.flatnonzero(in_filter(table.value, x.keys[x.long])) if len(x.long) else []:
                     k = int(x.keys[x.long[s]].view(np.int64))
-                    if k not in out:
-                        own = x.every[x.first[s] : x.stop[s]]
+                    if k not in seen:
+                        seen.add(k)
+                        own = (x.every[x.first[s] : x.stop[s]] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                         ends = own[[0, -1]] if x.level[x.long[s]] == 2 else _FREE  # a window does not reach beyond what is alike
                         out[k] = np.concatenate([ends, np.unique(own)]).tobytes()
             yield pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
@@ -247,7 +249,7 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, rows: int, blo
         for g in stream_groups(batches, ["band", "part"]):
             if len(g) < 2:
                 continue
-            lists = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            lists = [np.frombuffer(x, np.uint32) for x in g["shingles"]]
             ends, sets = [x[:2] for x in lists], [x[2:] for x in lists]
             size = np.array([len(x) for x in sets])
             both = intersections(sets)
@@ -305,16 +307,16 @@ def reach(texts: DataFrame, spans: DataFrame, runs: DataFrame, most: int, inside
         for b in batches:
             for i, total, text, edges in zip(b["doc_id"], b["text_sum"], b["text"], b["edges"], strict=True):
                 words = word_hashes(text)
-                rows = []
+                sides, places, counts, sums = [], [], [], []
                 for e in edges:
                     near = words[max(0, e["edge"] - most) : e["edge"]][::-1] if e["side"] == 0 else words[e["edge"] : e["edge"] + most]
-                    sums = mix(np.cumsum(near * _powers(len(near))) ^ np.uint64(2 * (e["cluster"] & (1 << 60) - 1) + e["side"])).view(np.int64)
-                    rows.append(pd.DataFrame({"side": e["side"], "edge": e["edge"], "n": np.arange(1, len(near) + 1), "h": sums}))
-                if rows:
-                    out = pd.concat(rows)
-                    out.insert(0, "text_sum", total)
-                    out.insert(0, "doc_id", [i] * len(out))
-                    yield out
+                    sides.append(e["side"])
+                    places.append(e["edge"])
+                    counts.append(len(near))
+                    sums.append(np.cumsum(near * _powers(len(near))) ^ np.uint64(2 * (e["cluster"] & (1 << 60) - 1) + e["side"]))
+                n = np.concatenate([np.arange(1, c + 1) for c in counts])
+                repeat = lambda v: np.repeat(np.array(v), counts)  # noqa: E731, B023
+                yield pd.DataFrame({"doc_id": [i] * len(n), "text_sum": total, "side": repeat(sides), "edge": repeat(places), "n": n, "h": mix(np.concatenate(sums)).view(np.int64)})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     near = materialize(some.select(*DOC, "text", "edges").mapInPandas(around, f"doc_id {kind}, text_sum long, side int, edge long, n long, h long"), "neighbours")
