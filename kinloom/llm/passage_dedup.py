@@ -1,14 +1,12 @@
 """Operator 5: substring dedup by MinHash banding of paragraphs.
 
-Paragraphs come in three kinds: short pieces of a text, cut at words whose hash is the least among its neighbours, so that a
-passage is cut alike wherever it stands, in the middle of a line too; lines and blocks of lines between blank lines; and windows of fixed
-width around every cut, which stay similar where a changed word breaks a piece.  Pieces and lines meet when they are equal.  Different
-lines and different windows meet in bands of minhashes of their five-word shingles (rows and bands tuned to a target recall at the
-threshold) and are verified by exact Jaccard similarity.  Components of paragraphs of a kind are the units of removal: all
-occurrences but the first go.  Neighbouring repeated paragraphs join to passages; those that may be too short are extended word by
-word to both sides, as far as another occurrence goes along, before their length decides.
-
-A first pass over the texts counts bands; a fixed-size bit filter of the bands in which paragraphs meet lets the second pass
+Texts are cut into short pieces at words whose hash is the least among its neighbours, so that a passage is cut alike
+wherever it stands, in the middle of a line too.  Paragraphs are these pieces, the lines and blocks of lines between blank lines,
+and windows of neighbouring pieces, which stay similar where a changed word breaks a piece.  Paragraphs meet in bands of minhashes of their five-word shingles (bands
+tuned to a target recall), distinct paragraphs of a band are verified by exact Jaccard similarity, and components of verified
+paragraphs of a kind are the units of removal: all occurrences but the first go, where enough neighbouring words repeat.
+
+A first pass over the texts counts bands; a fixed-size bit filter of the bands that occur twice lets the second pass
 ship only paragraphs that can have a partner.  False positives of the filter cost work and change nothing.
 """
 
@@ -16,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,28 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import bit_filter, connected_components, in_filter, load, materialize, maybe_among, packed, scratch, small_batches, text_of, unpacked
-from .jaccard_join import intersections
-from .shingles import Forest, mix, stream_groups, word_hashes
+from .common import bit_filter, connected_components, in_filter, load, materialize, packed, scratch, small_batches, unpacked
+from .shingles import Forest, mix, shingle_hashes, stream_groups, word_hashes
 
 THRESHOLD = 0.8
-#: A cut stands before a word whose hash is less than those of so many words on either side; pieces take 11 words on average.
+#: A cut stands before a word whose hash is less than those of so many words on either side; paragraphs take 11 words on average.
 REACH = 5
 LONGEST = 64
 RECALL = 0.95
-#: Minhashes of a paragraph, in bands of several rows: the most rows that the target recall allows with so many.
-HASHES = 8
-#: Repeating neighbours must hold this many words: a passage of 50 words keeps that many when its ends belong to other pieces.
+#: Repeating neighbours must hold this many words: a passage of 50 words keeps that many when its ends belong to other paragraphs.
 MIN_RUN = 24
-#: Words of a passage, ends that stand beyond its repeated paragraphs included.
-MIN_PASSAGE = 50
-#: Words of a window, and how many of them stand before the cut.
-WIDE, BEFORE = 50, (15, 35)
-_FREE = np.zeros(2, np.uint32)
-_ODD = 0x9E3779B97F4A7C15
-_BACK = pow(_ODD, -1, 1 << 64)
-#: Odd factors: shingle hashes are mixed, so each factor puts them in another order.
-_ORDERS = mix(np.arange(1, 66, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
+#: Words of a window of neighbouring pieces; with REACH more on either side, one changed word leaves such windows similar enough.
+WIDE = 40
+_FREE = np.zeros(2, np.uint64)
 
 
 def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int = 1) -> int:
@@ -54,12 +42,6 @@ def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def tuned(recall: float = RECALL, threshold: float = THRESHOLD, hashes: int = HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows, so the fewest chance meetings, that reach the recall with so many minhashes."""
-    fit = [(bands_for(recall, threshold, r), r) for r in range(1, hashes + 1)]
-    return max((x for x in fit if x[0] * x[1] <= hashes), key=lambda x: x[1], default=fit[0])
-
-
 def cut_points(words: np.ndarray) -> np.ndarray:
     """Starts of the paragraphs of a text, 0 first; none is longer than LONGEST words."""
     n = len(words)
@@ -79,6 +61,15 @@ def cut_points(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(s, s + g, LONGEST) for s, g in zip(starts, gaps, strict=True)])
 
 
+def windows_of(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the least runs of neighbouring pieces that hold WIDE words; no run holds another one."""
+    edges = np.append(starts, n)
+    last = np.searchsorted(edges, starts + WIDE)
+    fits = np.flatnonzero(last < len(edges))
+    fits = fits[np.append(last[fits][1:], len(edges)) > last[fits]]  # of runs with the same end the shortest
+    return starts[fits], edges[last[fits]]
+
+
 def line_spans(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends), in words, of the lines and of the blocks of lines between blank lines that hold MIN_RUN words."""
     out, at, block, lines = [], 0, 0, 0
@@ -97,136 +88,89 @@ def line_spans(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return spans[:, 0], spans[:, 1]
 
 
-@cache
-def _table(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _powers(n: int, base: int = _ODD) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2 ** 64; tables double in length."""
-    return _table(1 << max(10, n.bit_length()), base)[:n]
-
-
-def prefix_sums(words: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)))])
-
-
-def span_sums(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for the words of every span, in order: differences of prefix sums, moved to a common place."""
-    return (total[ends] - total[starts]) * _powers(len(total), _BACK)[starts]
+def paragraphs(text: str | None, bands: int):
+    """(level, starts, sizes, keys, band hashes (paragraphs x bands), first shingles, shingles behind the last, all shingles).
 
+    Level 0 are the pieces, 1 lines and blocks of lines, 2 windows of neighbouring pieces.  The words that decide where a cut
+    stands are alike in both copies, so a window is compared with REACH more words on either side; its own first and last
+    shingles must be shared, so that it does not reach beyond what is alike.
+    """
+    words = word_hashes(text)
+    n = len(words)
+    if n == 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64)) + (np.zeros(0, np.int64),) * 2 + (words,)
+    pieces = cut_points(words)
+    piece_ends = np.append(pieces[1:], n)
+    wide, wide_ends = windows_of(pieces, n)
+    lines, line_ends = line_spans(text)
+    level = np.repeat(np.arange(3), [len(pieces), len(lines), len(wide)])
+    starts, ends = np.concatenate([pieces, lines, wide]), np.concatenate([piece_ends, line_ends, wide_ends])
+    margin = np.where(level == 2, REACH, 0)
+    left, right = np.maximum(starts - margin, 0), np.minimum(ends + margin, n)
+    # shingles of five words, then those of the pieces of fewer words, then one that no reduction reads
+    short = np.flatnonzero(right - left < 5)
+    every = shingle_hashes(words) if n >= 5 else words[:0]
+    first, stop = left.copy(), right - 4
+    first[short] = len(every) + np.arange(len(short))
+    stop[short] = first[short] + 1
+    every = np.concatenate([every, *[shingle_hashes(words[left[i] : right[i]]) for i in short], np.zeros(1, np.uint64)])
+    pairs = np.stack([first, stop], axis=1).ravel()
+    reduce = lambda f, values: f.reduceat(values, pairs)[::2]
+    sizes, salt = ends - starts, mix(level.astype(np.uint64) + np.uint64(11))
+    mixed = [mix(every ^ mix(np.array([b + 1], np.uint64))) for b in range(bands)]
+    keys = mix(reduce(np.add, mixed[0]) ^ mix(reduce(np.bitwise_xor, mixed[-1]) + sizes.astype(np.uint64)) ^ salt)
+    hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt for b, m in enumerate(mixed)], axis=1))
+    return level, starts, sizes, keys, hashes, first, stop, every
+
+
+def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
+    """Bit filter of the band hashes that occur at least twice in the corpus."""
+
+    def bands_of(batches):
+        for p in batches:
+            found = [paragraphs(t, bands)[4].ravel() for t in p["text"]]
+            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            band, n = np.unique(every, return_counts=True)
+            yield pd.DataFrame({"band": band.view(np.int64), "n": n})
 
-class Paragraphs:
-    """The paragraphs of a text: level (0 pieces, 1 lines and blocks of lines, 2 windows), starts, sizes and keys.
+    counts = docs.select("text").mapInPandas(bands_of, "band long, n long").groupBy("band").agg(F.sum("n").alias("n")).filter("n >= 2")
+    return bit_filter(counts, "band")
 
-    bands: (lines and windows) x bands; first and stop: their shingles among all shingles of the text.
-    """
 
-    def __init__(self, text: str | None, bands: int, rows: int):
-        words = word_hashes(text)
-        n = len(words)
-        pieces = cut_points(words)
-        lines, line_ends = line_spans(text)
-        wide = np.concatenate([pieces[1:] - before for before in BEFORE]) if n else pieces
-        wide = np.unique(wide[(wide >= 0) & (wide + WIDE <= n)])
-        self.level = np.repeat(np.arange(3), [len(pieces), len(lines), len(wide)])
-        self.starts = np.concatenate([pieces, lines, wide])
-        ends = np.concatenate([np.append(pieces[1:], n)[: len(pieces)], line_ends, wide + WIDE])
-        self.sizes = ends - self.starts
-        total = prefix_sums(words)
-        self.keys = mix(span_sums(total, self.starts, ends) ^ (self.sizes * 4 + self.level).astype(np.uint64) * np.uint64(_ODD))
-        self.long = np.flatnonzero(self.level > 0)
-        self.first, self.stop = self.starts[self.long], ends[self.long] - 4
-        at = np.arange(n - 4) if len(self.long) else pieces[:0]
-        self.every = np.append(mix(span_sums(total, at, at + 5)), np.uint64(0))
-        if len(self.long) == 0 or bands == 0:
-            self.bands = np.zeros((len(self.long), bands), np.uint64)
-            return
-        pairs = np.stack([self.first, self.stop], axis=1).ravel()  # the last shingle is one that no reduction reads
-        least = lambda k: np.minimum.reduceat(self.every * _ORDERS[k], pairs)[::2]
-        found = []
-        for b in range(bands):
-            band = self.level[self.long].astype(np.uint64) + np.uint64(8 * b)
-            for r in range(rows):
-                band = mix(band * _ORDERS[-1] ^ least(b * rows + r))
-            found.append(band)
-        self.bands = np.stack(found, axis=1)
-
-    def exact(self) -> np.ndarray:
-        return np.flatnonzero(self.level < 2)
-
-
-def meeting_filter(docs: DataFrame, bands: int, rows: int) -> np.ndarray:
-    """Bit filter of the keys of pieces and lines that occur twice, and of the bands that different lines or windows of two places share."""
-
-    def count(batches):
-        for p in batches:
-            made = [Paragraphs(t, bands, rows) for t in p["text"]]
-            equal, n = np.unique(np.concatenate([x.keys[x.exact()] for x in made]), return_counts=True)
-            band = np.concatenate([x.bands.ravel() for x in made])
-            key = np.concatenate([np.repeat(x.keys[x.long], bands) for x in made]).view(np.int64)
-            start = np.concatenate([np.repeat(x.starts[x.long], bands) for x in made])
-            doc = np.repeat(np.arange(len(made)), [x.bands.size for x in made])
-            order = np.lexsort((key, start, doc, band))
-            band, key, start, doc = band[order], key[order], start[order], doc[order]
-            # overlapping windows of one text share most shingles and so bands: the first of a chain stands for it
-            chained = np.zeros(len(band), bool)
-            chained[1:] = (band[1:] == band[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] - start[:-1] < WIDE)
-            band, key = band[~chained], key[~chained]
-            at = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"band": equal.view(np.int64), "n": n, "low": 0, "high": 0})
-            if len(at):
-                yield pd.DataFrame({"band": band[at].view(np.int64), "n": 0, "low": np.minimum.reduceat(key, at), "high": np.maximum.reduceat(key, at)})
-
-    counts = docs.select("text").mapInPandas(count, "band long, n long, low long, high long").groupBy("band")
-    return bit_filter(counts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n >= 2 or low <> high"), "band")
-
-
-def shared_paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_sum, level, at, words, key, bands) of the paragraphs that pass the filter; bands holds those that pass."""
+def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
+    """(doc_id, level, at, words, key, bands) of the paragraphs that pass the filter."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(meeting_filter(docs, bands, rows))
+    table = spark.sparkContext.broadcast(twice_filter(docs, bands))
 
     def keep(batches):
         bits = table.value
         for p in batches:
             out = []
-            for i, total, t in zip(p["doc_id"], p["text_sum"], p["text"], strict=True):
-                x = Paragraphs(t, bands, rows)
-                hit = np.zeros(len(x.keys), bool)
-                exact = x.exact()
-                hit[exact] = in_filter(bits, x.keys[exact])
-                passed = in_filter(bits, x.bands) if len(x.bands) else np.zeros((0, bands), bool)
-                hit[x.long] |= passed.any(axis=1)
-                base = len(x.keys) - len(x.long)
-                for s in np.flatnonzero(hit):
-                    own = x.bands[s - base][passed[s - base]].view(np.int64) if s >= base else ()
-                    out.append((i, total, int(x.level[s]), int(x.starts[s]), int(x.sizes[s]), int(x.keys[s].view(np.int64)), own))
-            yield pd.DataFrame(out, columns=["doc_id", "text_sum", "level", "at", "words", "key", "bands"])
+            for i, t in zip(p["doc_id"], p["text"], strict=True):
+                level, starts, sizes, keys, hashes = paragraphs(t, bands)[:5]
+                hit = np.flatnonzero(in_filter(bits, hashes).any(axis=1)) if len(hashes) else []
+                out += [(i, int(level[s]), int(starts[s]), int(sizes[s]), int(keys[s].view(np.int64)), hashes[s].view(np.int64)) for s in hit]
+            yield pd.DataFrame(out, columns=["doc_id", "level", "at", "words", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(keep, f"doc_id {kind}, text_sum long, level int, at long, words long, key long, bands array<long>")
+    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, bands array<long>")
 
 
-def shingles_of(docs: DataFrame, bands: int, rows: int, keys: DataFrame) -> DataFrame:
+def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
     """(key, shingles), once for each of the keys: two shingles that a partner must hold, 0 for any, and then all.  Texts are
     read again, so that only shingles that are compared travel."""
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def pick(batches):
-        seen: set[int] = set()  # keys of this task's texts
         for p in batches:
             out = {}
             for t in p["text"]:
-                x = Paragraphs(t, 0, rows)
-                for s in np.flatnonzero(in_filter(table.value, x.keys[x.long])) if len(x.long) else []:
-                    k = int(x.keys[x.long[s]].view(np.int64))
-                    if k not in seen:
-                        seen.add(k)
-                        own = (x.every[x.first[s] : x.stop[s]] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                        ends = own[[0, -1]] if x.level[x.long[s]] == 2 else _FREE  # a window does not reach beyond what is alike
+                level, _, _, keys, _, first, stop, every = paragraphs(t, bands)
+                for s in np.flatnonzero(in_filter(table.value, keys)) if len(keys) else []:
+                    k = int(keys[s].view(np.int64))
+                    if k not in out:
+                        own = every[first[s] : stop[s]]
+                        ends = own[[min(REACH, len(own) - 1), max(len(own) - 1 - REACH, 0)]] if level[s] == 2 else _FREE
                         out[k] = np.concatenate([ends, np.unique(own)]).tobytes()
             yield pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
 
@@ -234,13 +178,13 @@ def shingles_of(docs: DataFrame, bands: int, rows: int, keys: DataFrame) -> Data
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def verified_edges(docs: DataFrame, found: DataFrame, bands: int, rows: int, block: int = 256) -> DataFrame:
+def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
     banded = materialize(found.select("key", F.explode("bands").alias("band")).distinct(), "banded")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = materialize(banded.join(sizes, "band").select("band", "key", "blocks"), "met")
     # shingles travel once per distinct paragraph that meets another one
-    sets = shingles_of(docs, bands, rows, met.select("key").distinct())
+    sets = shingles_of(docs, bands, met.select("key").distinct())
     some = met.withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     some = some.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key").join(sets, "key")
 
@@ -249,15 +193,15 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, rows: int, blo
         for g in stream_groups(batches, ["band", "part"]):
             if len(g) < 2:
                 continue
-            lists = [np.frombuffer(x, np.uint32) for x in g["shingles"]]
-            ends, sets = [x[:2] for x in lists], [x[2:] for x in lists]
-            size = np.array([len(x) for x in sets])
-            both = intersections(sets)
-            similar = both >= THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-9
+            lists = [np.frombuffer(x, np.uint64).tolist() for x in g["shingles"]]
+            ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
             keys, forest = g["key"].tolist(), Forest(len(g))
-            for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
-                if forest.root(int(i)) != forest.root(int(j)) and _holds(sets[j], ends[i]) and _holds(sets[i], ends[j]):
-                    forest.join(int(i), int(j))
+            for i in range(len(sets)):
+                for j in range(i):
+                    if forest.root(i) != forest.root(j):
+                        both = len(sets[i] & sets[j])
+                        if both >= THRESHOLD * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and ends[i] <= sets[j] and ends[j] <= sets[i]:
+                            forest.join(i, j)
             out += [(keys[i], keys[r]) for i, r in enumerate(forest.roots()) if r != i]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
@@ -267,19 +211,10 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, rows: int, blo
     return some.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(check, "a long, b long").distinct()
 
 
-def _holds(values: np.ndarray, wanted: np.ndarray) -> bool:
-    """Whether sorted values hold all wanted ones but 0."""
-    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-    return bool(((values[at] == wanted) | (wanted == 0)).all())
-
-
-DOC = ("doc_id", "text_sum")
-
-
 def in_runs(spans: DataFrame) -> DataFrame:
     """spans with end, run (a number per stretch of spans of a document that touch or overlap) and fresh: the words of an extra
     span that no extra span before it holds."""
-    order = Window.partitionBy(*DOC).orderBy("at", "end", "level", "cluster")
+    order = Window.partitionBy("doc_id").orderBy("at", "end", "level", "cluster")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     s = spans.withColumn("end", F.col("at") + F.col("words"))
     s = s.withColumn("start", F.when(F.col("at") > F.coalesce(F.max("end").over(before), F.lit(-1)), 1).otherwise(0))
@@ -288,118 +223,61 @@ def in_runs(spans: DataFrame) -> DataFrame:
     return s.withColumns({"run": F.sum("start").over(order), "fresh": fresh}).drop("start")
 
 
-def reach(texts: DataFrame, spans: DataFrame, runs: DataFrame, most: int, inside: bool) -> DataFrame:
-    """(doc_id, text_sum, run, left, right): how many words before and behind a run stand alike at another occurrence of its first
-    or last paragraph, in another document or (inside) anywhere.
-
-    Every occurrence of such a paragraph gives the hash of its 1, 2, ... most neighbouring words; a hash that two occurrences
-    give proves so many equal words, so that no pairs of occurrences are made.
-    """
-    edge = lambda side, cluster: runs.select(F.lit(side).alias("side"), F.col(cluster).alias("cluster"))
-    wanted = edge(0, "first_cluster").union(edge(1, "last_cluster")).distinct()
-    places = spans.join(wanted, "cluster").select(*DOC, "side", "cluster", F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("end")).alias("edge")).distinct()
-    per = materialize(places.groupBy(*DOC).agg(F.collect_list(F.struct("side", "cluster", "edge")).alias("edges")), "edges")
-    maybe = maybe_among(texts.sparkSession, per, "text_sum")
-    p = per.select(F.col("doc_id").alias("d"), F.col("text_sum").alias("t"), "edges")
-    some = texts.filter(maybe(F.col("text_sum"))).join(p, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_sum") == F.col("t"))).drop("d", "t")
-
-    def around(batches):
-        for b in batches:
-            for i, total, text, edges in zip(b["doc_id"], b["text_sum"], b["text"], b["edges"], strict=True):
-                words = word_hashes(text)
-                sides, places, counts, sums = [], [], [], []
-                for e in edges:
-                    near = words[max(0, e["edge"] - most) : e["edge"]][::-1] if e["side"] == 0 else words[e["edge"] : e["edge"] + most]
-                    sides.append(e["side"])
-                    places.append(e["edge"])
-                    counts.append(len(near))
-                    sums.append(np.cumsum(near * _powers(len(near))) ^ np.uint64(2 * (e["cluster"] & (1 << 60) - 1) + e["side"]))
-                n = np.concatenate([np.arange(1, c + 1) for c in counts])
-                repeat = lambda v: np.repeat(np.array(v), counts)  # noqa: E731, B023
-                yield pd.DataFrame({"doc_id": [i] * len(n), "text_sum": total, "side": repeat(sides), "edge": repeat(places), "n": n, "h": mix(np.concatenate(sums)).view(np.int64)})
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    near = materialize(some.select(*DOC, "text", "edges").mapInPandas(around, f"doc_id {kind}, text_sum long, side int, edge long, n long, h long"), "neighbours")
-    twice = near.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    twice = twice.filter("times >= 2" if inside else "low <> high").select("h", "n")
-    far = near.join(twice, ["h", "n"]).groupBy(*DOC, "side", "edge").agg(F.max("n").alias("far"))
-    r = runs.select(*DOC, "run", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start_word").alias("edge")), F.struct(F.lit(1).alias("side"), F.col("end_word").alias("edge")))).alias("e"))
-    f = far.select(F.col("doc_id").alias("d"), F.col("text_sum").alias("t"), "side", "edge", "far")
-    r = r.select(*DOC, "run", "e.side", "e.edge").join(f, ["side", "edge"]).filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_sum") == F.col("t")))
-    return r.groupBy(*DOC, "run").agg(F.max(F.when(F.col("side") == 0, F.col("far"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("far"))).alias("right"))
-
-
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, recall: float, min_run: int, min_passage: int, inside: bool) -> tuple[DataFrame, DataFrame]:
-    """(spans, runs): repeated paragraphs (doc_id, text_sum, level, at, words, cluster, extra, end, run, fresh), and the passages
-    that they join to (doc_id, text_sum, run, start_word, end_word, n_removed, cluster).
-
-    extra marks all but the first occurrence of a cluster and what overlaps it.
-    """
+def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: float, inside: bool = True) -> DataFrame:
+    """(doc_id, level, at, words, cluster, extra, end, run, fresh): paragraphs that stand elsewhere too, in another document or
+    (inside) in the same one.  extra marks all but the first occurrence of a cluster and what overlaps it."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_sum"), F.col(text_col).cast("string").alias("text"))
-    bands, rows = tuned(recall)
-    found = materialize(shared_paragraphs(texts, bands, rows), "paragraphs")
-    near = connected_components(materialize(verified_edges(texts, found, bands, rows), "paragraph-edges"))
-    owned = found.select(*DOC, "level", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
-    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select(*DOC, "level", "at", "words", "cluster"), "owned")
-    seen = owned.groupBy("cluster").agg(F.min(F.struct(*DOC, "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bands = bands_for(recall)
+    found = materialize(shared_paragraphs(texts, bands), "paragraphs")
+    near = connected_components(materialize(verified_edges(texts, found, bands), "paragraph-edges"))
+    owned = found.select("doc_id", "level", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
+    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "level", "at", "words", "cluster"), "owned")
+    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     if not inside:
         seen = seen.filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_sum") == F.col("first.text_sum"))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     repeats = owned.join(seen.select("cluster", "first"), "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
     # windows of one document that are alike only because they overlap are no repeats
     real = repeats.groupBy("cluster").agg(F.max("extra").alias("real")).filter("real").select("cluster")
-    spans = materialize(in_runs(repeats.join(real, "cluster", "left_semi").select(*DOC, "level", "at", "words", "cluster", "extra")), "spans")
-    runs = spans.groupBy(*DOC, "run").agg(
-        F.min("at").alias("start_word"), F.max("end").alias("end_word"), F.sum("fresh").alias("n_removed"),
-        F.min_by("cluster", F.struct("at", "level")).alias("first_cluster"), F.max_by("cluster", F.struct("end", -F.col("level"))).alias("last_cluster"),
-    )
-    runs = materialize(runs.filter(F.col("end_word") - F.col("start_word") >= min_run), "runs")
-    short = runs.filter(F.col("end_word") - F.col("start_word") < min_passage)
-    far = reach(texts, spans, short, min_passage - min_run, inside)
-    f = far.select(F.col("doc_id").alias("d"), F.col("text_sum").alias("t"), F.col("run").alias("r"), "left", "right")
-    runs = runs.join(f, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_sum") == F.col("t")) & (F.col("run") == F.col("r")), "left")
-    runs = runs.withColumns({"start_word": F.col("start_word") - F.coalesce("left", F.lit(0)), "end_word": F.col("end_word") + F.coalesce("right", F.lit(0))})
-    runs = runs.filter(F.col("end_word") - F.col("start_word") >= min_passage)
-    return spans, runs.select(*DOC, "run", "start_word", "end_word", "n_removed", F.col("first_cluster").alias("cluster"))
-
-
-def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN, min_passage: int = MIN_PASSAGE, inside: bool = True
-) -> DataFrame:
-    """One row per passage that repeats elsewhere, in another document or (inside) in its own: doc_id, text_sum (hash of the text),
-    start_word, end_word (exclusive), n_words, n_removed (words that are no first occurrence), cluster (component of its first
-    paragraph) and removed.
-
-    Passages have min_passage words or more; ends of longer ones may stand some words further out.  Rows of equal id and text count
-    as one document.  Null, empty and blank texts have no passages, nor have documents whose words repeat nowhere.  Tables may be empty.
+    return in_runs(repeats.join(real, "cluster", "left_semi").select("doc_id", "level", "at", "words", "cluster", "extra"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN, inside: bool = True) -> DataFrame:
+    """One row per passage that repeats elsewhere, in another document or (inside) in its own: doc_id, start_word, end_word
+    (exclusive), n_words, n_removed (words that are no first occurrence), cluster (component of its first paragraph) and removed.
+
+    Rows that share an id count as one document.  Null, empty and blank texts have no passages, nor have documents whose
+    words repeat nowhere.  Tables may be empty.
     """
     with scratch() as keep:
-        _, runs = find_repeats(docs, id_col, text_col, recall, min_run, min_passage, inside)
-        out = runs.drop("run").withColumns({"n_words": F.col("end_word") - F.col("start_word"), "removed": F.col("n_removed") > 0})
-        return keep(materialize(out.select(*DOC, "start_word", "end_word", "n_words", "n_removed", "cluster", "removed"), "passages"))
+        runs = repeated_paragraphs(docs, id_col, text_col, recall, inside).groupBy("doc_id", "run").agg(
+            F.min("at").alias("start_word"), F.max("end").alias("end_word"), (F.max("end") - F.min("at")).alias("n_words"),
+            F.sum("fresh").alias("n_removed"), F.min_by("cluster", F.struct("at", "level")).alias("cluster"),
+        )
+        kept = runs.filter(F.col("n_words") >= min_run).drop("run").withColumn("removed", F.col("n_removed") > 0)
+        return keep(materialize(kept, "passages"))
 
 
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN, min_passage: int = MIN_PASSAGE
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN) -> DataFrame:
     """docs with all but the first occurrence of repeated passages cut from the text; other texts stay as they are.
 
-    Rows that share an id but not the text lose their own passages only; the columns stay as they are, whatever their names.
+    The columns stay as they are, whatever their names.  Texts of an id that has several different texts stay whole, since
+    passages name places by id alone.
     """
     with scratch() as keep:
-        all_, runs = find_repeats(docs, id_col, text_col, recall, min_run, min_passage, True)
-        long = runs.select(F.col("doc_id").alias("d"), F.col("text_sum").alias("t"), F.col("run").alias("r"))
-        gone = all_.filter("fresh > 0").join(long, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_sum") == F.col("t")) & (F.col("run") == F.col("r")))
-        spans = gone.groupBy(F.col("doc_id").alias("span_id"), F.col("text_sum").alias("span_sum")).agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("fresh")).alias("at"), "end"))).alias("spans"))
-        spans = keep(materialize(spans, "cuts"))
+        all_ = materialize(repeated_paragraphs(docs, id_col, text_col, recall), "repeats")
+        long = all_.groupBy("doc_id", "run").agg((F.max("end") - F.min("at")).alias("n")).filter(F.col("n") >= min_run).select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"))
+        gone = all_.filter("fresh > 0").join(long, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r")))
+        total = docs.groupBy(F.col(id_col).alias("one")).agg(F.min(F.xxhash64(text_col)).alias("low"), F.max(F.xxhash64(text_col)).alias("high")).filter("low = high")
+        gone = gone.join(total.select("one"), F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
+        spans = keep(materialize(gone.groupBy(F.col("doc_id").alias("span_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("fresh")).alias("at"), "end"))).alias("spans")), "spans"))
 
     @F.pandas_udf(StringType())
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else without_words(t, a, e) for t, a, e in zip(texts, starts, ends, strict=True)], dtype="object")
 
-    d = packed(docs, id=F.col(id_col), text=F.col(text_col), text_sum=F.xxhash64(text_of(text_col)))
-    d = d.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("text_sum") == F.col("span_sum")), "left")
+    d = packed(docs, id=F.col(id_col), text=F.col(text_col)).join(spans, F.col("id").eqNullSafe(F.col("span_id")), "left")
     return unpacked(d, docs.columns, **{text_col: cut(F.col("text"), F.col("spans")["at"], F.col("spans")["end"])}).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -414,4 +292,4 @@ def without_words(text: str, starts, ends) -> str:
 
 
 def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(load(spark, sf_dir, "documents").select("doc_id", "text"), inside=False).drop("text_sum")
+    return repeated_passages(load(spark, sf_dir, "documents").select("doc_id", "text"), inside=False)

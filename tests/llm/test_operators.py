@@ -299,6 +299,9 @@ def test_passages_repeated_in_one_document(spark):
     cut = {x["doc_id"]: x["text"] for x in passage_dedup.remove_repeats(d).collect()}
     assert len(brute.words(cut[1])) <= 240 - 24 and brute.words(cut[1])[:140] == brute.words(docs[0][1])[:140]
     assert cut[2] == docs[1][1] and cut[None] == docs[2][1]
+    twice = [(1, docs[0][1], 0), (1, "short and different", 1)]  # one id, two texts
+    out = passage_dedup.remove_repeats(spark.createDataFrame(twice, "doc_id long, text string, _id int"))
+    assert out.columns == ["doc_id", "text", "_id"] and sorted(r["text"] for r in out.collect()) == sorted(t for _, t, _ in twice)
 
 
 # ---- 6 shards --------------------------------------------------------------------------------------------------------------
