@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import bit_filter, connected_components, in_filter, load, materialize, packed, scratch, small_batches, unpacked
-from .shingles import Forest, mix, shingle_hashes, stream_groups, word_hashes
+from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, in_filter, load, materialize, packed, scratch, small_batches, unpacked
+from .shingles import Forest, byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
 #: A cut stands before a word whose hash is less than those of so many words on either side; paragraphs take 11 words on average.
@@ -34,7 +35,6 @@ RECALL = 0.95
 MIN_RUN = 24
 #: Words of a window of neighbouring pieces; with REACH more on either side, one changed word leaves such windows similar enough.
 WIDE = 40
-_FREE = np.zeros(2, np.uint64)
 
 
 def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int = 1) -> int:
@@ -42,39 +42,25 @@ def bands_for(recall: float = RECALL, threshold: float = THRESHOLD, rows: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def cut_points(words: np.ndarray) -> np.ndarray:
-    """Starts of the paragraphs of a text, 0 first; none is longer than LONGEST words."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    h = mix(words ^ np.uint64(0x5851F42D4C957F2D))
-    cut = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        cut[k:] &= h[k:] < h[:-k]
-        cut[:-k] &= h[:-k] <= h[k:]
-    cut[:REACH] = False
-    cut[0] = True
-    starts = np.flatnonzero(cut)
-    gaps = np.diff(np.append(starts, n))
-    if gaps.max() <= LONGEST:
-        return starts
-    return np.concatenate([np.arange(s, s + g, LONGEST) for s, g in zip(starts, gaps, strict=True)])
+class Paragraphs(NamedTuple):
+    """Paragraphs of several texts, one array entry each; level 0 are pieces, 1 lines and blocks of lines, 2 windows of pieces."""
 
-
-def windows_of(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the least runs of neighbouring pieces that hold WIDE words; no run holds another one."""
-    edges = np.append(starts, n)
-    last = np.searchsorted(edges, starts + WIDE)
-    fits = np.flatnonzero(last < len(edges))
-    fits = fits[np.append(last[fits][1:], len(edges)) > last[fits]]  # of runs with the same end the shortest
-    return starts[fits], edges[last[fits]]
+    text: np.ndarray  # number of the text
+    level: np.ndarray
+    at: np.ndarray  # first word in the text
+    words: np.ndarray
+    keys: np.ndarray  # alike for paragraphs of the same shingles
+    hashes: np.ndarray  # paragraphs x bands
+    first: np.ndarray  # place of the first shingle in every, and behind the last one
+    stop: np.ndarray
+    every: np.ndarray
 
 
-def line_spans(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends), in words, of the lines and of the blocks of lines between blank lines that hold MIN_RUN words."""
+def line_spans(counts: list[int]) -> list[tuple[int, int]]:
+    """(start, end), in words, of the lines and of the blocks of lines between blank lines that hold MIN_RUN words, from the
+    numbers of words of the lines of a text."""
     out, at, block, lines = [], 0, 0, 0
-    for line in [*(text or "").encode("utf-8", "replace").split(b"\n"), b""]:
-        n = len(line.split())
+    for n in [*counts, 0]:
         if n >= MIN_RUN:
             out.append((at, at + n))
         if n == 0:
@@ -84,103 +70,249 @@ def line_spans(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         else:
             lines += 1
         at += n
-    spans = np.array(out, np.int64).reshape(-1, 2)
-    return spans[:, 0], spans[:, 1]
+    return out
+
+
+def pieces_of(words: np.ndarray, real: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of texts that stand at head..tail in words, with REACH places or more between them.
+
+    A cut stands at the first word and before local minima of the word hashes; no piece is longer than LONGEST words.
+    """
+    h = np.full(len(words), np.iinfo(np.uint64).max)
+    h[real] = mix(words[real] ^ np.uint64(0x5851F42D4C957F2D))
+    cut = np.zeros(len(words), bool)
+    cut[real] = True
+    for k in range(1, REACH + 1):
+        cut[k:] &= h[k:] < h[:-k]
+        cut[:-k] &= h[:-k] <= h[k:]
+    for k in range(REACH):
+        cut[head + k] = k == 0
+    starts = np.flatnonzero(cut)
+    end_of = lambda s: np.minimum(np.append(s[1:], len(words)), tail[np.searchsorted(head, s, "right") - 1])
+    parts = -((starts - end_of(starts)) // LONGEST)
+    starts = np.repeat(starts, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return starts, end_of(starts)
+
+
+def windows_of(starts: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the least runs of neighbouring pieces of a text that hold WIDE words; no run holds another one."""
+    edges = np.sort(np.concatenate([starts, tail]))
+    last = np.searchsorted(edges, starts + WIDE)
+    ends = np.append(edges, np.iinfo(np.int64).max)[last]
+    fits = np.flatnonzero(ends <= tail[np.searchsorted(head, starts, "right") - 1])
+    fits = fits[np.append(last[fits][1:], len(edges)) > last[fits]]  # of runs with the same end the shortest
+    return starts[fits], ends[fits]
 
 
-def paragraphs(text: str | None, bands: int):
-    """(level, starts, sizes, keys, band hashes (paragraphs x bands), first shingles, shingles behind the last, all shingles).
+def paragraphs(texts: list[str | None], bands: int) -> Paragraphs | None:
+    """All paragraphs of the texts, or None where they have no words.
 
-    Level 0 are the pieces, 1 lines and blocks of lines, 2 windows of neighbouring pieces.  The words that decide where a cut
-    stands are alike in both copies, so a window is compared with REACH more words on either side; its own first and last
-    shingles must be shared, so that it does not reach beyond what is alike.
+    The words that decide where a cut stands are alike in both copies, so a window is compared with REACH more words on either
+    side; its own first and last shingles must be shared, so that it does not reach beyond what is alike.  Bands of windows
+    hold the first or the last of them besides a minhash: neighbouring windows of a text are much alike, but no repeats.
     """
-    words = word_hashes(text)
-    n = len(words)
-    if n == 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64)) + (np.zeros(0, np.int64),) * 2 + (words,)
-    pieces = cut_points(words)
-    piece_ends = np.append(pieces[1:], n)
-    wide, wide_ends = windows_of(pieces, n)
-    lines, line_ends = line_spans(text)
+    data = [(t or "").encode("utf-8", "replace") for t in texts]
+    counts = [[len(line.split()) for line in d.split(b"\n")] for d in data]
+    n = np.array([sum(c) for c in counts], np.int64)
+    held = np.flatnonzero(n)
+    if len(held) == 0:
+        return None
+    n = n[held]
+    head = np.cumsum(n + REACH) - n - REACH  # REACH empty places behind each text
+    tail = head + n
+    real = np.arange(n.sum()) + REACH * np.repeat(np.arange(len(n)), n)
+    words = np.zeros(tail[-1] + REACH, np.uint64)
+    words[real] = byte_word_hashes(b"\n".join(data))
+    pieces, piece_ends = pieces_of(words, real, head, tail)
+    wide, wide_ends = windows_of(pieces, head, tail)
+    spans = [(h + s, h + e) for h, i in zip(head.tolist(), held.tolist(), strict=True) for s, e in line_spans(counts[i])]
+    lines, line_ends = np.array(spans, np.int64).reshape(-1, 2).T
     level = np.repeat(np.arange(3), [len(pieces), len(lines), len(wide)])
     starts, ends = np.concatenate([pieces, lines, wide]), np.concatenate([piece_ends, line_ends, wide_ends])
+    own = np.searchsorted(head, starts, "right") - 1
     margin = np.where(level == 2, REACH, 0)
-    left, right = np.maximum(starts - margin, 0), np.minimum(ends + margin, n)
+    left, right = np.maximum(starts - margin, head[own]), np.minimum(ends + margin, tail[own])
     # shingles of five words, then those of the pieces of fewer words, then one that no reduction reads
-    short = np.flatnonzero(right - left < 5)
-    every = shingle_hashes(words) if n >= 5 else words[:0]
+    every = shingle_hashes(words)
     first, stop = left.copy(), right - 4
+    short = np.flatnonzero(right - left < 5)
     first[short] = len(every) + np.arange(len(short))
     stop[short] = first[short] + 1
-    every = np.concatenate([every, *[shingle_hashes(words[left[i] : right[i]]) for i in short], np.zeros(1, np.uint64)])
-    pairs = np.stack([first, stop], axis=1).ravel()
-    reduce = lambda f, values: f.reduceat(values, pairs)[::2]
+    few = np.zeros(len(short), np.uint64)
+    for m in range(1, 5):
+        some = (right - left)[short] == m
+        few[some] = shingle_hashes(words[left[short][some][:, None] + np.arange(m)].T, m)[0] if some.any() else few[some]
+    every = np.concatenate([every, few, np.zeros(1, np.uint64)])
+    long = np.flatnonzero(right - left >= 5)
+    pairs = np.stack([first[long], stop[long]], axis=1).ravel()
+
+    def reduce(f, values):
+        out = np.empty(len(starts), np.uint64)
+        out[short] = values[first[short]]
+        if len(long):
+            out[long] = f.reduceat(values, pairs)[::2]
+        return out
+
     sizes, salt = ends - starts, mix(level.astype(np.uint64) + np.uint64(11))
     mixed = [mix(every ^ mix(np.array([b + 1], np.uint64))) for b in range(bands)]
     keys = mix(reduce(np.add, mixed[0]) ^ mix(reduce(np.bitwise_xor, mixed[-1]) + sizes.astype(np.uint64)) ^ salt)
-    hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt for b, m in enumerate(mixed)], axis=1))
-    return level, starts, sizes, keys, hashes, first, stop, every
+    ends_of = own_ends(every, level, first, stop)
+    hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt ^ mix(ends_of[b % 2]) for b, m in enumerate(mixed)], axis=1))
+    return Paragraphs(held[own], level, starts - head[own], sizes, keys, hashes, first, stop, every)
 
 
-def twice_filter(docs: DataFrame, bands: int) -> np.ndarray:
-    """Bit filter of the band hashes that occur at least twice in the corpus."""
+def own_ends(every: np.ndarray, level: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last shingle of windows without their margins; 0 for other paragraphs."""
+    wide = level == 2
+    return tuple(np.where(wide, every[at], np.uint64(0)) for at in (np.minimum(first + REACH, stop - 1), np.maximum(stop - 1 - REACH, first)))
+
+
+def slices(texts: pd.Series, most: int = 1 << 20):
+    """(number of the first text, texts): neighbouring texts of so many characters together, or a longer one alone."""
+    start, size, every = 0, 0, texts.tolist()
+    for i, t in enumerate(every):
+        size += len(t or "")
+        if size > most and i > start:
+            yield start, every[start:i]
+            start, size = i, len(t or "")
+    if start < len(every):
+        yield start, every[start:]
+
+
+_CHUNK = 1 << FILTER_CHUNK
 
-    def bands_of(batches):
-        for p in batches:
-            found = [paragraphs(t, bands)[4].ravel() for t in p["text"]]
-            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            band, n = np.unique(every, return_counts=True)
-            yield pd.DataFrame({"band": band.view(np.int64), "n": n})
 
-    counts = docs.select("text").mapInPandas(bands_of, "band long, n long").groupBy("band").agg(F.sum("n").alias("n")).filter("n >= 2")
-    return bit_filter(counts, "band")
+def band_filters(docs: DataFrame, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit filters of the bands that paragraphs of the corpus hold twice, and of those that different paragraphs hold.
+
+    A band goes out as its place in the filter and 32 bits of the paragraph's key; a task holds one chunk of the filter at a time.
+    """
+
+    def packed_places(held: list[np.ndarray]):
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        value = np.repeat(value, np.minimum(n, 2))
+        place, fold = value >> np.uint64(32), (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        chunk, spot = (place >> np.uint64(FILTER_CHUNK)).astype(np.int32), (place & np.uint64(_CHUNK - 1)).astype(np.uint16)
+        edges = [*np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)]
+        rows = [(chunk[a], spot[a:b].tobytes() + fold[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+        return pd.DataFrame(rows, columns=["chunk", "places"])
+
+    def places(batches):
+        held, n = [], 0
+        for p in batches:
+            for _, texts in slices(p["text"]):
+                if (found := paragraphs(texts, bands)) is None:
+                    continue
+                fold = (found.keys >> np.uint64(32))[:, None]
+                held.append((((found.hashes & np.uint64((1 << FILTER_BITS) - 1)) << np.uint64(32)) | fold).ravel())
+                n += len(held[-1])
+                if n >= 1 << 21:
+                    yield packed_places(held)
+                    held, n = [], 0
+        if held:
+            yield packed_places(held)
+
+    def chunks(batches):
+        last, n, low, high = None, None, None, None
+        closed = lambda: pd.DataFrame([(last, np.packbits(n >= 2).tobytes(), np.packbits(low < high).tobytes())], columns=["chunk", "twice", "differ"])
+        for p in batches:
+            for chunk, data in zip(p["chunk"].tolist(), p["places"].tolist(), strict=True):
+                if chunk != last:
+                    if last is not None:
+                        yield closed()
+                    last, n = chunk, np.zeros(_CHUNK, np.int64)
+                    low, high = np.full(_CHUNK, 0xFFFFFFFF, np.uint32), np.zeros(_CHUNK, np.uint32)
+                size = len(data) // 6
+                spot, fold = np.frombuffer(data, np.uint16, size), np.frombuffer(data[2 * size :], np.uint32)
+                n += np.bincount(spot, minlength=_CHUNK)
+                np.minimum.at(low, spot, fold)
+                np.maximum.at(high, spot, fold)
+        if last is not None:
+            yield closed()
+
+    sent = docs.select("text").mapInPandas(places, "chunk int, places binary").repartition("chunk").sortWithinPartitions("chunk")
+    twice, differ = np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    width = _CHUNK // 8
+    for chunk, two, other in sent.mapInPandas(chunks, "chunk int, twice binary, differ binary").collect():
+        twice[chunk * width : (chunk + 1) * width] = np.frombuffer(two, np.uint8)
+        differ[chunk * width : (chunk + 1) * width] = np.frombuffer(other, np.uint8)
+    return twice, differ
 
 
 def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, level, at, words, key, bands) of the paragraphs that pass the filter."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(twice_filter(docs, bands))
+    """(doc_id, level, at, words, key, band0, band1, ...) of the paragraphs that pass the filters.
+
+    A window that has only exact copies tells nothing that its pieces do not tell, so windows pass only where a band holds
+    different paragraphs.  Bands that hold one paragraph alone, and those of a paragraph told just before, are 0.
+    """
+    tables = docs.sparkSession.sparkContext.broadcast(band_filters(docs, bands))
+    names = [f"band{b}" for b in range(bands)]
 
     def keep(batches):
-        bits = table.value
+        twice, differ = tables.value
         for p in batches:
-            out = []
-            for i, t in zip(p["doc_id"], p["text"], strict=True):
-                level, starts, sizes, keys, hashes = paragraphs(t, bands)[:5]
-                hit = np.flatnonzero(in_filter(bits, hashes).any(axis=1)) if len(hashes) else []
-                out += [(i, int(level[s]), int(starts[s]), int(sizes[s]), int(keys[s].view(np.int64)), hashes[s].view(np.int64)) for s in hit]
-            yield pd.DataFrame(out, columns=["doc_id", "level", "at", "words", "key", "bands"])
+            for start, texts in slices(p["text"]):
+                if (found := paragraphs(texts, bands)) is None:
+                    continue
+                other = in_filter(differ, found.hashes)
+                hit = np.flatnonzero(np.where(found.level == 2, other.any(axis=1), in_filter(twice, found.hashes).any(axis=1)))
+                keys = found.keys[hit].view(np.int64)
+                told = np.ones(len(keys), bool)
+                told[np.unique(keys, return_index=True)[1]] = False
+                band = np.where(other[hit] & ~told[:, None], found.hashes[hit].view(np.int64), 0)
+                rest = {"level": found.level[hit], "at": found.at[hit], "words": found.words[hit], "key": keys}
+                ids = p["doc_id"].iloc[start + found.text[hit]].reset_index(drop=True)
+                yield pd.DataFrame({"doc_id": ids} | rest | {name: band[:, b] for b, name in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, bands array<long>")
+    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, " + ", ".join(f"{n} long" for n in names))
 
 
 def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
-    """(key, shingles), once for each of the keys: two shingles that a partner must hold, 0 for any, and then all.  Texts are
-    read again, so that only shingles that are compared travel."""
+    """(key, shingles), once for each of the keys: two shingles that a partner must hold, 0 for any, and then all, in 32 bits.
+    Texts are read again, so that only shingles that are compared travel."""
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def pick(batches):
         for p in batches:
             out = {}
-            for t in p["text"]:
-                level, _, _, keys, _, first, stop, every = paragraphs(t, bands)
-                for s in np.flatnonzero(in_filter(table.value, keys)) if len(keys) else []:
-                    k = int(keys[s].view(np.int64))
+            for _, texts in slices(p["text"]):
+                if (found := paragraphs(texts, bands)) is None:
+                    continue
+                named, at = np.unique(found.keys, return_index=True)
+                some = at[in_filter(table.value, named)]
+                head, tail = own_ends(found.every, found.level[some], found.first[some], found.stop[some])
+                every = (found.every >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                ends = np.stack([head, tail], axis=1) >> np.uint64(32)
+                ends = np.where(np.stack([head, tail], axis=1) == 0, 0, ends | np.uint64(1)).astype(np.uint32)
+                for k, a, b, e in zip(found.keys[some].view(np.int64).tolist(), found.first[some].tolist(), found.stop[some].tolist(), ends, strict=True):
                     if k not in out:
-                        own = every[first[s] : stop[s]]
-                        ends = own[[min(REACH, len(own) - 1), max(len(own) - 1 - REACH, 0)]] if level[s] == 2 else _FREE
-                        out[k] = np.concatenate([ends, np.unique(own)]).tobytes()
+                        out[k] = e.tobytes() + np.unique(every[a:b]).tobytes()
             yield pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
 
     found = docs.select("text").mapInPandas(pick, "key long, shingles binary")
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
+def groups_of(batches):
+    """(keys, shingles) of the parts of bands that hold two paragraphs or more, from rows sorted by band and part."""
+    last, keys, held = None, [], []
+    for p in batches:
+        for band, part, key, data in zip(p["band"].tolist(), p["part"].tolist(), p["key"].tolist(), p["shingles"].tolist(), strict=True):
+            if (band, part) != last:
+                if len(keys) > 1:
+                    yield keys, held
+                last, keys, held = (band, part), [], []
+            keys.append(key)
+            held.append(data)
+    if len(keys) > 1:
+        yield keys, held
+
+
 def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
-    banded = materialize(found.select("key", F.explode("bands").alias("band")).distinct(), "banded")
+    told = found.select("key", F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band")).filter("band <> 0")
+    banded = materialize(told.distinct(), "banded")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = materialize(banded.join(sizes, "band").select("band", "key", "blocks"), "met")
     # shingles travel once per distinct paragraph that meets another one
@@ -190,17 +322,19 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
 
     def check(batches):
         out: list[tuple[int, int]] = []
-        for g in stream_groups(batches, ["band", "part"]):
-            if len(g) < 2:
-                continue
-            lists = [np.frombuffer(x, np.uint64).tolist() for x in g["shingles"]]
+        for keys, held in groups_of(batches):
+            lists = [np.frombuffer(x, np.uint32).tolist() for x in held]
             ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
-            keys, forest = g["key"].tolist(), Forest(len(g))
+            forest = Forest(len(keys))
             for i in range(len(sets)):
+                a = len(sets[i])
                 for j in range(i):
-                    if forest.root(i) != forest.root(j):
+                    b = len(sets[j])
+                    if min(a, b) < THRESHOLD * max(a, b) - 1e-9 or forest.root(i) == forest.root(j):
+                        continue
+                    if ends[i] <= sets[j] and ends[j] <= sets[i]:
                         both = len(sets[i] & sets[j])
-                        if both >= THRESHOLD * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and ends[i] <= sets[j] and ends[j] <= sets[i]:
+                        if both >= THRESHOLD * (a + b - both) - 1e-9:
                             forest.join(i, j)
             out += [(keys[i], keys[r]) for i, r in enumerate(forest.roots()) if r != i]
             if len(out) > 50_000:
@@ -238,6 +372,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
         seen = seen.filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     repeats = owned.join(seen.select("cluster", "first"), "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
+    if not inside:  # every cluster has an occurrence in another document
+        return in_runs(repeats.select("doc_id", "level", "at", "words", "cluster", "extra"))
     # windows of one document that are alike only because they overlap are no repeats
     real = repeats.groupBy("cluster").agg(F.max("extra").alias("real")).filter("real").select("cluster")
     return in_runs(repeats.join(real, "cluster", "left_semi").select("doc_id", "level", "at", "words", "cluster", "extra"))

@@ -36,8 +36,12 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash per white-space separated word; texts of any length are read a chunk at a time."""
-    data = (text or "").encode("utf-8", "replace")
+    """One 64-bit hash per white-space separated word."""
+    return byte_word_hashes((text or "").encode("utf-8", "replace"))
+
+
+def byte_word_hashes(data: bytes) -> np.ndarray:
+    """word_hashes of UTF-8 bytes; data of any length is read a chunk at a time."""
     out = []
     at = 0
     while at < len(data):
