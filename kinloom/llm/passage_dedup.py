@@ -51,6 +51,7 @@ class Paragraphs(NamedTuple):
     words: np.ndarray
     keys: np.ndarray  # alike for paragraphs of the same shingles
     hashes: np.ndarray  # paragraphs x bands
+    bits: np.ndarray  # a set bit for every shingle, at one of 64 places
     first: np.ndarray  # place of the first shingle in every, and behind the last one
     stop: np.ndarray
     every: np.ndarray
@@ -147,7 +148,7 @@ def paragraphs(texts: list[str | None], bands: int) -> Paragraphs | None:
     pairs = np.stack([first[long], stop[long]], axis=1).ravel()
 
     def reduce(f, values):
-        out = np.empty(len(starts), np.uint64)
+        out = np.empty(len(starts), values.dtype)
         out[short] = values[first[short]]
         if len(long):
             out[long] = f.reduceat(values, pairs)[::2]
@@ -158,7 +159,8 @@ def paragraphs(texts: list[str | None], bands: int) -> Paragraphs | None:
     keys = mix(reduce(np.add, mixed[0]) ^ mix(reduce(np.bitwise_xor, mixed[-1]) + sizes.astype(np.uint64)) ^ salt)
     ends_of = own_ends(every, level, first, stop)
     hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt ^ mix(ends_of[b % 2]) for b, m in enumerate(mixed)], axis=1))
-    return Paragraphs(held[own], level, starts - head[own], sizes, keys, hashes, first, stop, every)
+    bits = reduce(np.bitwise_or, np.uint64(1) << (every >> np.uint64(58)))
+    return Paragraphs(held[own], level, starts - head[own], sizes, keys, hashes, bits, first, stop, every)
 
 
 def own_ends(every: np.ndarray, level: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +242,10 @@ def band_filters(docs: DataFrame, bands: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, level, at, words, key, band0, band1, ...) of the paragraphs that pass the filters.
+    """(doc_id, level, at, words, key, shingles, bits, band0, band1, ...) of the paragraphs that pass the filters.
 
     A window that has only exact copies tells nothing that its pieces do not tell, so windows pass only where a band holds
-    different paragraphs.  Bands that hold one paragraph alone, and those of a paragraph told just before, are 0.
+    different paragraphs.  Bands that hold one paragraph alone, and those of a paragraph told just before, are 0; bits too where all bands are.
     """
     tables = docs.sparkSession.sparkContext.broadcast(band_filters(docs, bands))
     names = [f"band{b}" for b in range(bands)]
@@ -261,11 +263,12 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
                 told[np.unique(keys, return_index=True)[1]] = False
                 band = np.where(other[hit] & ~told[:, None], found.hashes[hit].view(np.int64), 0)
                 rest = {"level": found.level[hit], "at": found.at[hit], "words": found.words[hit], "key": keys}
+                rest |= {"shingles": (found.stop - found.first)[hit], "bits": np.where(band.any(axis=1), found.bits[hit].view(np.int64), 0)}
                 ids = p["doc_id"].iloc[start + found.text[hit]].reset_index(drop=True)
                 yield pd.DataFrame({"doc_id": ids} | rest | {name: band[:, b] for b, name in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, shingles long, bits long, " + ", ".join(f"{n} long" for n in names))
 
 
 def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
@@ -294,35 +297,56 @@ def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def groups_of(batches):
-    """(keys, shingles) of the parts of bands that hold two paragraphs or more, from rows sorted by band and part."""
-    last, keys, held = None, [], []
+def groups_of(batches, *columns: str):
+    """Bands, parts and the values of the columns, a tuple each, of the parts of bands that hold two rows or more, from rows sorted by band and part."""
+    last, held = None, []
     for p in batches:
-        for band, part, key, data in zip(p["band"].tolist(), p["part"].tolist(), p["key"].tolist(), p["shingles"].tolist(), strict=True):
-            if (band, part) != last:
-                if len(keys) > 1:
-                    yield keys, held
-                last, keys, held = (band, part), [], []
-            keys.append(key)
-            held.append(data)
-    if len(keys) > 1:
-        yield keys, held
+        for row in zip(*[p[c].tolist() for c in ("band", "part", *columns)], strict=True):
+            if row[:2] != last:
+                if len(held) > 1:
+                    yield list(zip(*held, strict=True))
+                last, held = row[:2], []
+            held.append(row)
+    if len(held) > 1:
+        yield list(zip(*held, strict=True))
+
+
+def may_match(sizes: list[int], bits: list[int]) -> np.ndarray:
+    """For each paragraph whether the bits of another one leave a similarity of THRESHOLD possible.
+
+    Every bit that differs is a shingle that one of the two lacks, and similar sets lack few: no similar pair is lost.
+    """
+    n, b = np.array(sizes), np.array(bits, np.int64)
+    share = 1 / THRESHOLD - 1
+    near = np.bitwise_count(b[:, None] ^ b[None, :]) <= share * np.minimum(n[:, None], n[None, :]) + 1e-9
+    return near.sum(axis=1) > 1
 
 
 def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
-    told = found.select("key", F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band")).filter("band <> 0")
-    banded = materialize(told.distinct(), "banded")
+    told = found.select("key", "shingles", "bits", F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band")).filter("band <> 0")
+    banded = materialize(told.groupBy("band", "key").agg(F.max("shingles").alias("shingles"), F.max("bits").alias("bits")), "banded")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = materialize(banded.join(sizes, "band").select("band", "key", "blocks"), "met")
-    # shingles travel once per distinct paragraph that meets another one
-    sets = shingles_of(docs, bands, met.select("key").distinct())
-    some = met.withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    some = some.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key").join(sets, "key")
+    met = banded.join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key", "shingles", "bits")
+
+    def likely(batches):
+        out: list[tuple[int, int, int]] = []
+        for band, part, keys, n, bits in groups_of(batches, "key", "shingles", "bits"):
+            out += [(band[0], part[0], keys[i]) for i in np.flatnonzero(may_match(n, bits))]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["band", "part", "key"])
+                out = []
+        yield pd.DataFrame(out, columns=["band", "part", "key"]).astype("int64")
+
+    some = met.repartition("band", "part").sortWithinPartitions("band", "part").mapInPandas(likely, "band long, part long, key long")
+    some = materialize(some, "likely")
+    # shingles travel once per distinct paragraph that may be like another one
+    sets = shingles_of(docs, bands, some.select("key").distinct())
 
     def check(batches):
         out: list[tuple[int, int]] = []
-        for keys, held in groups_of(batches):
+        for _, _, keys, held in groups_of(batches, "key", "shingles"):
             lists = [np.frombuffer(x, np.uint32).tolist() for x in held]
             ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
             forest = Forest(len(keys))
@@ -342,7 +366,8 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return some.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(check, "a long, b long").distinct()
+    some = some.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part", "key")
+    return some.mapInPandas(check, "a long, b long").distinct()
 
 
 def in_runs(spans: DataFrame) -> DataFrame:
