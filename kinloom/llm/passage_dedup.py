@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, in_filter, load, materialize, packed, scratch, small_batches, unpacked
+from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, in_filter, load, materialize, packed, release, scratch, small_batches, unpacked
 from .shingles import Forest, byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -277,8 +277,9 @@ def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def pick(batches):
+        frame = lambda: pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
+        out, size = {}, 0
         for p in batches:
-            out = {}
             for _, texts in slices(p["text"]):
                 if (found := paragraphs(texts, bands)) is None:
                     continue
@@ -291,24 +292,37 @@ def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
                 for k, a, b, e in zip(found.keys[some].view(np.int64).tolist(), found.first[some].tolist(), found.stop[some].tolist(), ends, strict=True):
                     if k not in out:
                         out[k] = e.tobytes() + np.unique(every[a:b]).tobytes()
-            yield pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
+                        size += len(out[k])
+            if size > 1 << 24:
+                yield frame()
+                out, size = {}, 0
+        yield frame()
 
     found = docs.select("text").mapInPandas(pick, "key long, shingles binary")
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def groups_of(batches, *columns: str):
-    """Bands, parts and the values of the columns, a tuple each, of the parts of bands that hold two rows or more, from rows sorted by band and part."""
-    last, held = None, []
+def groups_of(batches, limit: int, *columns: str):
+    """Bands, parts, keys and the values of the columns, a tuple each, of the parts of bands that hold two keys or more, from rows
+    sorted by band, part and key.  A part of more keys than the limit comes in pieces: more than the limit, then the rest with a
+    part of -1."""
+    last, held, cut = None, [], False
+    end = lambda: list(zip(*[(r[0], -1, *r[2:]) for r in held] if cut else held, strict=True))
     for p in batches:
         for row in zip(*[p[c].tolist() for c in ("band", "part", *columns)], strict=True):
-            if row[:2] != last:
-                if len(held) > 1:
-                    yield list(zip(*held, strict=True))
-                last, held = row[:2], []
+            if row[:2] != last[:2] if last else True:
+                if len(held) > 1 or cut and held:
+                    yield end()
+                held, cut = [], False
+            elif row[2] == last[2]:
+                continue
+            last = row[:3]
             held.append(row)
-    if len(held) > 1:
-        yield list(zip(*held, strict=True))
+            if len(held) > limit:
+                yield end()
+                held, cut = [], True
+    if len(held) > 1 or cut and held:
+        yield end()
 
 
 def may_match(sizes: list[int], bits: list[int]) -> np.ndarray:
@@ -324,29 +338,35 @@ def may_match(sizes: list[int], bits: list[int]) -> np.ndarray:
 
 def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
-    told = found.select("key", "shingles", "bits", F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band")).filter("band <> 0")
-    banded = materialize(told.groupBy("band", "key").agg(F.max("shingles").alias("shingles"), F.max("bits").alias("bits")), "banded")
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = banded.join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key", "shingles", "bits")
-
-    def likely(batches):
-        out: list[tuple[int, int, int]] = []
-        for band, part, keys, n, bits in groups_of(batches, "key", "shingles", "bits"):
-            out += [(band[0], part[0], keys[i]) for i in np.flatnonzero(may_match(n, bits))]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["band", "part", "key"])
-                out = []
-        yield pd.DataFrame(out, columns=["band", "part", "key"]).astype("int64")
-
-    some = met.repartition("band", "part").sortWithinPartitions("band", "part").mapInPandas(likely, "band long, part long, key long")
-    some = materialize(some, "likely")
+    told = found.select(F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band"), F.lit(0).cast("long").alias("part"), "key", "shingles", "bits").filter("band <> 0")
+    columns = ["band", "part", "key", "shingles", "bits"]
+
+    def likely(limit):
+        def rows(batches):
+            out: list[tuple] = []
+            for group in groups_of(batches, limit, "key", "shingles", "bits"):
+                whole = len(group[0]) > limit or group[1][0] < 0
+                out += list(zip(group[0], [-1] * len(group[0]), *group[2:], strict=True)) if whole else [(group[0][0], group[1][0], group[2][i], 0, 0) for i in np.flatnonzero(may_match(*group[3:]))]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns).astype("int64")
+
+        return lambda df: df.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(rows, "band long, part long, key long, shingles long, bits long")
+
+    near = materialize(told.transform(likely(block)), "likely")
+    hot = near.filter("part < 0")
+    sizes = hot.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    hot = hot.drop("part").join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key", "shingles", "bits")
+    some = materialize(near.filter("part >= 0").union(hot.transform(likely(1 << 62))).select("band", "part", "key"), "met")
+    release(near)
     # shingles travel once per distinct paragraph that may be like another one
     sets = shingles_of(docs, bands, some.select("key").distinct())
 
     def check(batches):
         out: list[tuple[int, int]] = []
-        for _, _, keys, held in groups_of(batches, "key", "shingles"):
+        for _, _, keys, held in groups_of(batches, 1 << 62, "key", "shingles"):
             lists = [np.frombuffer(x, np.uint32).tolist() for x in held]
             ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
             forest = Forest(len(keys))
@@ -390,8 +410,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     bands = bands_for(recall)
     found = materialize(shared_paragraphs(texts, bands), "paragraphs")
     near = connected_components(materialize(verified_edges(texts, found, bands), "paragraph-edges"))
-    owned = found.select("doc_id", "level", "at", "words", "key").distinct().join(near.select(F.col("node").alias("key"), "component"), "key", "left")
+    owned = found.select("doc_id", "level", "at", "words", "key").join(near.select(F.col("node").alias("key"), "component"), "key", "left")
     owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "level", "at", "words", "cluster"), "owned")
+    release(found)
     seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     if not inside:
         seen = seen.filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
