@@ -288,6 +288,20 @@ def test_near_copies_of_paragraphs(spark):
     assert not any(d % 10 == 0 for d in found)
 
 
+def test_bands_of_many_paragraphs(spark):
+    r = np.random.default_rng(8)
+    p = [f"v{x}" for x in r.integers(0, 10**9, 90)]
+    docs = [(i, " ".join(p[:2 * i] + [f"other{i}"] + p[2 * i + 1:])) for i in range(45)]  # each differs from each other in two words
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    bands = passage_dedup.bands_for()
+    found = passage_dedup.materialize(passage_dedup.shared_paragraphs(d, bands), "paragraphs")
+    groups = []
+    for block in (4, 256):
+        rows = passage_dedup.connected_components(passage_dedup.verified_edges(d, found, bands, block)).collect()
+        groups.append({x["node"]: x["component"] for x in rows})
+    assert groups[0] == groups[1] and len(groups[0]) >= 45
+
+
 def test_passages_repeated_in_one_document(spark):
     r = np.random.default_rng(6)
     fresh = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10**9, n))
