@@ -332,7 +332,7 @@ def may_match(sizes: list[int], bits: list[int]) -> np.ndarray:
     """
     n, b = np.array(sizes), np.array(bits, np.int64)
     share = 1 / THRESHOLD - 1
-    near = np.bitwise_count(b[:, None] ^ b[None, :]) <= share * np.minimum(n[:, None], n[None, :]) + 1e-9
+    near = np.bitwise_count((b[:, None] ^ b[None, :]).view(np.uint64)) <= share * np.minimum(n[:, None], n[None, :]) + 1e-9
     return near.sum(axis=1) > 1
 
 

@@ -288,6 +288,18 @@ def test_near_copies_of_paragraphs(spark):
     assert not any(d % 10 == 0 for d in found)
 
 
+def test_bits_lose_no_similar_pair():
+    """Sets of similarity 0.8 or more pass, whichever bits differ, the sign bit included."""
+    r = np.random.default_rng(3)
+    for _ in range(500):
+        shared, extra = r.integers(0, 2**63, 17, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, 4, dtype=np.uint64) * np.uint64(2)
+        sets = [set(np.concatenate([shared, part]).tolist()) for part in (extra[:2], extra[2:])]
+        bits = [int(np.bitwise_or.reduce(np.array([1 << (x >> 58) for x in s], np.uint64)).view(np.int64)) for s in sets]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        assert passage_dedup.may_match([len(s) for s in sets], bits).all()
+    assert not passage_dedup.may_match([5, 5], [0b11111, -(2**63) + 0b111100000]).any()
+
+
 def test_bands_of_many_paragraphs(spark):
     r = np.random.default_rng(8)
     p = [f"v{x}" for x in r.integers(0, 10**9, 90)]
