@@ -557,7 +557,8 @@ def test_sql(spark, sf_dir):
 
     for name, sql in oracle_sql().items():
         con = duckdb.connect()
-        con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+        for table in ("documents", "embeddings", "labels"):
+            con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
         got, want = queries()[name](spark, sf_dir).toPandas(), con.execute(sql).df()
         key = sorted(got.columns)
         assert sorted(map(tuple, got[key].astype(str).values)) == sorted(map(tuple, want[key].astype(str).values))
