@@ -66,6 +66,15 @@ def _(t):
     return parsed(person_texts(t)).persons.withColumn("notes", F.array_join("notes", "|"))
 
 
+@query("gedcom_file_persons", """
+select xref, case when id % 17 = 0 then 'Override' else trim(coalesce(given, '')) end as given, trim(coalesce(surname, '')) as surname, birth_date, case when id % 13 = 0 then '1999' else death_date end as death_date,
+  case when id % 5 = 0 then 'first|second' else 'first' end as notes from t_persons""", ("persons",))
+def _(t):
+    folder = files.work_folder(t.spark, "gedcom")
+    person_texts(t).select("value").write.text(folder)  # text files, which tasks read in pieces
+    return gedcom.read_gedcom(t.spark, folder).persons.select("xref", "given", "surname", "birth_date", "death_date", F.array_join("notes", "|").alias("notes"))
+
+
 @query("gedcom_families", """
 select 'f' || cast(f.id % 4 as varchar) as file, xref, '@I' || cast(husband_person_id as varchar) || '@' as husb, '@I' || cast(wife_person_id as varchar) || '@' as wife, marriage_date, marriage_place,
   coalesce((select string_agg('@I' || cast(child_person_id as varchar) || '@', '|' order by child_person_id) from t_family_children c where c.family_id = f.id), '') as children from t_families f""", ("families", "family_children"))

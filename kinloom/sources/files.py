@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -16,13 +17,17 @@ MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "tif", "tiff", "bmp", "pdf")
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that all nodes see: under spark.checkpoint.dir, or, in a local session without one, a temporary one."""
+    """A new folder that all nodes see: under spark.checkpoint.dir, or, in a local session without one, a temporary one.
+    It is deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='kinloom-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def scan_media(spark: SparkSession, folder: str, extensions: tuple = MEDIA, recursive: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators.ids import one_per_key
 
+#: The form of a line: level, optional reference, tag and value (a fixed value of the format).
 LINE = r"^([0-9]+)\s+(?:(@[^@]+@)\s+)?([A-Z0-9_]+)(?:\s+(.*))?$"
 
 
@@ -24,16 +25,39 @@ class Gedcom:
 def gedcom_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, level, xref, tag, value) of the lines that follow the GEDCOM form; others are passed over.
 
-    A file is one row before it is split, because records carry meaning over from line to line.
+    Files are read line by line and split like any text, so many tasks read a large one.  pos orders the lines of a file: block is
+    where the task's piece of the file begins, n counts on inside it.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return split_lines(whole)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return _parts(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("pos"), F.col("value").alias("line")))
 
 
 def split_lines(texts: DataFrame) -> DataFrame:
-    lines = texts.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")).filter(F.col("line").rlike(LINE))
+    """The lines of whole texts (file, value), one block each."""
+    lines = texts.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
+    return _parts(lines.select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("n").cast("long").alias("n")).alias("pos"), "line"))
+
+
+def _parts(lines: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("line", LINE, k)
-    return lines.select("file", "pos", part(1).cast("int").alias("level"), F.nullif(part(2), F.lit("")).alias("xref"), part(3).alias("tag"), F.trim(part(4)).alias("value"))
+    some = lines.filter(F.col("line").rlike(LINE))
+    return some.select("file", "pos", part(1).cast("int").alias("level"), F.nullif(part(2), F.lit("")).alias("xref"), part(3).alias("tag"), F.trim(part(4)).alias("value"))
+
+
+def with_records(lines: DataFrame) -> DataFrame:
+    """lines with rec, the last level-0 line up to each: xref (null but for INDI and FAM), kind and start.
+
+    A window goes over one block of a file at a time.  What a block begins with, the record that an earlier one left open, comes from
+    the last level-0 lines of the blocks, one row each.
+    """
+    block = F.col("pos.block")
+    heads = F.when(F.col("level") == 0, F.struct(F.when(F.col("tag").isin("INDI", "FAM"), F.col("xref")).alias("xref"), F.col("tag").alias("kind"), F.col("pos").alias("start")))
+    ends = lines.groupBy("file", block.alias("block")).agg(F.max_by(heads, F.when(F.col("level") == 0, F.col("pos"))).alias("end"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = ends.select("file", "block", F.last("end", ignorenulls=True).over(before).alias("opened"))
+    upto = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = lines.withColumn("block", block).withColumn("own", F.last(heads, ignorenulls=True).over(upto)).join(opened, ["file", "block"])
+    return d.withColumn("rec", F.coalesce("own", "opened")).drop("block", "own", "opened")
 
 
 def _last(value: Column, when: Column, pos: str = "pos") -> Column:
@@ -47,9 +71,7 @@ def parse(lines: DataFrame) -> Gedcom:
     The latest BIRT, DEAT or MARR line of a record names the event that DATE and PLAC lines belong to, until the next level 0:
     later event lines of other kinds do not end it.  The last writer of a field wins.
     """
-    by_file = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = F.when(F.col("level") == 0, F.struct(F.when(F.col("tag").isin("INDI", "FAM"), F.col("xref")).alias("xref"), F.col("tag").alias("kind"), F.col("pos").alias("start")))
-    d = lines.withColumn("rec", F.last(heads, ignorenulls=True).over(by_file)).filter("rec.xref is not null")
+    d = with_records(lines).filter("rec.xref is not null")
     d = d.select("file", "pos", "level", "tag", "value", F.col("rec.xref").alias("record"), F.col("rec.kind").alias("kind"), F.col("rec.start").alias("start"))
     in_record = Window.partitionBy("file", "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens = ((F.col("kind") == "INDI") & F.col("tag").isin("BIRT", "DEAT")) | ((F.col("kind") == "FAM") & (F.col("tag") == "MARR"))

@@ -1,4 +1,5 @@
 import json
+import random
 import sqlite3
 import zipfile
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from kinloom.operators import actions, graph, quality, records, rules, search
 from kinloom.plans.tables import DERIVED, Tables
 from kinloom.sources import files, genealogy_db
-from kinloom.sources.gedcom import import_families, parse, read_gedcom, split_lines, upsert
+from kinloom.sources.gedcom import gedcom_lines, import_families, parse, read_gedcom, split_lines, upsert
 from kinloom.streaming.watch import register_stream, watch_media
 
 PERSON = "id int, xref string, given string, surname string, sex string, birth_date string, birth_place string, death_date string, death_place string"
@@ -190,6 +191,26 @@ def test_gedcom(spark, tmp_path):
     assert parse(split_lines(spark.createDataFrame([], "file string, value string"))).persons.count() == 0
 
 
+def test_gedcom_file_of_many_splits(spark, tmp_path):
+    r, out = random.Random(4), ["0 HEAD", "1 CHAR UTF-8"]
+    for i in range(3000):
+        out += [f"0 @I{r.randrange(1500)}@ INDI" if i % 5 else f"0 @F{i}@ FAM", f"1 NAME Name{i} /Last{r.randrange(9)}/"]
+        out += r.sample(["1 BIRT", f"2 DATE {1800 + i % 200}", "2 PLAC Town, \u00c5land", "1 DEAT", f"1 NOTE n{i}", "0 no record line", "", "junk", f"1 HUSB @I{i}@", f"1 CHIL @I{i + 1}@", "1 MARR", "0\tTRLR", "1 SEX F"], r.randrange(0, 9))
+    for name, end in (("unix", "\n"), ("dos", "\r\n"), ("mac", "\r")):
+        text = end.join(out)
+        (tmp_path / f"{name}.ged").write_bytes(text.encode())
+        whole = parse(split_lines(spark.createDataFrame([(name, text)], "file string, value string")))
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        try:
+            assert gedcom_lines(spark, str(tmp_path / f"{name}.ged")).rdd.getNumPartitions() > 20
+            split = read_gedcom(spark, str(tmp_path / f"{name}.ged"))
+            for a, b in ((split.persons, whole.persons), (split.families, whole.families)):
+                assert sorted(map(str, a.drop("file").collect())) == sorted(map(str, b.drop("file").collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def make_db(path):
     con = sqlite3.connect(path)
     con.executescript("""create table PersonTable(PersonID integer, Given text, Surname text, Sex text, BirthDate text, BirthPlace text, Notes text);
