@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, load, materialize, scratch, text_of
 
 FILTERS = "ABCDE"
-#: Ids of a range, and entries whose lists a task holds at a time.
-RANGE, HELD = 1 << 16, 1 << 18
+#: Ids of a range, which keeps a large part from one task, and entries whose lists a task holds at a time.
+RANGE, HELD = 1 << 12, 1 << 18
 
 
 def failures(text: Column) -> dict[str, Column]:
