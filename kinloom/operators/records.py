@@ -153,22 +153,25 @@ def legacy_links(associations: DataFrame, locations: DataFrame, persons: DataFra
 def import_database(t: Tables, persons: DataFrame, edges: DataFrame, places: DataFrame, links: DataFrame) -> Tables:
     """Rows of genealogy_db go into the tables: persons by xref, parent edges without repeats, media by file name.
 
-    Media that no asset has the name of become placeholders, named by a hash of 'missing::' and their path.  Links of unknown
-    persons, of families and of unknown media are passed over.
+    Ids of the rows mean something in their file only, so edges, media and links meet persons and media of the same file.  Files count
+    in order of their names: where two files have persons of one xref, which rmtree:<id> is for equal ids, they are one person, with the
+    fields of the last file and the edges and media of all.  Media that no asset has the name of become placeholders, named by a hash of
+    'missing::' and their path.  Links of unknown persons, of families and of unknown media are passed over.
     """
-    everyone = upsert(t.persons, persons.drop("file", "source_id", "notes"))
-    ids = persons.select("source_id", "xref").join(everyone.select("xref", "id"), "xref").select("source_id", "id")
-    one = lambda side: ids.select(F.col("source_id").alias(side), F.col("id").alias(f"{side}_person_id"))
-    found = edges.join(one("parent"), "parent").join(one("child"), "child").select("parent_person_id", "child_person_id", F.lit("parent").alias("rel_type"))
+    everyone = upsert(t.persons, persons.drop("source_id", "notes"))
+    ids = persons.select("file", "source_id", "xref").join(everyone.select("xref", "id"), "xref").select("file", "source_id", "id").distinct()
+    one = lambda side: ids.select("file", F.col("source_id").alias(side), F.col("id").alias(f"{side}_person_id"))
+    found = edges.join(one("parent"), ["file", "parent"]).join(one("child"), ["file", "child"]).select("parent_person_id", "child_person_id", F.lit("parent").alias("rel_type"))
     relationships = t.relationships.unionByName(found.distinct().join(t.relationships, ["parent_person_id", "child_person_id", "rel_type"], "left_anti"))
     base = lambda c: F.lower(F.element_at(F.split(F.replace(F.col(c), F.lit("\\"), F.lit("/")), "/"), -1))
     known = t.media_assets.groupBy(F.lower("original_filename").alias("base")).agg(F.min("id").alias("asset_id"))
-    p = places.withColumn("base", base("path")).join(known, "base", "left")
-    lost = p.filter("asset_id is null").select(F.sha2(F.concat(F.lit("missing::"), F.col("path")), 256).alias("sha256"), "path", F.coalesce("original_name", "base").alias("original_filename"), F.lit("unassigned").alias("status")).dropDuplicates(["sha256"])
+    p = places.withColumn("base", base("path")).join(known, "base", "left").withColumn("sha256", F.sha2(F.concat(F.lit("missing::"), F.col("path")), 256))
+    lost = p.filter("asset_id is null").groupBy("sha256").agg(F.min(F.struct(F.col("path"), F.coalesce("original_name", "base").alias("original_filename"))).alias("m"))
+    lost = lost.select("sha256", "m.path", "m.original_filename", F.lit("unassigned").alias("status"))
     assets = add_rows(t.media_assets, lost.join(t.media_assets.select("sha256"), "sha256", "left_anti"))
-    at = p.withColumn("sha256", F.sha2(F.concat(F.lit("missing::"), F.col("path")), 256)).join(assets.select("sha256", F.col("id").alias("lost_id")), "sha256", "left")
-    media = at.select("media_id", F.coalesce("asset_id", "lost_id").alias("asset_id"))
-    new = links.filter("owner_type = 'person'").join(media, "media_id").join(ids.withColumnsRenamed({"source_id": "owner_id", "id": "person_id"}), "owner_id")
+    at = p.join(assets.select("sha256", F.col("id").alias("lost_id")), "sha256", "left")
+    media = at.select("file", "media_id", F.coalesce("asset_id", "lost_id").alias("asset_id"))
+    new = links.filter("owner_type = 'person'").join(media, ["file", "media_id"]).join(ids.withColumnsRenamed({"source_id": "owner_id", "id": "person_id"}), ["file", "owner_id"])
     out = _replaced(t, persons=everyone, relationships=relationships, media_assets=assets)
     return link_media(out, new.select("asset_id", "person_id", F.lit(None).cast("int").alias("family_id")))
 

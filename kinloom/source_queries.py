@@ -108,12 +108,12 @@ _TABLES = (
 )
 
 
-def _database(rows: pd.DataFrame) -> pd.DataFrame:
+def _database(rows: pd.DataFrame, tables: tuple = _TABLES) -> pd.DataFrame:
     """One SQLite file, as plain bytes or in a zip archive, of (path, table_no, values) rows."""
     con = sqlite3.connect(":memory:")
-    for name, columns in _TABLES:
+    for name, columns in tables:
         con.execute(f"CREATE TABLE {name} ({columns})")
-    for k, (name, columns) in enumerate(_TABLES):
+    for k, (name, columns) in enumerate(tables):
         width = columns.count(",") + 1
         con.executemany(f"INSERT INTO {name} VALUES ({','.join('?' * width)})", [tuple(v)[:width] for v in rows["values"][rows["table_no"] == k]])
     con.commit()
@@ -147,30 +147,64 @@ def database_files(t: Tables) -> DataFrame:
     return every.groupBy("path").applyInPandas(lambda g: _database(g), "path string, content binary")
 
 
+def opened(t: Tables, made: DataFrame | None = None) -> genealogy_db.Databases:
+    """The database files of the tables (or those given), written by tasks to the shared folder and opened there."""
+    folder = files.work_folder(t.spark, "databases")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        for p in batches:
+            for path, content in zip(p["path"], p["content"], strict=True):
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield p[["path"]]
+
+    (database_files(t) if made is None else made).mapInPandas(write, "path string").count()
+    return genealogy_db.open_databases(t.spark, folder, piece=5000)
+
+
 _FILE = "case {n} % 3 when 0 then 'a.zip' when 1 then 'b.rmtree' else 'c.rmtree' end as file"
 _BLANK = lambda x: f"nullif(trim({x}), '') as {x}"
 
 
+def _short_names(d: DataFrame) -> DataFrame:
+    """d with the last part of the file names only."""
+    return d.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 @query("database_persons", f"select {_FILE.format(n='id')}, cast(id as varchar) as source_id, 'rmtree:' || cast(id as varchar) as xref, " + ", ".join(map(_BLANK, ("given", "surname", "sex", "birth_date", "birth_place", "death_date", "death_place"))) + " from t_persons", ("persons",))
 def _(t):
-    return genealogy_db.persons(genealogy_db.cells_of(database_files(t))).drop("notes")
+    return _short_names(genealogy_db.persons(opened(t)).drop("notes"))
 
 
 @query("database_relationships", f"""
 select distinct {_FILE.format(n='child')}, cast(parent as varchar) as parent, cast(child as varchar) as child from (
   select c.child_person_id as child, unnest([husband_person_id, coalesce(wife_person_id, 0)]) as parent from t_family_children c join t_families f on f.id = c.family_id) x where parent <> 0""", ("families", "family_children"))
 def _(t):
-    return genealogy_db.relationships(genealogy_db.cells_of(database_files(t)))
+    return _short_names(genealogy_db.relationships(opened(t)))
 
 
 @query("database_media", f"select {_FILE.format(n='id')}, cast(id as varchar) as media_id, 'C:\\pics\\' || case when id % 7 = 0 then 'lost_' else '' end || original_filename as path from t_media_assets", ("media_assets",))
 def _(t):
-    return genealogy_db.media(genealogy_db.cells_of(database_files(t)))[0].select("file", "media_id", "path")
+    return _short_names(genealogy_db.media(opened(t))[0]).select("file", "media_id", "path")
 
 
 @query("database_media_links", f"select {_FILE.format(n='asset_id')}, cast(asset_id as varchar) as media_id, 'person' as owner_type, cast(person_id as varchar) as owner_id from t_media_links where asset_id % 2 = 0 or asset_id % 11 <> 0", ("media_links",))
 def _(t):
-    return genealogy_db.media(genealogy_db.cells_of(database_files(t)))[1]
+    return _short_names(genealogy_db.media(opened(t))[1])
+
+
+@query("database_layout", """
+select * from (select case k % 3 when 0 then 'a.zip' when 1 then 'b.rmtree' else 'c.rmtree' end as file, name, count(*) as n from (
+  select id as k, 'persontable' as name from t_persons
+  union all select c.child_person_id, 'childtable' from t_family_children c join t_families f on f.id = c.family_id
+  union all select id, 'mediatable' from t_media_assets union all select asset_id, 'medialinktable' from t_media_links) x group by 1, 2) y""", ("persons", "families", "family_children", "media_assets", "media_links"))
+def _(t):
+    db = opened(t)
+    return _short_names(t.spark.createDataFrame([(x.file, x.name, x.rows) for x in db.tables], "file string, name string, n long")).filter("n > 0")
 
 
 _SCHEMA_TEXT = "|".join(f"table:{n}:{n}:CREATE TABLE {n} ({c})" for n, c in sorted(_TABLES))
@@ -178,24 +212,70 @@ _SCHEMA_TEXT = "|".join(f"table:{n}:{n}:CREATE TABLE {n} ({c})" for n, c in sort
 
 @query("database_fingerprint", f"select unnest(['a.zip', 'b.rmtree', 'c.rmtree']) as file, sha256('{_SCHEMA_TEXT}') as fingerprint")
 def _(t):
-    return genealogy_db.fingerprints_of(database_files(t))
+    folder = opened(t).tables[0].file.rsplit("/", 1)[0]
+    return _short_names(genealogy_db.fingerprint(t.spark, folder))
 
 
 @query("database_import_placeholders", r"""
 select sha256('missing::C:\pics\lost_' || original_filename) as sha256, 'lost_' || lower(original_filename) as original_filename, 'unassigned' as status from t_media_assets where id % 7 = 0""", ("media_assets",))
 def _(t):
-    cells = genealogy_db.cells_of(database_files(t))
-    places, links = genealogy_db.media(cells)
+    db = opened(t)
+    places, links = genealogy_db.media(db)
     assets = t.media_assets
-    done = records.import_database(t, genealogy_db.persons(cells), genealogy_db.relationships(cells), places, links.limit(0))
+    done = records.import_database(t, genealogy_db.persons(db), genealogy_db.relationships(db), places, links.limit(0))
     return done.media_assets.join(assets.select("id"), "id", "left_anti").select("sha256", "original_filename", "status")
 
 
 @query("database_import_persons", "select xref, given, surname from t_persons union all select 'rmtree:' || cast(id as varchar), nullif(trim(given), ''), nullif(trim(surname), '') from t_persons", ("persons",))
 def _(t):
-    cells = genealogy_db.cells_of(database_files(t))
-    places, links = genealogy_db.media(cells)
-    return records.import_database(t, genealogy_db.persons(cells), genealogy_db.relationships(cells), places.limit(0), links.limit(0)).persons.select("xref", "given", "surname")
+    db = opened(t)
+    places, links = genealogy_db.media(db)
+    return records.import_database(t, genealogy_db.persons(db), genealogy_db.relationships(db), places.limit(0), links.limit(0)).persons.select("xref", "given", "surname")
+
+
+#: Tables of two files whose ids overlap.
+_TWO = (("NameTable", "OwnerID,DOB,Givn,Surname,XRef"), ("FamilyChildren", "ChildID,FatherID"), ("MultimediaTable", "MediaID,FileName"), ("MediaLinkTable", "MediaID,OwnerType,OwnerID"))
+
+
+def two_files(t: Tables) -> DataFrame:
+    """(path, content) of two files that use the same ids for other rows; persons are known by their columns only."""
+    c = F.col
+    row = lambda k, *v: (F.lit(k).alias("table_no"), F.array(*[F.lit(None).cast("string") if x is None else x.cast("string") for x in v]).alias("values"))
+    path, own = F.when(c("id") % 2 == 0, "one.rmtree").otherwise("two.rmtree").alias("path"), F.floor(c("id") / 2)
+    kids = t.relationships.select(c("child_person_id").alias("id"), "parent_person_id").filter("id % 2 = parent_person_id % 2")
+    persons = t.persons.select(path, *row(0, own, c("birth_date"), c("given"), c("surname"), F.when(c("id") % 2 == 0, F.concat(F.lit("@X"), own.cast("string"), F.lit("@")))))
+    edges = kids.select(path, *row(1, own, F.floor(c("parent_person_id") / 2)))
+    media = t.media_assets.select(path, *row(2, own, F.concat(F.lit("p/"), c("id").cast("string"), F.lit("_"), c("original_filename"))))
+    links = t.media_links.select(c("asset_id").alias("id"), "person_id").filter("id % 2 = person_id % 2").select(path, *row(3, own, F.lit("person"), F.floor(c("person_id") / 2)))
+    every = persons.unionByName(edges).unionByName(media).unionByName(links)
+    return every.groupBy("path").applyInPandas(lambda g: _database(g, _TWO), "path string, content binary")
+
+
+def imported_two(t: Tables) -> Tables:
+    db = opened(t, two_files(t))
+    empty = Tables(t.spark, **{k: getattr(t, k).limit(0) for k in ("persons", "relationships", "media_assets", "media_links", "families", "family_children", "events", "notes")})
+    return records.import_database(empty, genealogy_db.persons(db), genealogy_db.relationships(db), *genealogy_db.media(db))
+
+
+_XREF = "case when {n} % 2 = 0 then '@X' || cast({n} // 2 as varchar) || '@' else 'rmtree:' || cast({n} // 2 as varchar) end"
+
+
+@query("database_two_files_edges", f"select distinct {_XREF.format(n='r.parent_person_id')} as parent, {_XREF.format(n='r.child_person_id')} as child from t_relationships r join t_persons a on a.id = r.parent_person_id join t_persons b on b.id = r.child_person_id where r.parent_person_id % 2 = r.child_person_id % 2 and r.parent_person_id // 2 <> 0", ("persons", *_GRAPH))
+def _(t):
+    out = imported_two(t)
+    x = lambda side: out.persons.select(F.col("id").alias(f"{side}_person_id"), F.col("xref").alias(side))
+    return out.relationships.join(x("parent"), "parent_person_id").join(x("child"), "child_person_id").select("parent", "child")
+
+
+@query("database_two_files_persons", f"select {_XREF.format(n='id')} as xref, nullif(trim(given), '') as given, nullif(trim(surname), '') as surname, nullif(trim(birth_date), '') as birth_date from t_persons", ("persons",))
+def _(t):
+    return imported_two(t).persons.select("xref", "given", "surname", "birth_date")
+
+
+@query("database_two_files_links", f"select distinct sha256('missing::p/' || cast(a.id as varchar) || '_' || original_filename) as sha256, {_XREF.format(n='p.id')} as xref from t_media_links l join t_media_assets a on a.id = l.asset_id join t_persons p on p.id = l.person_id where a.id % 2 = p.id % 2", ("persons", "media_assets", "media_links"))
+def _(t):
+    out = imported_two(t)
+    return out.media_links.join(out.media_assets.select(F.col("id").alias("asset_id"), "sha256"), "asset_id").join(out.persons.select(F.col("id").alias("person_id"), "xref"), "person_id").select("sha256", "xref")
 
 
 # ---- media, snapshots, exports -------------------------------------------------------------------------------------------------

@@ -227,7 +227,7 @@ def test_genealogy_db(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
         z.write(tmp_path / "x.rmtree", "family/inner.rmtree")
     for name in ("x.rmtree", "y.zip"):
-        cells = genealogy_db.read_cells(spark, str(tmp_path / name)).cache()
+        cells = genealogy_db.open_databases(spark, str(tmp_path / name))
         p = {r["xref"]: r for r in genealogy_db.persons(cells).collect()}
         assert set(p) == {"rmtree:1", "rmtree:2", "rmtree:3"} and p["rmtree:1"]["notes"] is None and p["rmtree:1"]["birth_date"] == "1900"
         assert genealogy_db.relationships(cells).count() == 2
@@ -236,6 +236,45 @@ def test_genealogy_db(spark, tmp_path):
     assert genealogy_db.fingerprint(spark, str(tmp_path / "x.rmtree")).first()["fingerprint"]
     with pytest.raises(ValueError):
         genealogy_db.database_bytes(b"nothing")
+    with pytest.raises(Exception, match="more than the 100 that are allowed"):
+        genealogy_db.open_databases(spark, str(tmp_path / "x.rmtree"), largest=100)
+
+
+def test_database_in_pieces(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "big db.rmtree")
+    con.executescript("""create table NameTable(OwnerID integer primary key, Surname text, Givn text, Photo blob); create table Keyed(IndiID text primary key, DeathDate text) without rowid;
+create table Other(a); create table Empty(PersonID, FName);""")
+    con.executemany("insert into NameTable values (?, ?, ?, ?)", [(i * 7 - 5000, f"s{i}", None, b"x" * 3000) for i in range(2000)])
+    con.executemany("insert into Keyed values (?, ?)", [(f"k{i}", "1900") for i in range(30)])
+    con.commit()
+    con.close()
+    db = genealogy_db.open_databases(spark, str(tmp_path / "big db.rmtree"), piece=100)
+    d = genealogy_db.persons(db)
+    names = next(x for x in db.tables if x.name == "nametable")
+    pieces = names.pieces(100)
+    assert len(pieces) == 20 and pieces[0][2] == -5000 and pieces[-1][3] == 1999 * 7 - 5000 and all(a[3] + 1 == b[2] for a, b in zip(pieces, pieces[1:]))
+    assert db.frame([names], ["surname"], ["s"]).rdd.getNumPartitions() == 20
+    got = {r["source_id"]: (r["surname"], r["given"], r["death_date"]) for r in d.collect()}
+    assert len(got) == 2030 and got["-5000"] == ("s0", None, None) and got["k3"] == (None, None, "1900")
+    data = (tmp_path / "big db.rmtree").read_bytes()
+    at = data.rindex(b"x" * 2000)
+    (tmp_path / "broken.rmtree").write_bytes(data[: at // 4096 * 4096 - 8192] + b"\xff" * 4096 + data[at // 4096 * 4096 - 4096 :])
+    found = {r["name"]: r["error"] for r in genealogy_db.layouts(spark, str(tmp_path / "broken.rmtree")).collect()}
+    assert found["keyed"] is None or found["nametable"]  # a damaged table is named, and none of its rows is taken
+    assert any(found.values()) and {x.name for x in genealogy_db.open_databases(spark, str(tmp_path / "broken.rmtree")).tables} == {k for k, v in found.items() if not v}
+
+
+def test_import_of_two_files(spark, tmp_path):
+    for name, edge in (("a", "insert into Parents values (1, 2)"), ("b", "")):
+        con = sqlite3.connect(tmp_path / f"{name}.rmtree")
+        con.executescript(f"create table Persons(PersonID, XRef, Given); insert into Persons values (1, '{name}1', 'x'), (2, '{name}2', 'y'); create table Parents(ParentID, ChildID); {edge};")
+        con.commit()
+        con.close()
+    db = genealogy_db.open_databases(spark, str(tmp_path))
+    places, links = genealogy_db.media(db)
+    out = records.import_database(tables(spark), genealogy_db.persons(db), genealogy_db.relationships(db), places, links)
+    by = {r["id"]: r["xref"] for r in out.persons.collect()}
+    assert sorted(by.values()) == ["a1", "a2", "b1", "b2"] and [(by[r[0]], by[r[1]]) for r in out.relationships.collect()] == [("a1", "a2")]
 
 
 def test_media_files(spark, tmp_path):
@@ -272,7 +311,7 @@ def test_records(spark, tmp_path):
     up = records.update_persons(t, spark.createDataFrame([(4, "Anna", "")], "id int, given string, surname string")).persons.first()
     assert (up["given"], up["surname"]) == ("Anna", "Lee")
     make_db(tmp_path / "x.rmtree")
-    cells = genealogy_db.read_cells(spark, str(tmp_path / "x.rmtree")).cache()
+    cells = genealogy_db.open_databases(spark, str(tmp_path / "x.rmtree"))
     for _ in range(2):  # a second import changes nothing
         t = frozen(t)
         t = records.import_database(t, genealogy_db.persons(cells), genealogy_db.relationships(cells), *genealogy_db.media(cells))
