@@ -23,6 +23,7 @@ class Outcome:
     added: dict[str, DataFrame] = field(default_factory=dict)
     action: str = ""
     payload: dict = field(default_factory=dict)
+    failed: DataFrame | None = None
 
 
 def _replaced(t: Tables, **frames: DataFrame) -> Tables:
@@ -168,12 +169,15 @@ def merge_media_assets(t: Tables, source: int, into: int) -> Outcome:
     return o
 
 
-def name_places(t: Tables, to: DataFrame, o: Outcome) -> dict[str, DataFrame]:
+def name_places(t: Tables, to: DataFrame, o: Outcome, events: DataFrame | None = None, owner: DataFrame | None = None, places: DataFrame | None = None) -> dict[str, DataFrame]:
     """Frames in which the places of to (variant, canonical; variants are distinct) are named.
 
-    Persons and families that read exactly as a variant take the canonical name; events keep their text and point to its place;
-    canonical names without a place get one, and variants that no place has yet are registered with it.
+    Persons and families that read exactly as a variant take the canonical name; events keep their text and point to its place (by the
+    pairs of events, where they differ); canonical names (places) without a place get one, and variants that no place has yet are
+    registered with it (by the pairs of owner).
     """
+    events, owner = to if events is None else events, to if owner is None else owner
+    canonical = to.select("canonical").distinct() if places is None else places
     frames = {}
     for name, columns in (("persons", ("birth_place", "death_place")), ("families", ("marriage_place",))):
         d = getattr(t, name)
@@ -184,11 +188,12 @@ def name_places(t: Tables, to: DataFrame, o: Outcome) -> dict[str, DataFrame]:
         o.before[name] = d.filter(reduce(Column.__or__, changes)).select(*keep)
         frames[name] = d.select(*[F.coalesce(f"{c}_to", c).alias(c) if c in columns else F.col(c) for c in keep])
     places, variants = stored(t, "places"), stored(t, "place_variants")
-    names = to.select(F.col("canonical").alias("name_canonical")).distinct()
+    names = canonical.select(F.col("canonical").alias("name_canonical"))
     frames["places"] = add_rows(places, names.join(places.select("name_canonical"), "name_canonical", "left_anti"))
     ids = frames["places"].groupBy(F.col("name_canonical").alias("canonical")).agg(F.min("id").alias("place_id"))
-    known = to.join(ids, "canonical")
-    frames["place_variants"] = add_rows(variants, known.select("place_id", F.col("variant").alias("name_variant")).join(variants.select("name_variant"), "name_variant", "left_anti"))
+    known = events.join(ids, "canonical")
+    owned = owner.join(ids, "canonical")
+    frames["place_variants"] = add_rows(variants, owned.select("place_id", F.col("variant").alias("name_variant")).join(variants.select("name_variant"), "name_variant", "left_anti"))
     e = t.events if "place_id" in t.events.columns else t.events.withColumn("place_id", F.lit(None).cast("int"))
     joined = e.join(known.select(F.col("variant").alias("place_raw"), F.col("place_id").alias("_to")), "place_raw", "left")
     o.before["events"] = joined.filter("_to is not null").select(*e.columns)

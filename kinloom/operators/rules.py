@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
+from ..sources.files import work_folder
 from .actions import Outcome, _replaced, name_places, stored
 
 SCHEMA = "canonical string, variants array<string>, approved boolean, authority_source string, authority_id string, latitude double, longitude double, notes string"
@@ -59,19 +60,56 @@ def chosen_rules(rules: DataFrame, names: list[str] | None = None, limit: int |
     return some if limit is None else some.orderBy("canonical").limit(max(0, limit))
 
 
+def failed_rules(some: DataFrame) -> DataFrame:
+    """(canonical, error) of rules that cannot be applied: those without a name or without variants, blanks not counted."""
+    return some.filter((F.col("canonical") == "") | (F.size("variants") == 0)).select("canonical", F.lit("canonical and variants are required").alias("error"))
+
+
+def composed(named: DataFrame) -> DataFrame:
+    """(variant, first, name) from (canonical, variant): the name that a text ends with when all rules run once, in order of canonical.
+
+    A text takes the name of the first rule that has it as a variant; that name is then a text for the rules after this one.  So names
+    are linked to the next rule, which always comes later: there are no cycles.  Links are doubled until they end, log2 of the longest
+    chain times; each round is counted, because only chains of rules, not tables, tell how many are needed.
+    """
+    spark = named.sparkSession
+    pairs = named.filter("variant <> canonical")
+    after = pairs.select(F.col("variant").alias("name"), F.col("canonical").alias("next")).filter("next > name")
+    links = after.join(named.select(F.col("canonical").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min("next").alias("next"))
+    while True:
+        folder = work_folder(spark, "rule-links")  # each round is written, so that plans do not grow with it
+        links.write.parquet(folder)
+        links = spark.read.schema("name string, next string").parquet(folder)
+        twice = links.join(links.select(F.col("name").alias("next"), F.col("next").alias("then")), "next", "left")
+        if twice.filter("then is not null").limit(1).count() == 0:
+            break
+        links = twice.select("name", F.coalesce("then", "next").alias("next"))
+    first = pairs.groupBy("variant").agg(F.min("canonical").alias("first"))
+    return first.join(links.select(F.col("name").alias("first"), "next"), "first", "left").select("variant", "first", F.coalesce("next", "first").alias("name"))
+
+
 def apply_rules(t: Tables, rules: DataFrame, names: list[str] | None = None, limit: int | None = None) -> Outcome:
-    """Every approved rule at once (or those of the names, or the first limit of them): places of persons and families that read as a
-    variant take its canonical name, events point to its place, and the rule's authority and coordinates fill what the place lacks.
+    """Every approved rule (or those of the names, or the first limit of them), as if applied one by one in order of canonical name.
 
-    A variant of several rules goes to the first of them by canonical name, as rules applied in that order would do.
+    Places of persons and families that read as a variant take its canonical name, which later rules may name again; events keep their
+    text and point to the place of the last rule that has it as a variant; canonical names without a place get one; a variant is
+    registered with the first rule's place; and a rule's authority and coordinates fill what its place lacks.  Names and variants are
+    trimmed.  A rule without name or variants changes nothing and is a row of the outcome's failed; the others are applied.
     """
     o = Outcome(t, action="applyRules", payload={"names": names, "limit": limit})
-    some = chosen_rules(rules, names, limit)
-    named = some.select("canonical", F.explode("variants").alias("variant")).filter("variant <> canonical")
-    frames = name_places(t, named.groupBy("variant").agg(F.min("canonical").alias("canonical")), o)
+    trimmed = F.filter(F.transform("variants", lambda v: F.trim(v)), lambda v: v != "")
+    chosen = chosen_rules(rules, names, limit)
+    some = chosen.withColumns({"canonical": F.trim(F.coalesce("canonical", F.lit(""))), "variants": F.coalesce(trimmed, F.array().cast("array<string>"))})
+    o.failed = failed_rules(some)
+    some = some.filter((F.col("canonical") != "") & (F.size("variants") > 0))
+    named = some.select("canonical", F.explode("variants").alias("variant")).distinct()
+    ends = composed(named)
+    last = named.groupBy("variant").agg(F.max("canonical").alias("canonical"))
+    owner = named.groupBy("variant").agg(F.min("canonical").alias("canonical"))
+    frames = name_places(t, ends.select("variant", F.col("name").alias("canonical")), o, events=last, owner=owner, places=some.select("canonical").distinct())
     extra = [c for c in ("authority_source", "authority_id", "latitude", "longitude") if c in rules.columns]
     if extra:
-        more = some.select(F.col("canonical").alias("name_canonical"), *[F.col(c).alias(f"_{c}") for c in extra])
+        more = some.groupBy(F.col("canonical").alias("name_canonical")).agg(*[F.min(c).alias(f"_{c}") for c in extra])
         p = frames["places"].join(more, "name_canonical", "left")
         lacking = reduce(Column.__or__, [F.col(c).isNull() & F.col(f"_{c}").isNotNull() for c in extra])
         o.before["places"] = p.filter(lacking).join(stored(t, "places").select("id"), "id", "left_semi").select(*frames["places"].columns)

@@ -356,42 +356,89 @@ def _(t):
 
 # ---- rules ---------------------------------------------------------------------------------------------------------------------
 
+_P = "(select distinct trim(birth_place) as p from t_persons where trim(birth_place) <> '')"
+#: Rules made from the birth places of the tables: A takes the place, B a half of A's names, C's names come before B's and so change
+#: nothing, D takes the places of every fifth length again after A, and one rule has no name.
+_RULE_SQL = f"""
+select 'A ' || p as canonical, p as v1, upper(p) || '!' as v2, length(p) % 7 <> 0 as approved, case when length(p) % 3 = 0 then 'geo' end as authority_source, cast(case when length(p) % 3 = 0 then 1.5 end as double) as latitude from {_P} a
+union all select 'B ' || p, 'A ' || p, null, true, null, null from {_P} b where length(p) % 2 = 0
+union all select '0 ' || p, 'B ' || p, null, true, null, null from {_P} c
+union all select 'D ' || p, 'B ' || p, p, true, null, cast(2.5 as double) from {_P} d where length(p) % 5 = 0
+union all select ' ', min(p), null, true, null, null from {_P} e"""
+
+
 def _rules(t: Tables) -> DataFrame:
-    r = t.spark.sql(RULES)
-    source = F.when(F.col("canonical") == "Nation 0, Africa", "geo")
-    return r.select("canonical", "variants", "approved", source.alias("authority_source"), F.lit(None).cast("string").alias("authority_id"), F.when(source.isNotNull(), 1.5).alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("string").alias("notes"))
+    p = t.persons.select(F.trim("birth_place").alias("p")).filter("p <> ''").distinct()
+    n, c, none = F.length("p"), F.col, F.lit(None).cast("string")
+    rule = lambda d, name, variants, approved=None, source=None, latitude=None: d.select(
+        name.alias("canonical"), F.array(*variants).alias("variants"), (F.lit(True) if approved is None else approved).alias("approved"), (none if source is None else source).alias("authority_source"),
+        none.alias("authority_id"), (F.lit(None) if latitude is None else latitude).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), none.alias("notes"))
+    of = lambda letter: F.concat(F.lit(letter + " "), "p")
+    every = rule(p, of("A"), [c("p"), F.concat(F.upper("p"), F.lit("!"))], n % 7 != 0, F.when(n % 3 == 0, "geo"), F.when(n % 3 == 0, 1.5))
+    every = every.unionByName(rule(p.filter(n % 2 == 0), of("B"), [of("A")])).unionByName(rule(p, of("0"), [of("B")]))
+    every = every.unionByName(rule(p.filter(n % 5 == 0), of("D"), [c("p"), of("B")], latitude=F.lit(2.5)))
+    return every.unionByName(rule(p.agg(F.min("p").alias("p")), F.lit(" "), [c("p")]))
+
+
+def _chain(x: str) -> str:
+    """What the rules make of a place in order: the first that has it, then those after it."""
+    a = f"(length({x}) % 7 <> 0)"
+    b = f"(length({x}) % 2 = 0)"
+    d = f"(length({x}) % 5 = 0)"
+    return f"case when {x} is null or {x} <> trim({x}) or {x} not in (select p from {_P} z) then {x} when {a} and {b} and {d} then 'D ' || {x} when {a} and {b} then 'B ' || {x} when {a} then 'A ' || {x} when {d} then 'D ' || {x} else {x} end"
 
 
-@query("rules_roundtrip", """
-select * from (values ('Nation 0, Africa', 'NATION_0, AFRICA|nation_0; AFRICA', true, 'geo', 1.5), ('Nation 1, America', 'NATION_1,  AMERICA.|NATION_1, AMERICA', true, null, null)) as r(canonical, variants, approved, authority_source, latitude)""")
+@query("rules_roundtrip", f"select canonical, v1 || coalesce('|' || v2, '') as variants, approved, authority_source, latitude from ({_RULE_SQL}) r where approved and trim(canonical) <> ''", ("persons",))
 def _(t):
     r = _rules(t)
     back = rules.import_json(r.limit(0), rules.export(r))
     return back.select("canonical", F.array_join("variants", "|").alias("variants"), "approved", "authority_source", F.col("latitude").cast("double").alias("latitude"))
 
 
-@query("rules_upsert", """
-select * from (values ('Nation 0, Africa', 'NATION_0, AFRICA|nation_0; AFRICA|one|two', true, 'geo'), ('Nation 1, America', 'NATION_1,  AMERICA.|NATION_1, AMERICA', true, null), ('Nowhere', 'NATION_2, ASIA', false, null), ('Newland', 'a|B', true, null)) as r(canonical, variants, approved, authority_source)""")
+@query("rules_upsert", f"""
+select canonical, case when canonical like 'A %' and length(canonical) % 2 = 0 then v1 || '|' || v2 || '|~one|~two' else v1 || coalesce('|' || v2, '') end as variants,
+  case when canonical like 'A %' and length(canonical) % 6 = 0 then false else approved end as approved, authority_source from ({_RULE_SQL}) r
+union all select 'New ' || p, 'a|B', true, null from {_P} n""", ("persons",))
 def _(t):
-    new = t.spark.sql("""select canonical, variants, approved, cast(null as string) as authority_source, cast(null as string) as authority_id, cast(null as double) as latitude, cast(null as double) as longitude, cast(null as string) as notes
-      from values ('Nation 0, Africa', array('two'), cast(null as boolean)), ('Nation 0, Africa', array('one', 'two'), null), ('Newland', array('B', 'a'), true) as x(canonical, variants, approved)""")
-    return rules.upsert(_rules(t), new).select("canonical", F.array_join("variants", "|").alias("variants"), "approved", "authority_source")
+    r = _rules(t)
+    old = r.filter("canonical like 'A %' and length(canonical) % 2 = 0")
+    made = old.withColumns({"authority_source": F.lit(None).cast("string"), "latitude": F.lit(None).cast("double"), "approved": F.when(F.length("canonical") % 6 == 0, False)})
+    one, two = (made.withColumn("variants", F.array(*map(F.lit, v))) for v in (("~two",), ("~one", "~two")))  # two rows of one name
+    new = r.filter("canonical like '0 %'").withColumns({"canonical": F.concat(F.lit("New "), F.substring("canonical", 3, 1000)), "variants": F.array(F.lit("B"), F.lit("a"))})
+    return rules.upsert(r, one.unionByName(two).unionByName(new)).select("canonical", F.array_join("variants", "|").alias("variants"), "approved", "authority_source")
 
 
-@query("rules_listing", "select * from (values ('Nation 0, Africa', true), ('Nation 1, America', true)) as r(canonical, approved)")
+@query("rules_listing", f"select canonical, approved from ({_RULE_SQL}) r where approved", ("persons",))
 def _(t):
     return rules.listing(_rules(t), True).select("canonical", "approved")
 
 
-@query("rules_dry_run", "select 'Nation 0, Africa' as canonical")
+@query("rules_dry_run", f"select canonical from ({_RULE_SQL}) r where approved order by canonical limit 7", ("persons",))
+def _(t):
+    return rules.chosen_rules(_rules(t), limit=7).select("canonical")
+
+
+@query("apply_rules_chained", f"select id, {_chain('birth_place')} as birth_place, {_chain('death_place')} as death_place from t_persons", ("persons",))
+def _(t):
+    return rules.apply_rules(t, _rules(t)).tables.persons.select("id", "birth_place", "death_place")
+
+
+@query("apply_rules_failed", "select '' as canonical, 'canonical and variants are required' as error from t_persons where trim(birth_place) <> '' limit 1", ("persons",))
+def _(t):
+    return rules.apply_rules(t, _rules(t)).failed
+
+
+@query("apply_rules_events", f"""
+select e.id, case when r.p is null then null when length(r.p) % 5 = 0 then 'D ' || r.p when length(r.p) % 7 <> 0 then 'A ' || r.p end as place from t_events e left join {_P} r on r.p = e.place_raw""", ("persons", "events"))
 def _(t):
-    return rules.chosen_rules(_rules(t), limit=1).select("canonical")
+    done = rules.apply_rules(t, _rules(t)).tables
+    names = done.places.select(F.col("id").alias("place_id"), F.col("name_canonical").alias("place"))
+    return done.events.select("id", "place_id").join(names, "place_id", "left").select("id", "place")
 
 
-@query("apply_rules_places", "select 'Nation 0, Africa' as name_canonical, 'geo' as authority_source, 1.5 as latitude")
+@query("apply_rules_places", f"select canonical as name_canonical, authority_source, latitude from ({_RULE_SQL}) r where approved and trim(canonical) <> ''", ("persons",))
 def _(t):
-    places = rules.apply_rules(t, _rules(t), names=["Nation 0, Africa"]).tables.places
-    return places.select("name_canonical", "authority_source", "latitude")
+    return rules.apply_rules(t, _rules(t)).tables.places.select("name_canonical", "authority_source", "latitude")
 
 
 # ---- issues --------------------------------------------------------------------------------------------------------------------
@@ -470,9 +517,11 @@ def _(t):
     return _named(t).tables.families.select("id", "marriage_place")
 
 
-@query("normalize_places_variants", "select 'Nation Zero' as name_canonical, unnest(['NATION_0, AFRICA', 'nation_0; AFRICA']) as name_variant")
+@query("normalize_places_variants", f"""
+select min(canonical) as name_canonical, v as name_variant from (
+  select canonical, v1 as v from ({_RULE_SQL}) r where approved and trim(canonical) <> '' union all select canonical, v2 from ({_RULE_SQL}) r where approved and v2 is not null) x group by v""", ("persons",))
 def _(t):
-    done = _named(t).tables
+    done = rules.apply_rules(t, _rules(t)).tables
     return done.place_variants.join(done.places.select(F.col("id").alias("place_id"), "name_canonical"), "place_id").select("name_canonical", "name_variant")
 
 
@@ -567,10 +616,15 @@ def _(t):
     return records.undo_logged(done.tables, records.undo_rows(done, 7), 7).relationships.select("parent_person_id", "child_person_id")
 
 
-@query("action_listing", """select 'mergePeople' as action_type, '{"from": 20, "into": 10}' as payload_json, 'ann' as applied_by""")
+@query("action_listing", """
+select 'mergePeople' as action_type, '{"from": ' || cast(b as varchar) || ', "into": ' || cast(a as varchar) || '}' as payload_json, 'ann' as applied_by from (
+  select min(id) as a, max(id) as b from t_persons where surname is not null group by surname having count(*) >= 2 order by min(id) limit 3) x""", ("persons",))
 def _(t):
+    pairs = t.persons.filter("surname is not null").groupBy("surname").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     log = t.spark.createDataFrame([], records.LOG)
-    return records.list_actions(records.log_action(log, actions.merge_people(t, 20, 10), "ann")).select("action_type", "payload_json", "applied_by")
+    for r in pairs.orderBy("a").limit(3).collect():  # three actions, as a user would start them
+        log = records.log_action(log, actions.merge_people(t, r["b"], r["a"]), "ann")
+    return records.list_actions(log).select("action_type", "payload_json", "applied_by")
 
 
 @query("update_persons_effect", "select id, case when id % 4 = 0 then null when id % 4 = 1 then 'Changed' else given end as given, surname from t_persons", ("persons",))
@@ -586,10 +640,15 @@ def _(t):
     return done.dropDuplicates(["id"]).select("given", "surname")
 
 
-@query("enrich_places_effect", "select * from (values (1, 'geo', 5.0), (2, 'own', 7.0), (3, null, null)) as p(id, authority_source, latitude)")
+@query("enrich_places_effect", """
+select c_custkey as id, case when c_custkey % 3 = 0 then 'own' else 'geo' end as authority_source, case when c_custkey % 4 = 0 then c_acctbal else n_nationkey + 0.5 end as latitude
+from customer join nation on n_nationkey = c_nationkey""")
 def _(t):
-    p = t.spark.createDataFrame([(1, None, None, None, None), (2, "own", None, 7.0, None), (3, None, None, None, None)], "id int, authority_source string, authority_id string, latitude double, longitude double")
-    f = t.spark.createDataFrame([(1, "geo", "x", 5.0, 6.0), (2, "geo", "y", 8.0, 9.0)], p.schema)
+    c = F.col("c_custkey")
+    read = lambda name: t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet")
+    none = F.lit(None).cast("string")
+    p = read("customer").select(c.alias("id"), F.when(c % 3 == 0, "own").alias("authority_source"), none.alias("authority_id"), F.when(c % 4 == 0, F.col("c_acctbal")).alias("latitude"), F.lit(None).cast("double").alias("longitude"))
+    f = read("customer").join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(c.alias("id"), F.lit("geo").alias("authority_source"), F.col("n_name").alias("authority_id"), (F.col("n_nationkey") + 0.5).alias("latitude"), F.lit(1.0).alias("longitude"))
     return actions.enrich_place(p, f).select("id", "authority_source", "latitude")
 
 
@@ -640,10 +699,12 @@ def _(t):
     return search.drilldown(t, "duplicate_cluster", ids=["7", 9, "no"]).select(*PERSON)
 
 
-@query("confidence_unknown", "select * from (values (1, 'High'), (2, 'Medium'), (3, 'Low'), (4, 'Unknown')) as x(id, bucket)")
+@query("confidence_unknown", """
+select l_orderkey as id, l_linenumber as line, case when l_linenumber = 3 then 'Unknown' when l_discount * 10 >= 0.9 then 'High' when l_discount * 10 >= 0.75 then 'Medium' else 'Low' end as bucket from lineitem""")
 def _(t):
-    d = t.spark.createDataFrame([(1, 0.9), (2, 0.75), (3, 0.1), (4, None)], "id int, c double")
-    return d.select("id", search.confidence_bucket(F.col("c")).alias("bucket"))
+    d = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
+    c = F.when(F.col("l_linenumber") != 3, F.col("l_discount").cast("double") * 10)
+    return d.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), search.confidence_bucket(c).alias("bucket"))
 
 
 @query("json_codec", "select id, given, coalesce(sex, '') as sex from t_persons", ("persons",))

@@ -131,6 +131,27 @@ def test_rules(spark):
     assert actions.undo(o).persons.first()["birth_place"] == "Bostn"
 
 
+def test_rules_in_order(spark):
+    """Against the plain fold: one rule after the other, in order of names."""
+    r = random.Random(3)
+    for k in range(4):
+        names = [f"n{i:02}" for i in range(30)]
+        made = {r.choice(names): r.sample(names, r.randrange(0, 4)) for _ in range(20)} if k else {f"n{i:02}": [f"n{i - 1:02}"] for i in range(1, 30)}
+        frame = spark.createDataFrame([(c, [f" {v} " for v in vs] + [" "], True, None, None, None, None, None) for c, vs in made.items()] + [("  ", ["n01"], True, *[None] * 5), ("off", ["n02"], False, *[None] * 5)], rules.SCHEMA)
+        t = tables(spark, [(i, "a", "b", None, n, None) for i, n in enumerate([*names, "other", None])], events=[(i, None, None, None, n) for i, n in enumerate(names)])
+        o = rules.apply_rules(t, frame)
+        text, place = {n: n for n in names}, dict.fromkeys(names)
+        for c in sorted(made):
+            for n in names:
+                text[n] = c if text[n] in made[c] else text[n]
+                place[n] = c if n in made[c] else place[n]
+        assert {x["id"]: x["birth_place"] for x in o.tables.persons.collect()} == dict(enumerate([*[text[n] for n in names], "other", None]))
+        by = {x["id"]: x["name_canonical"] for x in o.tables.places.collect()}
+        assert [by.get(x["place_id"]) for x in o.tables.events.orderBy("id").collect()] == [place[n] for n in names]
+        assert sorted(x["canonical"] for x in o.failed.collect()) == sorted(["", *[c for c, v in made.items() if not v]]) and sorted(by.values()) == sorted(c for c, v in made.items() if v)
+        assert {x["id"]: x["birth_place"] for x in actions.undo(o).persons.collect()} == dict(enumerate([*names, "other", None]))
+
+
 def test_drilldown_and_pages(spark):
     t = tables(spark, [(1, "Ann", "Smith", "1980", "Berlin ", None), (2, "Bob", "SMITH", "1981", "berlin", None), (3, "Cid", "Garcia", None, None, None)], [(1, 1, 3, "15 MAY 2005", None)], [(1, 2)])
     n = lambda k, **f: search.drilldown(t, k, **f).count()
