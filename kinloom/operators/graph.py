@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.tables import Tables
+from ..sources.files import work_folder
 from .search import node_quality, person_summary
 
 MAX_DEPTH = 5
@@ -17,17 +16,28 @@ MAX_DEPTH = 5
 def neighbourhood(t: Tables, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(id, distance) of persons within depth steps (at most 5) of the root ids, over parent and child edges in both ways.
 
-    Every step walks on from the distinct persons of the last one; the least step that reaches a person is its distance.  So a step
-    adds one join to the plan, and equal exchanges of later steps are reused.
+    The walk runs here, a step at a time: edges are written once, and so is every step, the persons next to the last one's that no step
+    before has met.  So no person is expanded twice, and the plan of a step does not hold the steps before it.
     """
-    r = t.relationships
-    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b").distinct()
-    walked = [roots.select("id").distinct()]
-    for _ in range(max(0, min(depth, MAX_DEPTH))):
-        walked.append(edges.join(walked[-1].select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct())
-    steps = [d.withColumn("distance", F.lit(k)) for k, d in enumerate(walked)]
-    return reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.min("distance").alias("distance"))
+    spark, r = t.spark, t.relationships
+    folder = work_folder(spark, "walk")
+    way = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b")
+    kind = t.persons.schema["id"].dataType.simpleString()
+    met = lambda steps: spark.read.schema("id long, distance int").parquet(*[f"{folder}/step{k}" for k in steps])
+    roots.select(F.col("id").cast("long").alias("id")).distinct().withColumn("distance", F.lit(0)).write.parquet(f"{folder}/step0")
+    most = max(0, min(depth, MAX_DEPTH))
+    if most:
+        edges.write.parquet(f"{folder}/edges")
+    edges, last = spark.read.schema("a long, b long").parquet(f"{folder}/edges") if most else None, 0
+    for k in range(1, most + 1):
+        here = met([k - 1]).select(F.col("id").alias("a"))
+        fresh = edges.join(here, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(met(range(k)).select("id"), "id", "left_anti")
+        fresh.withColumn("distance", F.lit(k)).write.parquet(f"{folder}/step{k}")
+        last = k
+        if met([k]).isEmpty():
+            break
+    return met(range(last + 1)).select(F.col("id").cast(kind).alias("id"), "distance")
 
 
 def families_touching(t: Tables, persons: DataFrame) -> DataFrame:

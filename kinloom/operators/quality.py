@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.dates import parse_date
 from ..functions.similarity import can_reach, ratio, round2
 from ..plans.tables import Tables
+from ..sources.files import written
 
 ISSUE_COLUMNS = ("issue_type", "severity", "entity_type", "entity_ids", "confidence", "impact_score", "explanation_json")
 
@@ -31,6 +32,29 @@ def _ids(*names: str) -> Column:
 
 # ---- pairs ---------------------------------------------------------------------------------------------------------------
 
+#: Rows of a key that meet in one task; a key of more is cut into sub-blocks of about so many.
+BLOCK = 1000
+
+
+def block_pairs(d: DataFrame, key: list[str], order: str, block: int | None = None) -> DataFrame:
+    """The pairs of rows that agree in key, each once, as columns <name>_a and <name>_b with order_a < order_b.
+
+    A key of many rows is cut into sub-blocks by hashes of order, as many as its counted size asks for, and each pair of sub-blocks,
+    with themselves too, is a group of its own: a row goes to the groups of its sub-block and the later ones on the left, of its
+    sub-block and the earlier ones on the right.  So a key of n rows makes tasks of like size, n / block of them for every row.
+    """
+    rest = [c for c in d.columns if c not in key]
+    sizes = d.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).cast("int").alias("_blocks")).filter("_blocks > 1")
+    x = d.join(sizes, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int"))
+    row = F.struct(*rest)
+    left = x.select(*key, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"), row.alias("_l"))
+    right = x.select(*key, F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"), row.alias("_r"))
+    first = F.col("_l")[order] < F.col("_r")[order]
+    met = left.join(right, [*key, "_i", "_j"]).filter(F.when(F.col("_i") == F.col("_j"), first).otherwise(F.col("_l")[order] != F.col("_r")[order]))
+    met = met.withColumns({"_a": F.when(first, F.col("_l")).otherwise(F.col("_r")), "_b": F.when(first, F.col("_r")).otherwise(F.col("_l"))})
+    return met.select(*key, *[F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in "ab" for c in rest])
+
+
 def person_candidates(t: Tables, least: float = 0.68) -> DataFrame:
     """Pairs of persons of equal surname and birth year whose names are of lengths that can be similar enough.
 
@@ -40,8 +64,7 @@ def person_candidates(t: Tables, least: float = 0.68) -> DataFrame:
         "id", X.norm_name(F.col("surname")).alias("last"), X.first_year(F.col("birth_date")).alias("born"), X.first_year(F.col("death_date")).alias("died"),
         F.concat(X.norm_name(F.col("given")), F.lit(" "), X.norm_name(F.col("surname"))).alias("name"), X.norm_place(F.col("birth_place")).alias("place"),
     ).withColumn("block", F.concat_ws("|", "last", F.coalesce(F.col("born").cast("string"), F.lit(""))))
-    a, b = (p.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "born", "died", "place")]) for s in "ab")
-    pairs = a.join(b, "block").filter((F.col("id_a") < F.col("id_b")) & can_reach(F.col("name_a"), F.col("name_b"), least))
+    pairs = block_pairs(p.select("block", "id", "name", "born", "died", "place"), ["block"], "id").filter(can_reach(F.col("name_a"), F.col("name_b"), least))
     extra = (
         F.when(F.abs(F.col("born_a") - F.col("born_b")) <= 1, 0.25).otherwise(0.0)
         + F.when(F.abs(F.col("died_a") - F.col("died_b")) <= 1, 0.1).otherwise(0.0)
@@ -72,9 +95,7 @@ def _couples(t: Tables) -> DataFrame:
 
 
 def _family_pairs(c: DataFrame, key: list[str]) -> DataFrame:
-    cols = [x for x in c.columns if x not in key]
-    a, b = (c.select(*key, *[F.col(x).alias(f"{x}_{s}") for x in cols]) for s in "ab")
-    pairs = a.join(b, key).filter("id_a < id_b")
+    pairs = block_pairs(c, key, "id")
     same_year = F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False))
     same_place = (F.col("place_a") != "") & (F.col("place_a") == F.col("place_b"))
     return pairs.withColumns({"agree": same_year.cast("int") + same_place.cast("int")}).filter("agree >= 1")
@@ -112,8 +133,7 @@ def asset_candidates(t: Tables, least: float = 0.92) -> DataFrame:
     """Pairs of assets whose file names start alike and are of lengths that can be similar enough."""
     m = t.media_assets.select("id", F.col("original_filename").alias("file"), X.norm_filename(F.col("original_filename")).alias("norm"), F.col("size_bytes").alias("size")).filter("norm <> ''")
     m = m.withColumns({"block": F.substring("norm", 1, 4), "letters": letters(F.col("norm"))})
-    a, b = (m.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "file", "norm", "size", "letters")]) for s in "ab")
-    pairs = a.join(b, "block").filter((F.col("id_a") < F.col("id_b")) & can_reach(F.col("norm_a"), F.col("norm_b"), least))
+    pairs = block_pairs(m, ["block"], "id").filter(can_reach(F.col("norm_a"), F.col("norm_b"), least))
     return pairs.filter(common_letters(F.col("letters_a"), F.col("letters_b"), F.length("norm_a") + F.length("norm_b"), least)).drop("letters_a", "letters_b")
 
 
@@ -160,20 +180,37 @@ def place_clusters(t: Tables) -> DataFrame:
     return issues(place_variants(t), "place_cluster", "info", "place", F.array(), 0.65, F.col("refs"), canonical_suggestion=F.col("canonical"), variants=F.col("listed"))
 
 
-def place_candidates(t: Tables, least: float = 0.8) -> DataFrame:
-    """Pairs of places of different normal forms that can be similar enough: lengths within bands, then shared letters.
+def prefix_index(norms: DataFrame, least: float) -> DataFrame:
+    """(norm, len, prefix, token): the prefix of each string's characters that a string similar enough must share one of.
 
-    A pair at the bound has lengths within a factor of 1.5, so equal or neighbouring bands of log length meet in an equi join.
+    A ratio of least needs at least least * (len + len') / 2 common characters, counted with their repeats, and len' is no less
+    than least / (2 - least) of len.  Characters with occurrence numbers (the second e is another token than the first) make sets of
+    the strings.  In the order of how few strings hold them, two sets with so much in common share a token among the first
+    len - needed + 1 of either one: no pair is lost, and strings meet in rare tokens first.
     """
-    top = (2 - least) / least
-    c = place_counts(t).filter("norm <> ''").withColumn("len", F.length("norm"))
-    band = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(top))).cast("int")
-    c = c.select("value", "n", "first", "norm", "len", letters(F.col("norm")).alias("letters"), band.alias("band"))
-    sides = lambda d, s: d.select("band", *[F.col(x).alias(f"{x}_{s}") for x in ("value", "n", "first", "norm", "len", "letters")])
-    near = c.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    pairs = sides(c, "a").join(sides(near, "b"), "band").filter((F.col("norm_a") != F.col("norm_b")) & can_reach(F.col("norm_a"), F.col("norm_b"), least))
-    before = F.struct(F.lower("value_a"), F.col("first_a")) < F.struct(F.lower("value_b"), F.col("first_b"))
-    return pairs.filter(before & common_letters(F.col("letters_a"), F.col("letters_b"), F.col("len_a") + F.col("len_b"), least)).drop("letters_a", "letters_b")
+    letters_ = F.array_sort(F.split("norm", ""))
+    tokens = F.transform(letters_, lambda c, i: F.concat(c, (i - F.array_position(letters_, c) + 2).cast("string")))
+    d = norms.select("norm", F.length("norm").alias("len"), tokens.alias("tokens"))
+    each = d.select("norm", "len", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("strings"))  # characters times repeats: a small table
+    needed = F.ceil(F.lit(least / (2 - least)) * F.col("len") - 1e-9)
+    ordered = each.join(often, "token").groupBy("norm", "len").agg(F.array_sort(F.collect_list(F.struct("strings", "token"))).alias("all"))
+    prefix = F.slice(F.transform("all", lambda x: x["token"]), F.lit(1), (F.col("len") - needed + 1).cast("int"))
+    return ordered.select("norm", "len", prefix.alias("prefix")).withColumn("token", F.explode("prefix"))
+
+
+def place_candidates(t: Tables, least: float = 0.8) -> DataFrame:
+    """Pairs of places of different normal forms that can be similar enough: by shared rare characters, lengths, then all characters."""
+    c = written(place_counts(t).filter("norm <> ''").select("value", "n", "first", "norm"), "places")
+    index = prefix_index(c.select("norm").distinct(), least)
+    met = block_pairs(index, ["token"], "norm").filter(can_reach(F.col("norm_a"), F.col("norm_b"), least))
+    # a pair may share several tokens: it counts where the first of them is
+    met = met.filter(F.col("token") == F.array_intersect("prefix_a", "prefix_b")[0])
+    met = met.filter(common_letters(letters(F.col("norm_a")), letters(F.col("norm_b")), F.col("len_a") + F.col("len_b"), least)).select("norm_a", "norm_b", "len_a", "len_b")
+    sides = lambda s: c.select(*[F.col(x).alias(f"{x}_{s}") for x in c.columns])
+    both = met.unionByName(met.select(F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), F.col("len_b").alias("len_a"), F.col("len_a").alias("len_b")))
+    pairs = both.join(sides("a"), "norm_a").join(sides("b"), "norm_b")
+    return pairs.filter(F.struct(F.lower("value_a"), F.col("first_a")) < F.struct(F.lower("value_b"), F.col("first_b")))
 
 
 def similar_places(t: Tables) -> DataFrame:
@@ -298,18 +335,20 @@ def run_detection(t: Tables, kinds: list[str] | None = None) -> DataFrame:
 def number_issues(found: DataFrame, after: int = 0) -> DataFrame:
     """Issue ids from after + 1 on, by detector, entity ids and explanation.
 
-    Blocks of 10,000 first entity ids are numbered side by side; the number of issues ahead of each block is one row a block.
+    The issues are written once, so detection runs once, when this is called.  Then they are put in order over ranges, which tasks
+    sort and write by themselves; the number of issues ahead of each range is one row a range.
     """
-    block = F.coalesce(F.floor(F.try_element_at("entity_ids", F.lit(1)) / 10_000), F.lit(-1)).cast("long")
-    d = found.withColumn("block", block)
-    sizes = d.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select("rank", "block", (F.sum("n").over(Window.orderBy("rank", "block")) - F.col("n")).alias("ahead"))
-    order = Window.partitionBy("rank", "block").orderBy("entity_ids", "explanation_json")
-    return d.join(ahead, ["rank", "block"]).withColumn("id", F.lit(after) + F.col("ahead") + F.row_number().over(order)).drop("ahead", "rank", "block")
+    order = ["rank", "entity_ids", "explanation_json"]
+    kept = written(found, "issues")
+    place = {"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    d = written(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(place), "issues-in-order")
+    sizes = d.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    return d.join(ahead, "part").withColumn("id", F.lit(after) + F.col("ahead") + F.col("at") + 1).drop("ahead", "at", "part", "rank")
 
 
 def scan(t: Tables, stored: DataFrame | None = None, kinds: list[str] | None = None, incremental: bool = False, detected_at: str | None = None) -> DataFrame:
-    """Numbered issues with detected_at after a scan: stored ones are dropped, or, incrementally, kept before the new ones."""
+    """Numbered issues with detected_at after a scan, which runs here: stored ones are dropped, or, incrementally, kept before the new ones."""
     time = F.to_timestamp_ntz(F.lit(detected_at)) if detected_at else F.localtimestamp()
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if incremental and stored is not None else 0
     new = number_issues(run_detection(t, kinds), int(top)).withColumn("detected_at", time)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
-from ..sources.files import work_folder
+from ..sources.files import written
 from .actions import Outcome, _replaced, name_places, stored
 
 SCHEMA = "canonical string, variants array<string>, approved boolean, authority_source string, authority_id string, latitude double, longitude double, notes string"
@@ -72,14 +72,11 @@ def composed(named: DataFrame) -> DataFrame:
     are linked to the next rule, which always comes later: there are no cycles.  Links are doubled until they end, log2 of the longest
     chain times; each round is counted, because only chains of rules, not tables, tell how many are needed.
     """
-    spark = named.sparkSession
     pairs = named.filter("variant <> canonical")
     after = pairs.select(F.col("variant").alias("name"), F.col("canonical").alias("next")).filter("next > name")
     links = after.join(named.select(F.col("canonical").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min("next").alias("next"))
     while True:
-        folder = work_folder(spark, "rule-links")  # each round is written, so that plans do not grow with it
-        links.write.parquet(folder)
-        links = spark.read.schema("name string, next string").parquet(folder)
+        links = written(links, "rule-links")  # plans do not grow with the rounds
         twice = links.join(links.select(F.col("name").alias("next"), F.col("next").alias("then")), "next", "left")
         if twice.filter("then is not null").limit(1).count() == 0:
             break

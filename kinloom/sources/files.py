@@ -30,6 +30,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(d: DataFrame, label: str) -> DataFrame:
+    """d written once to a new work folder and read from there: what reads it does not compute it again, and a lost executor costs
+    no recomputation."""
+    folder = work_folder(d.sparkSession, label)
+    d.write.parquet(folder)
+    return d.sparkSession.read.schema(d.schema).parquet(folder)
+
+
 def scan_media(spark: SparkSession, folder: str, extensions: tuple = MEDIA, recursive: bool = True) -> DataFrame:
     """(sha256, path, original_filename, mime_type, size_bytes): one row per content of the folder's media files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)

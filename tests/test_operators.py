@@ -2,6 +2,7 @@ import json
 import random
 import sqlite3
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,54 @@ def test_rules_in_order(spark):
         assert {x["id"]: x["birth_place"] for x in actions.undo(o).persons.collect()} == dict(enumerate([*names, "other", None]))
 
 
+def test_pairs_of_hot_keys(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}", f"v{i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "id int, k string, v string")
+    want = sorted((i, j, k, v, w) for i, k, v in rows for j, l, w in rows if k == l and i < j)
+    for block in (1, 7, 50, 1000):
+        met = quality.block_pairs(d, ["k"], "id", block)
+        assert sorted(tuple(r) for r in met.select("id_a", "id_b", "k", "v_a", "v_b").collect()) == want
+    assert quality.block_pairs(d.limit(0), ["k"], "id").count() == 0
+
+
+def test_prefix_index_loses_no_pair(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("eeeeaaaittonsrhldcumfpgwybvkxjqz \u00e9") for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    words = sorted({*words, *("".join(r.sample(w, len(w)))[: r.randrange(1, 20)] for w in words)})
+    common = lambda x, y: sum((Counter(x) & Counter(y)).values())
+    for least in (0.8, 0.6):
+        index = quality.prefix_index(spark.createDataFrame([(w,) for w in words], "norm string"), least)
+        met = {(x["norm_a"], x["norm_b"]) for x in quality.block_pairs(index, ["token"], "norm", 40).collect()}
+        want = {(x, y) for x in words for y in words if x.encode() < y.encode() and 2 * common(x, y) >= least * (len(x) + len(y))}
+        assert want <= met
+        assert least < 0.8 or len(met) < 0.5 * len(words) * (len(words) - 1) / 2  # so many pairs are never made
+
+
+def test_numbers_of_issues(spark):
+    t = tables(spark, [(i, f"Ann{i % 4}", "Lee", "1900", None, None) for i in range(60)])
+    found = quality.run_detection(t, ["duplicate_person", "placeholder_name"])
+    got = quality.number_issues(found, 5).orderBy("id").collect()
+    plain = sorted((x["rank"], x["entity_ids"], x["explanation_json"]) for x in found.collect())
+    assert [x["id"] for x in got] == list(range(6, 6 + len(plain))) and [(x["entity_ids"], x["explanation_json"]) for x in got] == [x[1:] for x in plain]
+
+
+def test_walk(spark):
+    r = random.Random(8)
+    edges = {(r.randrange(80), r.randrange(80)) for _ in range(70)} | {(i, i + 1) for i in range(100, 112)} | {(5, 5)}
+    t = tables(spark, [(i, "a", "b", None, None, None) for i in range(120)], relationships=sorted(edges))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for roots, depth in (([3, 100], 4), ([103], 9), ([119], 2), ([], 3), ([5, 5], 0)):
+        want, last = dict.fromkeys(roots, 0), set(roots)
+        for k in range(1, min(depth, 5) + 1):
+            last = {b for a in last for b in near.get(a, ())} - set(want)
+            want |= dict.fromkeys(last, k)
+        got = graph.neighbourhood(t, spark.createDataFrame([(x,) for x in roots], "id int"), depth)
+        assert {x["id"]: x["distance"] for x in got.collect()} == want and got.count() == len(want)
+
+
 def test_drilldown_and_pages(spark):
     t = tables(spark, [(1, "Ann", "Smith", "1980", "Berlin ", None), (2, "Bob", "SMITH", "1981", "berlin", None), (3, "Cid", "Garcia", None, None, None)], [(1, 1, 3, "15 MAY 2005", None)], [(1, 2)])
     n = lambda k, **f: search.drilldown(t, k, **f).count()
