@@ -5,6 +5,9 @@ of the benchmark in one hash join, and so do hashes of the plain words in lower
 a document shares enough of an item's windows, the values in all matched placeholders must map one to one from item to document:
 verbatim copies map each value to itself, a re-parameterised question maps it to one other value, and different values to
 different ones.  Items of fewer than four words leak in documents of just these words.
+
+Documents are read once for all windows, and what hits a window of the benchmark is written.  A leak needs a share of an item's
+windows, so it hits one of the item's rarest: only pairs that do are counted, and a phrase that many items share makes no pairs.
 """
 
 from __future__ import annotations
@@ -88,15 +91,30 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tup
     return good.select("item_id", "item_at", F.explode(forms).alias("window"), "n_windows"), short
 
 
-def document_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
-    """(doc_id, doc_at, window): windows of canonical and of plain words of all sizes."""
-    found = None
+def document_windows(d: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, text_sum, doc_at, window) of d (doc_id, text_sum, text): windows of canonical and of plain words of all sizes, and for
+    documents of few words one of all of them; each text is cut up once."""
+    d = d.select("doc_id", "text_sum", canonical_words(F.col("text")).alias("c"), plain_words(F.col("text")).alias("p"))
+    parts = []
     for size in sizes:
-        for words, salt in ((canonical_words, ""), (plain_words, "plain")):
-            d = windows(docs.select(F.col(id_col).alias("doc_id"), words(text_of(text_col)).alias("c")), "c", "w", size, salt)
-            d = d.select("doc_id", F.posexplode_outer("w").alias("doc_at", "window")).filter("window is not null")
-            found = d if found is None else found.unionByName(d)
-    return found
+        for words, salt in (("c", ""), ("p", "plain")):
+            d = windows(d, words, f"{words}{size}", size, salt)
+            parts.append(F.transform(f"{words}{size}", lambda h, i: F.struct(i.alias("doc_at"), h.alias("window"))))
+    none = F.array().cast("array<struct<doc_at:int,window:bigint>>")
+    parts.append(F.when(_is_tiny(_solid(F.col("p"))), F.array(F.struct(F.lit(0).alias("doc_at"), _whole(_solid(F.col("p"))).alias("window")))).otherwise(none))
+    return d.select("doc_id", "text_sum", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "text_sum", "x.doc_at", "x.window")
+
+
+def _solid(plain: Column) -> Column:
+    return F.filter(plain, lambda w: F.length(w) > 0)
+
+
+def _is_tiny(solid: Column) -> Column:
+    return (F.size(solid) > 0) & (F.size(solid) < MIN_LITERALS)
+
+
+def _whole(solid: Column) -> Column:
+    return F.xxhash64(F.array_join(solid, " "), F.lit("whole"))
 
 
 def find_leaks(
@@ -109,33 +127,47 @@ def find_leaks(
     of these, where the item value or the document value stands more than once, the share that follows the main mapping of both,
     so that neither several values for one nor one for several count; 1 where no value stands twice.  verbatim: the mapping is the identity.  Null and empty texts leak
     nothing; items of fewer than eight words are one window; items of fewer than four words that are more than marks
-    are found in documents that hold these words and no others (one window, no placeholders); rows that share an id (or have none) count as one document, of equal items one id
-    each is reported.  Either table may be empty.
+    are found in documents that hold these words and no others (one window, no placeholders).  Rows that share an id (or have none)
+    are checked text by text, and the text that leaks most of an item is told; of equal items one id each is reported.  Either table may be empty.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_sum", F.xxhash64("text"))
     with scratch() as keep:
-        pairs = _matched_pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, min_coverage)
-        checked = slot_check(pairs, docs, benchmark, id_col, text_col, item_col, item_text_col).filter(F.col("agree") >= min_agree)
-        tiny = benchmark.select(F.col(item_col).alias("item_id"), solid_words(text_of(item_text_col)).alias("w")).filter((F.size("w") > 0) & (F.size("w") < MIN_LITERALS)).distinct()
-        tiny = materialize(tiny, "short-items")
-        n = tiny.count()
-        if n:
-            same = docs.select(F.col(id_col).alias("doc_id"), solid_words(text_of(text_col)).alias("w"))
-            one = F.lit(1).cast("long")
-            whole = same.join(F.broadcast(tiny) if n <= BROADCAST_WINDOWS else tiny, "w").select("doc_id", "item_id").distinct()
-            checked = checked.unionByName(whole.select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), F.lit(1.0).alias("coverage"), (one - 1).alias("n_slots"), F.lit(1.0).alias("agree"), F.lit(True).alias("verbatim")))
-        return keep(materialize(checked, "found"))
-
-
-def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_coverage: float) -> DataFrame:
+        pairs = _matched_pairs(rows, benchmark, item_col, item_text_col, min_coverage)
+        checked = slot_check(pairs.filter(~F.col("whole")), rows, benchmark, item_col, item_text_col).filter(F.col("agree") >= min_agree)
+        one = F.lit(1).cast("long")
+        tiny = pairs.filter("whole").select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), F.lit(1.0).alias("coverage"), (one - 1).alias("n_slots"), F.lit(1.0).alias("agree"), F.lit(True).alias("verbatim"))
+        every = checked.unionByName(tiny)
+        rest = [c for c in every.columns if c not in ("doc_id", "item_id")]
+        most = F.max(F.struct("coverage", "agree", *[c for c in rest if c not in ("coverage", "agree")])).alias("m")
+        every = every.groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", *[F.col("m")[c].alias(c) for c in rest])
+        return keep(materialize(every, "found"))
+
+
+def _matched_pairs(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, min_coverage: float) -> DataFrame:
+    """(doc_id, text_sum, item_id, n_matched, n_windows, best, coverage, whole) of texts that hold enough windows of an item."""
     items, short = benchmark_windows(benchmark, item_col, item_text_col)
-    items = materialize(items, "windows")
+    solid = benchmark.select(F.col(item_col).alias("item_id"), solid_words(text_of(item_text_col)).alias("w")).filter(_is_tiny(F.col("w")))
+    whole = solid.select("item_id", F.lit(0).alias("item_at"), _whole(F.col("w")).alias("window"), F.lit(1).cast("long").alias("n_windows"), F.lit(True).alias("whole")).distinct()
+    items = materialize(items.withColumn("whole", F.lit(False)).unionByName(whole), "windows")
     few = items.count() <= BROADCAST_WINDOWS
-    d = document_windows(docs, id_col, text_col, [WINDOW, *short])
-    hits = d.join(F.broadcast(items) if few else items, "window")
-    lined = hits.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
+    small = F.broadcast if few else lambda d: d
+    hits = document_windows(rows, [WINDOW, *short]).join(small(items.select("window").distinct()), "window", "left_semi" if few else "inner")
+    hits = materialize(hits, "hits")
+    # of n positions a leak matches ceil(min_coverage * n) at least, so one of the n + 1 - that rarest ones
+    often = items.groupBy("window").agg(F.count_distinct("item_id").alias("items"))
+    places = items.join(often, "window").groupBy("item_id", "item_at", "whole", "n_windows").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "whole").orderBy("items", "item_at"))
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(min_coverage) * F.col("n_windows") - 1e-9))
+    rare = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("n_windows") - needed + 1).select("item_id", "item_at", "whole")
+    probes = items.join(rare, ["item_id", "item_at", "whole"]).select("window", "item_id", "whole").distinct()
+    candidates = hits.select("doc_id", "text_sum", "window").distinct().join(small(probes), "window").select("doc_id", "text_sum", "item_id", "whole").distinct()
+    c = candidates.select(F.col("doc_id").alias("_d"), F.col("text_sum").alias("_s"), "item_id", "whole").join(small(items), ["item_id", "whole"])
+    same = hits["doc_id"].eqNullSafe(c["_d"]) & (hits["text_sum"] == c["_s"]) & (hits["window"] == c["window"])
+    met = hits.join(c, same).select("doc_id", "text_sum", "item_id", "whole", "doc_at", "item_at", "n_windows")
+    lined = met.groupBy("doc_id", "text_sum", "item_id", "whole", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("ats"), F.first("n_windows").alias("n_windows")
     )
-    pairs = lined.groupBy("doc_id", "item_id").agg(
+    pairs = lined.groupBy("doc_id", "text_sum", "item_id", "whole").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"), F.first("n_windows").alias("n_windows"),
         F.max(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), F.array_sort("ats").alias("ats"))).alias("best"),
     )
@@ -143,18 +175,20 @@ def _matched_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     return materialize(pairs, "pairs")
 
 
-def slot_check(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+def slot_check(pairs: DataFrame, rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
     """pairs with n_slots, agree and verbatim, from the values at the placeholder positions of the best alignment.
 
     A slot fits if its document value is the most frequent one of its item value, and the other way round."""
     text = text_of(item_text_col)
     item = benchmark.select(F.col(item_col).alias("item_id"), canonical_words(text).alias("ic"), plain_words(text).alias("iw")).dropDuplicates(["item_id"])
-    words = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(pairs.select(F.col("doc_id").alias("_k")).distinct(), F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
-    words = words.groupBy("_id").agg(F.max("_t").alias("_t")).select("_id", plain_words(F.col("_t")).alias("dw"))
-    p = pairs.join(words, F.col("doc_id").eqNullSafe(F.col("_id"))).join(item, "item_id").drop("_id")
+    wanted = pairs.select(F.col("doc_id").alias("_k"), F.col("text_sum").alias("_s")).distinct()
+    words = rows.select(F.col("doc_id").alias("_id"), F.col("text_sum").alias("_sum"), F.col("text").alias("_t"))
+    words = words.join(wanted, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sum") == F.col("_s")), "left_semi")
+    words = words.groupBy("_id", "_sum").agg(F.max("_t").alias("_t")).select("_id", "_sum", plain_words(F.col("_t")).alias("dw"))
+    p = pairs.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sum") == F.col("_sum"))).join(item, "item_id").drop("_id", "_sum")
     covered = F.array_distinct(F.flatten(F.transform(F.col("best")["ats"], lambda a: F.sequence(a, a + (WINDOW - 1)))))
     value = F.transform(covered, lambda a: F.struct(F.get(F.col("ic"), a).contains("{").alias("slot"), F.get(F.col("iw"), a).alias("i"), F.get(F.col("dw"), a - F.col("best")["back"].cast("int")).alias("d")))
-    pair = ["doc_id", "item_id"]
+    pair = ["doc_id", "text_sum", "item_id"]
     p = p.select(*pair, "n_matched", "n_windows", "coverage", F.explode_outer(F.filter(value, lambda v: v["slot"] & v["d"].isNotNull())).alias("v"))
     p = p.groupBy(*pair, "n_matched", "n_windows", "coverage", "v.i", "v.d").agg(F.count("v").alias("n"))
     best = lambda side, other: F.max(F.struct("n", other)).over(Window.partitionBy(*pair, side))[other]
@@ -162,7 +196,7 @@ def slot_check(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col:
     p = p.withColumns({"to": best("i", "d"), "of": best("d", "i"), "tied": often("i") | often("d")}).withColumn("fits", F.when((F.col("to") == F.col("d")) & (F.col("of") == F.col("i")), F.col("n")).otherwise(0))
     p = p.groupBy(*pair).agg(*[F.first(c).cast("long" if c != "coverage" else "double").alias(c) for c in ("n_matched", "n_windows", "coverage")], F.sum("n").alias("n_slots"), F.sum(F.when(F.col("tied"), F.col("n"))).alias("tied"), F.sum(F.when(F.col("tied"), F.col("fits"))).alias("fits"), F.min(F.coalesce(F.col("i") == F.col("d"), F.lit(True))).alias("verbatim"))
     agree = F.when(F.col("tied") > 0, F.col("fits") / F.col("tied")).otherwise(F.lit(1.0))
-    return p.select(*pair, "n_matched", "n_windows", "coverage", "n_slots", agree.alias("agree"), "verbatim")
+    return p.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "n_slots", agree.alias("agree"), "verbatim")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

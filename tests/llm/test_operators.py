@@ -550,6 +550,27 @@ def test_leaks_in_other_case(spark):
     assert [r["doc_id"] for r in decontamination.drop_leaks(d, items).collect()] == [4]
 
 
+def test_leaks_in_rows_that_share_an_id(spark):
+    q = "Anna Berg and Otto Lind walk from Graz to Linz . Then Anna Berg asks Otto Lind how far Graz is from Wels , and Otto Lind says twice as far as Linz ."
+    docs = [(1, "first " + q), (1, "zzz another text of the same id that is clean and greater"), (1, ""), (2, "nothing of the kind here at all , only words"), (None, q), (None, "zz"), (3, q), (3, q)]
+    items = spark.createDataFrame([(9, q), (8, "two words")], "item_id long, text string")
+    d = spark.createDataFrame([*docs, (4, "Two , words !")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(d, items).collect()}
+    assert set(got) == {(1, 9), (None, 9), (3, 9), (4, 8)} and all(r["verbatim"] and r["coverage"] == 1 for r in got.values())
+    assert [r["doc_id"] for r in decontamination.drop_leaks(d, items).collect()] == [2]
+
+
+def test_phrases_that_many_items_share(spark):
+    head = "Please answer the following question about the text above in one short sentence and give a reason for it : "
+    r = np.random.default_rng(12)
+    fresh = lambda n: " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(n))
+    own = [fresh(30) for _ in range(60)]
+    items = spark.createDataFrame([(i, head + t) for i, t in enumerate(own)], "item_id long, text string")
+    docs = [(i, f"before {head}{own[i]} after") for i in range(5)] + [(100 + i, head + fresh(40)) for i in range(50)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(i, i) for i in range(5)}
+
+
 # ---- all -------------------------------------------------------------------------------------------------------------------
 
 def test_sql(spark, sf_dir):
