@@ -271,35 +271,42 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
     return docs.mapInPandas(keep, f"doc_id {kind}, level int, at long, words long, key long, shingles long, bits long, " + ", ".join(f"{n} long" for n in names))
 
 
-def shingles_of(docs: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
-    """(key, shingles), once for each of the keys: two shingles that a partner must hold, 0 for any, and then all, in 32 bits.
-    Texts are read again, so that only shingles that are compared travel."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
+def shingles_of(docs: DataFrame, bands: int, met: DataFrame) -> DataFrame:
+    """(band, key, shingles) of the rows of met (band, key), and maybe a few more: two shingles that a partner must hold, 0 for any, and
+    then all, in 32 bits.  Texts are read again, so that only shingles that are compared travel, straight to their band; equal
+    paragraphs of several tasks come several times."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_filter(met.select(F.col("band").bitwiseXOR(F.col("key")).alias("h")), "h"))
 
     def pick(batches):
-        frame = lambda: pd.DataFrame({"key": list(out), "shingles": list(out.values())}).astype({"key": "int64"})
-        out, size = {}, 0
+        out: dict[tuple[int, int], bytes] = {}
+        frame = lambda: pd.DataFrame([(b, k, v) for (b, k), v in out.items()], columns=["band", "key", "shingles"]).astype({"band": "int64", "key": "int64"})
+        size = 0
         for p in batches:
             for _, texts in slices(p["text"]):
                 if (found := paragraphs(texts, bands)) is None:
                     continue
                 named, at = np.unique(found.keys, return_index=True)
-                some = at[in_filter(table.value, named)]
+                hit = in_filter(table.value, found.hashes[at] ^ named[:, None])
+                some, of = at[hit.any(axis=1)], np.flatnonzero(hit.any(axis=1))
                 head, tail = own_ends(found.every, found.level[some], found.first[some], found.stop[some])
                 every = (found.every >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 ends = np.stack([head, tail], axis=1) >> np.uint64(32)
                 ends = np.where(np.stack([head, tail], axis=1) == 0, 0, ends | np.uint64(1)).astype(np.uint32)
-                for k, a, b, e in zip(found.keys[some].view(np.int64).tolist(), found.first[some].tolist(), found.stop[some].tolist(), ends, strict=True):
-                    if k not in out:
-                        out[k] = e.tobytes() + np.unique(every[a:b]).tobytes()
-                        size += len(out[k])
+                names, held = found.hashes[some].view(np.int64).tolist(), named[of].view(np.int64).tolist()
+                for k, own, wanted, a, b, e in zip(held, names, hit[of].tolist(), found.first[some].tolist(), found.stop[some].tolist(), ends, strict=True):
+                    new = [n for n, w in zip(own, wanted, strict=True) if w and (n, k) not in out]
+                    if new:
+                        data = e.tobytes() + np.unique(every[a:b]).tobytes()
+                        size += len(data) * len(new)
+                        for n in new:
+                            out[(n, k)] = data
             if size > 1 << 24:
                 yield frame()
-                out, size = {}, 0
+                out.clear()
+                size = 0
         yield frame()
 
-    found = docs.select("text").mapInPandas(pick, "key long, shingles binary")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return docs.select("text").mapInPandas(pick, "band long, key long, shingles binary")
 
 
 def groups_of(batches, limit: int, *columns: str):
@@ -358,12 +365,9 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
     hot = near.filter("part < 0")
     sizes = hot.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     hot = hot.drop("part").join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("part"), "key", "shingles", "bits")
+    hot = hot.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other") + 1).cast("long").alias("part"), "key", "shingles", "bits")
     some = materialize(near.filter("part >= 0").union(hot.transform(likely(1 << 62))).select("band", "part", "key"), "met")
     release(near)
-    # shingles travel once per distinct paragraph that may be like another one
-    sets = shingles_of(docs, bands, some.select("key").distinct())
-
     def check(batches):
         out: list[tuple[int, int]] = []
         for _, _, keys, held in groups_of(batches, 1 << 62, "key", "shingles"):
@@ -386,8 +390,15 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    some = some.join(sets, "key").repartition("band", "part").sortWithinPartitions("band", "part", "key")
-    return some.mapInPandas(check, "a long, b long").distinct()
+    def checked(d: DataFrame) -> DataFrame:
+        return d.repartition("band", "part").sortWithinPartitions("band", "part", "key").mapInPandas(check, "a long, b long")
+
+    cold, parts = some.filter("part = 0").select("band", "key"), some.filter("part > 0")
+    edges = checked(shingles_of(docs, bands, cold).withColumn("part", F.lit(0).cast("long")))
+    if not parts.isEmpty():  # bands of many paragraphs go to several groups
+        sets = shingles_of(docs, bands, parts.select("band", "key").distinct()).groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
+        edges = edges.unionByName(checked(parts.join(sets, ["band", "key"])))
+    return edges.distinct()
 
 
 def in_runs(spans: DataFrame) -> DataFrame:
