@@ -1,6 +1,6 @@
 import json
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -248,7 +248,8 @@ def test_passages(spark, sf_dir, corpus):
     found = {r["doc_id"] for r in rows}
     long = brute.long_repeats(corpus, 51)
     assert len(long - found) <= 0.01 * len(long)
-    assert found <= brute.long_repeats(corpus, 12)
+    inside = {d for d, t in corpus if any(n > 1 for n in Counter(tuple(w[i : i + 12]) for w in [brute.words(t)] for i in range(len(w) - 11)).values())}
+    assert found <= brute.long_repeats(corpus, 12) | inside  # a passage may repeat in its own document
 
 
 def test_passages_inside_lines(spark, odd, none):
