@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.tables import Tables
-from ..sources.files import match_media
+from ..sources.files import committed, match_media, written
 from ..sources.gedcom import upsert
 from .actions import Outcome, _replaced, undo
 from .ids import add_rows
@@ -128,6 +128,44 @@ def undo_logged(t: Tables, log: DataFrame, action_id: int) -> Tables:
     return undo(o)
 
 
+def write_action(path: str, outcome: Outcome, action_id: int, by: str | None = None) -> None:
+    """Log an action durably: its log row and its undo rows are one write to a folder of their own, which counts once it is marked.  A
+    crash before leaves no action; the same id written again replaces it."""
+    spark = outcome.tables.spark
+    said = [(action_id, outcome.action, json.dumps(outcome.payload, sort_keys=True), by)]
+    log = spark.createDataFrame(said, "action_id long, action_type string, payload_json string, applied_by string").withColumns({"created_at": F.localtimestamp(), "kind": F.lit("log")})
+    rows = [log]
+    if outcome.before or outcome.added:
+        rows.append(undo_rows(outcome, action_id))
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).drop("action_id").write.mode("overwrite").parquet(f"{path}/action_id={action_id}")
+
+
+ACTION = "action_type string, payload_json string, applied_by string, created_at timestamp_ntz, kind string, table_name string, row_json string, action_id long"
+
+
+def logged_actions(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of finished actions, log rows (kind log) and undo rows."""
+    done = committed(spark, path, "action_id")
+    if not done:
+        return spark.createDataFrame([], ACTION)
+    return spark.read.schema(ACTION).option("basePath", path).parquet(*[f"{path}/action_id={n}" for n in done])
+
+
+def undo_action(t: Tables, path: str, action_id: int) -> Tables:
+    """The tables as they were before a logged action, which is then logged no more.  Other actions stay, later ones too: undo of an older
+    action puts its own rows back."""
+    spark = t.spark
+    if action_id not in committed(spark, path, "action_id"):
+        raise ValueError(f"action {action_id} is not in the log")
+    own = written(logged_actions(spark, path).filter((F.col("action_id") == action_id) & (F.col("kind") != "log")), "undo")
+    before = undo_logged(t, own, action_id)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/action_id={action_id}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"), False)  # from here on it does not count
+    files.delete(folder, True)
+    return before
+
+
 def list_actions(log: DataFrame, page: int = 1, per_page: int = 50) -> DataFrame:
     size = max(1, min(per_page, MAX_ROWS))
     return log.orderBy(F.desc("created_at")).offset((max(1, page) - 1) * size).limit(size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -13,7 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
-MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "tif", "tiff", "bmp", "pdf")
+#: Media file types (fixed values).
+MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "tif", "tiff", "bmp", "heic", "pdf", "mp4", "mov", "avi", "mkv")
+#: Bytes that are read at a time to hash a file.
+CHUNK = 1 << 20
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -38,17 +42,58 @@ def written(d: DataFrame, label: str) -> DataFrame:
     return d.sparkSession.read.schema(d.schema).parquet(folder)
 
 
+def store_of(path: str):
+    """(file system, path in it) of a path or URI, for use in tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def content_hash(store, path: str) -> tuple[int, str]:
+    """(bytes, SHA-256) of a file, which is read a chunk at a time."""
+    size, sha = 0, hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while chunk := f.read(CHUNK):
+            size += len(chunk)
+            sha.update(chunk)
+    return size, sha.hexdigest()
+
+
+def committed(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of the folders <key>=n below path that a finished write has marked."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def scan_media(spark: SparkSession, folder: str, extensions: tuple = MEDIA, recursive: bool = True) -> DataFrame:
-    """(sha256, path, original_filename, mime_type, size_bytes): one row per content of the folder's media files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return media_rows(raw, extensions)
+    """(sha256, path, original_filename, mime_type, size_bytes): one row per content of the folder's media files.
+
+    Spark lists the files; tasks read them a chunk at a time to hash them, so files may be of any size.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
+    some = listed.filter(_is_media(extensions))
+
+    def hashed(batches):
+        for p in batches:
+            yield p.assign(sha256=[content_hash(*store_of(path))[1] for path in p["path"]])
+
+    return one_per_content(some.mapInPandas(hashed, "path string, length long, sha256 string"))
+
+
+def _is_media(extensions: tuple):
+    return F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions)
 
 
 def media_rows(raw: DataFrame, extensions: tuple = MEDIA) -> DataFrame:
-    """One row per content of the binary files (path, content, length), named by its least path."""
+    """One row per content of binary files that are rows already (path, content, length), named by its least path."""
+    return one_per_content(raw.filter(_is_media(extensions)).select("path", "length", F.sha2("content", 256).alias("sha256")))
+
+
+def one_per_content(files: DataFrame) -> DataFrame:
+    """One row per content of files (path, length, sha256), named by its least path."""
     name = F.element_at(F.split("path", "/"), -1)
-    some = raw.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
-    rows = some.select(F.sha2("content", 256).alias("sha256"), "path", name.alias("original_filename"), X.mime_of(name).alias("mime_type"), F.col("length").alias("size_bytes"))
+    rows = files.select("sha256", "path", name.alias("original_filename"), X.mime_of(name).alias("mime_type"), F.col("length").alias("size_bytes"))
     facts = ["path", "original_filename", "mime_type", "size_bytes"]
     return rows.groupBy("sha256").agg(F.min(F.struct(*facts)).alias("m")).select("sha256", *[F.col("m")[c].alias(c) for c in facts])
 
@@ -146,11 +191,12 @@ def csv_line(columns: list[str]):
 
 
 def write_csv(d: DataFrame, path: str) -> None:
-    """CSV with CR LF line ends, as spreadsheets expect; every part file begins with the names."""
+    """CSV with CR LF line ends, as spreadsheets expect; every part file begins with the names, and a table without rows has one part."""
     head = ",".join(d.columns)
     marked = d.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
     line = F.when(F.col("_i") == 0, F.concat(F.lit(head + "\r\n"), csv_line(d.columns))).otherwise(csv_line(d.columns))
-    marked.select(line.alias("value")).write.option("lineSep", "\r\n").text(path)
+    lines = marked.select(line.alias("value"))
+    (d.sparkSession.createDataFrame([(head,)], "value string") if d.isEmpty() else lines).write.option("lineSep", "\r\n").text(path)
 
 
 def latest_by(d: DataFrame, key: str, order: str) -> DataFrame:

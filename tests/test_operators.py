@@ -1,5 +1,8 @@
+import hashlib
 import json
+import os
 import random
+import shutil
 import sqlite3
 import zipfile
 from collections import Counter
@@ -11,7 +14,7 @@ from kinloom.operators import actions, graph, quality, records, rules, search
 from kinloom.plans.tables import DERIVED, Tables
 from kinloom.sources import files, genealogy_db
 from kinloom.sources.gedcom import gedcom_lines, import_families, parse, read_gedcom, split_lines, upsert
-from kinloom.streaming.watch import register_stream, watch_media
+from kinloom.streaming.watch import current_assets, register_stream, upsert_assets, watch_media
 
 PERSON = "id int, xref string, given string, surname string, sex string, birth_date string, birth_place string, death_date string, death_place string"
 FAMILY = "id int, xref string, husband_person_id int, wife_person_id int, marriage_date string, marriage_place string"
@@ -363,9 +366,68 @@ def test_media_files(spark, tmp_path):
     assert body == b'x,y\r\n"a ""b""",1\r\n,2\r\n'
     files.write_snapshot({"t": spark.range(3)}, str(tmp_path / "snap"))
     assert files.read_snapshot(spark, str(tmp_path / "snap"), "t").count() == 3 and files.read_snapshot(spark, str(tmp_path / "snap"), "u").count() == 0
-    q = register_stream(watch_media(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
-    q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).select(F.countDistinct("sha256")).first()[0] == 2
+    files.write_csv(spark.createDataFrame([], "x string, y int"), str(tmp_path / "none"))
+    assert b"".join(x.read_bytes() for x in (tmp_path / "none").glob("part-*")) == b"x,y\r\n"
+    types = tmp_path / "types"
+    types.mkdir()
+    for k, e in enumerate(files.MEDIA):
+        (types / f"f{k}.{e.upper() if k % 2 else e}").write_bytes(b"x" * (k + 1) * 300_000)
+    seen = {r["original_filename"].rsplit(".", 1)[1].lower(): (r["mime_type"], r["size_bytes"], r["sha256"]) for r in files.scan_media(spark, str(types)).collect()}
+    assert len(seen) == 14 and seen["mp4"][0] == "video/mp4" and seen["heic"][0] == "image/heic" and all(m.split("/")[0] in ("image", "video", "application") and "octet" not in m for m, _, _ in seen.values())
+    assert all(h == hashlib.sha256(b"x" * n).hexdigest() for _, n, h in seen.values())
+
+
+def test_watch(spark, tmp_path):
+    folder, table, ck, state = (str(tmp_path / x) for x in ("in", "assets", "ck", "state"))
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+
+    def put(name, content, at):
+        (tmp_path / "in" / name).write_bytes(content)
+        os.utime(tmp_path / "in" / name, (at, at))
+
+    def step():
+        q = register_stream(watch_media(spark, folder, state), table, ck, once=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {r["original_filename"]: r for r in current_assets(spark, table).collect()}
+
+    put("a.jpg", b"1", 1000)
+    put("sub/b.MP4", b"2", 1000)
+    put("c.txt", b"3", 1000)
+    one = step()
+    assert set(one) == {"a.jpg", "b.MP4"} and one["a.jpg"]["sha256"] == hashlib.sha256(b"1").hexdigest() and one["b.MP4"]["mime_type"] == "video/mp4"
+    batches = sorted(os.listdir(table))
+    assert step() == one and sorted(os.listdir(table)) == batches  # a restart repeats nothing
+    put("a.jpg", b"changed", 2000)  # a changed file at the same path
+    put("old.png", b"4", 5)  # a new file with an old time
+    put("copy.png", b"2", 3000)  # a known content
+    two = step()
+    assert set(two) == {"a.jpg", "b.MP4", "old.png"} and two["a.jpg"]["id"] == one["a.jpg"]["id"] and two["a.jpg"]["sha256"] == hashlib.sha256(b"changed").hexdigest()
+    upsert_assets(spark.createDataFrame([("s", "p/n.jpg", "n.jpg", "image/jpeg", 1)], "sha256 string, path string, original_filename string, mime_type string, size_bytes long"), table, 50)
+    shutil.copytree(f"{table}/batch=50", f"{table}/batch=51")
+    os.remove(f"{table}/batch=51/_SUCCESS")  # a batch that did not finish does not count
+    assert current_assets(spark, table).count() == 4 and current_assets(spark, table, 50).count() == 3
+
+
+def test_durable_log(spark, tmp_path):
+    t = frozen(tables(spark, [(i, f"g{i}", "Lee", "1900", f"p{i}", None) for i in range(1, 7)], relationships=[(1, 3), (2, 4)]))
+    path = str(tmp_path / "log")
+    assert records.logged_actions(spark, path).count() == 0
+    first = actions.merge_people(t, 2, 1)
+    records.write_action(path, first, 1, "ann")
+    second = actions.normalize_places(frozen(first.tables), "Town", ["p5", "p6"])
+    records.write_action(path, second, 2)
+    records.write_action(path, second, 2)  # once more after a crash: still one
+    shutil.copytree(f"{path}/action_id=2", f"{path}/action_id=3")
+    os.remove(f"{path}/action_id=3/_SUCCESS")  # half an action
+    said = lambda: sorted((r["action_id"], r["action_type"], r["applied_by"]) for r in records.logged_actions(spark, path).filter("kind = 'log'").collect())
+    assert said() == [(1, "mergePeople", "ann"), (2, "normalizePlaces", None)]
+    back = frozen(records.undo_action(second.tables, path, 1))  # the older one
+    assert {r["id"]: r["birth_place"] for r in back.persons.collect()} == {1: "p1", 2: "p2", 3: "p3", 4: "p4", 5: "Town", 6: "Town"}
+    assert sorted(tuple(r)[:2] for r in back.relationships.collect()) == [(1, 3), (2, 4)] and said() == [(2, "normalizePlaces", None)]
+    with pytest.raises(ValueError):
+        records.undo_action(t, path, 1)
+    assert {r["birth_place"] for r in records.undo_action(second.tables, path, 2).persons.filter("id > 4").collect()} == {"p5", "p6"} and said() == []
 
 
 def frozen(t):
