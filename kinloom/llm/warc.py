@@ -7,15 +7,20 @@ Everything is a projection: no shuffle, any number of records.  Markup is read o
 
 from __future__ import annotations
 
+import gzip
 import html
 import re
+import uuid
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..sources.files import store_of
 from .common import load, materialize, packed, scratch, small_batches, text_of
 
 CRLF = "\r\n"
@@ -166,15 +171,79 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def warc_text(records: DataFrame) -> Column:
-    """A derived record as WARC text: header lines, a blank line, the block, two line ends."""
+    """A derived record as WARC text: header lines, a blank line, the block, two line ends.  The headers of the source response are
+    one header line, WARC-Source-Headers, as a JSON list of their lines."""
     fields = (("WARC-Type", "record_type"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit(CRLF))).otherwise("") for name, c in fields if c in records.columns]
+    value = {c: F.col(c).cast("string") for _, c in fields if c in records.columns}
+    if "source_headers" in records.columns:
+        fields += (("WARC-Source-Headers", "source_headers"),)
+        value["source_headers"] = F.when(F.col("source_headers").isNotNull(), F.to_json(F.split("source_headers", CRLF, -1)))
+    lines = [F.when(value[c].isNotNull(), F.concat(F.lit(f"{name}: "), value[c], F.lit(CRLF))).otherwise("") for name, c in fields if c in value]
     return F.concat(F.lit(VERSION + CRLF), *lines, F.lit(CRLF), F.col("block"), F.lit(CRLF + CRLF))
 
 
+def source_headers_of(headers: Column) -> Column:
+    """The headers of the source response, as they were, from the headers of a record that was read."""
+    return F.array_join(F.from_json(F.try_element_at(headers, F.lit("warc-source-headers")), "array<string>"), CRLF)
+
+
+class WarcFiles(DataSource):
+    """Format warc_gzip, for writing: a .warc.gz file a partition, each record (column value) a gzip member of its own."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_gzip"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WarcWriter(self.options["path"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
+class WarcWriter(DataSourceWriter):
+    """Tasks write files of hidden names; those that counted are renamed when all have ended, and the others go."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows) -> Written:
+        store, base = store_of(self.path)
+        store.create_dir(base)
+        name = f"{uuid.uuid4().hex}.warc.gz"
+        with store.open_output_stream(f"{base}/_{name}", compression=None) as out:  # the members are made here
+            for row in rows:
+                out.write(gzip.compress(row.value.encode("utf-8"), mtime=0))
+        return Written(name)
+
+    def commit(self, messages) -> None:
+        store, base = store_of(self.path)
+        for m in messages:
+            if m is not None:
+                store.move(f"{base}/_{m.name}", f"{base}/part-{m.name}")
+        with store.open_output_stream(f"{base}/_SUCCESS"):
+            pass
+
+    def abort(self, messages) -> None:
+        store, base = store_of(self.path)
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{base}/_{m.name}")
+
+
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """One WARC file per partition."""
-    records.select(warc_text(records).alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
+    """One WARC file per partition; gzip makes each record a member of its own, as readers that seek records expect.
+
+    The folder of gzip files must be on a file system that Arrow opens; other compressions are Spark's own.
+    """
+    text = records.select(warc_text(records).alias("value"))
+    if compression == "gzip":
+        records.sparkSession.dataSource.register(WarcFiles)
+        text.write.format("warc_gzip").option("path", path).mode("append").save()
+    else:
+        text.write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -402,6 +402,27 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.derive(warc.page_responses(pages.limit(0))).count() == 0
 
 
+def test_warc_gzip_members(spark, tmp_path):
+    import zlib as z
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>caf\u00e9 {i}</p>") for i in range(5)] + [(9, None, None)], "page_id long, url string, html string")
+    d = warc.derive(warc.page_responses(pages))
+    path = str(tmp_path / "gz")
+    warc.write_warc(d.repartition(2), path)
+    seen = 0
+    for f in (tmp_path / "gz").glob("part-*.warc.gz"):
+        data = f.read_bytes()
+        while data:  # a member at a time
+            member = z.decompressobj(31)
+            text = member.decompress(data).decode()
+            assert member.eof and text.startswith("WARC/1.0\r\n") and text.count("WARC/1.0\r\n") == 1 and text.endswith("\r\n\r\n")
+            data, seen = member.unused_data, seen + 1
+    assert seen == 12 and sorted(p.name[0] for p in (tmp_path / "gz").iterdir()) == ["_", "p", "p"]
+    back = warc.read_warc(spark, path).withColumn("head", warc.source_headers_of(F.col("headers"))).collect()
+    want = {r["record_id"]: (r["block"], r["source_headers"]) for r in d.collect()}
+    assert {r["headers"]["warc-record-id"]: (r["block"], r["head"]) for r in back} == want and all(h.endswith("\r\n") for _, h in want.values())
+
+
 def test_markup_as_the_standard_parser(spark, sf_dir):
     pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r["html"]]
     r = np.random.default_rng(8)
