@@ -15,6 +15,7 @@ from .operators import actions, analytics, graph, quality, records, rules, searc
 from .plans.tables import Tables
 from .queries import _DATES, _GRAPH, _ISSUES, ORACLES, PERSON, RULES, date_sql, norm, pkey, place, query
 from .sources import files, gedcom, genealogy_db
+from .streaming import watch
 
 # ---- GEDCOM ----------------------------------------------------------------------------------------------------------------
 
@@ -288,6 +289,87 @@ def _(t):
     return files.media_rows(raw).select("sha256", "path", "mime_type", "size_bytes")
 
 
+_TYPE = "case doc_id % 5 when 0 then 'heic' when 1 then 'MP4' when 2 then 'mkv' when 3 then 'jpg' else 'txt' end"
+
+
+def _media_files(t: Tables, folder: str) -> DataFrame:
+    """The documents as files of a folder, written by tasks: pictures, films and texts."""
+    kind = F.element_at(F.array(*map(F.lit, ("heic", "MP4", "mkv", "jpg", "txt"))), (F.col("doc_id") % 5 + 1).cast("int"))
+
+    def write(batches):
+        store, base = files.store_of(folder)
+        store.create_dir(base)
+        for p in batches:
+            for name, text in zip(p["name"], p["text"], strict=True):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write((text or "").encode())
+            yield p[["name"]]
+
+    d = t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"), "text").mapInPandas(write, "name string")
+    d.count()
+    return d
+
+
+@query("media_scan_types", f"""
+select sha256(coalesce(text, '')) as sha256, min(cast(doc_id as varchar) || '.' || {_TYPE}) as original_filename, min(strlen(coalesce(text, ''))) as size_bytes,
+  case lower(split_part(min(cast(doc_id as varchar) || '.' || {_TYPE}), '.', 2)) when 'heic' then 'image/heic' when 'mp4' then 'video/mp4' when 'mkv' then 'video/x-matroska' else 'image/jpeg' end as mime_type
+from documents where doc_id % 5 <> 4 group by 1""")
+def _(t):
+    folder = files.work_folder(t.spark, "media")
+    _media_files(t, folder)
+    return files.scan_media(t.spark, folder).select("sha256", "original_filename", "mime_type", "size_bytes")
+
+
+@query("watch_registration", f"""
+select sha256(coalesce(text, '')) as sha256, min(cast(doc_id as varchar) || '.' || {_TYPE}) as original_filename, min(strlen(coalesce(text, ''))) as size_bytes, 'unassigned' as status
+from documents where doc_id % 5 <> 4 group by 1""")
+def _(t):
+    folder, work = files.work_folder(t.spark, "media"), files.work_folder(t.spark, "watch")
+    _media_files(t, folder)
+    for _ in range(2):  # the second run finds nothing new
+        q = watch.register_stream(watch.watch_media(t.spark, folder, f"{work}/state"), f"{work}/assets", f"{work}/checkpoint", once=True)
+        q.awaitTermination()
+    return watch.current_assets(t.spark, f"{work}/assets").select("sha256", "original_filename", "size_bytes", "status")
+
+
+@query("link_report_rows", "select cast(id as varchar) as key, sha256, cast((select min(b.id) from t_media_assets b where b.sha256 = a.sha256) as varchar) as asset_id, 'sha256' as matched_by from t_media_assets a", ("media_assets",))
+def _(t):
+    m = t.media_assets
+    wanted = m.select(F.col("id").alias("key"), "sha256", F.lit(None).cast("string").alias("path"))
+    found = files.match_media(wanted, m.select("id", "sha256", "path", F.lit(None).cast("string").alias("source_path")))
+    folder = files.work_folder(t.spark, "report")
+    files.link_report(found.select("key", "sha256", "asset_id", "matched_by"), folder)
+    return t.spark.read.option("header", True).csv(folder)
+
+
+@query("csv_file", "select cast(id as varchar) as id, given, birth_place from t_persons", ("persons",))
+def _(t):
+    folder = files.work_folder(t.spark, "csv")
+    files.write_csv(t.persons.select("id", "given", "birth_place"), folder)
+    return t.spark.read.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(folder)
+
+
+@query("action_log", """
+select 'mergePeople' as action_type, '{"from": ' || cast(b as varchar) || ', "into": ' || cast(a as varchar) || '}' as payload_json, cast(null as varchar) as table_name, 'log' as kind from
+  (select min(id) as a, max(id) as b from t_persons) x
+union all select null, null, 'persons', 'before' from t_persons where id = (select min(id) from t_persons) or id = (select max(id) from t_persons)""", ("persons",))
+def _(t):
+    ends = t.persons.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    folder = files.work_folder(t.spark, "log")
+    records.write_action(folder, actions.merge_people(t, ends["b"], ends["a"]), 1)
+    rows = records.logged_actions(t.spark, folder).filter("kind = 'log' or table_name = 'persons'")
+    return rows.select("action_type", "payload_json", "table_name", "kind")
+
+
+@query("action_log_undone", "select id, given, surname from t_persons", ("persons",))
+def _(t):
+    ends = t.persons.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    folder = files.work_folder(t.spark, "log")
+    done = actions.merge_people(t, ends["b"], ends["a"])
+    records.write_action(folder, done, 1)
+    return records.undo_action(done.tables, folder, 1).persons.select("id", "given", "surname")
+
+
 @query("media_registration", """
 select id, case when id % 3 = 0 then 'new' || cast(id as varchar) else sha256 end as sha256, case when id % 3 = 1 then 'found/' || cast(id as varchar) when id % 3 = 0 then 'file/' || cast(id as varchar) else path end as path
 from (select min(id) as id, sha256, arg_min(path, id) as path from t_media_assets group by sha256) m""", ("media_assets",))
