@@ -56,12 +56,19 @@ def solid_words(text: Column) -> Column:
     return F.filter(plain_words(text), lambda w: F.length(w) > 0)
 
 
-def windows(df: DataFrame, words: str, out: str, size: int = WINDOW, salt: str = "") -> DataFrame:
-    """df plus the hashes of all windows of so many words, eight by doubling: pairs, fours, eights; other salts, other hashes."""
-    d = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)) if salt else F.xxhash64(w))).withColumn("_h", F.col("_h1"))
-    for k in (1, 2, 4) if size == WINDOW else range(1, size):
-        d = d.withColumn("_h", F.zip_with(F.col("_h"), rest("_h" if size == WINDOW else "_h1", k), lambda a, b: F.xxhash64(a, b)))
-    return d.withColumn(out, F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (size - 1), F.lit(0)))).drop("_h", "_h1")
+def windows(df: DataFrame, words: str, sizes: list[int], salt: str = "") -> DataFrame:
+    """df plus words4, words5, ... (by the column's name) for sizes of four to eight: the hashes of all windows of so many words; other
+    salts, other hashes.  Pairs, fours and eights come by doubling, the sizes between from those; none is hashed word by word again."""
+    h = lambda k: f"{words}_h{k}"
+    d = df.withColumn(h(1), F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)) if salt else F.xxhash64(w)))
+    join = lambda a, k, b: F.zip_with(F.col(h(a)), rest(h(b), k), lambda x, y: F.xxhash64(x, y))
+    steps = {2: (1, 1, 1), 4: (2, 2, 2), 5: (4, 4, 1), 6: (4, 4, 2), 7: (6, 6, 1), 8: (4, 4, 4)}
+    for k in (2, 4, 5, 6, 7, 8):
+        if k <= 4 or k in sizes or k == 6 and 7 in sizes:
+            d = d.withColumn(h(k), join(*steps[k]))
+    for k in sizes:
+        d = d.withColumn(f"{words}{k}", F.slice(h(k), F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0))))
+    return d.drop(*[h(k) for k in range(1, 9)])
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
@@ -76,7 +83,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tup
     short = sorted(r["n"] for r in b.select(n.alias("n")).filter((F.col("n") >= MIN_LITERALS) & (F.col("n") < WINDOW)).distinct().collect())
 
     def positions(items: DataFrame, size: int) -> DataFrame:
-        d = windows(windows(items, "c", "w", size), "p", "v", size, "plain")
+        d = windows(windows(items, "c", [size]), "p", [size], "plain").withColumnsRenamed({f"c{size}": "w", f"p{size}": "v"})
         d = d.select("item_id", "c", "p", F.posexplode_outer(F.arrays_zip("w", "v")).alias("item_at", "x")).filter("x is not null")
         count = lambda a, test: F.size(F.filter(F.slice(a, F.col("item_at") + 1, size), test))
         literal, solid = count("c", lambda x: ~x.contains("{") & (F.length(x) > 0)), count("p", lambda x: F.length(x) > 0)
@@ -91,18 +98,28 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tup
     return good.select("item_id", "item_at", F.explode(forms).alias("window"), "n_windows"), short
 
 
-def document_windows(d: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, text_sum, doc_at, window) of d (doc_id, text_sum, text): windows of canonical and of plain words of all sizes, and for
-    documents of few words one of all of them; each text is cut up once."""
+def window_hits(d: DataFrame, sizes: list[int], known: DataFrame, few: bool, tiny_items: bool) -> DataFrame:
+    """(doc_id, text_sum, doc_at, window) of d (doc_id, text_sum, text) for the windows that are known (window): windows of canonical and
+    of plain words of all sizes, and, where there are items of few words, one of all words of documents of few words.
+
+    Each text is cut up once, and all hashes of a text are one array; where a hit stood is told from its place in it.
+    """
     d = d.select("doc_id", "text_sum", canonical_words(F.col("text")).alias("c"), plain_words(F.col("text")).alias("p"))
-    parts = []
-    for size in sizes:
-        for words, salt in (("c", ""), ("p", "plain")):
-            d = windows(d, words, f"{words}{size}", size, salt)
-            parts.append(F.transform(f"{words}{size}", lambda h, i: F.struct(i.alias("doc_at"), h.alias("window"))))
-    none = F.array().cast("array<struct<doc_at:int,window:bigint>>")
-    parts.append(F.when(_is_tiny(_solid(F.col("p"))), F.array(F.struct(F.lit(0).alias("doc_at"), _whole(_solid(F.col("p"))).alias("window")))).otherwise(none))
-    return d.select("doc_id", "text_sum", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "text_sum", "x.doc_at", "x.window")
+    d = windows(windows(d, "c", sizes), "p", sizes, "plain")
+    parts = [F.col(f"{w}{k}") for k in sizes for w in "cp"]
+    if tiny_items:
+        d = d.withColumn("solid", _solid(F.col("p")))
+        parts.append(F.when(_is_tiny(F.col("solid")), F.array(_whole(F.col("solid")))).otherwise(F.array().cast("array<bigint>")))
+    every = F.concat(*parts)
+    hits = d.select("doc_id", "text_sum", F.size("p").alias("n"), F.posexplode(every).alias("pos", "window"))
+    hits = hits.join(F.broadcast(known), "window", "left_semi") if few else hits.join(known, "window")
+    at, start = F.lit(0), F.lit(0)
+    for k in sizes:
+        count = F.greatest(F.col("n") - (k - 1), F.lit(0))
+        for _ in "cp":
+            at = F.when(F.col("pos") >= start, F.col("pos") - start).otherwise(at)
+            start = start + count
+    return hits.select("doc_id", "text_sum", F.when(F.col("pos") >= start, 0).otherwise(at).cast("int").alias("doc_at"), "window")
 
 
 def _solid(plain: Column) -> Column:
@@ -149,10 +166,9 @@ def _matched_pairs(rows: DataFrame, benchmark: DataFrame, item_col: str, item_te
     solid = benchmark.select(F.col(item_col).alias("item_id"), solid_words(text_of(item_text_col)).alias("w")).filter(_is_tiny(F.col("w")))
     whole = solid.select("item_id", F.lit(0).alias("item_at"), _whole(F.col("w")).alias("window"), F.lit(1).cast("long").alias("n_windows"), F.lit(True).alias("whole")).distinct()
     items = materialize(items.withColumn("whole", F.lit(False)).unionByName(whole), "windows")
-    few = items.count() <= BROADCAST_WINDOWS
+    few, tiny_items = items.count() <= BROADCAST_WINDOWS, not items.filter("whole").isEmpty()
     small = F.broadcast if few else lambda d: d
-    hits = document_windows(rows, [WINDOW, *short]).join(small(items.select("window").distinct()), "window", "left_semi" if few else "inner")
-    hits = materialize(hits, "hits")
+    hits = materialize(window_hits(rows, [WINDOW, *short], items.select("window").distinct(), few, tiny_items), "hits")
     # of n positions a leak matches ceil(min_coverage * n) at least, so one of the n + 1 - that rarest ones
     often = items.groupBy("window").agg(F.count_distinct("item_id").alias("items"))
     places = items.join(often, "window").groupBy("item_id", "item_at", "whole", "n_windows").agg(F.max("items").alias("items"))
