@@ -41,7 +41,8 @@ def canonical_words(text: Column) -> Column:
     t = F.regexp_replace(text, r"[+-]?[0-9][0-9.,:/]*%?", "{num}")
     t = F.regexp_replace(t, r"\{num\}(?:" + UNIT_RE + r")(?![A-Za-z{])", "{num}{unit}")
     t = F.regexp_replace(t, r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})", "{name}")
-    return F.transform(words_of(F.lower(t)), lambda w: _unit(F.translate(w, MARKS, "")))
+    # two steps, or the lambda would strip each word twice
+    return F.transform(F.transform(words_of(F.lower(t)), lambda w: F.translate(w, MARKS, "")), _unit)
 
 
 def _unit(w: Column) -> Column:
@@ -49,16 +50,17 @@ def _unit(w: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.lower(F.translate(w, MARKS, "")))
+    return F.transform(words_of(F.lower(text)), lambda w: F.translate(w, MARKS, ""))
 
 
 def solid_words(text: Column) -> Column:
     return F.filter(plain_words(text), lambda w: F.length(w) > 0)
 
 
-def windows(df: DataFrame, words: str, sizes: list[int], salt: str = "") -> DataFrame:
+def windows(df: DataFrame, words: str, sizes: list[int], salt: str = "", cut: bool = True) -> DataFrame:
     """df plus words4, words5, ... (by the column's name) for sizes of four to eight: the hashes of all windows of so many words; other
-    salts, other hashes.  Pairs, fours and eights come by doubling, the sizes between from those; none is hashed word by word again."""
+    salts, other hashes.  Pairs, fours and eights come by doubling, the sizes between from those; none is hashed word by word again.
+    Without cut there is a hash for each word: the last ones are of what is left of the text, and equal no whole window's."""
     h = lambda k: f"{words}_h{k}"
     d = df.withColumn(h(1), F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)) if salt else F.xxhash64(w)))
     join = lambda a, k, b: F.zip_with(F.col(h(a)), rest(h(b), k), lambda x, y: F.xxhash64(x, y))
@@ -67,7 +69,7 @@ def windows(df: DataFrame, words: str, sizes: list[int], salt: str = "") -> Data
         if k <= 4 or k in sizes or k == 6 and 7 in sizes:
             d = d.withColumn(h(k), join(*steps[k]))
     for k in sizes:
-        d = d.withColumn(f"{words}{k}", F.slice(h(k), F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0))))
+        d = d.withColumn(f"{words}{k}", F.slice(h(k), F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0))) if cut else F.col(h(k)))
     return d.drop(*[h(k) for k in range(1, 9)])
 
 
@@ -105,7 +107,7 @@ def window_hits(d: DataFrame, sizes: list[int], known: DataFrame, few: bool, tin
     Each text is cut up once, and all hashes of a text are one array; where a hit stood is told from its place in it.
     """
     d = d.select("doc_id", "text_sum", canonical_words(F.col("text")).alias("c"), plain_words(F.col("text")).alias("p"))
-    d = windows(windows(d, "c", sizes), "p", sizes, "plain")
+    d = windows(windows(d, "c", sizes, cut=False), "p", sizes, "plain", cut=False)
     parts = [F.col(f"{w}{k}") for k in sizes for w in "cp"]
     if tiny_items:
         d = d.withColumn("solid", _solid(F.col("p")))
@@ -113,13 +115,8 @@ def window_hits(d: DataFrame, sizes: list[int], known: DataFrame, few: bool, tin
     every = F.concat(*parts)
     hits = d.select("doc_id", "text_sum", F.size("p").alias("n"), F.posexplode(every).alias("pos", "window"))
     hits = hits.join(F.broadcast(known), "window", "left_semi") if few else hits.join(known, "window")
-    at, start = F.lit(0), F.lit(0)
-    for k in sizes:
-        count = F.greatest(F.col("n") - (k - 1), F.lit(0))
-        for _ in "cp":
-            at = F.when(F.col("pos") >= start, F.col("pos") - start).otherwise(at)
-            start = start + count
-    return hits.select("doc_id", "text_sum", F.when(F.col("pos") >= start, 0).otherwise(at).cast("int").alias("doc_at"), "window")
+    at = F.when(F.col("pos") < 2 * len(sizes) * F.col("n"), F.pmod("pos", "n")).otherwise(0)
+    return hits.select("doc_id", "text_sum", at.cast("int").alias("doc_at"), "window")
 
 
 def _solid(plain: Column) -> Column:
