@@ -23,7 +23,7 @@ def neighbourhood(t: Tables, roots: DataFrame, depth: int = 2) -> DataFrame:
     folder = work_folder(spark, "walk")
     way = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = r.select(F.explode(F.array(way("parent_person_id", "child_person_id"), way("child_person_id", "parent_person_id"))).alias("e")).select("e.a", "e.b")
-    kind = t.persons.schema["id"].dataType.simpleString()
+    kind = roots.schema["id"].dataType.simpleString()
     met = lambda steps: spark.read.schema("id long, distance int").parquet(*[f"{folder}/step{k}" for k in steps])
     roots.select(F.col("id").cast("long").alias("id")).distinct().withColumn("distance", F.lit(0)).write.parquet(f"{folder}/step0")
     most = max(0, min(depth, MAX_DEPTH))
