@@ -102,6 +102,12 @@ def release(df: DataFrame | None) -> None:
         files.cancelDeleteOnExit(where)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Free the disks of executors from the shuffle files of steps whose tables are written: Spark removes them once the
+    driver's JVM has collected the plans that made them, which by itself may come half an hour later."""
+    spark._jvm.System.gc()
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The rows of docs as one struct, row, beside the given columns: no name of docs can clash with them."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])

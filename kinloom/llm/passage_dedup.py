@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, in_filter, load, materialize, packed, release, scratch, small_batches, unpacked
+from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, drop_shuffles, in_filter, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked
 from .shingles import Forest, byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -366,8 +366,11 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
     sizes = hot.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     hot = hot.drop("part").join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other") + 1).cast("long").alias("part"), "key", "shingles", "bits")
+    drop_shuffles(docs.sparkSession)
     some = materialize(near.filter("part >= 0").union(hot.transform(likely(1 << 62))).select("band", "part", "key"), "met")
     release(near)
+    drop_shuffles(docs.sparkSession)
+
     def check(batches):
         out: list[tuple[int, int]] = []
         for _, _, keys, held in groups_of(batches, 1 << 62, "key", "shingles"):
@@ -420,20 +423,25 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = bands_for(recall)
     found = materialize(shared_paragraphs(texts, bands), "paragraphs")
-    near = connected_components(materialize(verified_edges(texts, found, bands), "paragraph-edges"))
-    owned = found.select("doc_id", "level", "at", "words", "key").join(near.select(F.col("node").alias("key"), "component"), "key", "left")
-    owned = materialize(owned.withColumn("cluster", F.coalesce("component", "key")).select("doc_id", "level", "at", "words", "cluster"), "owned")
+    drop_shuffles(docs.sparkSession)
+    edges = materialize(verified_edges(texts, found, bands), "paragraph-edges")
+    drop_shuffles(docs.sparkSession)
+    near = connected_components(edges).select("node", "component")
+    place = found.select("doc_id", "level", "at", "words", "key")
+    may = maybe_among(docs.sparkSession, near, "node")(F.col("key"))
+    # most paragraphs have exact copies only: they are clusters by their key, without a join
+    moved = place.filter(may).join(near, F.col("key") == F.col("node"), "left").select("doc_id", "level", "at", "words", F.coalesce("component", "key").alias("cluster"))
+    owned = materialize(place.filter(~may).withColumnRenamed("key", "cluster").unionByName(moved), "owned")
     release(found)
-    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    if not inside:
-        seen = seen.filter(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    repeats = owned.join(seen.select("cluster", "first"), "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
-    if not inside:  # every cluster has an occurrence in another document
-        return in_runs(repeats.select("doc_id", "level", "at", "words", "cluster", "extra"))
+    drop_shuffles(docs.sparkSession)
+    seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.max("at").alias("far"))
+    elsewhere = ~F.col("first.doc_id").eqNullSafe(F.col("last"))
     # windows of one document that are alike only because they overlap are no repeats
-    real = repeats.groupBy("cluster").agg(F.max("extra").alias("real")).filter("real").select("cluster")
-    return in_runs(repeats.join(real, "cluster", "left_semi").select("doc_id", "level", "at", "words", "cluster", "extra"))
+    apart = F.col("far") >= F.col("first.at") + F.col("first.words")
+    seen = seen.filter(elsewhere | apart if inside else elsewhere).select("cluster", "first")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    repeats = owned.join(seen, "cluster").withColumn("extra", ~here | (F.col("at") >= F.col("first.at") + F.col("first.words")))
+    return in_runs(repeats.select("doc_id", "level", "at", "words", "cluster", "extra"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, min_run: int = MIN_RUN, inside: bool = True) -> DataFrame:
