@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, drop_shuffles, in_filter, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked
-from .shingles import Forest, byte_word_hashes, mix, shingle_hashes
+from .shingles import byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
 #: A cut stands before a word whose hash is less than those of so many words on either side; paragraphs take 11 words on average.
@@ -332,18 +332,56 @@ def groups_of(batches, limit: int, *columns: str):
         yield end()
 
 
-def may_match(sizes: list[int], bits: list[int]) -> np.ndarray:
-    """For each paragraph whether the bits of another one leave a similarity of THRESHOLD possible.
+#: Similar sets lack at most this share of the smaller one's members, in both together.
+LACK = 1 / THRESHOLD - 1
+
+
+def may_match(sizes: list[int], bits: list[int], rows: int = 512) -> np.ndarray:
+    """For each paragraph whether the bits of another one leave a similarity of THRESHOLD possible, so many rows at a time.
 
     Every bit that differs is a shingle that one of the two lacks, and similar sets lack few: no similar pair is lost.
     """
-    n, b = np.array(sizes), np.array(bits, np.int64)
-    share = 1 / THRESHOLD - 1
-    near = np.bitwise_count((b[:, None] ^ b[None, :]).view(np.uint64)) <= share * np.minimum(n[:, None], n[None, :]) + 1e-9
-    return near.sum(axis=1) > 1
+    if len(sizes) == 2:
+        return np.repeat(((bits[0] ^ bits[1]) & (2**64 - 1)).bit_count() <= LACK * min(sizes) + 1e-9, 2)
+    n, b = np.array(sizes), np.array(bits, np.int64).view(np.uint64)
+    others = [(np.bitwise_count(b[i : i + rows, None] ^ b) <= LACK * np.minimum(n[i : i + rows, None], n) + 1e-9).sum(axis=1) for i in range(0, len(n), rows)]
+    return np.concatenate(others) > 1
 
 
-def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 256) -> DataFrame:
+def similar_groups(held: list[bytes]) -> np.ndarray:
+    """For each paragraph of a band (its two ends and its shingles, 32 bits each) the number of the first one of its component.
+
+    Sizes and 64 bits a set tell for a whole row which earlier sets can be similar; only those of other components are compared.
+    """
+    every = [np.frombuffer(x, np.uint32) for x in held]
+    sets: list[frozenset | None] = [None] * len(every)
+    sizes = np.array([len(x) - 2 for x in every])
+    bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (x[2:] >> np.uint32(26)).astype(np.uint64)) for x in every], np.uint64)
+    ends = [{e for e in x[:2].tolist() if e} for x in every]
+    label = np.arange(len(every))
+
+    def similar(i: int, j: int) -> bool:
+        for k in (i, j):
+            if sets[k] is None:
+                sets[k] = frozenset(every[k][2:].tolist())
+        if not (ends[i] <= sets[j] and ends[j] <= sets[i]):
+            return False
+        both = len(sets[i] & sets[j])
+        return both >= THRESHOLD * (sizes[i] + sizes[j] - both) - 1e-9
+
+    for i in range(1, len(every)):
+        low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        left = np.flatnonzero((np.bitwise_count(bits[:i] ^ bits[i]) <= LACK * low + 1e-9) & (low >= THRESHOLD * high - 1e-9))
+        while len(left):
+            j, left = left[0], left[1:]
+            if similar(i, j):
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+                left = left[label[left] != a]
+    return label
+
+
+def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2048) -> DataFrame:
     """(a, b) stars of distinct paragraphs that share a band and are similar enough; a band of many becomes pairs of blocks."""
     told = found.select(F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("band"), F.lit(0).cast("long").alias("part"), "key", "shingles", "bits").filter("band <> 0")
     columns = ["band", "part", "key", "shingles", "bits"]
@@ -374,20 +412,7 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
     def check(batches):
         out: list[tuple[int, int]] = []
         for _, _, keys, held in groups_of(batches, 1 << 62, "key", "shingles"):
-            lists = [np.frombuffer(x, np.uint32).tolist() for x in held]
-            ends, sets = [{e for e in x[:2] if e} for x in lists], [frozenset(x[2:]) for x in lists]
-            forest = Forest(len(keys))
-            for i in range(len(sets)):
-                a = len(sets[i])
-                for j in range(i):
-                    b = len(sets[j])
-                    if min(a, b) < THRESHOLD * max(a, b) - 1e-9 or forest.root(i) == forest.root(j):
-                        continue
-                    if ends[i] <= sets[j] and ends[j] <= sets[i]:
-                        both = len(sets[i] & sets[j])
-                        if both >= THRESHOLD * (a + b - both) - 1e-9:
-                            forest.join(i, j)
-            out += [(keys[i], keys[r]) for i, r in enumerate(forest.roots()) if r != i]
+            out += [(keys[i], keys[r]) for i, r in enumerate(similar_groups(held).tolist()) if r != i]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []

@@ -315,6 +315,45 @@ def test_bands_of_many_paragraphs(spark):
     assert groups[0] == groups[1] and len(groups[0]) >= 45
 
 
+def test_groups_of_a_band():
+    """Components of a band against plain sets: similarity 0.8 or more, and each one's ends in the other."""
+    r = np.random.default_rng(12)
+    for n in (2, 3, 40):
+        base = np.unique(r.integers(0, 2**32, 60, dtype=np.uint32) | np.uint32(1))
+        sets = [np.unique(np.concatenate([r.permutation(base)[: 60 - k % 9], r.integers(0, 2**32, k % 5, dtype=np.uint32) | np.uint32(1)])) for k in range(n)]
+        ends = [np.array([base[k % 3] if k % 2 else 0, 0], np.uint32) for k in range(n)]
+        plain, e = [set(x.tolist()) for x in sets], [{y for y in x.tolist() if y} for x in ends]
+        label = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]) and e[i] <= plain[j] and e[j] <= plain[i]:
+                    a, b = sorted((label[i], label[j]))
+                    label = [a if x == b else x for x in label]
+        assert passage_dedup.similar_groups([a.tobytes() + b.tobytes() for a, b in zip(ends, sets, strict=True)]).tolist() == label
+    many = r.integers(0, 2**63, 700).tolist()
+    want = [sum((a ^ b).bit_count() <= 0.25 * 96 + 1e-9 for b in many) > 1 for a in many]
+    assert passage_dedup.may_match([96] * 700, many).tolist() == passage_dedup.may_match([96] * 700, many, 16).tolist() == want
+
+
+def test_recall_of_edited_copies(spark):
+    """200 passages each with one changed word in the copy: 60 words as a line of their own, and 100 and 60 words inside a line.
+
+    60 words inside a line leave few places for a window of 40 words with its margins: there recall is lower.
+    """
+    r = np.random.default_rng(21)
+    fresh = lambda n: [f"v{x}" for x in r.integers(0, 10**9, n)]
+    docs = []
+    for i in range(200):
+        for k, (n, gap) in enumerate([(60, "\n"), (100, " "), (60, " ")]):
+            p, at = fresh(n), int(r.integers(0, n))
+            for copy, text in enumerate((p, p[:at] + fresh(1) + p[at + 1 :])):
+                docs.append((6 * i + 2 * k + copy, gap.join(" ".join(x) for x in (fresh(30), text, fresh(30)))))
+    found = {x["doc_id"] for x in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    recall = [sum({6 * i + 2 * k, 6 * i + 2 * k + 1} <= found for i in range(200)) / 200 for k in range(3)]
+    print("recall: line of 60, 100 and 60 inside a line", recall)
+    assert recall[0] >= 0.95 and recall[1] >= 0.95 and recall[2] >= 0.8
+
+
 def test_passages_repeated_in_one_document(spark):
     r = np.random.default_rng(6)
     fresh = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10**9, n))
