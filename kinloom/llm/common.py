@@ -102,10 +102,17 @@ def release(df: DataFrame | None) -> None:
         files.cancelDeleteOnExit(where)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Free the disks of executors from the shuffle files of steps whose tables are written: Spark removes them once the
-    driver's JVM has collected the plans that made them, which by itself may come half an hour later."""
-    spark._jvm.System.gc()
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Inside it, Spark removes the shuffle files of each query when the query ends, instead of when the driver's JVM happens to
+    collect its plan: steps whose results are written tables need them no longer.  The session's own setting comes back after it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:

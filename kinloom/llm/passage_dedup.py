@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, drop_shuffles, in_filter, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked
+from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, in_filter, load, materialize, maybe_among, packed, release, scratch, short_shuffles, small_batches, unpacked
 from .shingles import byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -404,10 +404,8 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
     sizes = hot.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     hot = hot.drop("part").join(sizes, "band").withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select("band", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other") + 1).cast("long").alias("part"), "key", "shingles", "bits")
-    drop_shuffles(docs.sparkSession)
     some = materialize(near.filter("part >= 0").union(hot.transform(likely(1 << 62))).select("band", "part", "key"), "met")
     release(near)
-    drop_shuffles(docs.sparkSession)
 
     def check(batches):
         out: list[tuple[int, int]] = []
@@ -448,9 +446,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = bands_for(recall)
     found = materialize(shared_paragraphs(texts, bands), "paragraphs")
-    drop_shuffles(docs.sparkSession)
     edges = materialize(verified_edges(texts, found, bands), "paragraph-edges")
-    drop_shuffles(docs.sparkSession)
     near = connected_components(edges).select("node", "component")
     place = found.select("doc_id", "level", "at", "words", "key")
     may = maybe_among(docs.sparkSession, near, "node")(F.col("key"))
@@ -458,7 +454,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     moved = place.filter(may).join(near, F.col("key") == F.col("node"), "left").select("doc_id", "level", "at", "words", F.coalesce("component", "key").alias("cluster"))
     owned = materialize(place.filter(~may).withColumnRenamed("key", "cluster").unionByName(moved), "owned")
     release(found)
-    drop_shuffles(docs.sparkSession)
     seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.max("at").alias("far"))
     elsewhere = ~F.col("first.doc_id").eqNullSafe(F.col("last"))
     # windows of one document that are alike only because they overlap are no repeats
@@ -476,7 +471,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that share an id count as one document.  Null, empty and blank texts have no passages, nor have documents whose
     words repeat nowhere.  Tables may be empty.
     """
-    with scratch() as keep:
+    with scratch() as keep, short_shuffles(docs.sparkSession):
         runs = repeated_paragraphs(docs, id_col, text_col, recall, inside).groupBy("doc_id", "run").agg(
             F.min("at").alias("start_word"), F.max("end").alias("end_word"), (F.max("end") - F.min("at")).alias("n_words"),
             F.sum("fresh").alias("n_removed"), F.min_by("cluster", F.struct("at", "level")).alias("cluster"),
@@ -491,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The columns stay as they are, whatever their names.  Texts of an id that has several different texts stay whole, since
     passages name places by id alone.
     """
-    with scratch() as keep:
+    with scratch() as keep, short_shuffles(docs.sparkSession):
         all_ = materialize(repeated_paragraphs(docs, id_col, text_col, recall), "repeats")
         long = all_.groupBy("doc_id", "run").agg((F.max("end") - F.min("at")).alias("n")).filter(F.col("n") >= min_run).select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"))
         gone = all_.filter("fresh > 0").join(long, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("run") == F.col("_r")))
