@@ -33,9 +33,10 @@ def gedcom_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_lines(texts: DataFrame) -> DataFrame:
-    """The lines of whole texts (file, value), one block each."""
-    lines = texts.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
-    return _parts(lines.select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("n").cast("long").alias("n")).alias("pos"), "line"))
+    """The lines of texts (file, value), one block each; a file of several texts has a column block that orders them."""
+    block = F.col("block") if "block" in texts.columns else F.lit(0)
+    lines = texts.select("file", block.cast("long").alias("block"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
+    return _parts(lines.select("file", F.struct("block", F.col("n").cast("long").alias("n")).alias("pos"), "line"))
 
 
 def _parts(lines: DataFrame) -> DataFrame:
