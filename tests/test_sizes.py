@@ -1,11 +1,14 @@
 """Rows of a group, a task or a file do not grow with the tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from kinloom import queries as genealogy
 from kinloom import source_queries
+from kinloom.operators import quality
 from kinloom.plans.tables import Tables
 
 from .test_entry import TABLES, rows
@@ -31,3 +34,31 @@ def test_many_stretches(spark, sf_dir, monkeypatch, name):
     t = Tables(spark, sf_dir)
     assert name.startswith("gedcom") or (source_queries.two_files(t) if "two" in name else source_queries.database_files(t)).count() > 6
     assert same_as_sql(spark, sf_dir, name)
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(new[-1], row[k + 1]))
+        row = new
+    return row[-1]
+
+
+def test_similar_forms(spark):
+    """Strings of all lengths round SHORT, near and far: no pair that a ratio of 0.92 allows is lost."""
+    r = random.Random(1)
+    some = set()
+    for _ in range(60):
+        s = "head" + "".join(r.choice("01a ") for _ in range(r.choice((3, 5, 8, 9, 14, 15, 16, 17, 18, 21, 30))))
+        for _ in range(6):
+            k = r.randrange(4, len(s))
+            some |= {s, s[:k] + s[k + 1 :], s[:k] + r.choice("01a") + s[k:], s[:k] + "b" + s[k + 1 :]}
+            s = r.choice(sorted(some, key=len)[-20:]) if r.random() < 0.1 else s[:k] + s[k + 1 :] if len(s) > 8 else s
+    want = {(a, b) for a in some for b in some if a < b and 2 * common(a, b) >= 0.92 * (len(a) + len(b)) - 1e-9}
+    got = {(x["form_a"], x["form_b"]) for x in quality.similar_forms(spark.createDataFrame([(x,) for x in some], "form string"), 0.92).collect()}
+    assert want <= got and len(want) > 100
+    short = {(a, b) for a, b in got if max(len(a), len(b)) <= quality.SHORT}
+    assert short <= want  # no pair is made in vain
