@@ -149,6 +149,10 @@ class DatabaseReader(DataSourceReader):
     def partitions(self) -> list[Pieces]:
         return self.parts
 
+    def __getstate__(self) -> dict:
+        """What a task gets of the reader: its own pieces reach it as its partition, those of all tasks stay behind."""
+        return self.__dict__ | {"parts": []}
+
     def read(self, part: Pieces) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
             yield from self.rows(*piece)

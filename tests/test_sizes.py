@@ -1,5 +1,6 @@
 """Rows of a group, a task or a file do not grow with the tables."""
 
+import pickle
 import random
 
 import duckdb
@@ -11,6 +12,7 @@ from kinloom import queries as genealogy
 from kinloom import source_queries
 from kinloom.operators import actions, quality, records
 from kinloom.plans.tables import Tables
+from kinloom.sources import genealogy_db
 
 from .test_entry import TABLES, rows
 
@@ -114,3 +116,35 @@ def test_undo_rows_are_made_once(spark):
     back = records.undo_logged(done.tables, log.withColumn("row_json", counted("row_json")), 7)
     assert pairs(back.relationships) == pairs(edges) and back.persons.count() == 5
     assert calls.value == n
+
+
+def test_database_files_are_written_by_their_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    """Files never travel between tasks as values, and a task holds a batch of a file's rows at a time."""
+    t, most = Tables(spark, sf_dir), spark.sparkContext.accumulator(0)
+    real = source_queries._database
+
+    def counted(path, batches, tables):
+        def seen():
+            for b in batches:
+                most.add(1 if b.num_rows > 50 else 0)
+                yield b
+
+        return real(path, seen(), tables)
+
+    monkeypatch.setattr(source_queries, "_database", counted)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        made = {r["path"]: r["size"] for r in source_queries.database_files(t, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert made and all((tmp_path / path).stat().st_size == size for path, size in made.items())
+    assert most.value == 0 and max(made.values()) > 8000
+
+
+def test_a_task_gets_its_own_pieces_only():
+    """The reader that goes to every task does not grow with the tables."""
+    size = lambda n: len(pickle.dumps(genealogy_db.DatabaseReader([genealogy_db.Pieces([("f", "t", 0, 9)])] * n, ["a"], None, ["file", "a"])))
+    assert size(1) == size(1000)
+    reader = genealogy_db.DatabaseReader([genealogy_db.Pieces([("f", "t", 0, 9)])] * 5, ["a"], None, ["file", "a"])
+    assert len(reader.partitions()) == 5
