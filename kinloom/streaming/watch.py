@@ -13,10 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.ids import add_rows
-from ..sources.files import MEDIA, committed, content_hash, register_media, store_of
+from ..sources.files import MEDIA, TASKS, committed, content_hash, register_media, store_of
 
 #: Columns of the asset table that a watch keeps.
 ASSETS = "id long, sha256 string, path string, original_filename string, mime_type string, size_bytes long, status string"
+#: Files that a task reads at least, where there are so many; beyond TASKS tasks it reads more.
 FILES_A_TASK = 32
 
 
@@ -85,7 +86,8 @@ class FolderReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Files]:
         old, new = self._listing(start["listing"]), self._listing(end["listing"])
         some = sorted((p, at) for p, at in new.items() if old.get(p, -1) < at)
-        return [Files(some[k : k + FILES_A_TASK]) for k in range(0, len(some), FILES_A_TASK)]
+        size = max(FILES_A_TASK, -(-len(some) // TASKS))
+        return [Files(some[k : k + size]) for k in range(0, len(some), size)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         store, _ = store_of(self.folder)

@@ -12,7 +12,8 @@ from kinloom import queries as genealogy
 from kinloom import source_queries
 from kinloom.operators import actions, quality, records
 from kinloom.plans.tables import Tables
-from kinloom.sources import genealogy_db
+from kinloom.sources import files, genealogy_db
+from kinloom.streaming import watch
 
 from .test_entry import TABLES, rows
 
@@ -148,3 +149,18 @@ def test_a_task_gets_its_own_pieces_only():
     assert size(1) == size(1000)
     reader = genealogy_db.DatabaseReader([genealogy_db.Pieces([("f", "t", 0, 9)])] * 5, ["a"], None, ["file", "a"])
     assert len(reader.partitions()) == 5
+
+
+def test_many_files_make_larger_tasks(spark, tmp_path, monkeypatch):
+    """Tasks of a scan and of a watch do not grow in number with the files, and every file is read once."""
+    folder, state = tmp_path / "media", tmp_path / "state"
+    folder.mkdir()
+    for k in range(200):
+        (folder / f"{k}.jpg").write_text(str(k))
+    monkeypatch.setattr(files, "TASKS", 2)
+    monkeypatch.setattr(watch, "TASKS", 2)
+    assert files.media_files(spark, str(folder)).rdd.getNumPartitions() == 2
+    assert files.scan_media(spark, str(folder)).count() == 200
+    reader = watch.FolderReader(str(folder), str(state), ["jpg"])
+    parts = reader.partitions({"listing": 0}, reader.latestOffset())
+    assert len(parts) == 2 and len({p for part in parts for p, _ in part.files}) == 200
