@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.ids import add_rows
-from ..sources.files import MEDIA, TASKS, committed, content_hash, register_media, store_of
+from ..sources.files import MEDIA, TASKS, committed, content_hash, register_media, store_of, written
 
 #: Columns of the asset table that a watch keeps.
 ASSETS = "id long, sha256 string, path string, original_filename string, mime_type string, size_bytes long, status string"
@@ -134,6 +134,7 @@ def upsert_assets(found: DataFrame, table_path: str, number: int) -> None:
     assets = current_assets(spark, table_path, number)
     facts = ["path", "original_filename", "mime_type", "size_bytes"]
     one = found.groupBy("sha256").agg(F.min(F.struct(*facts)).alias("m")).select("sha256", *[F.col("m")[c].alias(c) for c in facts])
+    one = written(one, "found")  # it is asked for several times below, and files are read once
     after, fresh = register_media(assets, one)
     whole = add_rows(after.select(*assets.columns), fresh.withColumn("status", F.lit("unassigned")))
     changed = whole.join(assets, [whole[c].eqNullSafe(assets[c]) for c in assets.columns], "left_anti")

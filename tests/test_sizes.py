@@ -164,3 +164,18 @@ def test_many_files_make_larger_tasks(spark, tmp_path, monkeypatch):
     reader = watch.FolderReader(str(folder), str(state), ["jpg"])
     parts = reader.partitions({"listing": 0}, reader.latestOffset())
     assert len(parts) == 2 and len({p for part in parts for p, _ in part.files}) == 200
+
+
+def test_files_of_a_batch_are_read_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(a: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return a
+
+    some = [(f"s{k}", f"p/{k}.jpg", f"{k}.jpg", "image/jpeg", k) for k in range(30)]
+    found = spark.createDataFrame(some, "sha256 string, path string, original_filename string, mime_type string, size_bytes long").withColumn("sha256", counted("sha256"))
+    watch.upsert_assets(found, str(tmp_path / "assets"), 0)
+    assert watch.current_assets(spark, str(tmp_path / "assets")).count() == 30
+    assert calls.value == 30
