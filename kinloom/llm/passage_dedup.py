@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, connected_components, drop_shuffles, in_filter, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked
+from .common import FILTER_BITS, FILTER_CHUNK, bit_filter, byte_batches, connected_components, drop_shuffles, in_filter, load, materialize, maybe_among, packed, release, scratch, small_batches, unpacked
 from .shingles import byte_word_hashes, mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -51,7 +51,7 @@ class Paragraphs(NamedTuple):
     words: np.ndarray
     keys: np.ndarray  # alike for paragraphs of the same shingles
     hashes: np.ndarray  # paragraphs x bands
-    bits: np.ndarray  # a set bit for every shingle, at one of 64 places
+    bits: np.ndarray | None  # a set bit for every shingle, at one of 64 places; where they are asked for
     first: np.ndarray  # place of the first shingle in every, and behind the last one
     stop: np.ndarray
     every: np.ndarray
@@ -105,7 +105,7 @@ def windows_of(starts: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[
     return starts[fits], ends[fits]
 
 
-def paragraphs(texts: list[str | None], bands: int) -> Paragraphs | None:
+def paragraphs(texts: list[str | None], bands: int, with_bits: bool = False) -> Paragraphs | None:
     """All paragraphs of the texts, or None where they have no words.
 
     The words that decide where a cut stands are alike in both copies, so a window is compared with REACH more words on either
@@ -159,7 +159,7 @@ def paragraphs(texts: list[str | None], bands: int) -> Paragraphs | None:
     keys = mix(reduce(np.add, mixed[0]) ^ mix(reduce(np.bitwise_xor, mixed[-1]) + sizes.astype(np.uint64)) ^ salt)
     ends_of = own_ends(every, level, first, stop)
     hashes = mix(np.stack([reduce(np.minimum, m) + np.uint64(b) ^ salt ^ mix(ends_of[b % 2]) for b, m in enumerate(mixed)], axis=1))
-    bits = reduce(np.bitwise_or, np.uint64(1) << (every >> np.uint64(58)))
+    bits = reduce(np.bitwise_or, np.uint64(1) << (every >> np.uint64(58))) if with_bits else None
     return Paragraphs(held[own], level, starts - head[own], sizes, keys, hashes, bits, first, stop, every)
 
 
@@ -187,16 +187,20 @@ _CHUNK = 1 << FILTER_CHUNK
 def band_filters(docs: DataFrame, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit filters of the bands that paragraphs of the corpus hold twice, and of those that different paragraphs hold.
 
-    A band goes out as its place in the filter and 32 bits of the paragraph's key; a task holds one chunk of the filter at a time.
+    A band goes out as its place in the filter, 16 more of its bits and 32 bits of the paragraph's key, so that different bands
+    that fall on one place set no bit; a task holds the bands of one chunk of the filter at a time.
     """
 
-    def packed_places(held: list[np.ndarray]):
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        value = np.repeat(value, np.minimum(n, 2))
-        place, fold = value >> np.uint64(32), (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        chunk, spot = (place >> np.uint64(FILTER_CHUNK)).astype(np.int32), (place & np.uint64(_CHUNK - 1)).astype(np.uint16)
-        edges = [*np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)]
-        rows = [(chunk[a], spot[a:b].tobytes() + fold[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+    def packed_places(held: list[tuple[np.ndarray, np.ndarray]]):
+        chunk, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(value)
+        order = order[np.argsort(chunk[order], kind="stable")]
+        chunk, value = chunk[order], value[order]
+        some = np.ones(len(value), bool)  # two of a kind tell what more would tell
+        some[2:] = (value[2:] != value[:-2]) | (chunk[2:] != chunk[:-2])
+        chunk, value = chunk[some], value[some]
+        edges = [*np.flatnonzero(np.diff(chunk.astype(np.int32), prepend=-1)), len(chunk)]
+        rows = [(int(chunk[a]), value[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
         return pd.DataFrame(rows, columns=["chunk", "places"])
 
     def places(batches):
@@ -205,32 +209,38 @@ def band_filters(docs: DataFrame, bands: int) -> tuple[np.ndarray, np.ndarray]:
             for _, texts in slices(p["text"]):
                 if (found := paragraphs(texts, bands)) is None:
                     continue
-                fold = (found.keys >> np.uint64(32))[:, None]
-                held.append((((found.hashes & np.uint64((1 << FILTER_BITS) - 1)) << np.uint64(32)) | fold).ravel())
-                n += len(held[-1])
+                band, fold = found.hashes, (found.keys >> np.uint64(32))[:, None]
+                spot, more = band & np.uint64(_CHUNK - 1), (band >> np.uint64(FILTER_BITS)) & np.uint64(0xFFFF)
+                chunk = ((band & np.uint64((1 << FILTER_BITS) - 1)) >> np.uint64(FILTER_CHUNK)).astype(np.uint16)
+                held.append((chunk.ravel(), ((spot << np.uint64(48)) | (more << np.uint64(32)) | fold).ravel()))
+                n += chunk.size
                 if n >= 1 << 21:
                     yield packed_places(held)
                     held, n = [], 0
         if held:
             yield packed_places(held)
 
+    def closed(chunk: int, held: list[bytes]) -> pd.DataFrame:
+        value = np.sort(np.frombuffer(b"".join(held), np.uint64))
+        band = value >> np.uint64(32)
+        first = np.flatnonzero(np.diff(band, prepend=~band[:1]))
+        last = np.append(first[1:], len(band)) - 1
+        spot, bits = (band[first] >> np.uint64(16)).astype(np.int64), np.zeros((2, _CHUNK), bool)
+        bits[0, spot[last > first]] = True
+        bits[1, spot[value[last] != value[first]]] = True
+        return pd.DataFrame([(chunk, *(np.packbits(b).tobytes() for b in bits))], columns=["chunk", "twice", "differ"])
+
     def chunks(batches):
-        last, n, low, high = None, None, None, None
-        closed = lambda: pd.DataFrame([(last, np.packbits(n >= 2).tobytes(), np.packbits(low < high).tobytes())], columns=["chunk", "twice", "differ"])
+        last, held = None, []
         for p in batches:
             for chunk, data in zip(p["chunk"].tolist(), p["places"].tolist(), strict=True):
                 if chunk != last:
-                    if last is not None:
-                        yield closed()
-                    last, n = chunk, np.zeros(_CHUNK, np.int64)
-                    low, high = np.full(_CHUNK, 0xFFFFFFFF, np.uint32), np.zeros(_CHUNK, np.uint32)
-                size = len(data) // 6
-                spot, fold = np.frombuffer(data, np.uint16, size), np.frombuffer(data[2 * size :], np.uint32)
-                n += np.bincount(spot, minlength=_CHUNK)
-                np.minimum.at(low, spot, fold)
-                np.maximum.at(high, spot, fold)
-        if last is not None:
-            yield closed()
+                    if held:
+                        yield closed(last, held)
+                    last, held = chunk, []
+                held.append(data)
+        if held:
+            yield closed(last, held)
 
     sent = docs.select("text").mapInPandas(places, "chunk int, places binary").repartition("chunk").sortWithinPartitions("chunk")
     twice, differ = np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -254,7 +264,7 @@ def shared_paragraphs(docs: DataFrame, bands: int) -> DataFrame:
         twice, differ = tables.value
         for p in batches:
             for start, texts in slices(p["text"]):
-                if (found := paragraphs(texts, bands)) is None:
+                if (found := paragraphs(texts, bands, True)) is None:
                     continue
                 other = in_filter(differ, found.hashes)
                 hit = np.flatnonzero(np.where(found.level == 2, other.any(axis=1), in_filter(twice, found.hashes).any(axis=1)))
@@ -334,6 +344,8 @@ def groups_of(batches, limit: int, *columns: str):
 
 #: Similar sets lack at most this share of the smaller one's members, in both together.
 LACK = 1 / THRESHOLD - 1
+#: Paragraphs of a band beyond which sets of WIDE_BITS bits are made of them, 256 bytes each.
+FEW, WIDE_BITS = 32, 2048
 
 
 def may_match(sizes: list[int], bits: list[int], rows: int = 512) -> np.ndarray:
@@ -348,17 +360,36 @@ def may_match(sizes: list[int], bits: list[int], rows: int = 512) -> np.ndarray:
     return np.concatenate(others) > 1
 
 
+def similar_pair(a: bytes, b: bytes) -> bool:
+    """What similar_groups tells of two paragraphs alone, whose bits have been compared before."""
+    low, high = sorted((len(a) // 4 - 2, len(b) // 4 - 2))
+    if low < THRESHOLD * high - 1e-9:
+        return False
+    one, two = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
+    first, second = set(one[2:]), set(two[2:])
+    both = len(first & second)
+    return both >= THRESHOLD * (low + high - both) - 1e-9 and {e for e in one[:2] if e} <= second and {e for e in two[:2] if e} <= first
+
+
 def similar_groups(held: list[bytes]) -> np.ndarray:
     """For each paragraph of a band (its two ends and its shingles, 32 bits each) the number of the first one of its component.
 
-    Sizes and 64 bits a set tell for a whole row which earlier sets can be similar; only those of other components are compared.
+    Sizes and 64 bits a set tell for a whole row which earlier sets can be similar, and where they leave many, WIDE_BITS bits, which
+    long paragraphs do not fill.  Only those of other components are compared.
     """
+    if len(held) == 2:
+        return np.array([0, 0 if similar_pair(*held) else 1])
     every = [np.frombuffer(x, np.uint32) for x in held]
     sets: list[frozenset | None] = [None] * len(every)
     sizes = np.array([len(x) - 2 for x in every])
     bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (x[2:] >> np.uint32(26)).astype(np.uint64)) for x in every], np.uint64)
     ends = [{e for e in x[:2].tolist() if e} for x in every]
-    label = np.arange(len(every))
+    label, wide = np.arange(len(every)), None
+    if len(every) > FEW:
+        own = np.repeat(np.arange(len(every)), sizes)
+        wide = np.zeros((len(every), WIDE_BITS), bool)
+        wide[own, np.concatenate([x[2:] for x in every]) >> np.uint32(32 - WIDE_BITS.bit_length() + 1)] = True
+        wide = np.packbits(wide, axis=1).view(np.uint64)
 
     def similar(i: int, j: int) -> bool:
         for k in (i, j):
@@ -372,6 +403,8 @@ def similar_groups(held: list[bytes]) -> np.ndarray:
     for i in range(1, len(every)):
         low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
         left = np.flatnonzero((np.bitwise_count(bits[:i] ^ bits[i]) <= LACK * low + 1e-9) & (low >= THRESHOLD * high - 1e-9))
+        if wide is not None and len(left) > FEW // 4:
+            left = left[np.bitwise_count(wide[left] ^ wide[i]).sum(axis=1, dtype=np.int64) <= LACK * low[left] + 1e-9]
         while len(left):
             j, left = left[0], left[1:]
             if similar(i, j):
@@ -424,7 +457,11 @@ def verified_edges(docs: DataFrame, found: DataFrame, bands: int, block: int = 2
     cold, parts = some.filter("part = 0").select("band", "key"), some.filter("part > 0")
     edges = checked(shingles_of(docs, bands, cold).withColumn("part", F.lit(0).cast("long")))
     if not parts.isEmpty():  # bands of many paragraphs go to several groups
-        sets = shingles_of(docs, bands, parts.select("band", "key").distinct()).groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
+        named = parts.select("band", "key").distinct()
+        # one text that holds a paragraph tells it, so other texts are not cut again
+        held = found.filter(" or ".join(f"band{b} <> 0" for b in range(bands))).select("doc_id", "key").join(named.select("key").distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("one"))
+        holds = maybe_among(docs.sparkSession, held.select("one").distinct(), "one")
+        sets = shingles_of(docs.filter(holds(F.col("doc_id"))), bands, named).groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
         edges = edges.unionByName(checked(parts.join(sets, ["band", "key"])))
     return edges.distinct()
 
@@ -447,16 +484,17 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str, recall: flo
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands = bands_for(recall)
-    found = materialize(shared_paragraphs(texts, bands), "paragraphs")
-    drop_shuffles(docs.sparkSession)
-    edges = materialize(verified_edges(texts, found, bands), "paragraph-edges")
-    drop_shuffles(docs.sparkSession)
-    near = connected_components(edges).select("node", "component")
-    place = found.select("doc_id", "level", "at", "words", "key")
-    may = maybe_among(docs.sparkSession, near, "node")(F.col("key"))
-    # most paragraphs have exact copies only: they are clusters by their key, without a join
-    moved = place.filter(may).join(near, F.col("key") == F.col("node"), "left").select("doc_id", "level", "at", "words", F.coalesce("component", "key").alias("cluster"))
-    owned = materialize(place.filter(~may).withColumnRenamed("key", "cluster").unionByName(moved), "owned")
+    with byte_batches(docs.sparkSession):
+        found = materialize(shared_paragraphs(texts, bands), "paragraphs")
+        drop_shuffles(docs.sparkSession)
+        edges = materialize(verified_edges(texts, found, bands), "paragraph-edges")
+        drop_shuffles(docs.sparkSession)
+        near = connected_components(edges).select("node", "component")
+        place = found.select("doc_id", "level", "at", "words", "key")
+        may = maybe_among(docs.sparkSession, near, "node")(F.col("key"))
+        # most paragraphs have exact copies only: they are clusters by their key, without a join
+        moved = place.filter(may).join(near, F.col("key") == F.col("node"), "left").select("doc_id", "level", "at", "words", F.coalesce("component", "key").alias("cluster"))
+        owned = materialize(place.filter(~may).withColumnRenamed("key", "cluster").unionByName(moved), "owned")
     release(found)
     drop_shuffles(docs.sparkSession)
     seen = owned.groupBy("cluster").agg(F.min(F.struct("doc_id", "at", "words")).alias("first"), F.max("doc_id").alias("last"), F.max("at").alias("far"))

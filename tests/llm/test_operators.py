@@ -315,6 +315,50 @@ def test_bands_of_many_paragraphs(spark):
     assert groups[0] == groups[1] and len(groups[0]) >= 45
 
 
+def test_bands_alike_by_their_place_alone(spark):
+    """Different bands that fall on one of the 2**27 places of the filter name no paragraph: here no word stands twice."""
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(3000)]
+    found = passage_dedup.shared_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert found.filter("level < 2").count() == 0  # neighbouring windows of a text may share a band
+
+
+def test_pairs_of_a_band():
+    """Two paragraphs alone are told as they are told among others."""
+    r = np.random.default_rng(4)
+    for k in range(60):
+        base = np.unique(r.integers(0, 2**32, 40, dtype=np.uint32) | np.uint32(1))
+        sets = [np.unique(np.concatenate([r.permutation(base)[: 40 - k % 6], r.integers(0, 2**32, k % 4, dtype=np.uint32) | np.uint32(1)])) for _ in range(2)]
+        ends = [np.array([base[0] if k % 2 else 0, base[1] if k % 3 == 0 else 0], np.uint32) for _ in range(2)]
+        held = [a.tobytes() + b.tobytes() for a, b in zip(ends, sets, strict=True)]
+        far = np.zeros(2, np.uint32).tobytes() + np.array([3], np.uint32).tobytes()
+        assert passage_dedup.similar_groups(held).tolist() == passage_dedup.similar_groups([*held, far]).tolist()[:2]
+
+
+def test_many_long_paragraphs_of_a_band(monkeypatch):
+    """Long paragraphs fill 64 bits, so of many that share a band wider sets tell which can be similar; none that is similar is lost."""
+    r = np.random.default_rng(9)
+    base = [r.integers(0, 2**32, 400, dtype=np.uint32) | np.uint32(1) for _ in range(50)]
+    sets = [np.unique(np.concatenate([base[k % 50][: 400 - k % 7 * 8], r.integers(0, 2**32, k % 5 * 8, dtype=np.uint32) | np.uint32(1)])) for k in range(300)]
+    held = [np.zeros(2, np.uint32).tobytes() + x.tobytes() for x in sets]
+    compared = []
+    monkeypatch.setattr(passage_dedup, "frozenset", lambda x: compared.append(1) or Counted(x), raising=False)
+
+    class Counted(set):
+        def __and__(self, other):
+            compared.append(2)
+            return set.__and__(self, other)
+
+    told = passage_dedup.similar_groups(held).tolist()
+    assert compared.count(2) < 300 * 30  # of 45,000 pairs; all of equal sizes without the wider sets
+    plain, label = [set(x.tolist()) for x in sets], list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if label[i] != label[j] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]) - 1e-9:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert told == label
+
+
 def test_groups_of_a_band():
     """Components of a band against plain sets: similarity 0.8 or more, and each one's ends in the other."""
     r = np.random.default_rng(12)
