@@ -310,7 +310,7 @@ def shingles_of(docs: DataFrame, bands: int, met: DataFrame) -> DataFrame:
                         size += len(data) * len(new)
                         for n in new:
                             out[(n, k)] = data
-            if size > 1 << 24:
+            if size > 1 << 22:
                 yield frame()
                 out.clear()
                 size = 0
