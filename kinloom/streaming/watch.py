@@ -13,12 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.ids import add_rows
-from ..sources.files import MEDIA, TASKS, committed, content_hash, register_media, store_of, written
+from ..sources.files import FILES_A_TASK, MEDIA, TASKS, committed, content_hash, register_media, store_of, written
 
 #: Columns of the asset table that a watch keeps.
 ASSETS = "id long, sha256 string, path string, original_filename string, mime_type string, size_bytes long, status string"
-#: Files that a task reads at least, where there are so many; beyond TASKS tasks it reads more.
-FILES_A_TASK = 32
 
 
 class MediaFolder(DataSource):

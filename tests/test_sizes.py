@@ -179,3 +179,18 @@ def test_files_of_a_batch_are_read_once(spark, tmp_path):
     watch.upsert_assets(found, str(tmp_path / "assets"), 0)
     assert watch.current_assets(spark, str(tmp_path / "assets")).count() == 30
     assert calls.value == 30
+
+
+@pytest.mark.parametrize("name", ["media_scan_types", "watch_registration"])
+def test_files_of_equal_ids_stay_apart(spark, tmp_path, monkeypatch, name):
+    """Documents that share an id are files of their own, also where their contents come to one folder; null and empty texts are equal."""
+    monkeypatch.setattr(source_queries, "STRETCH", 20)
+    some = [(k % 40, None if k % 9 == 0 else "" if k % 11 == 0 else f"text {k % 150}") for k in range(300)] + [(7, "longer " * 500), (7, "short")]
+    (tmp_path / "in").mkdir()
+    d = spark.createDataFrame(some, "doc_id long, text string")
+    d.toPandas().to_parquet(tmp_path / "in/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/in/documents.parquet'")
+    want = con.execute(genealogy.ORACLES[name]).df()
+    assert len(want) > 40
+    assert rows(genealogy.queries()[name](spark, str(tmp_path / "in")).toPandas()) == rows(want)
