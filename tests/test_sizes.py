@@ -194,3 +194,20 @@ def test_files_of_equal_ids_stay_apart(spark, tmp_path, monkeypatch, name):
     want = con.execute(genealogy.ORACLES[name]).df()
     assert len(want) > 40
     assert rows(genealogy.queries()[name](spark, str(tmp_path / "in")).toPandas()) == rows(want)
+
+
+def test_a_scan_lists_in_tasks(spark, tmp_path):
+    """The driver holds no list of the folder's files; hidden ones are passed over, empty ones are not."""
+    for k in range(60):
+        at = tmp_path / f"d{k % 3}" / ("e" if k % 2 else "")
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{k}.jpg").write_text("" if k == 5 else str(k))
+    (tmp_path / "_gone").mkdir()
+    for hidden in ("_gone/a.jpg", ".b.jpg", "d0/_c.jpg"):
+        (tmp_path / hidden).write_text("x")
+    (tmp_path / "_k=1.jpg").write_text("kept")
+    found = files.media_files(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if f.endswith(".jpg")]
+    assert {r["path"].rsplit("/", 1)[1] for r in found.collect()} == {f"{k}.jpg" for k in range(60)} | {"_k=1.jpg"}
+    assert files.media_files(spark, f"{tmp_path}/d*").count() == 60
+    assert {r["path"].rsplit("/", 1)[1] for r in files.media_files(spark, str(tmp_path), recursive=False).collect()} == {"_k=1.jpg"}
