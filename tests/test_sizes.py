@@ -12,7 +12,7 @@ from kinloom import queries as genealogy
 from kinloom import source_queries
 from kinloom.operators import actions, quality, records
 from kinloom.plans.tables import Tables
-from kinloom.sources import files, genealogy_db
+from kinloom.sources import files, gedcom, genealogy_db
 from kinloom.streaming import watch
 
 from .test_entry import TABLES, rows
@@ -211,3 +211,26 @@ def test_a_scan_lists_in_tasks(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1] for r in found.collect()} == {f"{k}.jpg" for k in range(60)} | {"_k=1.jpg"}
     assert files.media_files(spark, f"{tmp_path}/d*").count() == 60
     assert {r["path"].rsplit("/", 1)[1] for r in files.media_files(spark, str(tmp_path), recursive=False).collect()} == {"_k=1.jpg"}
+
+
+def test_an_import_reads_its_texts_once(spark):
+    """Texts are taken apart in one step (records and their beginnings), however often the import asks for families; lines are not dealt
+    once more to find the events of their records."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(a: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return a
+
+    part = "0 @F{0}@ FAM\n1 HUSB @I{0}@\n1 MARR\n", "2 DATE {0}\n1 CHIL @I1{0}@\n"  # an event and a record go on in the next text
+    texts = spark.createDataFrame([("f", 2 * k + j, x.format(k)) for k in range(10, 30) for j, x in enumerate(part)], "file string, block long, value string")
+    persons = spark.createDataFrame([(int(f"{a}{k}"), f"@I{a}{k}@") for k in range(10, 30) for a in ("", 1)], "id int, xref string")
+    none = spark.createDataFrame([], "id int, xref string, husband_person_id int, wife_person_id int, marriage_date string, marriage_place string")
+    lines = gedcom.split_lines(texts.withColumn("value", counted("value")))
+    families, _, edges = gedcom.import_families(gedcom.parse(lines), persons, none, spark.createDataFrame([], "family_id int, child_person_id int"))
+    assert sorted((r["parent_person_id"], r["child_person_id"]) for r in edges.collect()) == [(k, 100 + k) for k in range(10, 30)]
+    assert sorted(r["marriage_date"] for r in families.collect()) == [str(k) for k in range(10, 30)]
+    assert calls.value <= 2 * 40
+    plan = gedcom.parse(gedcom.split_lines(texts)).families._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5
