@@ -200,7 +200,8 @@ def import_database(t: Tables, persons: DataFrame, edges: DataFrame, places: Dat
     """
     persons, places = written(persons, "import-persons"), written(places, "import-media")
     everyone = written(upsert(t.persons, persons.drop("source_id", "notes")), "import-everyone")
-    ids = persons.select("file", "source_id", "xref").join(everyone.select("xref", "id"), "xref").select("file", "source_id", "id").distinct()
+    ids = persons.select("file", "source_id", "xref").join(everyone.select("xref", "id"), "xref").select("file", "source_id", "id")
+    ids = ids.repartition("file", "source_id").distinct()  # dealt once, as all joins below ask
     one = lambda side: ids.select("file", F.col("source_id").alias(side), F.col("id").alias(f"{side}_person_id"))
     found = edges.join(one("parent"), ["file", "parent"]).join(one("child"), ["file", "child"]).select("parent_person_id", "child_person_id", F.lit("parent").alias("rel_type"))
     relationships = t.relationships.unionByName(found.distinct().join(t.relationships, ["parent_person_id", "child_person_id", "rel_type"], "left_anti"))

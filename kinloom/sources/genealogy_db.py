@@ -309,7 +309,8 @@ def persons(db: Databases) -> DataFrame:
 
 
 def relationships(db: Databases) -> DataFrame:
-    """(file, parent, child): every parent, father or mother column of a table with a child column gives an edge."""
+    """(file, parent, child): every parent, father or mother column of a table with a child column gives an edge, each once.  Edges are dealt
+    by file and parent, so a join on these does not deal them again."""
 
     def chosen(t: Table):
         child = pick(t.columns, CHILD_ID)
@@ -321,7 +322,7 @@ def relationships(db: Databases) -> DataFrame:
         names = ["child", *[f"p{k}" for k in range(len(columns) - 1)]]
         d = db.frame(tables, list(columns), names).filter("child is not null")
         out = out.unionByName(d.select("file", F.explode(F.array(*names[1:])).alias("parent"), "child").filter("parent is not null and parent <> '0'"))
-    return out.distinct()
+    return out.repartition("file", "parent").distinct()
 
 
 def media(db: Databases) -> tuple[DataFrame, DataFrame]:

@@ -249,3 +249,14 @@ def test_names_that_begin_differently_are_similar(spark):
     assert quality.similar_forms(spark.createDataFrame([(x,) for x in strange], "form string"), 0.92).count() == 1
     heads = {(sorted(names)[r["id_a"]], sorted(names)[r["id_b"]]) for r in quality.asset_candidates(Tables(spark, media_assets=assets)).collect()}
     assert heads and all(a[:4] == b[:4] for a, b in heads)
+
+
+def test_edges_of_files_are_dealt_once_for_their_parents(spark, sf_dir):
+    """An import deals edges by file and parent and persons by file and id once each, for telling repeats and for the joins."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = source_queries.imported_two(Tables(spark, sf_dir)).relationships._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < plan.count("Exchange hashpartitioning") <= 9
